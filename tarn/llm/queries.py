@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, sharding, simhash
+from . import decontaminate, exact_dedup, language, sentencepieces, sharding, simhash
 from .shared import read
 
 
+PIECES = os.environ.get("PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    profiles = language.fit(docs.filter(~language.held_out()))
+    found = language.identify(docs.select("doc_id", "text"), profiles)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = sentencepieces.Pieces.load(PIECES)
+    back = sentencepieces.decode(sentencepieces.encode(docs, model), model)
+    digest = F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " "), 256)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), digest.alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(read(spark, sf_dir, "documents"))
 
@@ -31,7 +51,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op4_simhash": op4_simhash,
+    "op5_sentencepieces": op5_sentencepieces,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op10_sharding": op10_sharding,

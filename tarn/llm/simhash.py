@@ -128,3 +128,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = table(named.join(smallest, "component").select("fp", "component_id"), "components")
     return prints.join(of_class, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3) -> DataFrame:
+    """The rows of ``docs``, columns as they are, but for all of a component other than its smallest id."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, distance=distance)
+    gone = table(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct(), "dropped")
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
