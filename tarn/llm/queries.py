@@ -7,13 +7,30 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language, sentencepieces, sharding, simhash
+from . import decontaminate, exact_dedup, language, line_dedup, quality, repeats, sentencepieces, sharding, simhash, url_filter
 from .shared import read
 
+from .url_filter import Rule
 
 PIECES = os.environ.get("PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+#: Rules of op7_url_filters.
+RULES = [
+    Rule("org", "/", "allow"),
+    Rule("example.org", "/es/", "block"),
+    Rule("example.org", "/en/1", "block"),
+    Rule("com", "/fr/", "allow"),
+    Rule("com", "/de/", "block"),
+]
+
+
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     profiles = language.fit(docs.filter(~language.held_out()))
@@ -21,6 +38,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_spread_lines(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -38,6 +60,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(read(spark, sf_dir, "documents"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
@@ -46,20 +72,70 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), 24, seed=10)
 
 
 QUERIES = {
+    "op1_suffix_array": op1_suffix_array,
     "op2_language_id": op2_language_id,
+    "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
     "op5_sentencepieces": op5_sentencepieces,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_url_filters": op7_url_filters,
     "op8_decontaminate": op8_decontaminate,
+    "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
 }
 
+_ROUNDS = ",\n".join(
+    f"""r{i} AS MATERIALIZED (SELECT kind, host, sum(rank) AS rank FROM (
+  SELECT kind, host, weight * (1 - 0.85) AS rank FROM seeds UNION ALL
+  SELECT e.kind, e.dst, r.rank * e.share * 0.85 FROM {f'r{i - 1}' if i else '(SELECT kind, host, weight * (1 - 0.85) AS rank FROM seeds)'} r JOIN edges e ON e.kind = r.kind AND e.host = r.host) GROUP BY ALL)"""
+    for i in range(20)
+)
+
 ORACLES = {
+    "op1_suffix_array": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d)),
+m AS (SELECT s, min(doc_id) AS least FROM p GROUP BY s HAVING min(doc_id) < max(doc_id)),
+late AS (SELECT p.doc_id, p.i, lag(p.i) OVER (PARTITION BY p.doc_id ORDER BY p.i) AS before FROM p JOIN m USING (s) WHERE p.doc_id > m.least),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM late) GROUP BY doc_id, g),
+per AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id),
+edges AS (SELECT doc_id, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+  UNION ALL SELECT d.doc_id, coalesce(max(s.b), 0), any_value(d.n) FROM d LEFT JOIN spans s USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT e.doc_id, string_agg(substr(d.h, 2 * e.a + 1, 2 * (e.b - e.a)), '' ORDER BY e.a) AS h FROM edges e JOIN d USING (doc_id) GROUP BY e.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN per USING (doc_id)
+""",
+    "op3_line_dedup": r"""
+WITH d AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, source, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM d),
+spread AS (SELECT line FROM lines WHERE trim(line, ' ') <> '' GROUP BY line HAVING count(DISTINCT source) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(s.line) AS n_removed, sha256(coalesce(string_agg(lines.line, chr(10) ORDER BY i) FILTER (s.line IS NULL), '')) AS kept_sha256
+FROM lines LEFT JOIN spread s USING (line) GROUP BY doc_id
+""",
+    "op7_url_filters": r"""
+WITH rules(rh, rp, rv) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+u AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, html, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+fit AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS rv FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id),
+seeds AS (SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS weight FROM (SELECT CASE rv WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n FROM p JOIN fit USING (page_id) GROUP BY ALL)),
+refs AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["''](?:[a-z][a-z0-9+.-]*:)?//([^"''/?#]*)', 1)) AS dst FROM p),
+links AS (SELECT DISTINCT src, translate(dst, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM refs),
+ways AS (SELECT 'trust' AS kind, src AS host, dst FROM links WHERE src <> dst AND src <> '' AND dst <> '' UNION ALL SELECT 'distrust', dst, src FROM links WHERE src <> dst AND src <> '' AND dst <> ''),
+edges AS MATERIALIZED (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY kind, host) AS share FROM ways),
+""" + _ROUNDS + r""",
+h AS (SELECT host, sum(CASE kind WHEN 'trust' THEN rank ELSE 0 END) AS trust, sum(CASE kind WHEN 'distrust' THEN rank ELSE 0 END) AS distrust FROM r19 GROUP BY host)
+SELECT p.page_id, p.host, p.path, fit.rule, coalesce(fit.rv, CASE WHEN h.distrust > 0.5 * (h.trust + h.distrust) THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN fit USING (page_id) LEFT JOIN h ON h.host = p.host
+""",
     "op6_exact_dedup": r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
