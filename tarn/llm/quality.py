@@ -3,64 +3,146 @@ expectation-maximisation, and a hashed linear scorer trained on the posterior la
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+import sys
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .bytewords import blocks, string_buffer
+from .shared import small_batches
 
 #: Documents that the scorer is trained on, chosen by a hash of their text.
 SAMPLE = 20_000
+#: Weights of the scorer; words' outlines are hashed to them.
 FEATURES = 1 << 12
+#: Bytes of text looked at together.
+STEP = 512 << 10
 GOOD, NONE, BAD = 1, 0, -1
-_SYMBOLS = "#$%&*!|@^~<>{}[]=+\\_"
+LABELLERS = ("symbols", "capitals", "odd_words", "word_length", "sentences", "repeats")
+_SPACE, _SMALL, _CAPITAL, _DIGIT, _STOP, _OTHER = range(6)
+_B = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _vote(bad: Column, good: Column) -> Column:
-    return F.when(bad, BAD).when(good, GOOD).otherwise(NONE)
+@functools.cache
+def _kinds() -> np.ndarray:
+    """What each code point is: white space, small letter (or one without case), capital, digit, a sign that ends a sentence, or else."""
 
+    def kind(c: str) -> int:
+        if c in " \t\n\r\x0b\x0c":
+            return _SPACE
+        if c.isalpha():
+            return _CAPITAL if c.isupper() else _SMALL
+        return _DIGIT if c.isdigit() else _STOP if c in ".,;:?!" else _OTHER
 
-def _measures(text: Column) -> dict[str, Column]:
-    words = F.filter(F.split(text, r"[ \t\n\r]+"), lambda w: w != "")
-    return {
-        "chars": F.length(text),
-        "plain": F.length(F.translate(text, _SYMBOLS, "")),
-        "upper": F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")),
-        "letters": F.length(F.regexp_replace(text, r"[^\p{L}]+", "")),
-        "words": F.size(words),
-        "distinct": F.size(F.array_distinct(words)),
-        "stops": F.size(F.filter(words, lambda w: w.rlike(r"^[\p{L}\p{N}'’-]+[.,;:?]$"))),
-        "odd": F.size(F.filter(words, lambda w: ~w.rlike(r"^[\"'(«¿¡]?[\p{L}\p{N}'’-]+[.,;:?!\"')»]*$"))),
-    }
+    return np.fromiter((kind(chr(c)) for c in range(sys.maxunicode + 1)), dtype=np.int8, count=sys.maxunicode + 1)
 
 
-def _share(a: str, b: str) -> Column:
-    return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+@dataclass
+class Looks:
+    """Of each text: its votes, and (text, feature, count) of the outlines of its words."""
 
+    votes: np.ndarray
+    text: np.ndarray
+    feature: np.ndarray
+    count: np.ndarray
 
-#: Each labeller votes GOOD, BAD or not at all, from a text's measures.
-LABELLERS: dict[str, Callable[[], Column]] = {
-    "symbols": lambda: _vote(_share("plain", "chars") < 0.95, _share("plain", "chars") > 0.99),
-    "capitals": lambda: _vote(_share("upper", "letters") > 0.4, (F.col("letters") > 0) & (_share("upper", "letters") < 0.15)),
-    "odd_words": lambda: _vote(_share("odd", "words") > 0.2, (F.col("words") > 0) & (_share("odd", "words") < 0.05)),
-    "word_length": lambda: _vote((_share("chars", "words") > 14) | (_share("chars", "words") < 2.5), (_share("chars", "words") > 3.5) & (_share("chars", "words") < 11)),
-    "sentences": lambda: _vote((F.col("words") > 30) & (_share("stops", "words") < 0.01), (_share("stops", "words") > 0.03) & (_share("stops", "words") < 0.4)),
-    "variety": lambda: _vote((F.col("words") > 60) & (_share("distinct", "words") < 0.1), (F.col("words") > 20) & (_share("distinct", "words") > 0.25)),
-}
+
+def _vote(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
+    return np.where(bad, BAD, np.where(good, GOOD, NONE))
+
+
+def _hashes(values: np.ndarray, first: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of ``values`` that begins at ``first``; ``nth`` counts within stretches."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(nth.max()), _B)]))
+        out = np.add.reduceat((values.astype(np.uint64) + np.uint64(1)) * _B * powers[nth], first)
+        return (out ^ (out >> np.uint64(31))) * _B >> np.uint64(8)
+
+
+def look(raw: np.ndarray, offsets: np.ndarray, features: int = FEATURES) -> Looks:
+    """Votes and outlines of the texts raw[offsets[i]:offsets[i+1]].
+
+    An outline is a word with runs of small letters, of capitals and of digits made one sign each, and
+    so are runs of one other sign; a word that is the same as the one before has an outline of its own.
+    """
+    n = len(offsets) - 1
+    raw, offsets = raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+    codes = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    at = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offsets]
+    text = np.repeat(np.arange(n), np.diff(at))
+    kinds = _kinds()[codes]
+    inside = kinds != _SPACE
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1] | (text[1:] != text[:-1])
+    own = np.flatnonzero(inside)
+    word = np.cumsum(begins)[own] - 1
+    first = np.flatnonzero(begins[own])
+    of = text[own[first]]
+    words = np.bincount(of, minlength=n)
+    # per text and kind of character
+    by = np.bincount(text * 6 + kinds, minlength=n * 6).reshape(n, 6)
+    letters, chars = by[:, _SMALL] + by[:, _CAPITAL], np.maximum(1, by[:, 1:].sum(1))
+    nth = np.arange(len(own)) - first[word] if len(own) else own
+    whole = _hashes(codes[own], first, nth)
+    again = np.zeros(len(whole), dtype=bool)
+    again[1:] = (whole[1:] == whole[:-1]) & (of[1:] == of[:-1])
+    sign = np.where(kinds[own] >= _STOP, codes[own] + 8, kinds[own])
+    run = np.ones(len(own), dtype=bool)
+    run[1:] = (sign[1:] != sign[:-1]) | (word[1:] != word[:-1])
+    runs, run_word = sign[run], word[run]
+    run_first = np.flatnonzero(np.concatenate([[True], run_word[1:] != run_word[:-1]])) if len(runs) else np.zeros(0, np.int64)
+    outline = _hashes(runs, run_first, np.arange(len(runs)) - run_first[run_word] if len(runs) else runs)
+    bucket = np.where(again, 0, 1 + outline % np.uint64(features - 1)).astype(np.int64)
+    ends_stop = np.zeros(len(first), dtype=bool)
+    if len(first):
+        last = np.append(first[1:], len(own)) - 1
+        ends_stop = kinds[own][last] == _STOP
+        odd_word = np.add.reduceat((kinds[own] == _OTHER).astype(np.int64), first) > 1
+    else:
+        odd_word = ends_stop
+    per = np.maximum(words, 1)
+    odd, stops, repeats = (np.bincount(of, weights=x, minlength=n) / per for x in (odd_word, ends_stop, again))
+    symbols, capitals, length = by[:, _OTHER] / chars, by[:, _CAPITAL] / np.maximum(letters, 1), chars / per
+    some = words > 0
+    votes = np.stack(
+        [
+            _vote(symbols > 0.06, some & (symbols < 0.02)),
+            _vote(capitals > 0.4, some & (letters > 0) & (capitals < 0.3)),
+            _vote(odd > 0.2, some & (odd < 0.05)),
+            _vote(some & ((length > 14) | (length < 2)), (length >= 2) & (length < 11)),
+            _vote((words > 30) & (stops < 0.01), (stops > 0.03) & ((stops < 0.4) | (words < 12))),
+            _vote((words > 5) & (repeats > 0.3), some & (repeats < 0.05)),
+        ],
+        axis=1,
+    )
+    votes[~some] = BAD
+    found, count = np.unique(of * features + bucket, return_counts=True)
+    return Looks(votes, found // features, found % features, count)
+
+
+def _each(raw: np.ndarray, offsets: np.ndarray, features: int) -> Iterator[tuple[int, int, Looks]]:
+    for lo, hi in blocks(offsets, STEP):
+        yield lo, hi, look(raw, offsets[lo : hi + 1], features)
 
 
 def votes(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``votes`` added, an array of one vote for each of LABELLERS."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    measured = docs.withColumn("__m", F.struct(*[c.alias(n) for n, c in _measures(text).items()]))
-    flat = measured.select(*docs.columns, *[F.col(f"__m.{n}").alias(n) for n in _measures(text)])
-    return flat.withColumn("votes", F.array(*[of().cast("int") for of in LABELLERS.values()])).select(*docs.columns, "votes")
+    """(votes): one of GOOD, NONE and BAD from each of LABELLERS, for each row."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, offsets = string_buffer(b.column(0))
+            for _, _, seen in _each(raw, offsets, FEATURES):
+                yield pa.record_batch([pa.array(list(seen.votes.astype(np.int32)), pa.list_(pa.int32()))], names=["votes"])
+
+    return docs.select(text_col).mapInArrow(run, "votes array<int>")
 
 
 def posteriors(patterns: list[tuple[list[int], int]], rounds: int = 100) -> tuple[list[float], np.ndarray]:
@@ -90,36 +172,66 @@ def posteriors(patterns: list[tuple[list[int], int]], rounds: int = 100) -> tupl
     return good.tolist(), right / cast
 
 
-def shapes(text: Column) -> Column:
-    """Tokens that stand for words' outlines: runs of small letters, capitals and digits become a, A and 0."""
-    out = F.coalesce(text, F.lit(""))
-    for pattern, to in ((r"\p{Lu}+", "A"), (r"[\p{L}&&[^A]]+", "a"), (r"\p{N}+", "0")):
-        out = F.regexp_replace(out, pattern, to)
-    return F.filter(F.split(out, r"[ \t\n\r]+"), lambda w: w != "")
+@dataclass
+class Scorer:
+    weights: np.ndarray
+    bias: float
 
+    def score(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(offsets) - 1)
+        for lo, hi, seen in _each(raw, offsets, len(self.weights)):
+            total = np.bincount(seen.text, weights=seen.count, minlength=hi - lo)
+            margin = np.bincount(seen.text, weights=seen.count * self.weights[seen.feature], minlength=hi - lo)
+            out[lo:hi] = np.where(total > 0, 1 / (1 + np.exp(-np.clip(self.bias + margin / np.maximum(total, 1), -700, 700))), 0.0)
+        return out
+
+
+def fit(rows: list[tuple[list[int], list[int], float]], features: int = FEATURES, *, rounds: int = 400, step: float = 1.0, decay: float = 1e-4) -> Scorer:
+    """A logistic regression from (features, counts, probability of GOOD) of each training document.
+
+    Adaptive gradient descent over all rows at once; a document's counts are shares of its words.
+    """
+    sizes = [len(f) for f, _, _ in rows]
+    row = np.repeat(np.arange(len(rows)), sizes)
+    at = np.concatenate([np.zeros(0, np.int64), *(np.asarray(f) for f, _, _ in rows)]).astype(np.int64)
+    share = np.concatenate([np.zeros(0), *(np.asarray(c) / max(1, sum(c)) for _, c, _ in rows)])
+    target = np.array([p for _, _, p in rows])
+    weights, bias = np.zeros(features), 0.0
+    seen, seen_bias = np.full(features, 1e-12), 1e-12
+    for _ in range(rounds if rows else 0):
+        guess = 1 / (1 + np.exp(-np.clip(bias + np.bincount(row, weights=share * weights[at], minlength=len(rows)), -700, 700)))
+        off = (guess - target) / len(rows)
+        slope = np.bincount(at, weights=share * off[row], minlength=features) + decay * weights / max(1, len(rows))
+        seen += slope**2
+        seen_bias += off.sum() ** 2
+        weights -= step * slope / np.sqrt(seen)
+        bias -= step * off.sum() / np.sqrt(seen_bias)
+    return Scorer(weights, bias)
 
-def weak_labels(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(votes, p_good), one row for each pattern of votes that occurs in ``docs``: at most three to the
-    number of labellers, however many documents there are."""
-    patterns = votes(docs.select(text_col), text_col).groupBy("votes").count().collect()
-    good, _ = posteriors([(r["votes"], r["count"]) for r in patterns])
-    return docs.sparkSession.createDataFrame([(r["votes"], p) for r, p in zip(patterns, good, strict=True)], "votes array<int>, p_good double")
 
+def train(docs: DataFrame, *, text_col: str = "text", sample: int = SAMPLE, features: int = FEATURES) -> Scorer | None:
+    """The scorer, trained on about ``sample`` documents chosen by a hash of their text.
 
-def train(docs: DataFrame, *, text_col: str = "text", sample: int = SAMPLE, features: int = FEATURES) -> PipelineModel | None:
-    """The scorer: a logistic regression over hashed outlines, on about ``sample`` documents chosen by a
-    hash of their text.  A document counts as good by its posterior probability and as bad by the rest.
-    None if there are no documents."""
-    labels = weak_labels(docs, text_col)
-    n = docs.count()
+    The labellers vote on all documents; the patterns of their votes are three to the number of
+    labellers at most, and those are what is fitted and broadcast.  None if there are no documents.
+    """
+    patterns = votes(docs, text_col).groupBy("votes").count().collect()
+    n = sum(r["count"] for r in patterns)
     if not n:
         return None
-    share = F.pmod(F.xxhash64(text_col), F.lit(1_000_003)) < min(1.0, sample / n) * 1_000_003
-    chosen = votes(docs.select(text_col).filter(share), text_col).join(F.broadcast(labels), "votes")
-    tokens = table(chosen.select(shapes(F.col(text_col)).alias("tokens"), "p_good"), "training")
-    rows = tokens.withColumn("label", F.lit(1.0)).withColumn("weight", F.col("p_good")).union(tokens.withColumn("label", F.lit(0.0)).withColumn("weight", 1 - F.col("p_good")))
-    steps = [HashingTF(inputCol="tokens", outputCol="counts", numFeatures=features), Normalizer(inputCol="counts", outputCol="features", p=1.0), LogisticRegression(weightCol="weight", maxIter=50, regParam=1e-4)]
-    return Pipeline(stages=steps).fit(rows.filter("weight > 0"))
+    good, _ = posteriors([(r["votes"], r["count"]) for r in patterns])
+    p_good = {tuple(r["votes"]): p for r, p in zip(patterns, good, strict=True)}
+    chosen = docs.filter(F.pmod(F.xxhash64(text_col), F.lit(1_000_003)) < min(1.0, sample / n) * 1_000_003).select(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, seen in _each(*string_buffer(b.column(0)), features):
+                cuts = pa.array(np.searchsorted(seen.text, np.arange(hi - lo + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (seen.feature, seen.count)]
+                yield pa.record_batch([*lists, pa.array([p_good.get(tuple(v), 0.5) for v in seen.votes.tolist()], pa.float64())], names=["feature", "count", "p_good"])
+
+    rows = chosen.mapInArrow(run, "feature array<int>, count array<int>, p_good double").limit(2 * sample).collect()
+    return fit([(r["feature"], r["count"], r["p_good"]) for r in rows if r["feature"]], features)
 
 
 def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
@@ -127,12 +239,19 @@ def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     The scorer is trained on the same documents' weak labels; no given label is read.  A text without
     words, null among them, scores 0 and isn't kept.  Rows with equal texts score alike, whatever their
-    ids.  Other columns aren't read.  An empty table gives no rows.
+    ids; equal texts are in the training sample together or not at all, and it has twice ``sample`` rows
+    at most.  Other columns aren't read.  An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    model = train(rows, text_col="text", sample=sample)
-    if model is None:
-        return docs.select(F.col(id_col), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
-    scored = model.transform(rows.select("id", shapes(F.col("text")).alias("tokens")))
-    score = F.when(F.size("tokens") == 0, 0.0).otherwise(vector_to_array("probability")[1])
-    return scored.select("id", score.alias("score")).select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).alias("kept"))
+    small_batches(docs.sparkSession)
+    scorer = train(docs.select(F.col(text_col)), text_col=text_col, sample=sample)
+    if scorer is None:
+        return docs.select(F.col(id_col), F.lit(0.0).alias("score"), F.lit(False).alias("kept")).limit(0)
+    shipped = docs.sparkSession.sparkContext.broadcast(scorer)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array(shipped.value.score(*string_buffer(b.column(1))))], names=["id", "score"])
+
+    scored = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, score double")
+    return scored.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).alias("kept"))
