@@ -130,11 +130,11 @@ def _segments(length: int, parts: int):
                 continue
             doc = ids[text]
             order = np.lexsort((doc, content, key))
-            doc, start, size, key, content = doc[order], start[order], size[order], key[order], content[order]
             other = np.ones(len(doc), dtype=bool)
-            other[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
-            least = doc[np.flatnonzero(other)][np.cumsum(other) - 1]
-            known = doc > least
+            other[1:] = (key[order][1:] != key[order][:-1]) | (content[order][1:] != content[order][:-1])
+            known = np.zeros(len(doc), dtype=bool)
+            known[order] = doc[order] > doc[order[np.flatnonzero(other)]][np.cumsum(other) - 1]
+            # records stay in the documents' order, in which ids and places compress well
             part = (key % np.uint64(parts)).astype(np.int32)
             # what is settled only passes through: its document's hash deals it out
             part[known] = (doc[known] * 0x9E3779B1 >> 7) % parts
