@@ -23,7 +23,7 @@ FEATURES = 1 << 12
 #: Bytes of text looked at together.
 STEP = 512 << 10
 GOOD, NONE, BAD = 1, 0, -1
-LABELLERS = ("symbols", "capitals", "odd_words", "word_length", "sentences", "repeats")
+LABELLERS = ("symbols", "capitals", "odd_words", "word_length", "sentences", "repeats", "variety")
 _SPACE, _SMALL, _CAPITAL, _DIGIT, _STOP, _OTHER = range(6)
 _B = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,11 +104,15 @@ def look(raw: np.ndarray, offsets: np.ndarray, features: int = FEATURES) -> Look
     if len(first):
         last = np.append(first[1:], len(own)) - 1
         ends_stop = kinds[own][last] == _STOP
-        odd_word = np.add.reduceat((kinds[own] == _OTHER).astype(np.int64), first) > 1
+        known = np.add.reduceat(np.isin(kinds[own], (_SMALL, _CAPITAL, _DIGIT)).astype(np.int64), first)
+        odd_word = (np.add.reduceat((kinds[own] == _OTHER).astype(np.int64), first) > 1) | (known == 0)
     else:
         odd_word = ends_stop
     per = np.maximum(words, 1)
     odd, stops, repeats = (np.bincount(of, weights=x, minlength=n) / per for x in (odd_word, ends_stop, again))
+    pairs = np.sort((of.astype(np.uint64) << np.uint64(44)) ^ (whole >> np.uint64(12)))
+    fresh = np.concatenate([[True], pairs[1:] != pairs[:-1]]) if len(pairs) else again
+    variety = np.bincount((pairs[fresh] >> np.uint64(44)).astype(np.int64), minlength=n) / per
     symbols, capitals, length = by[:, _OTHER] / chars, by[:, _CAPITAL] / np.maximum(letters, 1), chars / per
     some = words > 0
     votes = np.stack(
@@ -116,9 +120,10 @@ def look(raw: np.ndarray, offsets: np.ndarray, features: int = FEATURES) -> Look
             _vote(symbols > 0.06, some & (symbols < 0.02)),
             _vote(capitals > 0.4, some & (letters > 0) & (capitals < 0.3)),
             _vote(odd > 0.2, some & (odd < 0.05)),
-            _vote(some & ((length > 14) | (length < 2)), (length >= 2) & (length < 11)),
+            _vote((words > 30) & (length > 14) | some & (length < 2), (length >= 2) & (length < 11)),
             _vote((words > 30) & (stops < 0.01), (stops > 0.03) & ((stops < 0.4) | (words < 12))),
             _vote((words > 5) & (repeats > 0.3), some & (repeats < 0.05)),
+            _vote((words > 30) & (variety < 0.15), some & ((variety > 0.25) | (words < 30))),
         ],
         axis=1,
     )
