@@ -9,18 +9,17 @@ the start's window: equal windows have equal keys, so all that can be equal meet
    there and then, so that a passage in a third of all documents sends one record a batch.
 2. ``_settle``: by key, segments whose content a smaller document has too are covered whole.  Only
    segments that share a key with a different segment of another document are left (contested).
-3. ``_cut`` and ``_sort``: the contested segments' bytes meet by key in shards of SHARD bytes, whose
-   suffix arrays and permuted common prefixes tell which windows are equal and who had them first.
+3. ``_cut`` and ``_sort``: the contested segments' bytes meet by key; those that share no more than the
+   gram with another are put aside (``_met``), and the others make shards of SHARD bytes, whose suffix
+   arrays and permuted common prefixes tell which windows are equal and who had them first.
 4. Covered stretches are gathered by document and cut out of the text.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +49,20 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+def _grams(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the 8 bytes (the last ones run into zeros) and of the GRAM bytes at each place."""
+    n = len(raw)
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = raw
+    g = np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, (n, 8), (1, 1))).view("<u8").ravel()
+    with np.errstate(over="ignore"):
+        g = (g ^ (g >> np.uint64(32))) * _C
+        g = (g ^ (g >> np.uint64(32))) * _C
+        g ^= g >> np.uint64(32)
+        h = (g[: n - GRAM + 1] * _B + g[8 : n - GRAM + 9]) * _C
+    return g, h ^ (h >> np.uint64(32))
+
+
 def segments(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(text, start, size, key, content): the segments of the texts raw[offsets[i]:offsets[i+1]].
 
@@ -63,16 +76,8 @@ def segments(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
         n = top - base
         if n < length:
             continue
-        padded = np.zeros(n + 8, np.uint8)
-        padded[:n] = raw[base:top]
-        eight = np.lib.stride_tricks.as_strided(padded, (n, 8), (1, 1))
-        g = np.ascontiguousarray(eight).view("<u8").ravel()
         with np.errstate(over="ignore"):
-            g = (g ^ (g >> np.uint64(32))) * _C
-            g = (g ^ (g >> np.uint64(32))) * _C
-            g ^= g >> np.uint64(32)
-            h = (g[: n - GRAM + 1] * _B + g[8 : n - GRAM + 9]) * _C
-            h ^= h >> np.uint64(32)
+            g, h = _grams(raw[base:top])
             least, span = h, 1
             while span < window:
                 by = min(span, window - span)
@@ -246,11 +251,52 @@ def had_before(raw: np.ndarray, size: np.ndarray, doc: np.ndarray, length: int)
     return owner[begin], begin - at[owner[begin]], end - at[owner[begin]]
 
 
+def _met(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """False for segments that can have no window in common with another document's of their key.
+
+    A window holds the key's gram and ``side`` bytes on its left or on its right, if not both, so equal
+    windows have one of the two in common.  A segment where the gram occurs twice isn't judged.
+    """
+    side = (length - GRAM) // 2
+    starts = size - length + 1
+    reach = length - GRAM + 2 - starts
+    sure = (reach > 0) & (side >= 8)
+    with np.errstate(over="ignore"):
+        g, h = _grams(raw)
+        some = np.flatnonzero(sure)
+        first = np.cumsum(reach[some]) - reach[some]
+        place = np.repeat(begin[some] + starts[some] - 1 - first, reach[some]) + np.arange(int(reach[some].sum()))
+        value = h[place]
+        least = np.minimum.reduceat(value, first) if len(some) else value
+        at_least = value == np.repeat(least, reach[some])
+        once = np.add.reduceat(at_least.astype(np.int64), first) == 1 if len(some) else np.zeros(0, bool)
+        gram = np.zeros(len(size), dtype=np.int64)
+        gram[some[once]] = place[at_least & np.repeat(once, reach[some])]
+        sure[some[~once]] = False
+        hold = ~sure
+        for left in (True, False):
+            fits = sure & ((gram - begin >= side) if left else (begin + size - gram - GRAM >= side))
+            i = np.flatnonzero(fits)
+            edge = gram[i] - side if left else gram[i] + GRAM
+            seen = key[i].astype(np.uint64)
+            for k in [*range(0, side - 7, 8), side - 8]:
+                seen = (seen ^ g[edge + k]) * _B
+                seen ^= seen >> np.uint64(29)
+            order = np.lexsort((doc[i], seen))
+            new = np.flatnonzero(np.concatenate([[True], seen[order][1:] != seen[order][:-1]])) if len(i) else i
+            counts = np.diff(np.append(new, len(i)))
+            own = doc[i][order]
+            hold[i[order]] |= np.repeat(own[new] != own[new + counts - 1], counts)
+    return hold
+
+
 def _sort(length: int):
     def run(t: pa.Table) -> pa.Table:
         doc, start, size, key = (_flat(t, x).astype(np.int64) for x in ("doc", "start", "size", "key"))
         raw = np.frombuffer(b"".join(t.column("bytes").to_pylist()), dtype=np.uint8)
         begin = np.cumsum(size) - size
+        hold = _met(raw, begin, size, key, doc, length)
+        doc, start, size, key, begin = doc[hold], start[hold], size[hold], key[hold], begin[hold]
         order = np.argsort(key, kind="stable")
         ends = np.cumsum(size[order])
         last_of_key = np.flatnonzero(np.concatenate([key[order][1:] != key[order][:-1], [True]]))
