@@ -336,7 +336,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
     small_batches(spark)
     held = docs.filter(F.col(id_col).isNotNull() & (F.octet_length(text_col) >= length)).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     volume = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // PART_BYTES))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // PART_BYTES))
     places = table(held.mapInArrow(_segments(length, parts), RECORDS).groupBy("part").applyInArrow(_settle, PLACES), "places")
     lists = F.collect_list(F.struct("part", "start", "size", "key"))
     part = F.flatten(F.transform("l", lambda x: F.array_repeat(x["part"], F.size(x["start"]))))
