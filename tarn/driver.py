@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from .operators import cochange
+from .queries import graphs, history, texts, worlds
+
+_PARTS = (history, graphs, texts, worlds)
+QUERIES = {name: query for part in _PARTS for name, query in part.register.queries.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.register.oracles.items()}
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    return spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(1)
+    """Parts that are ordered together: the strongest pairs of all."""
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    return cochange.strongest(cochange.associated(lines, "l_orderkey", "l_partkey", strength=0.0))

@@ -44,7 +44,7 @@ def reach(edges: DataFrame, seeds: DataFrame, *, most_depth: int = 50) -> DataFr
     A round joins the newest nodes with the edges and drops what is known; it ends with the first
     round that finds nothing.
     """
-    out = edges.select(F.col("src").alias("node"), F.col("dst").alias("to")).distinct()
+    out = cut(edges.select(F.col("src").alias("node"), F.col("dst").alias("to")).distinct())
     seen = cut(seeds.select("seed", "node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for depth in range(1, most_depth + 1):

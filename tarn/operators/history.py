@@ -33,7 +33,7 @@ def bus_factor(shared: DataFrame, item: str, author: str, share: float = 0.7) ->
 
 def days_ago(ts: Column, now: Column) -> Column:
     """Whole and part days of 24 hours from ``ts`` to ``now``."""
-    return (F.unix_millis(now) - F.unix_millis(ts)) / DAY_MS
+    return (F.unix_millis(now.cast("timestamp")) - F.unix_millis(ts.cast("timestamp"))) / DAY_MS
 
 
 def activity(rows: DataFrame, item: str, ts: str, now: Column, windows: tuple[int, ...] = (30, 90, 365)) -> DataFrame:
