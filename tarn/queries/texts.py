@@ -43,9 +43,9 @@ def components(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(f"""WITH {NEAR}, p AS (SELECT a, b FROM q ORDER BY a, b LIMIT 1),
-l AS (SELECT DISTINCT trim(regexp_replace(x, '[ \\t]+', ' ', 'g'), ' ') AS line FROM (SELECT unnest(string_split(text, chr(10))) AS x FROM documents, p WHERE doc_id = a)),
-r AS (SELECT DISTINCT trim(regexp_replace(x, '[ \\t]+', ' ', 'g'), ' ') AS line FROM (SELECT unnest(string_split(text, chr(10))) AS x FROM documents, p WHERE doc_id = b))
-SELECT 'left' AS side, line FROM l WHERE line <> '' AND line NOT IN (SELECT line FROM r) UNION ALL SELECT 'right', line FROM r WHERE line <> '' AND line NOT IN (SELECT line FROM l)""")
+ll AS (SELECT DISTINCT trim(regexp_replace(x, '[ \\t]+', ' ', 'g'), ' ') AS line FROM (SELECT unnest(string_split(text, chr(10))) AS x FROM documents, p WHERE doc_id = a)),
+rr AS (SELECT DISTINCT trim(regexp_replace(x, '[ \\t]+', ' ', 'g'), ' ') AS line FROM (SELECT unnest(string_split(text, chr(10))) AS x FROM documents, p WHERE doc_id = b))
+SELECT 'left' AS side, line FROM ll WHERE line <> '' AND line NOT IN (SELECT line FROM rr) UNION ALL SELECT 'right', line FROM rr WHERE line <> '' AND line NOT IN (SELECT line FROM ll)""")
 def line_diff(spark: SparkSession, d: str) -> DataFrame:
     pair = _near(spark, d).orderBy("a", "b").limit(1)
     docs = read(spark, d, "documents")
@@ -159,7 +159,7 @@ def text_search(spark: SparkSession, d: str) -> DataFrame:
 @register()
 def fuzzy(spark: SparkSession, d: str) -> DataFrame:
     """Names that hold the query's letters in order, tightest first; tests hold it against a plain scan."""
-    query = "p1"
+    query = "rdg"
     name = F.lower("p_name")
     spans = F.regexp_extract(name, ".*?".join(query), 0)
     found = read(spark, d, "part").select("p_partkey", "p_name", F.length(spans).alias("span")).filter("span > 0")
