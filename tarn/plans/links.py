@@ -106,7 +106,7 @@ def references(links: DataFrame, files: DataFrame) -> DataFrame:
     """Links (source, target, kind, spec, line, name, count): a row for each name, and how often it is used."""
     clause = F.regexp_replace("names", r"[{}()\n]", " ")
     named = F.filter(F.split(clause, ","), lambda x: F.trim(x) != "")
-    pairs = F.when(F.size(named) > 0, F.transform(named, F.trim)).otherwise(F.array(F.lit("")))
+    pairs = F.when(F.size(named) > 0, F.transform(named, lambda x: F.trim(x))).otherwise(F.array(F.lit("")))
     rows = links.select(F.col("id").alias("source"), "target", "kind", "spec", "line", F.explode(pairs).alias("part"))
     local = F.regexp_extract("part", r"([\w$]+)\s*$", 1)
     rows = rows.withColumn("name", F.regexp_extract("part", r"^(\*|[\w$]+)", 1)).withColumn("local", local)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,13 +17,17 @@ def session(app: str = "tarn", **conf: str) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read from the checkpoint folder from then on.
+    """``df`` written once as Parquet in the shared folder and read from there from then on.
 
     The folder is the session's spark.checkpoint.dir, which a cluster's machines share; only where it
-    is unset, as in tests, a temporary one is taken.
+    is unset, as in tests, a temporary one is taken.  A written table and not checkpoint(), because a
+    checkpoint keeps its plan's partitioning: through rounds of joins that description doubles each time.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tarn-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="spark-tarn-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -20,7 +20,7 @@ IMPORTS = {
         ("require", r"(?:(?:const|let|var)\s+(\{[^}]*\}|[\w$]+)\s*=\s*)?\brequire\s*\(\s*['\"]([^'\"]+)['\"]\s*\)", 2, 1),
     ),
     "python": (
-        ("import", r"(?m)^[ \t]*from[ \t]+(\.*[\w.]*)[ \t]+import[ \t]*\(?([^)\n#]*(?:\n[^)]*)?)", 1, 2),
+        ("import", r"(?m)^[ \t]*from[ \t]+(\.*[\w.]*)[ \t]+import[ \t]*((?:\([^)]*)|[^\n#(]+)", 1, 2),
         ("import", r"(?m)^[ \t]*import[ \t]+([\w.]+)()", 1, 2),
     ),
     "csharp": (("import", r"(?m)^[ \t]*(?:global[ \t]+)?using[ \t]+(?:static[ \t]+)?(?:\w+[ \t]*=[ \t]*)?([\w.]+)()[ \t]*;", 1, 2),),
