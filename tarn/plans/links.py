@@ -110,7 +110,10 @@ def references(links: DataFrame, files: DataFrame) -> DataFrame:
     rows = links.select(F.col("id").alias("source"), "target", "kind", "spec", "line", F.explode(pairs).alias("part"))
     local = F.regexp_extract("part", r"([\w$]+)\s*$", 1)
     rows = rows.withColumn("name", F.regexp_extract("part", r"^(\*|[\w$]+)", 1)).withColumn("local", local)
-    body = F.regexp_replace("code", r"(?m)^\s*(import|export|from)\b[^\n;]*?(from\s*['\"][^'\"]+['\"];?|import\b[^\n]*)", "")
+    # JavaScript drops import statements of one line only; Python all of them, and strings
+    script = F.regexp_replace("code", r"(?m)^\s*(import|export)\b[^\n;]*?from\s*['\"][^'\"]+['\"];?", "")
+    plain = F.regexp_replace(F.regexp_replace("code", COMMENTS["python"], " "), r"(?m)^[ \t]*(?:from[ \t]+\.*[\w.]*[ \t]+import[ \t]*(?:\([^)]*\)?|[^\n(]+)|import[ \t]+[^\n]+)", "")
+    body = F.when(F.col("lang") == "python", plain).otherwise(script)
     used = rows.join(files.select(F.col("id").alias("source"), body.alias("body")), "source")
     pattern = F.concat(F.lit(r"(?<![\w$.])"), F.regexp_replace("local", r"\$", r"\\\\\$"), F.lit(r"(?![\w$])"))
     count = F.when((F.col("local") == "") | (F.col("kind") == "reexport"), 0).otherwise(F.regexp_count("body", pattern))

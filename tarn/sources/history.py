@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import os
 import subprocess
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +56,56 @@ def status(spark: SparkSession, root: str) -> DataFrame:
     code, path = F.substring("line", 1, 2), F.element_at(F.split(F.substring("line", 4, 4096), " -> "), -1)
     named = F.when(code == "??", "untracked").when(code.contains("A"), "added").when(code.contains("D"), "deleted").otherwise("modified")
     return rows.select(path.alias("path"), named.alias("status"))
+
+
+def head(root: str) -> str | None:
+    """The commit that is checked out, as a key for what is kept; None where there is none."""
+    try:
+        return _git(root, "rev-parse", "HEAD").strip()
+    except (subprocess.CalledProcessError, OSError):
+        return None
+
+
+def diff(root: str, path: str) -> str:
+    """What isn't committed of one file."""
+    return _git(root, "diff", "HEAD", "--", path)
+
+
+def blame(root: str, names: DataFrame) -> DataFrame:
+    """(id, line, hash, author, ts, content): who last changed each line of the files ``names`` (id), white space aside.
+
+    Tasks ask git for a file each, so the repository must be readable by all executors; a file that git
+    doesn't know has no rows.
+    """
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name in b["id"]:
+                done = subprocess.run(["git", "-C", root, "blame", "-w", "--line-porcelain", "--", name], capture_output=True, text=True, errors="replace")
+                rows, about = [], {}
+                for x in done.stdout.split("\n") if done.returncode == 0 else []:
+                    if x.startswith("\t"):
+                        rows.append((name, len(rows) + 1, about["hash"], about["author"], int(about["author-time"]), x[1:]))
+                        about = {}
+                    elif not about:
+                        about = {"hash": x.split(" ")[0]}
+                    else:
+                        key, _, value = x.partition(" ")
+                        about[key] = value
+                yield pd.DataFrame(rows, columns=["id", "line", "hash", "author", "t", "content"])
+
+    found = names.select("id").mapInPandas(ask, "id string, line int, hash string, author string, t long, content string")
+    return found.withColumn("t", F.timestamp_seconds("t")).withColumnRenamed("t", "ts")
+
+
+def settings(path: str) -> dict:
+    """languages, dupes, aux and auxOff of a JSON file; empty where it is absent or isn't JSON."""
+    empty = {"languages": {}, "dupes": {}, "aux": [], "auxOff": []}
+    if not os.path.exists(path):
+        return empty
+    with open(path, encoding="utf-8") as f:
+        try:
+            found = json.load(f)
+        except ValueError:
+            return empty
+    return empty | {k: v for k, v in found.items() if k in empty} if isinstance(found, dict) else empty
