@@ -37,7 +37,9 @@ def imports(files: DataFrame) -> DataFrame:
     # the statement's own line: what a match takes along before it doesn't count
     line = F.size(F.split(F.expr("substring(code, 1, locate(whole, code) - 1 + length(regexp_extract(whole, '^[\\\\s;}]*', 0)))"), "\n"))
     lazy = (F.col("lang") == "python") & F.regexp_replace("whole", r"^\n+", "").rlike(r"^[ \t]")
-    return rows.select("id", "lang", F.when(lazy, "dynamic").otherwise(F.col("kind")).alias("kind"), "spec", F.trim("names").alias("names"), line.alias("line"))
+    # Python names several modules in one statement
+    each = F.when(F.col("lang") == "python", F.transform(F.split("spec", ","), lambda x: F.regexp_replace(F.trim(x), r"[ \t]+as[ \t]+\w+$", ""))).otherwise(F.array("spec"))
+    return rows.select("id", "lang", F.when(lazy, "dynamic").otherwise(F.col("kind")).alias("kind"), F.explode(each).alias("spec"), F.trim("names").alias("names"), line.alias("line"))
 
 
 def definitions(files: DataFrame, most: int = 200) -> DataFrame:

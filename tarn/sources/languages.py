@@ -21,7 +21,7 @@ IMPORTS = {
     ),
     "python": (
         ("import", r"(?m)^[ \t]*from[ \t]+(\.*[\w.]*)[ \t]+import[ \t]*((?:\([^)]*)|[^\n#(]+)", 1, 2),
-        ("import", r"(?m)^[ \t]*import[ \t]+([\w.]+)()", 1, 2),
+        ("import", r"(?m)^[ \t]*import[ \t]+([\w.]+(?:[ \t]+as[ \t]+\w+)?(?:[ \t]*,[ \t]*[\w.]+(?:[ \t]+as[ \t]+\w+)?)*)()", 1, 2),
     ),
     "csharp": (("import", r"(?m)^[ \t]*(?:global[ \t]+)?using[ \t]+(?:static[ \t]+)?(?:\w+[ \t]*=[ \t]*)?([\w.]+)()[ \t]*;", 1, 2),),
     "java": (("import", r"(?m)^[ \t]*import[ \t]+(?:static[ \t]+)?([\w.]+(?:\.\*)?)()[ \t]*;", 1, 2),),

@@ -13,7 +13,7 @@ TREE = {
     "src/lib/b.js": "import { a } from '../a.js';\nexport const b = () => a;\nexport function c() { return eval('1'); }\nexport { d } from './d';\n",
     "src/lib/d.js": "export const d = 4;\n",
     "test/a.test.js": "import { a } from '../src/a.js';\na();\n",
-    "py/pkg/__init__.py": "from . import mod\nfrom .mod import (\n    f,\n    h)\nimport os\n\ndef g():\n    return f() + h()\n",
+    "py/pkg/__init__.py": "from . import mod\nfrom .mod import (\n    f,\n    h)\nimport os, sys as s\n\ndef g():\n    return f() + h()\n",
     "py/pkg/mod.py": "def f():\n    return 1\n\ndef h():\n    return 2\n",
     "go/go.mod": "module ex.com/m\n",
     "go/main.go": "package main\nimport (\n  \"ex.com/m/util\"\n)\nfunc main() { util.Do() }\n",
@@ -43,7 +43,7 @@ def test_graph(spark, root):
         ("py/pkg/__init__.py", "py/pkg/mod.py", "import", 2, ("f", "h", "mod")),
         ("go/main.go", "go/util/u.go", "import", 1, ("Do",)),
     }
-    assert {(r.source, r.target) for r in outside.collect()} == {("src/a.js", "pkg:fs"), ("py/pkg/__init__.py", "pkg:os")}
+    assert {(r.source, r.target) for r in outside.collect()} == {("src/a.js", "pkg:fs"), ("py/pkg/__init__.py", "pkg:os"), ("py/pkg/__init__.py", "pkg:sys")}
 
 
 def test_world(spark, root):
