@@ -255,38 +255,36 @@ def _met(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndarray,
     """False for segments that can have no window in common with another document's of their key.
 
     A window holds the key's gram and ``side`` bytes on its left or on its right, if not both, so equal
-    windows have one of the two in common.  A segment where the gram occurs twice isn't judged.
+    windows have one of the two in common, whichever place of the gram they hold.  That is why both
+    sides of every place where a segment has the gram are compared.
     """
     side = (length - GRAM) // 2
-    starts = size - length + 1
-    reach = length - GRAM + 2 - starts
-    sure = (reach > 0) & (side >= 8)
+    if side < 8:
+        return np.ones(len(size), dtype=bool)
+    hold = np.zeros(len(size), dtype=bool)
+    if not len(size):
+        return hold
     with np.errstate(over="ignore"):
         g, h = _grams(raw)
-        some = np.flatnonzero(sure)
-        first = np.cumsum(reach[some]) - reach[some]
-        place = np.repeat(begin[some] + starts[some] - 1 - first, reach[some]) + np.arange(int(reach[some].sum()))
-        value = h[place]
-        least = np.minimum.reduceat(value, first) if len(some) else value
-        at_least = value == np.repeat(least, reach[some])
-        once = np.add.reduceat(at_least.astype(np.int64), first) == 1 if len(some) else np.zeros(0, bool)
-        gram = np.zeros(len(size), dtype=np.int64)
-        gram[some[once]] = place[at_least & np.repeat(once, reach[some])]
-        sure[some[~once]] = False
-        hold = ~sure
+        place = np.flatnonzero((h >> np.uint64(32)).astype(np.uint32).view(np.int32) == np.repeat(key.astype(np.int32), size)[: len(h)])
+        of = np.searchsorted(begin, place, side="right") - 1
+        inside = place + GRAM <= begin[of] + size[of]
+        place, of = place[inside], of[inside]
         for left in (True, False):
-            fits = sure & ((gram - begin >= side) if left else (begin + size - gram - GRAM >= side))
-            i = np.flatnonzero(fits)
-            edge = gram[i] - side if left else gram[i] + GRAM
+            i = np.flatnonzero(place - begin[of] >= side if left else begin[of] + size[of] - place - GRAM >= side)
+            if not len(i):
+                continue
+            edge = place[i] - side if left else place[i] + GRAM
+            i = of[i]
             seen = key[i].astype(np.uint64)
             for k in [*range(0, side - 7, 8), side - 8]:
                 seen = (seen ^ g[edge + k]) * _B
                 seen ^= seen >> np.uint64(29)
             order = np.lexsort((doc[i], seen))
-            new = np.flatnonzero(np.concatenate([[True], seen[order][1:] != seen[order][:-1]])) if len(i) else i
+            new = np.flatnonzero(np.concatenate([[True], seen[order][1:] != seen[order][:-1]]))
             counts = np.diff(np.append(new, len(i)))
             own = doc[i][order]
-            hold[i[order]] |= np.repeat(own[new] != own[new + counts - 1], counts)
+            hold[i[order][np.repeat(own[new] != own[new + counts - 1], counts)]] = True
     return hold
 
 

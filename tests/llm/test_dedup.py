@@ -69,6 +69,25 @@ def test_repeats_match_a_plain_search(spark):
     assert found == plain_repeats(rows)
 
 
+def test_repeats_where_a_phrase_is_twice_in_a_window(spark):
+    """Pairs with a stretch of 50 to 54 bytes in common, which has a phrase of 20 to 24 bytes twice, among other text."""
+    rng = np.random.default_rng(11)
+
+    def other(n):
+        return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+
+    rows = []
+    for i in range(400):
+        phrase, gap = other(20 + i % 5), other(i % 3)
+        twice = phrase + gap + phrase
+        left = int(rng.integers(0, 51 - len(twice))) if len(twice) < 50 else 0
+        shared = other(left) + twice + other(max(0, 50 + i % 5 - left - len(twice)))
+        # phrases of the first and the second document's own before and after the stretch
+        rows += [(2 * i, other(30) + phrase + shared + other(40)), (2 * i + 1, other(40) + shared + (phrase if i % 2 else "") + other(30))]
+    found = {r["doc_id"]: bytes(r["kept"]) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert found == plain_repeats(rows)
+
+
 def test_repeats_over_many_random_documents(spark):
     rng = np.random.default_rng(3)
     base = ["".join(rng.choice(list("ab c"), 300)) for _ in range(8)]
