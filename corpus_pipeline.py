@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import decontaminate, exact_dedup, language, sentencepieces, simhash
+from tarn.llm import decontaminate, exact_dedup, language, sentencepieces, shingles
 from tarn.llm.shared import read, table
 
 PIECES = os.environ.get("PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -26,8 +26,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the smallest doc_id stays."""
-    return simhash.deduplicate(docs)
+    """Of each component of documents whose five-word shingles are 0.8 alike or more the smallest doc_id stays."""
+    return shingles.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

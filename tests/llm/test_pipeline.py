@@ -1,6 +1,7 @@
 """The corpus pipeline, stage by stage."""
 
 import corpus_pipeline
+import numpy as np
 
 from tarn.llm import language, sentencepieces, simhash
 from tarn.llm.shared import read
@@ -33,3 +34,36 @@ def test_documents_without_a_language_go(spark):
     assert kept.filter("doc_id >= 100000").isEmpty()
     assert kept.count() == docs.filter("text is not null").count()
     assert language.UNKNOWN == "und"
+
+
+def test_near_copies_of_five_word_similarity_go(spark):
+    rng = np.random.default_rng(5)
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    alike = lambda x, y: len(x & y) / len(x | y)
+    texts = []
+    for i in range(150):
+        base = [f"w{x}" for x in rng.integers(0, 3000, (120, 300, 1000)[i % 3])]
+        copy = list(base)
+        for at in rng.choice(len(copy), int(rng.integers(1, 3 + len(copy) // 50)), replace=False):
+            copy[at] = f"new{at}"
+        texts += [" ".join(base), " ".join(copy)]
+    # a chain: each is alike to the next, the ends aren't; and a group of many near copies
+    chain = [f"c{x}" for x in range(100)]
+    texts += [" ".join(f"z{x}" if x in range(0, 4 * i) else w for x, w in enumerate(chain)) for i in range(12)]
+    texts += [" ".join(f"n{i}" if x == 40 else f"g{x}" for x in range(80)) for i in range(40)]
+    sets = [grams(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if alike(sets[i], sets[j]) >= 0.8:
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int").repartition(5)
+    kept = {r["doc_id"] for r in corpus_pipeline.near(spark, docs, SF).select("doc_id").collect()}
+    assert kept == {top(i) for i in range(len(texts))}
+    assert 0.6 * 150 < sum(2 * k + 1 not in kept for k in range(150)) < 150
