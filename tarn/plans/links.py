@@ -76,32 +76,62 @@ def joined(*parts: Column) -> Column:
     return F.array_join(done, "/")
 
 
+def _ancestors() -> Column:
+    """The folders above a file, its own first and the root last."""
+    steps = F.split("id", "/")
+    return F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, F.size(steps) - i), "/"))
+
+
+def _dotted(statements: DataFrame, files: DataFrame) -> DataFrame:
+    """(key, names, target) of Python's ``statements``: the modules and submodules below the first root that has any.
+
+    A name that is a submodule links to that; the module is linked for the others, with the whole clause.
+    """
+    spec, here = F.col("spec"), F.element_at(_ancestors(), 1)
+    dots = F.length(F.regexp_extract(spec, r"^\.*", 0))
+    dotted = F.translate(F.regexp_replace(spec, r"^\.+", ""), ".", "/")
+    up = joined(here, F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0))))
+    roots = F.when(dots > 0, F.array(up)).otherwise(F.array_distinct(F.concat(F.array(F.lit(""), F.lit("src")), _ancestors())))
+    parts = F.transform(F.split(F.regexp_replace("names", r"[()]", " "), ","), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    parts = F.filter(F.coalesce(parts, F.array().cast("array<string>")), lambda x: x != "")
+    each = statements.select("key", "id", "spec", "names", F.explode(F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit("")))).alias("part"))
+    each = each.select("key", "names", "part", dotted.alias("dotted"), F.regexp_extract("part", r"^(\w+)", 1).alias("name"), F.posexplode(roots).alias("root", "folder"))
+    base, sub = joined(F.col("folder"), F.col("dotted")), joined(F.col("folder"), F.col("dotted"), F.col("name"))
+    none = F.lit(None).cast("string")
+    named, module = F.col("name") != "", F.col("dotted") != ""
+    found = F.array(F.when(named, F.concat(sub, F.lit(".py"))).otherwise(none), F.when(named, joined(sub, F.lit("__init__.py"))).otherwise(none), F.when(module, F.concat(base, F.lit(".py"))).otherwise(none), joined(base, F.lit("__init__.py")))
+    rows = each.select("key", "names", "part", "root", F.posexplode(found).alias("place", "target")).join(files.select(F.col("id").alias("target")), "target")
+    best = rows.groupBy("key", "names", "part").agg(F.min(F.struct("root", "place", "target")).alias("b"))
+    least = best.groupBy("key").agg(F.min("b.root").alias("root"))
+    kept = best.join(least, "key").filter(F.col("b.root") == F.col("root"))
+    return kept.select("key", F.when(F.col("b.place") < 2, F.col("part")).otherwise(F.col("names")).alias("names"), F.col("b.target").alias("target")).distinct()
+
+
 def _candidates() -> Column:
     here = F.when(F.instr("id", "/") > 0, F.regexp_replace("id", "/[^/]*$", "")).otherwise("")
     spec = F.col("spec")
     base = F.when(spec.startswith("/"), joined(spec)).otherwise(joined(here, spec))
     js = F.array(base, *[F.concat(base, F.lit(e)) for e in _JS], *[F.concat(base, F.lit(f"/index{e}")) for e in _JS], *[F.concat(F.regexp_replace(base, r"\.(m?js|cjs)$", ""), F.lit(e)) for e in _JS])
-    dots = F.length(F.regexp_extract(spec, r"^\.*", 0))
-    up = F.concat(here, F.repeat(F.lit("/.."), F.greatest(dots - 1, F.lit(0))))
-    dotted = F.translate(F.regexp_replace(spec, r"^\.+", ""), ".", "/")
-    first = F.regexp_extract("names", r"^\(?\s*(\w+)", 1)
-    roots = F.when(dots > 0, F.array(up)).otherwise(F.array(F.lit(""), F.lit("src"), here, joined(here, F.lit("..")), joined(here, F.lit("../.."))))
-    python = F.flatten(F.transform(roots, lambda r: F.array(F.concat(joined(r, dotted, first), F.lit(".py")), F.concat(joined(r, dotted), F.lit(".py")), joined(r, dotted, F.lit("__init__.py")))))
-    cpp = F.array(joined(here, spec), joined(spec), joined(F.lit("include"), spec), joined(F.lit("src"), spec), joined(here, F.lit("../include"), spec), joined(here, F.lit("include"), spec))
+    cpp = F.array(joined(here, spec), joined(spec), joined(F.lit("include"), spec), joined(F.lit("src"), spec))
+    cpp = F.concat(cpp, F.flatten(F.transform(_ancestors(), lambda d: F.array(joined(d, spec), joined(d, F.lit("include"), spec)))))
     module = F.regexp_replace("id", r"\.rs$", "")
     path = F.regexp_replace(spec, r"^(crate|self|super)(::)?", "")
     slashed = F.regexp_replace(path, "::", "/")
     crate = F.concat(F.regexp_extract("id", r"^(.*?)src/", 1), F.lit("src"))
     rust = F.when(F.col("kind") == "mod", F.array(F.concat(joined(here, spec), F.lit(".rs")), joined(here, spec, F.lit("mod.rs")), F.concat(joined(module, spec), F.lit(".rs")))).otherwise(F.flatten(F.transform(F.array(slashed, F.regexp_replace(slashed, "/[^/]*$", "")), lambda s: F.array(F.concat(joined(crate, s), F.lit(".rs")), joined(crate, s, F.lit("mod.rs")), F.concat(joined(here, s), F.lit(".rs"))))))
     none = F.array().cast("array<string>")
-    return F.when((F.col("lang") == "javascript") & spec.rlike(r"^[./]"), js).when(F.col("lang") == "python", python).when(F.col("kind") == "include", cpp).when((F.col("lang") == "php") & (F.col("kind") == "require"), F.array(joined(here, spec), joined(spec))).when(F.col("lang") == "rust", rust).otherwise(none)
+    return F.when((F.col("lang") == "javascript") & spec.rlike(r"^[./]"), js).when(F.col("kind") == "include", cpp).when((F.col("lang") == "php") & (F.col("kind") == "require"), F.array(joined(here, spec), joined(spec))).when(F.col("lang") == "rust", rust).otherwise(none)
 
 
 def resolved(statements: DataFrame, files: DataFrame) -> DataFrame:
-    """``statements`` with target: the first candidate path that is a file, in the language's order."""
+    """``statements`` with target: the first candidate path that is a file, in the language's order; in Python one for each module."""
     keyed = statements.withColumn("key", F.xxhash64("id", "kind", "spec", "names", "line"))
-    places = keyed.select("key", F.posexplode(F.array_distinct(_candidates())).alias("place", "target"))
-    return keyed.join(first_match(places, ["key"], "place", files.select(F.col("id").alias("target")), "target"), "key", "left").drop("key")
+    places = keyed.filter("lang <> 'python'").select("key", F.posexplode(F.array_distinct(_candidates())).alias("place", "target"))
+    others = keyed.filter("lang <> 'python'").join(first_match(places, ["key"], "place", files.select(F.col("id").alias("target")), "target"), "key", "left").drop("key")
+    python = keyed.filter("lang = 'python'")
+    hits = _dotted(python, files).withColumnRenamed("names", "own")
+    linked = python.join(hits, "key", "left").withColumn("names", F.coalesce("own", "names"))
+    return others.unionByName(linked.select(others.columns))
 
 
 def references(links: DataFrame, files: DataFrame) -> DataFrame:

@@ -46,6 +46,23 @@ def test_graph(spark, root):
     assert {(r.source, r.target) for r in outside.collect()} == {("src/a.js", "pkg:fs"), ("py/pkg/__init__.py", "pkg:os"), ("py/pkg/__init__.py", "pkg:sys")}
 
 
+def test_imports_from_far_folders_and_of_several_modules(spark, tmp_path):
+    found = {
+        "a/pkg/__init__.py": "",
+        "a/pkg/one.py": "x = 1\n",
+        "a/pkg/two/__init__.py": "y = 2\n",
+        "a/b/c/d/e/deep.py": "from pkg import one, two\n\none.x + two.y\n",
+        "n/include/top.h": "int f();\n",
+        "n/p/q/r/s/low.c": "#include \"top.h\"\n",
+    }
+    for name, text in found.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    _, edges, outside = links.graph(tree.source_tree(spark, str(tmp_path)))
+    assert {(r.source, r.target) for r in edges.collect()} == {("a/b/c/d/e/deep.py", "a/pkg/one.py"), ("a/b/c/d/e/deep.py", "a/pkg/two/__init__.py"), ("n/p/q/r/s/low.c", "n/include/top.h")}
+    assert outside.isEmpty()
+
+
 def test_world(spark, root):
     found = {r["id"]: r for r in world.from_tree(spark, root).files.collect()}
     assert {k for k, r in found.items() if r.in_cycle} == {"src/a.js", "src/lib/b.js"}
