@@ -4,15 +4,17 @@ A string of ``length`` bytes starts at nearly every byte of the corpus, so the c
 whole.  Each start belongs to a segment, whose key is the smallest hash among the 16-byte strings in
 the start's window: equal windows have equal keys, so all that can be equal meets in one shard.
 
-1. ``_segments``: documents are cut into segments; one record (key, content hash, document, place)
+1. ``frequent_keys``: keys with more segments than a part can hold are found in a bounded sample; their
+   windows meet one by one by their bytes (``_frequent``), so that no task gets a whole such key.
+2. ``_segments``: documents are cut into segments; one record (key, content hash, document, place)
    for each.  Where a batch has the same segment in several documents, the later ones are settled
-   there and then, so that a passage in a third of all documents sends one record a batch.
-2. ``_settle``: by key, segments whose content a smaller document has too are covered whole.  Only
+   there and then, byte by byte, so that a passage in a third of all documents sends one record a batch.
+3. ``_settle``: by key, segments whose content a smaller document has too are covered whole.  Only
    segments that share a key with a different segment of another document are left (contested).
-3. ``_cut`` and ``_sort``: the contested segments' bytes meet by key; those that share no more than the
+4. ``_cut`` and ``_sort``: the contested segments' bytes meet by key; those that share no more than the
    gram with another are put aside (``_met``), and the others make shards of SHARD bytes, whose suffix
    arrays and permuted common prefixes tell which windows are equal and who had them first.
-4. Covered stretches are gathered by document and cut out of the text.
+5. Covered stretches are gathered by document and cut out of the text.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ PART_BYTES = 16 << 20
 STEP = 192 << 10
 #: Bytes in one suffix array, about; a key whose segments have more is a shard by itself.
 SHARD = 512 << 10
+#: Bytes of documents in which keys are looked for that would overfill a part, and how often a key is there at least.
+SAMPLE, LEAST = 32 << 20, 16
 _B = np.uint64(0x9E3779B97F4A7C15)
 _C = np.uint64(0xD6E8FEB86659FD93)
 
@@ -122,23 +126,110 @@ def _by(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 RECORDS = "part int, settled boolean, doc array<long>, start array<int>, size array<int>, key array<int>, content array<long>"
-PLACES = "part int, doc long, start array<int>, size array<int>, key array<int>"
-COVERED = "doc long, start array<int>, size array<int>"
+PLACES = "part int, doc long, start int, size int, key int"
+COVERED = "doc long, start int, size int"
+WINDOWS = "window binary, doc long, start int, size int"
+
+
+def _ids(b: pa.RecordBatch) -> np.ndarray:
+    return b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _equal(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes of ``raw`` at each place of ``a`` are those at ``b``; sizes are 8 or more."""
+    same = np.ones(len(a), dtype=bool)
+    if not len(a):
+        return same
+    eight = np.lib.stride_tricks.as_strided(raw, (max(0, len(raw) - 7), 8), (1, 1))
+    live, k = np.arange(len(a)), 0
+    while len(live):
+        at = np.minimum(k, size[live] - 8)
+        x = np.ascontiguousarray(eight[a[live] + at]).view("<u8").ravel()
+        y = np.ascontiguousarray(eight[b[live] + at]).view("<u8").ravel()
+        same[live[x != y]] = False
+        k += 8
+        live = live[(x == y) & (k < size[live])]
+    return same
+
+
+def _known(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray, *hashes: np.ndarray) -> np.ndarray:
+    """True for strings that a smaller document of the same batch has too: found by hash, confirmed byte by byte."""
+    known = np.zeros(len(doc), dtype=bool)
+    if not len(doc):
+        return known
+    order = np.lexsort((doc, *hashes))
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = np.any([h[order][1:] != h[order][:-1] for h in (*hashes, size)], axis=0)
+    first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    later = np.flatnonzero(doc[order] > doc[first])
+    known[order[later]] = _equal(raw, begin[order[later]], begin[first[later]], size[order[later]])
+    return known
+
+
+def frequent_keys(held: DataFrame, length: int, parts: int, volume: int, sample: int) -> np.ndarray:
+    """Keys that would have more segments than a part's share of all, judged from about ``sample`` bytes of whole documents.
+
+    The documents are chosen by a hash of their ids.  At most one key in LEAST of the sample's segments
+    is found; whether a key is found changes how its segments meet, and not what is covered.
+    """
+    chosen = held.filter(F.pmod(F.xxhash64("doc"), F.lit(1_000_003)) < min(1.0, sample / max(1, volume)) * 1_000_003)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, n = np.unique(segments(*string_buffer(b.column(1)), length)[3], return_counts=True)
+            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
+
+    counts = table(chosen.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.filter(F.col("n") >= max(LEAST, total / parts)).select("key").collect()
+    return np.sort(np.array([r["key"] for r in found], dtype=np.int64).view(np.uint64))
+
+
+def _has(keys: np.ndarray, these: np.ndarray) -> np.ndarray:
+    """Which of ``keys`` are among the sorted ``these``."""
+    if not len(these):
+        return np.zeros(len(keys), dtype=bool)
+    return these[np.minimum(np.searchsorted(these, keys), len(these) - 1)] == keys
+
+
+def _windows(length: int, frequent: np.ndarray):
+    """Each window of the segments with a frequent key, by its bytes; without bytes where a smaller document of the batch has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, offsets = string_buffer(b.column(1))
+            text, start, size, key, _ = segments(raw, offsets, length)
+            hot = _has(key, frequent)
+            text, start, per = text[hot], start[hot], size[hot] - length + 1
+            if not len(text):
+                continue
+            nth = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
+            text, start = np.repeat(text, per), np.repeat(start, per) + nth
+            doc, begin = _ids(b)[text], offsets[text] + start
+            whole, sizes = raw.tobytes(), np.full(len(doc), length)
+            strings = [whole[x : x + length] for x in begin.tolist()]
+            hashes = np.fromiter((hash(s) for s in strings), dtype=np.int64, count=len(strings))
+            known = _known(raw, begin, sizes, doc, hashes)
+            yield pa.record_batch(
+                [pa.array(strings, pa.binary(), mask=known), pa.array(doc), pa.array(start, pa.int32()), pa.array(sizes, pa.int32())],
+                names=["window", "doc", "start", "size"],
+            )
+
+    return run
 
 
-def _segments(length: int, parts: int):
+def _segments(length: int, parts: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            text, start, size, key, content = segments(*string_buffer(b.column(1)), length)
+            raw, offsets = string_buffer(b.column(1))
+            text, start, size, key, content = segments(raw, offsets, length)
+            if len(frequent):
+                rest = ~_has(key, frequent)
+                text, start, size, key, content = text[rest], start[rest], size[rest], key[rest], content[rest]
             if not len(text):
                 continue
-            doc = ids[text]
-            order = np.lexsort((doc, content, key))
-            other = np.ones(len(doc), dtype=bool)
-            other[1:] = (key[order][1:] != key[order][:-1]) | (content[order][1:] != content[order][:-1])
-            known = np.zeros(len(doc), dtype=bool)
-            known[order] = doc[order] > doc[order[np.flatnonzero(other)]][np.cumsum(other) - 1]
+            doc = _ids(b)[text]
+            known = _known(raw, offsets[text] + start, size, doc, content, key)
             # records stay in the documents' order, in which ids and places compress well
             part = (key % np.uint64(parts)).astype(np.int32)
             # what is settled only passes through: its document's hash deals it out
@@ -166,8 +257,9 @@ def _flat(t: pa.Table, name: str) -> np.ndarray:
 
 
 def _place_rows(part: int, doc: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray) -> pa.Table:
-    order, docs, cuts = _by(doc)
-    columns = [pa.array(np.full(len(docs), part), pa.int32()), pa.array(docs, pa.int64()), *(_lists(x[order], cuts, pa.int32()) for x in (start, size, key))]
+    """A row for each place, in the order of documents."""
+    order = np.argsort(doc, kind="stable")
+    columns = [pa.array(np.full(len(doc), part), pa.int32()), pa.array(doc[order], pa.int64()), *(pa.array(x[order], pa.int32()) for x in (start, size, key))]
     return pa.table(columns, names=["part", "doc", "start", "size", "key"])
 
 
@@ -178,12 +270,12 @@ def _settle(t: pa.Table) -> pa.Table:
     known = [_flat(here, x).astype(np.int64) for x in ("doc", "start", "size", "key")]
     here = t.filter(pa.compute.invert(t.column("settled")))
     doc, start, size, key, content = (_flat(here, x).astype(np.int64) for x in ("doc", "start", "size", "key", "content"))
-    order = np.lexsort((doc, content, key))
+    order = np.lexsort((doc, size, content, key))
     doc, start, size, key, content = doc[order], start[order], size[order], key[order], content[order]
     covered, contested = np.zeros(len(doc), dtype=bool), np.zeros(len(doc), dtype=bool)
     if len(doc):
         new_key = np.concatenate([[True], key[1:] != key[:-1]])
-        new = new_key | np.concatenate([[True], content[1:] != content[:-1]])
+        new = new_key | np.concatenate([[True], (content[1:] != content[:-1]) | (size[1:] != size[:-1])])
         first = np.flatnonzero(new)
         covered = doc > doc[first][np.cumsum(new) - 1]
         # of each content the documents that have it first; more than one document within a key is a contest
@@ -226,20 +318,22 @@ def had_before(raw: np.ndarray, size: np.ndarray, doc: np.ndarray, length: int)
     at = np.cumsum(size + 1) - size - 1
     of = np.repeat(np.arange(len(size)), size)
     place = np.arange(len(raw)) + of
-    text = np.ones(len(raw) + len(size) + 1, dtype=np.int32)
+    text = np.ones(len(raw) + len(size) + 1 + length, dtype=np.int32)
     text[place] = raw.astype(np.int32) + 2
-    text[-1] = 0
-    spaced = np.zeros(len(text) + 8, dtype=np.uint8)
-    spaced[place] = raw
-    whole = np.zeros(len(text), dtype=bool)
+    end = len(text) - length
+    text[end - 1 :] = 0
+    whole = np.zeros(end, dtype=bool)
     whole[place] = place - at[of] <= size[of] - length
-    owner = np.zeros(len(text), dtype=np.int64)
+    owner = np.zeros(end, dtype=np.int64)
     owner[place] = of
-    sa = suffix_array(text, 258)
-    sa = sa[whole[sa]]
+    sa = suffix_array(text[:end], 258)
+    # windows are equal as long as no entry between them in the array shares less than their length
+    run = np.concatenate([[0], np.cumsum(common_prefixes(text, sa, length) < length)])
+    held = whole[sa]
+    sa, run = sa[held], run[held]
     if not len(sa):
         return (np.zeros(0, np.int64),) * 3
-    first = np.flatnonzero(np.concatenate([[True], ~common_prefixes(spaced, sa, length)]))
+    first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
     docs = doc[owner[sa]]
     least = np.repeat(np.minimum.reduceat(docs, first), np.diff(np.append(first, len(sa))))
     late = np.sort(sa[least < docs])
@@ -309,8 +403,7 @@ def _sort(length: int):
             out.append((doc[own][segment], start[own][segment] + low, high - low + length - 1))
             lo = hi
         doc, start, size = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-        order, docs, cuts = _by(doc)
-        return pa.table([pa.array(docs, pa.int64()), _lists(start[order], cuts, pa.int32()), _lists(size[order], cuts, pa.int32())], names=["doc", "start", "size"])
+        return pa.table([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(size, pa.int32())], names=["doc", "start", "size"])
 
     return run
 
@@ -326,6 +419,20 @@ def _union(starts: np.ndarray, sizes: np.ndarray, top: int) -> list[tuple[int, i
     return [(a, b) for a, b in out]
 
 
+def _frequent(held: DataFrame, length: int, frequent: np.ndarray) -> DataFrame:
+    """(doc, start, size): covered windows of the segments with a frequent key.
+
+    Such a key's windows meet one by one by their bytes, each batch having sent only the first document
+    of its own; a window that very many batches have is a hot key of a plain aggregation with partial
+    minima, and of a join that Spark splits.
+    """
+    windows = table(held.mapInArrow(_windows(length, frequent), WINDOWS), "windows")
+    open_ = windows.filter("window is not null")
+    least = open_.groupBy("window").agg(F.min("doc").alias("least"))
+    late = open_.join(least, "window").filter("doc > least")
+    return windows.filter("window is null").select("doc", "start", "size").union(late.select("doc", "start", "size"))
+
+
 def repeated_spans(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, start array, size array), one row for each document with bytes to remove; stretches may overlap."""
     if length < GRAM + 8:
@@ -335,15 +442,16 @@ def repeated_spans(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
     held = docs.filter(F.col(id_col).isNotNull() & (F.octet_length(text_col) >= length)).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     volume = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // PART_BYTES))
-    places = table(held.mapInArrow(_segments(length, parts), RECORDS).groupBy("part").applyInArrow(_settle, PLACES), "places")
-    lists = F.collect_list(F.struct("part", "start", "size", "key"))
-    part = F.flatten(F.transform("l", lambda x: F.array_repeat(x["part"], F.size(x["start"]))))
-    contested = places.filter("part >= 0").groupBy("doc").agg(lists.alias("l")).select("doc", part.alias("part"), *(F.flatten(f"l.{x}").alias(x) for x in ("start", "size", "key")))
+    frequent = frequent_keys(held, length, parts, volume, SAMPLE)
+    places = table(held.mapInArrow(_segments(length, parts, frequent), RECORDS).groupBy("part").applyInArrow(_settle, PLACES), "places")
+    lists = places.filter("part >= 0").groupBy("doc").agg(F.collect_list(F.struct("part", "start", "size", "key")).alias("l"))
+    contested = lists.select("doc", *(F.col(f"l.{x}").alias(x) for x in ("part", "start", "size", "key")))
     cut = held.join(contested.hint("shuffle_hash"), "doc").select("doc", "text", "part", "start", "size", "key").mapInArrow(_cut, CUT)
     late = cut.groupBy("part").applyInArrow(_sort(length), COVERED)
-    covered = table(places.filter("part < 0").select("doc", "start", "size").union(late), "covered")
+    settled = places.filter("part < 0").select("doc", "start", "size")
+    covered = table(settled.union(late).union(_frequent(held, length, frequent)) if len(frequent) else settled.union(late), "covered")
     gathered = covered.groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("l"))
-    return gathered.select("doc", F.flatten("l.start").alias("start"), F.flatten("l.size").alias("size"))
+    return gathered.select("doc", F.col("l.start").alias("start"), F.col("l.size").alias("size"))
 
 
 def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,16 +1,19 @@
 """Suffix arrays by induced sorting, and permuted common prefixes.
 
 ``suffix_array`` is used on shards of some hundred KB inside Spark tasks.  At the first level, whose
-alphabet is small, a bucket is induced at once with NumPy; deeper levels are at most a half, then a
-quarter, of the text and have large alphabets with tiny buckets, so they go suffix by suffix.
+alphabet is small, a bucket is induced at once with NumPy, dealt out by a radix sort of 16-bit symbols;
+deeper levels are at most a half, then a quarter, of the text and have large alphabets with tiny
+buckets, so they go suffix by suffix.  Both are linear in the text.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Alphabets up to this size are induced by whole buckets.
+#: Alphabets up to this size are induced by whole buckets; symbols fit 16 bits, which NumPy's stable sort takes by radix.
 SMALL = 512
+#: Positions of the text that one chain of common prefixes goes through.
+CHAIN = 64
 
 
 def smaller_than_next(text: np.ndarray) -> np.ndarray:
@@ -33,7 +36,7 @@ def leftmost_smaller(small: np.ndarray) -> np.ndarray:
 
 def _spread(taken: np.ndarray, keys: np.ndarray, edge: np.ndarray, step: int, sa: np.ndarray) -> None:
     """Puts ``taken`` into its buckets in order, from each bucket's edge on."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys.astype(np.uint16), kind="stable")
     keys, taken = keys[order], taken[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     counts = np.diff(np.append(first, len(keys)))
@@ -158,19 +161,34 @@ def suffix_array(text: np.ndarray, size: int | None = None) -> np.ndarray:
 
 
 def common_prefixes(raw: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
-    """For each entry of ``sa`` but the first, whether it shares ``cap`` bytes of ``raw`` with the one before.
+    """For each entry of ``sa`` but the first, how many bytes of ``raw`` it shares with the one before, at most ``cap``.
 
-    Computed in text order (permuted): entry i is compared with its predecessor in the array, eight
-    bytes at a time, and drops out at the first difference.  ``cap`` bytes follow each entry.
+    The permuted array: it is filled in text order, where an entry shares at least one byte less than
+    the one a place before it, so each place goes on from what the last one found.  The text is cut into
+    chains of CHAIN places, and all chains take a step at a time together; a chain's bytes are compared
+    CHAIN + ``cap`` times at most.  ``cap`` bytes follow each entry in ``raw``.
     """
-    order = np.argsort(sa[1:], kind="stable")
-    here, before = sa[1:][order], sa[:-1][order]
-    eight = np.lib.stride_tricks.as_strided(raw, (max(0, len(raw) - 7), 8), (1, 1))
-    live = np.arange(len(here))
-    for k in [*range(0, cap - 7, 8), *([cap - 8] if cap % 8 else [])]:
-        x = np.ascontiguousarray(eight[here[live] + k]).view("<u8").ravel()
-        y = np.ascontiguousarray(eight[before[live] + k]).view("<u8").ravel()
-        live = live[x == y]
-    shared = np.zeros(len(here), dtype=bool)
-    shared[order[live]] = True
-    return shared
+    if len(sa) < 2:
+        return np.zeros(0, dtype=np.int64)
+    n = int(sa.max()) + 1
+    before = np.full(-(-n // CHAIN) * CHAIN, -1, dtype=np.int64)
+    before[sa[1:]] = sa[:-1]
+    permuted = np.zeros(len(before), dtype=np.int64)
+    chains, steps = np.arange(0, len(before), CHAIN), before.reshape(-1, CHAIN)
+    shared = np.zeros(len(chains), dtype=np.int64)
+    last = np.full(len(chains), -1, dtype=np.int64)
+    for step in range(CHAIN):
+        other = steps[:, step]
+        # what a place carries on holds if the place before it had an entry before it as well
+        shared = np.where((other >= 0) & (last >= 0), np.maximum(shared - 1, 0), 0)
+        live = np.flatnonzero((other >= 0) & (shared < cap))
+        here, there = chains[live] + step, other[live]
+        while len(live):
+            equal = raw[here + shared[live]] == raw[there + shared[live]]
+            live, here, there = live[equal], here[equal], there[equal]
+            shared[live] += 1
+            more = shared[live] < cap
+            live, here, there = live[more], here[more], there[more]
+        permuted[chains + step] = shared
+        last = other
+    return permuted[sa[1:]]

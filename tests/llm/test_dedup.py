@@ -192,3 +192,40 @@ def test_every_link_within_the_distance_is_found(spark):
     found = {(r["a"], r["b"]) for r in simhash._links(spark.createDataFrame([(p,) for p in prints], "fp long"), 3).collect()}
     mask = (1 << 64) - 1
     assert found == {(a, b) for a in prints for b in prints if a < b and ((a ^ b) & mask).bit_count() <= 3}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 3), max_size=200), st.integers(1, 60), st.integers(1, 9))
+def test_common_prefixes(symbols, cap, chain):
+    text = np.array([*symbols, 0], dtype=np.int32)
+    sa = suffixes.suffix_array(text)
+    before, suffixes.CHAIN = suffixes.CHAIN, chain
+    try:
+        found = suffixes.common_prefixes(np.concatenate([text, np.zeros(cap, np.int32)]), sa, cap)
+    finally:
+        suffixes.CHAIN = before
+    share = lambda a, b: next(k for k in range(cap + 1) if k == cap or text[a + k] != text[b + k])
+    assert found.tolist() == [share(a, b) for a, b in zip(sa[1:].tolist(), sa[:-1].tolist(), strict=True)]
+
+
+def test_repeats_with_frequent_keys(spark, monkeypatch):
+    """One passage in a third of all documents and more, each time among other text, and parts so small that its keys overfill them."""
+    monkeypatch.setattr(repeats, "PART_BYTES", 600)
+    monkeypatch.setattr(repeats, "LEAST", 4)
+    rng = np.random.default_rng(8)
+
+    def other(n):
+        return "".join(rng.choice(list("abcdefghijklmnop "), n))
+
+    menu = "home | news | sport | weather | about us | contact | terms of use | imprint"
+    rows = [(i, other(60) + (menu[i % 7 :] if i % 3 else menu[: 60 + i % 9] * 2) + other(40)) for i in range(150)]
+    rows += [(None, menu), (3, menu), (3, menu), (200, None), (201, "")]
+    held = spark.createDataFrame([r for r in rows if r[0] is not None and r[1]], "doc long, text string")
+    volume = sum(len(t or "") for _, t in rows)
+    assert len(repeats.frequent_keys(held, 50, volume // 600, volume, 1 << 20)) > 3
+    found = {}
+    for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
+        found.setdefault(r["doc_id"], []).append(bytes(r["kept"]))
+    expected = plain_repeats(rows)
+    assert {i: kept for i, kept in found.items() if i != 3} == {i: [kept] for i, kept in expected.items() if i != 3}
+    assert len(found[3]) == 3
