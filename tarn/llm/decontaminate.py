@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .bytewords import ALNUM, Words, blocks, scan_words, string_buffer
-from .shared import small_batches
+from .shared import digest, small_batches, table, without_rows
 
 #: Words that a shift table looks at together.
 BLOCK = 2
@@ -58,14 +61,16 @@ class Tables:
     """Wu-Manber tables for the test strings of one length in words.
 
     shift: by block hash, how far the search may go on when that block ends the window (0: a test
-    string ends so); bucket: the sorted suffix hashes of all test strings, each with its string's
-    number; strings: their bytes, words space-joined; items: the item each is from.
+    string ends so); buckets: of each test string, sorted, the halves of two hashes, its suffix block's
+    above and the whole string's below, so that a bucket of one frequent ending isn't gone through
+    string by string; numbers: each one's string; strings: their bytes, words space-joined; items: the
+    items each is from.
     """
 
     words: int
     block: int
     shift: np.ndarray
-    suffixes: np.ndarray
+    buckets: np.ndarray
     numbers: np.ndarray
     strings: list[bytes]
     items: list[np.ndarray]
@@ -79,9 +84,13 @@ class Tables:
         for end in range(block, words + 1):
             key = _rows_together(rows[:, end - block : end]) & np.uint64(size - 1)
             np.minimum.at(shift, key.astype(np.int64), words - end)
-        suffix = _rows_together(rows[:, words - block :])
-        order = np.argsort(suffix, kind="stable")
-        return Tables(words, block, shift, suffix[order], order, strings, items)
+        found = _bucket(_rows_together(rows[:, words - block :]), _rows_together(rows))
+        order = np.argsort(found, kind="stable")
+        return Tables(words, block, shift, found[order], order, strings, items)
+
+
+def _bucket(suffix: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return (suffix >> np.uint64(32) << np.uint64(32)) | whole >> np.uint64(32)
 
 
 def _rows_together(rows: np.ndarray) -> np.ndarray:
@@ -133,8 +142,9 @@ def search(w: Words, tables: Tables, hashes: np.ndarray) -> Iterator[tuple[int,
         skip = tables.shift[(ends & mask).astype(np.int64)].astype(np.int64)
         zero = np.flatnonzero(skip == 0)
         if len(zero):
-            low = np.searchsorted(tables.suffixes, ends[zero], side="left")
-            high = np.searchsorted(tables.suffixes, ends[zero], side="right")
+            here = _bucket(ends[zero], _rows_together(hashes[(at[zero] - n + 1)[:, None] + np.arange(n)]))
+            low = np.searchsorted(tables.buckets, here, side="left")
+            high = np.searchsorted(tables.buckets, here, side="right")
             some = low < high
             hits += zip((at[zero[some]] - n + 1).tolist(), low[some].tolist(), high[some].tolist(), strict=True)
         at = at + np.maximum(skip, 1)
@@ -175,10 +185,10 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _search_part(docs: DataFrame, id_col: str, text_col: str, item_type: str, tables: list[Tables]) -> DataFrame:
+def _search_part(docs: DataFrame, item_kind: pa.DataType, item_type: str, tables: list[Tables]) -> tuple[DataFrame, Broadcast]:
+    """What ``tables`` find in ``docs`` (id, text, mark); mark is handed on."""
     shipped = docs.sparkSession.sparkContext.broadcast(tables)
-    id_type = docs.schema[id_col].dataType.simpleString()
-    item_kind = {"bigint": pa.int64(), "int": pa.int32()}.get(item_type, pa.string())
+    id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -186,39 +196,64 @@ def _search_part(docs: DataFrame, id_col: str, text_col: str, item_type: str, ta
             n = pa.array([x[0] for x in found], pa.int64())
             spans = pa.array([[{"begin": s, "end": e} for s, e in x[1]] for x in found], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
             items = pa.array([x[2] for x in found], pa.list_(item_kind))
-            yield pa.record_batch([b.column(0), n, spans, items], names=["id", "n_words", "spans", "items"])
+            yield pa.record_batch([b.column(0), b.column(2), n, spans, items], names=["id", "mark", "n_words", "spans", "items"])
 
-    schema = f"id {id_type}, n_words long, spans array<struct<begin: long, end: long>>, items array<{item_type}>"
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    schema = f"id {id_type}, mark string, n_words long, spans array<struct<begin: long, end: long>>, items array<{item_type}>"
+    return docs.mapInArrow(run, schema), shipped
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """Where windows of ``window`` consecutive benchmark words occur in each document.
 
-    Returns id_col, n_words, spans (merged runs of hit words, from 0), items (found, sorted).  Words
-    are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased.  An item with fewer
-    words than a window is one string; one without words finds nothing, and neither does a null id.
-    A null text has no words.
+    Returns id_col, n_words, spans (merged runs of hit words, from 0), items (found, sorted), a row for
+    each row of ``docs``.  Words are runs of ASCII letters, digits and non-ASCII characters, A-Z
+    lower-cased.  An item with fewer words than a window is one string; one without words finds
+    nothing, and neither does a null item_col.  A null text has no words.  Rows that repeat an id, null
+    ids among them, are each searched by their own text; items that repeat an id are one item.  Other
+    columns aren't read.  An empty ``docs`` gives no rows, an empty benchmark no spans.
 
     The benchmark's size is measured first: up to ``part_bytes`` its tables are broadcast and one scan
-    of ``docs`` without a shuffle does it all; beyond that it is dealt by item into parts of about that
-    size, searched one after another, and each document's findings are joined up by id (which then has
-    to be unique).
+    of ``docs`` without a shuffle does it all.  A larger one is dealt by item into parts of about that
+    size.  The driver holds one part's tables at a time, whose findings are written before the next
+    part's are made; at the end rows of equal id and text, whose findings are equal, are put together.
+    """
+    found = _found(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), benchmark, window, item_col, item_text_col, part_bytes, marked=False)
+    return found.select(F.col("id").alias(id_col), "n_words", "spans", "items")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+    """The rows of ``docs``, columns as they are, whose text has no window of the benchmark.
+
+    Rows are judged by their own text, whatever their ids: of rows that repeat an id, null ids among
+    them, those with a clean text stay.  A null or empty text is clean.  An empty table stays empty.
     """
-    small_batches(docs.sparkSession)
-    item_type = benchmark.schema[item_col].dataType.simpleString()
+    found = _found(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), benchmark, window, item_col, item_text_col, part_bytes, marked=True)
+    hit = table(found.filter(F.size("spans") > 0).select("id", "mark").distinct(), "contaminated")
+    return without_rows(docs, hit, id_col, text_col)
+
+
+def _found(rows: DataFrame, benchmark: DataFrame, window: int, item_col: str, item_text_col: str, part_bytes: int, marked: bool) -> DataFrame:
+    """(id, mark, n_words, spans, items) for each of ``rows`` (id, text); mark is the text's digest, if that is asked for."""
+    small_batches(rows.sparkSession)
+    item_type = benchmark.schema[item_col].dataType
     items = benchmark.filter(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text_col).alias("words"))
     size = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     parts = max(1, -(-size // part_bytes))
-    out = None
-    for part in range(parts):
-        rows = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
-        tables = build_tables([(r["item"], r["words"]) for r in rows.toLocalIterator()], window)
-        found = _search_part(docs, id_col, text_col, item_type, tables)
-        out = found if out is None else out.unionByName(found)
+    texts = rows.select("id", "text", (digest(F.col("text")) if marked or parts > 1 else F.lit(None).cast("string")).alias("mark"))
+    kind, name = to_arrow_type(item_type), item_type.simpleString()
     if parts == 1:
-        return out
-    whole = out.groupBy(id_col).agg(F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("all"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        return _search_part(texts, kind, name, build_tables([(r["item"], r["words"]) for r in items.toLocalIterator()], window))[0]
+    found = []
+    for part in range(parts):
+        of = items.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
+        hits, shipped = _search_part(texts, kind, name, build_tables([(r["item"], r["words"]) for r in of.toLocalIterator()], window))
+        same = hits.groupBy("id", "mark").agg(F.count("*").alias("rows"), F.first("n_words").alias("n_words"), F.first("spans").alias("spans"), F.first("items").alias("items"))
+        found.append(table(same if part == 0 else same.filter(F.size("spans") > 0), "found"))
+        shipped.destroy()
+    whole = reduce(DataFrame.union, found).groupBy("id", "mark").agg(
+        F.max("rows").alias("rows"), F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("all"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    )
     start = F.expr("cast(array() as array<struct<begin: bigint, end: bigint>>)")
     joined = F.aggregate("all", start, lambda got, x: F.when((F.size(got) > 0) & (x["begin"] <= F.element_at(got, -1)["end"]), F.concat(F.slice(got, 1, F.size(got) - 1), F.array(F.struct(F.element_at(got, -1)["begin"].alias("begin"), F.greatest(x["end"], F.element_at(got, -1)["end"]).alias("end"))))).otherwise(F.concat(got, F.array(x))))
-    return whole.select(id_col, "n_words", joined.alias("spans"), "items")
+    each = whole.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    return each.select("id", "mark", "n_words", joined.alias("spans"), "items")

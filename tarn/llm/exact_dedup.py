@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import digest, table, without_rows
 
 #: Characters of the normalised text that the second level hashes.
 PREFIX = 64
@@ -17,25 +17,36 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), _SPACES, " ")
 
 
-def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs`` whose normalised text occurs twice or more: id_col, text_sha256, keep_id, group_size.
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, sha, mark): rows of ``docs`` whose normalised text's length and prefix another row has too.
 
     Level 1 keeps rows whose length is shared, level 2 those whose length and prefix hash are shared;
-    only survivors' texts are read again and hashed whole (SHA-256).  The surviving keys are written
-    as tables, so each join has a bare shuffle on both sides and a hot key's rows, which the levels
-    count with partial sums, are split by Spark's skew join.
+    only survivors' texts are hashed whole (SHA-256).  The surviving keys are written as tables, so each
+    join has a bare shuffle on both sides and a hot key's rows, which the levels count with partial
+    sums, are split by Spark's skew join.
     """
     text = normalised(F.col(text_col))
-    key = docs.select(F.col(id_col).alias("id"), F.length(text).alias("len"), F.xxhash64(F.substring(text, 1, PREFIX)).alias("pre"))
-    first = table(key, "lengths")
-    by_len = table(first.groupBy("len").agg(F.count("*").alias("n")).filter("n > 1").select("len"), "shared_lengths")
-    left = first.join(by_len, "len", "left_semi")
-    by_pre = table(left.groupBy("len", "pre").agg(F.count("*").alias("n")).filter("n > 1").select("len", "pre"), "shared_prefixes")
+    key = docs.select(F.length(text).alias("len"), F.xxhash64(F.substring(text, 1, PREFIX)).alias("pre"))
+    first = table(key.groupBy("len", "pre").agg(F.count("*").alias("n")), "lengths")
+    by_len = first.groupBy("len").agg(F.sum("n").alias("all")).filter("all > 1").select("len")
+    by_pre = table(first.join(by_len, "len", "left_semi").filter("n > 1").select("len", "pre"), "shared_prefixes")
     # the third level reads a text only if its length and prefix are shared; Spark plans it as a join on what the row itself has
-    whole = docs.select(F.col(id_col).alias("id"), F.length(text).alias("len"), F.xxhash64(F.substring(text, 1, PREFIX)).alias("pre"), F.sha2(text, 256).alias("sha"))
-    hashed = table(whole.join(by_pre, ["len", "pre"], "left_semi").select("id", "len", "sha"), "hashed")
-    groups = table(hashed.groupBy("sha").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1"), "groups")
-    return hashed.join(groups, "sha").select(F.col("id").alias(id_col), F.col("sha").alias("text_sha256"), "keep_id", "group_size")
+    own = docs.select(F.col(id_col).alias("id"), F.length(text).alias("len"), F.xxhash64(F.substring(text, 1, PREFIX)).alias("pre"), F.col(text_col).alias("text"))
+    return table(own.join(by_pre, ["len", "pre"], "left_semi").select("id", F.sha2(normalised(F.col("text")), 256).alias("sha"), digest(F.col("text")).alias("mark")), "hashed")
+
+
+def _groups(hashed: DataFrame) -> DataFrame:
+    """(text_sha256, keep_id, group_size) of texts that occur twice or more."""
+    grouped = hashed.groupBy(F.col("sha").alias("text_sha256")).agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
+    return table(grouped.filter("group_size > 1"), "groups")
+
+
+def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """text_sha256, keep_id and group_size of each normalised text that occurs twice or more in ``docs``.
+
+    keep_id is the smallest id; null where all ids of the group are null.
+    """
+    return _groups(_hashed(docs, id_col, text_col))
 
 
 def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -46,7 +57,7 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     the smallest while another is there, and in a group of null ids only, keep_id is null and all
     stay.  Columns but these two aren't read.  An empty table gives no rows.
     """
-    groups = table(exact_groups(docs, id_col=id_col, text_col=text_col).select("text_sha256", "keep_id", "group_size").distinct(), "kept")
+    groups = exact_groups(docs, id_col=id_col, text_col=text_col)
     rows = docs.select(F.col(id_col), F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256"))
     joined = rows.join(groups, "text_sha256", "left")
     grouped = F.col("group_size").isNotNull()
@@ -55,7 +66,12 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, columns as they are, without those that ``report`` drops."""
-    found = exact_groups(docs, id_col=id_col, text_col=text_col)
-    gone = table(found.filter(F.col(id_col) != F.col("keep_id")).select(F.col(id_col).alias("__gone")).distinct(), "dropped")
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of ``docs``, columns as they are, without those that ``report`` drops.
+
+    Rows are dropped by id and text together: an id that repeats may belong to a text that goes and to
+    one that stays.  Of rows with null ids those go whose text a row with an id has too.
+    """
+    hashed = _hashed(docs, id_col, text_col)
+    met = hashed.join(_groups(hashed), hashed["sha"] == F.col("text_sha256"))
+    gone = met.filter(F.col("keep_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("keep_id")))
+    return without_rows(docs, table(gone.select("id", "mark").distinct(), "dropped"), id_col, text_col)

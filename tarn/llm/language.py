@@ -108,22 +108,25 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return Profiles.of([(r["lang"], r["gram"], r["rank"]) for r in top.select("lang", "gram", "rank").collect()])
 
 
-def identify(docs: DataFrame, profiles: Profiles, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (0 to 1) added, from the whole text alone.
+def identify(docs: DataFrame, profiles: Profiles, *, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """``docs`` with pred_col and score_col (0 to 1) added, from the whole text alone.
 
     A null text, one without letters, or no learned language gives ``und`` and 0.  One pass without a
-    shuffle; columns of ``docs`` stay as they are, and may not be called lang_pred or score.
+    shuffle; rows that repeat are judged alike, and an empty table gives no rows.  Columns of ``docs``
+    stay as they are; one that has the name of a column to add is an error, so that none is lost.
     """
+    if taken := {pred_col, score_col} & set(docs.columns):
+        raise ValueError(f"columns {sorted(taken)} are there already: name others")
     small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(profiles)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang string, score double")
     def predict(texts):
         import pandas as pd
 
-        return pd.DataFrame([shipped.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame([shipped.value.predict(t) for t in texts], columns=["lang", "score"])
 
-    return docs.withColumn("__found", predict(text_col)).withColumn("lang_pred", F.col("__found.lang_pred")).withColumn("score", F.col("__found.score")).drop("__found")
+    return docs.withColumn("__found", predict(text_col)).select("*", F.col("__found.lang").alias(pred_col), F.col("__found.score").alias(score_col)).drop("__found")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -1,4 +1,9 @@
-"""Near-duplicate documents by the exact Jaccard similarity of their word shingles."""
+"""Near-duplicate documents by the exact Jaccard similarity of their word shingles.
+
+Candidates come from two sides: SimHash fingerprints of the shingles, linked by ``simhash.links``, and,
+because a similarity of 0.8 leaves some ten of 64 bits different, min-wise keys.  Both only propose; a
+pair is linked by its whole sets.
+"""
 
 from __future__ import annotations
 
@@ -7,17 +12,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import NOT_SPACE, blocks, scan_words, string_buffer
 from .components import components
-from .shared import small_batches, table
+from .shared import digest, small_batches, table, without_rows
+from .simhash import links, majority
 
 #: Keys of a document, each made of ROWS minima: a pair of similarity 0.8 has no key in common in 3 of a million cases.
 BANDS, ROWS = 24, 4
 #: A pair is linked from OVER / UNDER on.
 OVER, UNDER = 4, 5
+#: Of the 96 minima's two last bits so many agree in a pair that is compared.  At a similarity of 0.8 each
+#: agrees with a chance of 0.85: 65 is 4.7 standard deviations below what is expected, which one pair in 400,000 is.
+AGREE = 65
+#: Bits in which fingerprints of candidates differ at most.
+DISTANCE = 3
 _MIX = np.random.default_rng(42).integers(0, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -43,107 +54,150 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[t
         yield hashes[new], np.searchsorted(text[new], np.arange(hi - lo + 1))
 
 
-def marks(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """BANDS keys of each set, each a hash of ROWS minima; those of an empty set are zero."""
+def marks(hashes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, sketches): BANDS hashes of ROWS minima each, and three longs of all minima's two last bits; zero for an empty set."""
     out = np.zeros((len(cuts) - 1, BANDS), dtype=np.uint64)
+    sketch = np.zeros((len(cuts) - 1, 3), dtype=np.uint64)
     full = np.flatnonzero(np.diff(cuts))
     if not len(full):
-        return out
+        return out, sketch
     with np.errstate(over="ignore"):
         for band in range(BANDS):
             key = np.full(len(full), band + 1, dtype=np.uint64)
-            for a, b in _MIX[band * ROWS : (band + 1) * ROWS]:
-                key = (key ^ np.minimum.reduceat((hashes ^ a) * b, cuts[full])) * np.uint64(0x9E3779B97F4A7C15)
+            for row in range(ROWS):
+                nth = band * ROWS + row
+                a, b = _MIX[nth]
+                least = np.minimum.reduceat((hashes ^ a) * b, cuts[full])
+                key = (key ^ least) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(32)
+                sketch[full, nth // 32] |= ((least >> np.uint64(20)) & np.uint64(3)) << np.uint64(2 * (nth % 32))
             out[full, band] = key
-    return out
+    return out, sketch
 
 
 def _marked(docs: DataFrame, words: int) -> DataFrame:
-    """(id, n, whole, keys) of ``docs`` (id, text): size and hash of the set of shingles, and its keys."""
+    """(id, mark, n, whole, fp, keys, s0, s1, s2) of ``docs`` (id, text, mark): size and hash of the set of shingles, its fingerprint, keys and sketch."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, whole, keys = [np.zeros(0, np.int64)], [], [np.zeros((0, BANDS), np.uint64)]
+            lo = 0
             for hashes, cuts in shingle_sets(*string_buffer(b.column(1)), words):
-                n.append(np.diff(cuts))
-                whole += [xxhash.xxh128_hexdigest(hashes[s:e].tobytes()) for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-                keys.append(marks(hashes, cuts))
-            flat = np.concatenate(keys).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * BANDS, pa.int32()), pa.array(flat.ravel()))
-            yield pa.record_batch([b.column(0), pa.array(np.concatenate(n), pa.int64()), pa.array(whole, pa.string()), lists], names=["id", "n", "whole", "keys"])
+                whole = [xxhash.xxh128_hexdigest(hashes[s:e].tobytes()) for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                keys, sketch = marks(hashes, cuts)
+                flat = pa.array(keys.view(np.int64).ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(whole) + 1) * BANDS, pa.int32()), flat)
+                own = [b.column(k).slice(lo, len(whole)) for k in (0, 2)]
+                columns = [*own, pa.array(np.diff(cuts), pa.int64()), pa.array(whole, pa.string()), pa.array(majority(hashes, cuts).view(np.int64)), lists, *(pa.array(sketch[:, k].view(np.int64)) for k in range(3))]
+                yield pa.record_batch(columns, names=["id", "mark", "n", "whole", "fp", "keys", "s0", "s1", "s2"])
+                lo += len(whole)
 
-    return docs.mapInArrow(run, f"id {kind}, n long, whole string, keys array<long>")
+    return docs.mapInArrow(run, f"id {kind}, mark string, n long, whole string, fp long, keys array<long>, s0 long, s1 long, s2 long")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(id, shingles) of ``docs`` (id, text)."""
-    kind = docs.schema["id"].dataType.simpleString()
+    """(cid, shingles) of ``docs`` (cid, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lo = 0
             for hashes, cuts in shingle_sets(*string_buffer(b.column(1)), words):
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(hashes.view(np.int64)))
-                yield pa.record_batch([b.column(0).slice(lo, len(lists)), lists], names=["id", "shingles"])
+                yield pa.record_batch([b.column(0).slice(lo, len(lists)), lists], names=["cid", "shingles"])
                 lo += len(lists)
 
-    return docs.mapInArrow(run, f"id {kind}, shingles array<long>")
+    return docs.mapInArrow(run, "cid long, shingles array<long>")
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets' Jaccard similarity is OVER / UNDER or more, by the sets themselves."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = table(_sets(texts.join(ids, "id", "left_semi"), words), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    """Those of ``pairs`` (a, b) whose sets' Jaccard similarity is OVER / UNDER or more, by the sets themselves; ``texts`` has one text (cid, text) of each class."""
+    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+    sets = table(_sets(texts.join(ids, "cid", "left_semi"), words), "sets")
+    both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
     return both.filter((OVER + UNDER) * F.size(F.array_intersect("x", "y")) >= OVER * (F.size("x") + F.size("y"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """id_col and component_id, the smallest id reachable over links of a similarity of 0.8 or more.
+def _could(x: str, y: str) -> Column:
+    """Whether the sizes and sketches of the classes in columns ``x`` and ``y`` allow the similarity."""
+    fits = (F.col(f"{x}.n") * UNDER >= F.col(f"{y}.n") * OVER) & (F.col(f"{y}.n") * UNDER >= F.col(f"{x}.n") * OVER)
+    odd = F.lit(0x5555555555555555)
+    differ = [F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}")) for k in range(3)]
+    apart = sum(F.bit_count((d.bitwiseOR(F.shiftrightunsigned(d, 1))).bitwiseAND(odd)) for d in differ)
+    return fits & (apart <= BANDS * ROWS - AGREE)
 
-    Equal sets are one class from the start.  Classes meet that have a key in common and whose sizes
-    allow the similarity.  First each meets one class chosen for the key, so that a large group of near
-    copies makes as many pairs as it has members; then, of the keys whose classes aren't in one
-    component by then, all that are in different ones meet.  Every link is decided on the whole sets.
-    Texts without words are one class.  A null id is passed over, its component is null.
-    """
+
+def _named(links: DataFrame, like: DataFrame) -> DataFrame:
+    """(cid, component) of the classes that ``links`` (a, b) join."""
+    return like.select("cid", F.col("cid").alias("component")).limit(0) if links.isEmpty() else components(links).select(F.col("node").alias("cid"), "component")
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, mark, component_id) for each row of ``docs``."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), digest(F.col(text_col)).alias("mark"))
     marked = table(_marked(texts, words), "marked")
-    classes = marked.filter("id is not null").groupBy("whole", "n").agg(F.min("id").alias("least"), F.first("keys").alias("keys")).filter("n > 0")
-    index = table(classes.select(F.col("least").alias("id"), "n", F.explode("keys").alias("key")), "index")
-    chosen = index.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id", "n")).alias("c")).filter("members > 1")
-    met = table(index.join(chosen.select("key", "c"), "key").select("key", "id", "n", "c.h", F.col("c.id").alias("other"), F.col("c.n").alias("other_n")), "met")
-
-    def fits(x: str, y: str):
-        return (F.col(x) * UNDER >= F.col(y) * OVER) & (F.col(y) * UNDER >= F.col(x) * OVER)
-
-    first = table(met.filter((F.col("id") != F.col("other")) & fits("n", "other_n")).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "pairs")
-    links = table(_alike(first, texts, words), "alike")
-    if not links.isEmpty():
-        joined = components(links).select(F.col("node").alias("id"), "component")
-    else:
-        joined = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    named = table(met.join(joined, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), "named")
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    apart = table(named.join(mixed, "key", "left_semi"), "apart")
-    left, right = (apart.select("key", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}")) for x in "ab")
-    second = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits("n_a", "n_b")).select("a", "b").distinct()
-    second = table(second.join(first, ["a", "b"], "left_anti"), "pairs")
+    grouped = marked.groupBy("whole", "n").agg(F.min("id").alias("least"), *(F.first(x).alias(x) for x in ("mark", "fp", "keys", "s0", "s1", "s2")))
+    classes = table(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    full = classes.filter("n > 0")
+    known = full.select("cid", F.struct("cid", "n", "s0", "s1", "s2").alias("c"))
+    # one text of each class, by its digest
+    own = texts.join(full.select("mark", "cid"), "mark").dropDuplicates(["cid"]).select("cid", "text")
+
+    def with_classes(pairs: DataFrame) -> DataFrame:
+        return pairs.join(known.withColumnRenamed("c", "x").withColumnRenamed("cid", "a"), "a").join(known.withColumnRenamed("c", "y").withColumnRenamed("cid", "b"), "b")
+
+    def pair(x: str, y: str) -> list[Column]:
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+    # equal fingerprints are one more key; fingerprints a few bits apart link their keys' chosen classes
+    keys = F.explode(F.concat("keys", F.array("fp"))).alias("key")
+    index = table(full.select("cid", keys), "index")
+    chosen = table(index.groupBy("key").agg(F.count("*").alias("members"), F.min_by("cid", F.xxhash64("cid", "key")).alias("other")), "chosen")
+    shared = chosen.filter("members > 1").select("key", "other")
+    near = links(full.select("fp").distinct(), DISTANCE)
+    head = lambda x: chosen.select(F.col("key").alias(x), F.col("other").alias(f"{x}_head"))
+    met = index.join(shared, "key").filter("cid <> other").select(*pair("cid", "other"))
+    pairs = met.union(near.join(head("a"), "a").join(head("b"), "b").select(*pair("a_head", "b_head"))).distinct()
+    first = table(with_classes(pairs).filter(_could("x", "y")).select("a", "b"), "pairs")
+    found = table(_alike(first, own, words), "alike")
+    named = _named(found, classes)
+    # of the keys whose classes aren't in one component by now, those in different ones meet
+    held = index.join(shared.select("key"), "key", "left_semi").join(named, "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("component"))
+    held = table(held, "held")
+    mixed = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    apart = table(held.join(mixed, "key", "left_semi").join(known, "cid"), "apart")
+    left, right = (apart.select("key", F.col("c").alias(x), F.col("component").alias(f"c_{x}")) for x in "xy")
+    second = left.join(right, (left["key"] == right["key"]) & (F.col("x.cid") < F.col("y.cid")) & (F.col("c_x") != F.col("c_y")) & _could("x", "y")).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+    second = table(second.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
-        more = table(_alike(second, texts, words), "alike")
-        if not more.isEmpty():
-            joined = components(links.union(more)).select(F.col("node").alias("id"), "component")
-    of_class = marked.filter("id is not null").groupBy("whole", "n").agg(F.min("id").alias("least"))
-    smallest = table(of_class.join(joined.withColumnRenamed("id", "least"), "least", "left").select("whole", "n", F.coalesce("component", "least").alias("component_id")), "components")
-    found = marked.select("id", "n", "whole").join(smallest, ["whole", "n"], "left")
-    return found.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+        named = _named(table(found.union(_alike(second, own, words)), "alike"), classes)
+    told = classes.join(named, "cid", "left").select("whole", "n", "least", F.coalesce("component", "cid").alias("component"))
+    told = table(told, "told")
+    smallest = told.groupBy("component").agg(F.min("least").alias("component_id"))
+    return marked.select("id", "mark", "n", "whole").join(told.join(smallest, "component").select("whole", "n", "component_id"), ["whole", "n"], "left").select("id", "mark", "component_id")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """id_col and component_id, the smallest id reachable over links of a similarity of 0.8 or more.
+
+    Equal sets are one class from the start.  Classes meet that have a min-wise key or a fingerprint in
+    common, or fingerprints DISTANCE bits apart, and whose sizes and sketches allow the similarity.
+    First each meets one class chosen for the key, so that a large group of near copies makes as many
+    pairs as it has members; then, of the keys whose classes aren't in one component by then, all that
+    are in different ones meet.  Every link is decided on the whole sets.  Texts without words, null
+    included, are one class.  A null id is passed over when a smallest id is taken; a component of null
+    ids only has none.  Rows that repeat an id are each linked by their own text.  Other columns aren't
+    read.  An empty table gives no rows.
+    """
+    return _joined(docs, id_col, text_col, words).select(F.col("id").alias(id_col), "component_id")
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """The rows of ``docs``, columns as they are, but for all of a component other than its smallest id."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, words=words)
-    gone = table(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct(), "dropped")
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of ``docs``, columns as they are, but for all of a component other than its smallest id's.
+
+    Rows are dropped by id and text together.  Rows with null ids go if their component has an id, else
+    they all stay; so do rows that repeat the smallest id within its component.
+    """
+    found = _joined(docs, id_col, text_col, words)
+    gone = found.filter(F.col("component_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("component_id")))
+    return without_rows(docs, table(gone.select("id", "mark").distinct(), "dropped"), id_col, text_col)

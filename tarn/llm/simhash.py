@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import NOT_SPACE, blocks, scan_words, string_buffer
 from .components import components
-from .shared import small_batches, table
+from .shared import digest, small_batches, table, without_rows
 
 BITS, SEGMENTS, WIDTH = 64, 4, 16
 #: Fingerprints that share a 32-bit chain key beyond this many are told apart by 48 bits.
@@ -34,25 +34,32 @@ def fingerprints(raw: np.ndarray, offsets: np.ndarray, words: int = 3, seed: int
         last = np.minimum(begin + words - 1, w.first[text + 1] - 1)
         norm = w.norm.tobytes()
         hashes = np.fromiter((digest(norm[s:e], seed) for s, e in zip(w.start[begin].tolist(), w.end[last].tolist(), strict=True)), dtype=np.uint64, count=len(begin))
-        # how often each of a hash's eight bytes takes each value tells how often each bit is set
-        values = hashes.astype(">u8").view(np.uint8).reshape(-1, 8) + (np.arange(8) * 256)[None, :]
-        for i in np.flatnonzero(shingles):
-            seen = np.bincount(values[at[i] : at[i + 1]].ravel(), minlength=2048).reshape(8, 256)
-            out[lo + i] = np.packbits((seen @ _BIT_OF_VALUE).ravel() * 2 > shingles[i]).view(">u8")[0]
+        out[lo:hi] = majority(hashes, at)
+    return out
+
+
+def majority(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The bits that more than half of hashes[cuts[i]:cuts[i+1]] have, for each i; none of no hashes."""
+    out = np.zeros(len(cuts) - 1, dtype=np.uint64)
+    # how often each of a hash's eight bytes takes each value tells how often each bit is set
+    values = hashes.astype(">u8").view(np.uint8).reshape(-1, 8) + (np.arange(8) * 256)[None, :]
+    for i in np.flatnonzero(np.diff(cuts)):
+        seen = np.bincount(values[cuts[i] : cuts[i + 1]].ravel(), minlength=2048).reshape(8, 256)
+        out[i] = np.packbits((seen @ _BIT_OF_VALUE).ravel() * 2 > cuts[i + 1] - cuts[i]).view(">u8")[0]
     return out
 
 
 def with_fingerprint(docs: DataFrame, *, id_col: str, text_col: str, words: int = 3, seed: int = 42) -> DataFrame:
-    """(id_col, fp): the fingerprint as a signed long."""
+    """(id, mark, fp): of each row its text's digest, and the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = fingerprints(*string_buffer(b.column(1)), words, seed).view(np.int64)
-            yield pa.record_batch([b.column(0), pa.array(fp)], names=["id", "fp"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(fp)], names=["id", "mark", "fp"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind.simpleString()}, fp long").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col), F.col(text_col), digest(F.col(text_col)).alias("mark")).mapInArrow(run, f"id {kind.simpleString()}, mark string, fp long")
 
 
 def _turned(fp: Column, by: int) -> Column:
@@ -72,7 +79,7 @@ def _flips(width: int, most: int) -> list[int]:
     return out
 
 
-def _links(fps: DataFrame, distance: int) -> DataFrame:
+def links(fps: DataFrame, distance: int) -> DataFrame:
     """Pairs a < b of the distinct fingerprints ``fps`` (fp) at ``distance`` bits or fewer.
 
     Pigeonring: cut into four segments in a ring, two fingerprints within the distance have a segment
@@ -80,7 +87,8 @@ def _links(fps: DataFrame, distance: int) -> DataFrame:
     of the distance (0, 1, 2 and 3 of 3).  The shares of the first two segments make a join key: one
     side has its own two segments, the other all it could meet there.  The third share and the whole
     distance are conditions of the join.  A key that more than CROWDED fingerprints share is replaced
-    by one of three segments, which no more than 65,536 distinct ones can share.
+    by one of three segments, which no more than 65,536 distinct ones can share; only fingerprints that
+    reach such a key are probed for it.
     """
     if _budget(2, distance) > 2:
         raise ValueError("distance is at most 5")
@@ -97,9 +105,12 @@ def _links(fps: DataFrame, distance: int) -> DataFrame:
             out = [a << WIDTH | b for a in out for b in _flips(WIDTH, _budget(3, distance) - a.bit_count())]
         return F.array(*[F.lit(m).cast("long") for m in out])
 
+    def probes(of: DataFrame, segments: int) -> DataFrame:
+        return of.select("ring", F.explode(F.transform(masks(segments), lambda m: key(segments).bitwiseXOR(m))).alias("key"), F.col("turned").alias("y"), F.col("fp").alias("a"))
+
     def meet(index: DataFrame, probe: DataFrame, segments: int) -> DataFrame:
         left = index.select("ring", key(segments).alias("key"), F.col("turned").alias("x"), F.col("fp").alias("b"))
-        right = probe.select("ring", F.explode(F.transform(masks(segments), lambda m: key(segments).bitwiseXOR(m))).alias("key"), F.col("turned").alias("y"), F.col("fp").alias("a"))
+        right = probes(probe, segments)
         differ = F.col("x").bitwiseXOR(F.col("y"))
         near = (F.bit_count(F.shiftrightunsigned(differ, WIDTH)) <= _budget(3, distance)) & (F.bit_count(differ) <= distance)
         return left.join(right, ["ring", "key"]).filter((F.col("a") < F.col("b")) & near).select("a", "b")
@@ -109,29 +120,40 @@ def _links(fps: DataFrame, distance: int) -> DataFrame:
         return meet(turned, turned, 2).distinct()
     tagged = turned.withColumn("key", key(2))
     thin, thick = tagged.join(crowded, ["ring", "key"], "left_anti"), tagged.join(crowded, ["ring", "key"], "left_semi")
-    return meet(thin, turned, 2).union(meet(thick, turned, 3)).distinct()
+    reaching = probes(turned, 2).join(crowded, ["ring", "key"], "left_semi").select("ring", F.col("y").alias("turned"), F.col("a").alias("fp")).distinct()
+    return meet(thin, turned, 2).union(meet(thick, reaching, 3)).distinct()
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, distance: int) -> DataFrame:
+    """(id, mark, fp, component_id) for each row of ``docs``."""
+    prints = table(with_fingerprint(docs, id_col=id_col, text_col=text_col, words=words), "fingerprints")
+    classes = table(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
+    joined = components(table(links(classes.select("fp"), distance), "pairs"))
+    grouped = classes.join(joined, classes.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    named = table(grouped, "grouped")
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_class = table(named.join(smallest, "component").select("fp", "component_id"), "components")
+    return prints.join(of_class, "fp", "left").select("id", "mark", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3) -> DataFrame:
     """id_col, fp (long) and component_id, the smallest id reachable over links of ``distance`` bits or fewer.
 
     Documents of one fingerprint are one class from the start, so a group of copies makes no pairs;
-    classes are linked by ``_links`` and joined into components.  A text without words, null included,
+    classes are linked by ``links`` and joined into components.  A text without words, null included,
     has fingerprint zero and is linked like any other.  A null id is passed over when a smallest id is
-    taken.  Other columns aren't read.  An empty table gives no rows.
+    taken; a component of null ids only has none.  Rows that repeat an id are each linked by their own
+    text.  Other columns aren't read.  An empty table gives no rows.
     """
-    prints = table(with_fingerprint(docs, id_col=id_col, text_col=text_col, words=words).withColumnRenamed(id_col, "id"), "fingerprints")
-    classes = table(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    joined = components(table(_links(classes.select("fp"), distance), "pairs"))
-    grouped = classes.join(joined, classes.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = table(grouped, "grouped")
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = table(named.join(smallest, "component").select("fp", "component_id"), "components")
-    return prints.join(of_class, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
+    return _joined(docs, id_col, text_col, words, distance).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3) -> DataFrame:
-    """The rows of ``docs``, columns as they are, but for all of a component other than its smallest id."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, distance=distance)
-    gone = table(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct(), "dropped")
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of ``docs``, columns as they are, but for all of a component other than its smallest id's.
+
+    Rows are dropped by id and text together.  Rows with null ids go if their component has an id, else
+    they all stay; so do rows that repeat the smallest id within its component.
+    """
+    found = _joined(docs, id_col, text_col, words, distance)
+    gone = found.filter(F.col("component_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("component_id")))
+    return without_rows(docs, table(gone.select("id", "mark").distinct(), "dropped"), id_col, text_col)

@@ -130,7 +130,11 @@ def test_exact_groups(spark):
         assert r["keep_id"] == keep and r["kept"] == (r["doc_id"] == keep)
     kept = exact_dedup.deduplicate(frame(spark, rows))
     assert kept.columns == frame(spark, rows).columns
-    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [1, 5, 7, 7]
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [1, 5, 7, 7]
+    two = frame(spark, [(3, "same text", "s"), (5, "own text", "s"), (5, "same text", "s"), (None, "same  text", "s"), (None, "lone", "s"), (None, "lone", "s")])
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in exact_dedup.deduplicate(two).collect()) == [(0, "lone"), (0, "lone"), (3, "same text"), (5, "own text")]
+    long = "word " * 400_000
+    assert exact_dedup.report(frame(spark, [(1, long, "s"), (2, long + " ", "s"), (3, long + "x", "s")])).filter("kept").count() == 2
     assert exact_dedup.report(frame(spark, [])).collect() == []
 
 
@@ -178,6 +182,9 @@ def test_near_duplicates(spark, monkeypatch, crowded):
     kept = {r["doc_id"] for r in simhash.deduplicate(frame(spark, rows)).collect()}
     assert kept == set(plain_components(prints).values())
     assert simhash.near_duplicates(frame(spark, [])).collect() == []
+    own, same = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    two = frame(spark, [(3, same, "s"), (5, own, "s"), (5, same, "s"), (None, same, "s"), (None, "lone words here", "s"), (7, "long " * 300_000, "s")])
+    assert sorted((r["doc_id"] or 0, r["text"][:4]) for r in simhash.deduplicate(two).collect()) == [(0, "lone"), (3, same[:4]), (5, own[:4]), (7, "long")]
 
 
 def test_every_link_within_the_distance_is_found(spark):
@@ -189,7 +196,7 @@ def test_every_link_within_the_distance_is_found(spark):
                 p ^= 1 << int(b)
             prints.append(p)
     prints = sorted({p - (1 << 64) if p >> 63 else p for p in prints})
-    found = {(r["a"], r["b"]) for r in simhash._links(spark.createDataFrame([(p,) for p in prints], "fp long"), 3).collect()}
+    found = {(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), 3).collect()}
     mask = (1 << 64) - 1
     assert found == {(a, b) for a in prints for b in prints if a < b and ((a ^ b) & mask).bit_count() <= 3}
 

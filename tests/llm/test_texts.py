@@ -109,13 +109,30 @@ def test_contamination_in_one_part_and_in_several(spark):
                         hit |= set(range(p, p + n))
                         found.add(k)
         expected[i] = (len(w), len(hit), sorted(found))
-    for size in (1 << 20, 60):
+    for size in (1 << 20, 60, 4):
         rows = decontaminate.contamination(docs(spark, texts), bench, part_bytes=size).collect()
         assert {r["doc_id"]: (r["n_words"], sum(s["end"] - s["begin"] for s in r["spans"]), list(r["items"])) for r in rows} == expected
     assert decontaminate.contamination(docs(spark, []), bench).collect() == []
     assert all(not r["items"] for r in decontaminate.contamination(docs(spark, texts), bench.limit(0)).collect())
 
 
+def test_contamination_of_repeated_and_null_ids(spark):
+    rows = [(1, "a b c d"), (1, "x y"), (1, "x y"), (None, "p q r"), (None, "clean"), (None, None), (2, "b c" * 50_000)]
+    for kind in ("smallint", "string", "decimal(9,2)", "long"):
+        bench = spark.createDataFrame([(1, "b c"), (2, "x y"), (2, "q r"), (3, "y x b")], "item_id long, text string").selectExpr(f"cast(item_id as {kind}) as item_id", "text", "1 as spans")
+        found = []
+        for size in (1 << 25, 4):
+            got = decontaminate.contamination(docs(spark, rows).repartition(3), bench, part_bytes=size).collect()
+            found.append(sorted((str(r["doc_id"]), r["n_words"], [tuple(s) for s in r["spans"]], [str(float(i)) for i in r["items"]]) for r in got))
+        assert found[0] == found[1] and len(found[0]) == len(rows)
+        assert [x[2:] for x in found[0] if x[0] == "None"] == [([], []), ([], []), ([(1, 3)], ["2.0"])]
+    for size in (1 << 25, 4):
+        kept = decontaminate.clean(docs(spark, [*rows, (3, "x y"), (3, "fine")]), bench, part_bytes=size)
+        assert kept.columns == docs(spark, []).columns
+        assert sorted((str(r["doc_id"]), str(r["text"])[:5]) for r in kept.collect()) == [("2", "b cb "), ("3", "fine"), ("None", "None"), ("None", "clean")]
+    assert decontaminate.clean(docs(spark, []), bench).collect() == []
+
+
 def test_rules_and_links(spark):
     html = lambda *hosts: "".join(f'<a href="https://{h}/x">' for h in hosts) + '<a href="/own">'
     rows = [
