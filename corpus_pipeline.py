@@ -15,30 +15,36 @@ PIECES = os.environ.get("PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the documents outside the held-out quarter; a text that no language can be told for goes."""
+    """Learns from the documents outside the held-out quarter; a text that no language can be told for goes.
+
+    Those are null texts and texts without letters.  Equal texts go or stay together, whatever their
+    ids; a null id is like any other.  Columns are handed on as they are; an empty table stays empty.
+    """
     profiles = language.fit(docs.filter(~language.held_out()))
-    return language.identify(docs, profiles).filter(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    return language.identify(docs, profiles, pred_col="__lang", score_col="__score").filter(F.col("__lang") != language.UNKNOWN).drop("__lang", "__score")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for white space the smallest doc_id stays."""
+    """Of texts that are equal but for white space the row with the smallest doc_id stays, as ``exact_dedup.deduplicate`` says."""
     return exact_dedup.deduplicate(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents whose five-word shingles are 0.8 alike or more the smallest doc_id stays."""
+    """Of each component of documents whose five-word shingles are 0.8 alike or more the row with the smallest doc_id stays.
+
+    Candidates are SimHash's links and those of min-wise keys, as ``shingles`` says; null ids, repeated
+    rows and empty tables are as there.
+    """
     return shingles.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
-    hit = table(found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("__hit")), "contaminated")
-    return docs.join(hit, docs["doc_id"] == hit["__hit"], "left_anti")
+    """Rows whose text holds a window of a benchmark item go, whatever their ids, as ``decontaminate.clean`` says."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids and n_ids of what is left."""
+    """doc_id, ids and n_ids of what is left, a row for each row; a null or empty text has no ids."""
     return sentencepieces.encode(docs, sentencepieces.Pieces.load(PIECES)).select("doc_id", "ids", F.size("ids").alias("n_ids"))
 
 
@@ -50,7 +56,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("pieces", pieces),
 ]
 
-#: Neither profiles, SimHash components nor the search for pieces can be told in SQL; tests/llm holds the stages against plain versions.
+#: Neither profiles, components of near copies nor the search for pieces can be told in SQL; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
 
 
