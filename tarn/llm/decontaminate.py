@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .bytewords import ALNUM, Words, blocks, scan_words, string_buffer
-from .shared import digest, small_batches, table, without_rows
+from .shared import digest, small_batches, table
 
 #: Words that a shift table looks at together.
 BLOCK = 2
@@ -217,36 +217,59 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id
     size.  The driver holds one part's tables at a time, whose findings are written before the next
     part's are made; at the end rows of equal id and text, whose findings are equal, are put together.
     """
-    found = _found(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), benchmark, window, item_col, item_text_col, part_bytes, marked=False)
+    found = _found(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), benchmark, window, item_col, item_text_col, part_bytes)
     return found.select(F.col("id").alias(id_col), "n_words", "spans", "items")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """The rows of ``docs``, columns as they are, whose text has no window of the benchmark.
 
     Rows are judged by their own text, whatever their ids: of rows that repeat an id, null ids among
     them, those with a clean text stay.  A null or empty text is clean.  An empty table stays empty.
+    Tasks hand on what they find clean, without a shuffle; of a benchmark in parts (as in
+    ``contamination``) each searches what the one before left, which is written between them.
     """
-    found = _found(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), benchmark, window, item_col, item_text_col, part_bytes, marked=True)
-    hit = table(found.filter(F.size("spans") > 0).select("id", "mark").distinct(), "contaminated")
-    return without_rows(docs, hit, id_col, text_col)
+    small_batches(docs.sparkSession)
+    items, parts = _items(benchmark, item_col, item_text_col, part_bytes)
+    at = docs.columns.index(text_col)
+    for part in range(parts):
+        shipped = docs.sparkSession.sparkContext.broadcast(_tables(items, part, parts, window))
 
+        def run(batches: Iterator[pa.RecordBatch], shipped: Broadcast = shipped) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array([not spans for _, spans, _ in scan(*string_buffer(b.column(at)), shipped.value)], pa.bool_()))
 
-def _found(rows: DataFrame, benchmark: DataFrame, window: int, item_col: str, item_text_col: str, part_bytes: int, marked: bool) -> DataFrame:
-    """(id, mark, n_words, spans, items) for each of ``rows`` (id, text); mark is the text's digest, if that is asked for."""
-    small_batches(rows.sparkSession)
-    item_type = benchmark.schema[item_col].dataType
+        docs = docs.mapInArrow(run, docs.schema)
+        if parts > 1:
+            docs = table(docs, "clean")
+            shipped.destroy()
+    return docs
+
+
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str, part_bytes: int) -> tuple[DataFrame, int]:
+    """(item, words) of the items that can be found, and how many parts they are searched in."""
     items = benchmark.filter(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text_col).alias("words"))
     size = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    parts = max(1, -(-size // part_bytes))
-    texts = rows.select("id", "text", (digest(F.col("text")) if marked or parts > 1 else F.lit(None).cast("string")).alias("mark"))
+    return items, max(1, -(-size // part_bytes))
+
+
+def _tables(items: DataFrame, part: int, parts: int, window: int) -> list[Tables]:
+    of = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
+    return build_tables([(r["item"], r["words"]) for r in of.toLocalIterator()], window)
+
+
+def _found(rows: DataFrame, benchmark: DataFrame, window: int, item_col: str, item_text_col: str, part_bytes: int) -> DataFrame:
+    """(id, n_words, spans, items) for each of ``rows`` (id, text)."""
+    small_batches(rows.sparkSession)
+    item_type = benchmark.schema[item_col].dataType
+    items, parts = _items(benchmark, item_col, item_text_col, part_bytes)
+    texts = rows.select("id", "text", (digest(F.col("text")) if parts > 1 else F.lit(None).cast("string")).alias("mark"))
     kind, name = to_arrow_type(item_type), item_type.simpleString()
     if parts == 1:
-        return _search_part(texts, kind, name, build_tables([(r["item"], r["words"]) for r in items.toLocalIterator()], window))[0]
+        return _search_part(texts, kind, name, _tables(items, 0, 1, window))[0]
     found = []
     for part in range(parts):
-        of = items.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
-        hits, shipped = _search_part(texts, kind, name, build_tables([(r["item"], r["words"]) for r in of.toLocalIterator()], window))
+        hits, shipped = _search_part(texts, kind, name, _tables(items, part, parts, window))
         same = hits.groupBy("id", "mark").agg(F.count("*").alias("rows"), F.first("n_words").alias("n_words"), F.first("spans").alias("spans"), F.first("items").alias("items"))
         found.append(table(same if part == 0 else same.filter(F.size("spans") > 0), "found"))
         shipped.destroy()

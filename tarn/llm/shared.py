@@ -45,8 +45,10 @@ def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -
     """``docs``, columns as they are, without the rows whose id and text's digest are in ``gone`` (id, mark).
 
     Ids alone don't do: one that repeats may belong to a text that stays.  A null id equals a null one.
+    ``gone`` grows with the documents, so it isn't broadcast at any size: both sides are dealt by id and
+    digest, which spreads a group of copies.
     """
-    marks = gone.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"))
+    marks = gone.select(F.col("id").alias("__id"), F.col("mark").alias("__mark")).hint("shuffle_hash")
     return docs.join(marks, docs[id_col].eqNullSafe(marks["__id"]) & (digest(docs[text_col]) == marks["__mark"]), "left_anti")
 
 

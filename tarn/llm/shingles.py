@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import NOT_SPACE, blocks, scan_words, string_buffer
@@ -109,14 +109,35 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "cid long, shingles array<long>")
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets' Jaccard similarity is OVER / UNDER or more, by the sets themselves; ``texts`` has one text (cid, text) of each class."""
-    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    sets = table(_sets(texts.join(ids, "cid", "left_semi"), words), "sets")
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose ``sets``' (cid, shingles) Jaccard similarity is OVER / UNDER or more."""
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
     return both.filter((OVER + UNDER) * F.size(F.array_intersect("x", "y")) >= OVER * (F.size("x") + F.size("y"))).select("a", "b")
 
 
+def _rare_in_common(sets: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``known`` (cid, component, c) in different components that can be alike, all of them.
+
+    Prefix filtering: with the shingles of each set ordered by how many of the sets have them, rarest
+    first, two sets that are 0.8 alike have one in common among the first 2/10 of the larger and the
+    first 1/9 of the smaller.  Copies that each changed more than that have only shingles of their own
+    there and don't meet, so a large group of them makes no pairs.
+    """
+    each = sets.join(known.select("cid"), "cid", "left_semi").select("cid", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("cid").orderBy("df", "shingle"))
+    ranked = each.join(often, "shingle").withColumn("place", place).filter(F.col("df") > 1)
+    # sets of n and m <= n shingles have at least 4 / 9 * (n + m) in common, which is 8 / 9 * m or more and 4 / 5 * n
+    larger = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * OVER / UNDER) + 1)
+    smaller = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (2 * OVER) / (OVER + UNDER)) + 1)
+    left, right = (rows.select("shingle", "cid", "place").join(known, "cid").select("shingle", "place", F.col("c").alias(x), F.col("component").alias(f"c_{x}")) for rows, x in ((larger, "x"), (smaller, "y")))
+    left, right = left.withColumnRenamed("place", "px"), right.withColumnRenamed("place", "py").withColumnRenamed("shingle", "same")
+    # the first shingle in common and what follows it in both have to be enough
+    enough = (F.least(F.col("x.n") - F.col("px"), F.col("y.n") - F.col("py")) + 1) * (OVER + UNDER) >= (F.col("x.n") + F.col("y.n")) * OVER
+    met = left.join(right, (F.col("shingle") == F.col("same")) & (F.col("x.n") >= F.col("y.n")) & (F.col("c_x") != F.col("c_y")) & enough & _could("x", "y"))
+    return met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
+
+
 def _could(x: str, y: str) -> Column:
     """Whether the sizes and sketches of the classes in columns ``x`` and ``y`` allow the similarity."""
     fits = (F.col(f"{x}.n") * UNDER >= F.col(f"{y}.n") * OVER) & (F.col(f"{y}.n") * UNDER >= F.col(f"{x}.n") * OVER)
@@ -140,9 +161,6 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
     classes = table(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
     full = classes.filter("n > 0")
     known = full.select("cid", F.struct("cid", "n", "s0", "s1", "s2").alias("c"))
-    # one text of each class, by its digest
-    own = texts.join(full.select("mark", "cid"), "mark").dropDuplicates(["cid"]).select("cid", "text")
-
     def with_classes(pairs: DataFrame) -> DataFrame:
         return pairs.join(known.withColumnRenamed("c", "x").withColumnRenamed("cid", "a"), "a").join(known.withColumnRenamed("c", "y").withColumnRenamed("cid", "b"), "b")
 
@@ -159,18 +177,21 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
     met = index.join(shared, "key").filter("cid <> other").select(*pair("cid", "other"))
     pairs = met.union(near.join(head("a"), "a").join(head("b"), "b").select(*pair("a_head", "b_head"))).distinct()
     first = table(with_classes(pairs).filter(_could("x", "y")).select("a", "b"), "pairs")
-    found = table(_alike(first, own, words), "alike")
-    named = _named(found, classes)
+    # sets of the classes that share a key, from one text of each by its digest
+    keyed = table(index.join(shared.select("key"), "key", "left_semi"), "keyed")
+    needed = keyed.select("cid").union(first.select("a")).union(first.select("b")).distinct()
+    wanted = full.join(needed, "cid", "left_semi").select("cid", "mark")
+    chosen_texts = texts.select("mark", "text").join(wanted.hint("shuffle_hash"), "mark").select("cid", "text")
+    sets = table(_sets(chosen_texts, words).dropDuplicates(["cid"]), "sets")
+    found = table(_alike(first, sets), "alike")
+    named = table(_named(found, classes), "named")
     # of the keys whose classes aren't in one component by now, those in different ones meet
-    held = index.join(shared.select("key"), "key", "left_semi").join(named, "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("component"))
-    held = table(held, "held")
+    held = table(keyed.join(named, "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("component")), "held")
     mixed = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    apart = table(held.join(mixed, "key", "left_semi").join(known, "cid"), "apart")
-    left, right = (apart.select("key", F.col("c").alias(x), F.col("component").alias(f"c_{x}")) for x in "xy")
-    second = left.join(right, (left["key"] == right["key"]) & (F.col("x.cid") < F.col("y.cid")) & (F.col("c_x") != F.col("c_y")) & _could("x", "y")).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
-    second = table(second.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    apart = table(held.join(mixed, "key", "left_semi").select("cid", "component").distinct().join(known, "cid"), "apart")
+    second = table(_rare_in_common(sets, apart).join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
-        named = _named(table(found.union(_alike(second, own, words)), "alike"), classes)
+        named = _named(table(found.union(_alike(second, sets)), "alike"), classes)
     told = classes.join(named, "cid", "left").select("whole", "n", "least", F.coalesce("component", "cid").alias("component"))
     told = table(told, "told")
     smallest = told.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -183,8 +204,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Equal sets are one class from the start.  Classes meet that have a min-wise key or a fingerprint in
     common, or fingerprints DISTANCE bits apart, and whose sizes and sketches allow the similarity.
     First each meets one class chosen for the key, so that a large group of near copies makes as many
-    pairs as it has members; then, of the keys whose classes aren't in one component by then, all that
-    are in different ones meet.  Every link is decided on the whole sets.  Texts without words, null
+    pairs as it has members; then, of the keys whose classes aren't in one component by then, those
+    in different ones meet by their rarest shingles.  Every link is decided on the whole sets.  Texts without words, null
     included, are one class.  A null id is passed over when a smallest id is taken; a component of null
     ids only has none.  Rows that repeat an id are each linked by their own text.  Other columns aren't
     read.  An empty table gives no rows.
