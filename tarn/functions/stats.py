@@ -27,7 +27,7 @@ def association(count: Column, ca: Column, cb: Column, total: Column) -> dict[st
     support = count / total
     return {
         "strength": half_up(count / F.least(ca, cb)),
-        "support": half_up(support, 4),
+        "support": half_up(support),
         "conf_ab": half_up(count / ca),
         "conf_ba": half_up(count / cb),
         "lift": half_up(support / ((ca / total) * (cb / total))),

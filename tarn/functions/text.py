@@ -10,8 +10,8 @@ ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçý"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuncy"
 
 #: Names and marks of generated code.
-GENERATED_NAME = r"(?i)\.(?:g|generated|designer)\.(?:cs|ts|js|dart|vb)$|\.pb\.(?:go|cc|h|js|ts)$|_pb2(?:_grpc)?\.pyi?$|\.min\.(?:js|css)$|(?:^|/)(?:generated|__generated__|gen)/|\.generated\.|Grpc\.java$"
-GENERATED_MARK = r"(?i)@generated|DO NOT EDIT|<auto-generated|auto-?generated|code generated by|generated by (?:the )?\w+|archivo generado"
+GENERATED_NAME = r"(?i:\.(?:g|generated|designer)\.(?:cs|ts|js|dart|vb)$)|\.pb\.(?:go|cc|h)$|_pb2(?:_grpc)?\.pyi?$|\.min\.(?:js|css)$|\.pb\.(?:js|ts)$|(?i:(?:^|/)(?:generated|__generated__|gen)/)|(?i:\.generated\.)|Grpc\.java$"
+GENERATED_MARK = r"(?i)@generated|DO NOT EDIT|<auto-generated|auto-?generated|code generated by|generated by (?:the )?\w+|this file (?:is|was) (?:auto)?-?generated|archivo generado"
 
 #: Folders whose files are beside the point.
 AUXILIARY = r"(?i)(?:^|/)(?:examples?|samples?|demos?|fixtures?|playground|bench(?:marks?)?|docs?|vendor|third_party)(?:/|$)"
@@ -48,6 +48,10 @@ def intent(question: Column, has_file: Column | None = None) -> Column:
     return (out if has_file is None else out.when(has_file, "impact")).otherwise("none")
 
 
+#: Messages of commits that mend something.
+FIX = r"(?i)(?:^|[^A-Za-z0-9_])(?:fix(?:es|ed)?|hotfix|bug|corrig\w*|arregl\w*|error(?:es)?|revert\w*|parche)(?:$|[^A-Za-z0-9_])"
+
+
 def normal_url(url: Column) -> Column:
     """A route or URL without host, query and case; parameters are ``:p``."""
     out = F.regexp_replace(F.regexp_replace(url, r"(?i)^[a-z]+://[^/]+", ""), r"[?#].*$", "")

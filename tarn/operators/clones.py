@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .graph import components
 
 
+#: Names too common to tell anything.
+COMMON = ["constructor", "default", "handler", "render", "init", "main", "run", "test", "setup", "teardown", "toString", "toJSON", "create", "update", "delete", "remove", "index", "handle", "start", "stop", "build", "get", "set", "then", "catch", "callback", "validate", "format"]
+
+
 def exact_groups(units: DataFrame, unit: str, content: str) -> DataFrame:
-    """(digest, copies, first, members): units of equal content, two or more."""
-    keyed = units.select(unit, F.sha2(F.coalesce(F.col(content), F.lit("")), 256).alias("digest"))
-    return keyed.groupBy("digest").agg(F.count("*").alias("copies"), F.min(unit).alias("first"), F.array_sort(F.collect_list(unit)).alias("members")).filter("copies > 1")
+    """(unit, digest, copies, first): a row for each unit whose content another has too; a group is never one row."""
+    keyed = units.select(F.col(unit).alias("unit"), F.sha2(F.coalesce(F.col(content), F.lit("")), 256).alias("digest"))
+    sized = keyed.groupBy("digest").agg(F.count("*").alias("copies"), F.min("unit").alias("first")).filter("copies > 1")
+    return keyed.join(sized, "digest").select("unit", "digest", "copies", "first")
 
 
 def shingles(units: DataFrame, unit: str, tokens: Column, k: int = 5) -> DataFrame:
@@ -21,41 +27,134 @@ def shingles(units: DataFrame, unit: str, tokens: Column, k: int = 5) -> DataFra
     return with_tokens.filter(F.size("t") >= k).select("unit", F.explode(F.array_distinct(runs)).alias("shingle"))
 
 
+def classes(units: DataFrame, unit: str, content: Column) -> DataFrame:
+    """(unit, rep): each unit and the smallest with the same content, so that copies are compared once."""
+    keyed = units.select(F.col(unit).alias("unit"), F.sha2(content, 256).alias("digest"))
+    least = keyed.groupBy("digest").agg(F.min("unit").alias("rep"))
+    return keyed.join(least, "digest").select("unit", "rep")
+
+
 def near_pairs(shingled: DataFrame, *, similarity: float = 0.8, least: int = 10, share: float = 0.2, floor: int = 8) -> DataFrame:
-    """(a, b, sim): pairs of units of ``similarity`` or more over their rare shingles.
+    """(a, b, sim): pairs of units of ``similarity`` or more over their rare shingles (unit, shingle).
 
-    A shingle is rare in 2 to max(``floor``, ``share`` of all units) units; both units need ``least``
-    rare ones.  The bound on how many units a shingle is in also bounds the pairs it makes.
+    A shingle is rare in max(``floor``, ``share`` of all units) units or fewer; both units need ``least``
+    rare ones.  Pairs meet by their rarest: with each unit's shingles in order of how many units have
+    them, two of the similarity have one in common among the first (1 - similarity) of each, and there
+    the frequent ones, which would make most pairs, don't come up.
     """
     units = shingled.agg(F.count_distinct("unit").alias("units"))
     most = F.greatest(F.lit(floor), F.ceil(F.col("units") * share))
-    frequency = shingled.groupBy("shingle").agg(F.count("*").alias("df")).filter("df >= 2").crossJoin(F.broadcast(units)).filter(F.col("df") <= most).select("shingle")
+    frequency = shingled.groupBy("shingle").agg(F.count("*").alias("df")).crossJoin(F.broadcast(units)).filter(F.col("df") <= most).select("shingle", "df")
     rare = shingled.join(frequency, "shingle")
-    counts = rare.groupBy("unit").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    kept = rare.join(counts, "unit")
-    a, b = (kept.select("shingle", F.col("unit").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    shared = a.join(b, "shingle").filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
-    sim = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    return shared.filter(F.col("both") >= 0.5 * F.least("na", "nb")).select("a", "b", sim.alias("sim")).filter(F.col("sim") >= similarity)
+    sets = cut(rare.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s")).filter(F.size("s") >= least))
+    n = F.size("s")
+    first = F.slice("s", F.lit(1), (n - F.ceil(n * similarity - 1e-9) + 1).cast("int"))
+    prefix = sets.select("unit", n.alias("n"), F.explode(F.filter(first, lambda x: x["df"] > 1)).alias("x")).select("unit", "n", "x.shingle")
+    a, b = (prefix.select("shingle", F.col("unit").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    fit = (F.col("na") >= F.col("nb") * (similarity - 1e-9)) & (F.col("nb") >= F.col("na") * (similarity - 1e-9))
+    met = a.join(b, "shingle").filter((F.col("a") < F.col("b")) & fit).select("a", "b").distinct()
+    whole = sets.select("unit", F.col("s.shingle").alias("s"))
+    both = met.join(whole.select(F.col("unit").alias("a"), F.col("s").alias("x")), "a").join(whole.select(F.col("unit").alias("b"), F.col("s").alias("y")), "b")
+    shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), F.size("x").alias("na"), F.size("y").alias("nb"))
+    return shared.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("sim")).filter(F.col("sim") >= similarity)
 
 
 def groups(pairs: DataFrame) -> DataFrame:
-    """(group, copies, members): units that pairs connect."""
-    named = components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    return named.groupBy(F.col("component").alias("group")).agg(F.count("*").alias("copies"), F.array_sort(F.collect_list("node")).alias("members"))
+    """(unit, group): units that pairs connect, named by the smallest of them."""
+    return components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("unit"), F.col("component").alias("group"))
+
+
+def summary(members: DataFrame, pairs: DataFrame, exact: DataFrame) -> DataFrame:
+    """(group, name, type, sim, lines, tokens, copies, files, same_file, test) of clone groups.
+
+    ``members`` has group, unit, name, file, loc, len, test and two hashes: hash of the normalised
+    tokens and raw_hash of the tokens as they are; pairs (a, b, sim) are those that joined the units.
+    The name is the commonest, the smallest of equals; anonymous units name nothing.  ``exact`` (unit,
+    rep) tells which unit stood for which in the pairs.
+    """
+    named = members.filter("name is not null").groupBy("group", "name").agg(F.count("*").alias("n"))
+    best = named.groupBy("group").agg(F.min_by("name", F.struct(-F.col("n"), F.col("name"))).alias("name"))
+    of = members.join(exact.select("unit", "rep"), "unit").select(F.col("rep").alias("a"), "group").distinct()
+    sims = pairs.join(of, "a").groupBy("group").agg(F.min("sim").alias("sim"))
+    rolled = members.groupBy("group").agg(
+        F.count_distinct("hash").alias("kinds"), F.count_distinct("raw_hash").alias("raws"), F.floor(F.avg("loc") + 0.5).alias("lines"), F.floor(F.avg("len") + 0.5).alias("tokens"),
+        F.count("*").alias("copies"), F.count_distinct("file").alias("files"), F.bool_and("test").alias("test"),
+    )
+    kind = F.when(F.col("raws") == 1, "exacto").when(F.col("kinds") == 1, "parametrizado").otherwise("similar")
+    sim = F.when(F.col("kinds") == 1, 1.0).otherwise(F.floor(F.coalesce("sim", F.lit(1.0)) * 100 + 0.5) / 100)
+    joined = rolled.join(best, "group", "left").join(sims, "group", "left")
+    return joined.select("group", "name", kind.alias("type"), sim.alias("sim"), "lines", "tokens", "copies", "files", (F.col("files") == 1).alias("same_file"), "test")
+
+
+def co_rate(members: DataFrame, together: DataFrame, commits: DataFrame) -> DataFrame:
+    """(group, co_rate, co_count): the highest share of common commits of two of a group's files.
+
+    ``together`` (a, b, count) with a < b counts common commits, ``commits`` (file, commits) each
+    file's; the pairs come from ``together``, so a group's files are never paired with each other.
+    """
+    files = members.select("group", "file").distinct()
+    met = together.join(files.withColumnRenamed("file", "a"), "a").join(files.select(F.col("file").alias("b"), F.col("group").alias("g")), "b").filter("group = g")
+    each = met.join(commits.select(F.col("file").alias("a"), F.col("commits").alias("ca")), "a").join(commits.select(F.col("file").alias("b"), F.col("commits").alias("cb")), "b")
+    rate = F.floor(F.col("count") / F.least("ca", "cb") * 100 + 0.5) / 100
+    return each.groupBy("group").agg(F.max(F.struct(rate.alias("r"), F.col("count").alias("n"))).alias("m")).select("group", F.col("m.r").alias("co_rate"), F.col("m.n").alias("co_count"))
+
+
+def severity(test: Column, co_rate_: Column, co_count: Column) -> Column:
+    return F.when(test, "inofensiva").when((co_rate_ >= 0.5) & (co_count >= 2), "costosa").otherwise("latente")
+
+
+def ranked(groups_: DataFrame, score: str = "score") -> DataFrame:
+    """``groups_`` with id: d0 for the dearest, and so on."""
+    place = F.row_number().over(Window.orderBy(F.col(score).desc(), "group"))
+    return groups_.withColumn("id", F.concat(F.lit("d"), (place - 1).cast("string")))
+
+
+def suggestion(groups_: DataFrame, members: DataFrame, coupling: DataFrame, folders: DataFrame) -> DataFrame:
+    """(group, dir, file, warn): where a group's copies could be put once, and folders that would then depend in a circle.
+
+    The folder is the copies' own if they share one; else a shared one (utils, common, ...) below the
+    deepest folder above them all, else that folder.  ``groups_`` has group and name, ``coupling`` (from,
+    to), ``folders`` (dir).
+    """
+    own = members.select("group", "file").distinct().withColumn("parts", F.slice(F.split("file", "/"), 1, F.size(F.split("file", "/")) - 1))
+    ends = own.groupBy("group").agg(F.min("parts").alias("lo"), F.max("parts").alias("hi"), F.count_distinct("parts").alias("dirs"), F.min("file").alias("first"))
+    # what the first and the last of sorted paths share, all between them share
+    depth = F.size(F.filter(F.sequence(F.lit(0), F.least(F.size("lo"), F.size("hi"))), lambda n: (n > 0) & (F.slice("lo", F.lit(1), n) == F.slice("hi", F.lit(1), n))))
+    above = ends.withColumn("above", F.array_join(F.slice("lo", F.lit(1), depth), "/"))
+    shared = folders.filter(F.col("dir").rlike(r"(?i)(^|/)(utils?|shared|common|lib|helpers)$")).agg(F.min_by("dir", F.struct(F.length("dir"), F.col("dir"))).alias("shared"))
+    placed = above.crossJoin(F.broadcast(shared))
+    fits = F.col("shared").isNotNull() & ((F.col("above") == "") | F.col("shared").startswith(F.col("above")))
+    target = F.when(F.col("dirs") == 1, F.col("above")).when(fits, F.col("shared")).when(F.col("above") != "", F.col("above")).otherwise(F.coalesce("shared", F.lit(".")))
+    named = placed.withColumn("dir", target).join(groups_.select("group", "name"), "group")
+    ext = F.regexp_extract("first", r"\.[^./]+$", 0)
+    file = F.concat(F.when(F.col("dir") != "", F.concat("dir", F.lit("/"))).otherwise(""), F.coalesce("name", F.lit("compartido")), ext)
+    found = named.select("group", "dir", file.alias("file"))
+    there = own.select("group", F.array_join("parts", "/").alias("to")).distinct()
+    circle = found.join(there, "group").filter(F.col("dir") != F.col("to")).join(coupling.select(F.col("from").alias("dir"), "to"), ["dir", "to"]).groupBy("group").agg(F.array_sort(F.collect_set("to")).alias("warn"))
+    return found.join(circle, "group", "left").select("group", "dir", "file", F.coalesce("warn", F.array().cast("array<string>")).alias("warn"))
 
 
 def repeated_literals(literals: DataFrame, value: str, owner: str, *, uses: int = 3, files: int = 2, sample: int = 12) -> DataFrame:
     """(value, count, files, sample, sev): literals used ``uses`` times or more in ``files`` files or more."""
     per = literals.groupBy(value, owner).agg(F.count("*").alias("n"))
-    found = per.groupBy(value).agg(F.sum("n").alias("count"), F.count("*").alias("files"), F.slice(F.array_sort(F.collect_list(owner)), 1, sample).alias("sample")).filter((F.col("count") >= uses) & (F.col("files") >= files))
-    return found.withColumn("sev", F.when((F.col("files") >= 3) & (F.col("count") >= 4), "costosa").otherwise("inofensiva"))
+    found = per.groupBy(value).agg(F.sum("n").alias("count"), F.count("*").alias("files")).filter((F.col("count") >= uses) & (F.col("files") >= files))
+    # of each value's owners just the first are gathered
+    first = per.join(found.select(value), value, "left_semi").withColumn("place", F.row_number().over(Window.partitionBy(value).orderBy(owner))).filter(F.col("place") <= sample)
+    found = found.join(first.groupBy(value).agg(F.array_sort(F.collect_list(owner)).alias("sample")), value)
+    return found.withColumn("sev", F.when((F.col("files") >= 3) & (F.col("count") >= 4), "media").otherwise("info"))
 
 
 def homonyms(names: DataFrame, name: str, owner: str, *, least: int = 5) -> DataFrame:
-    """(name, files, owners): names of ``least`` characters or more in two files or more."""
-    found = names.filter(F.length(name) >= least).groupBy(name).agg(F.count_distinct(owner).alias("files"), F.array_sort(F.collect_set(owner)).alias("owners"))
-    return found.filter("files >= 2")
+    """(name, owner, files): names of ``least`` characters or more in two files or more, a row for each file."""
+    each = names.filter((F.length(name) >= least) & ~F.col(name).isin(COMMON)).select(F.col(name).alias("name"), F.col(owner).alias("owner")).distinct()
+    sized = each.groupBy("name").agg(F.count("*").alias("files")).filter("files >= 2")
+    return each.join(sized, "name").select("name", "owner", "files")
+
+
+def named_constant(literals: DataFrame, constants: DataFrame, value: str) -> DataFrame:
+    """``literals`` with existing: of the ``constants`` (value, file, name, line) that hold the value the first by file and line."""
+    first = constants.groupBy(value).agg(F.min(F.struct("file", "line", "name")).alias("existing"))
+    return literals.join(first, value, "left")
 
 
 def line_differences(left: DataFrame, right: DataFrame, line: str) -> DataFrame:

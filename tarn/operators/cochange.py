@@ -26,16 +26,22 @@ def associated(touches: DataFrame, tx: str, item: str, *, count: int = 2, streng
     each = rows.groupBy("item").agg(F.count("*").alias("n"))
     total = rows.agg(F.count_distinct("tx").alias("total"))
     pairs = pair_counts(touches, tx, item, least=least, most=most).filter(F.col("count") >= count)
+    # as it is shown, rounded, the strength is compared
     both = pairs.join(each.select(F.col("item").alias("a"), F.col("n").alias("ca")), "a").join(each.select(F.col("item").alias("b"), F.col("n").alias("cb")), "b")
     named = association(F.col("count"), F.col("ca"), F.col("cb"), F.col("total"))
-    found = both.filter(F.col("count") / F.least("ca", "cb") >= strength).crossJoin(F.broadcast(total))
-    return found.select("a", "b", "count", *[c.alias(n) for n, c in named.items()])
+    found = both.crossJoin(F.broadcast(total)).select("a", "b", "count", *[c.alias(n) for n, c in named.items()])
+    return found.filter(F.col("strength") >= strength)
 
 
-def hidden(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """``pairs`` with ``hidden``: true where ``links`` (a, b), either way round, don't have the pair."""
+def hidden(pairs: DataFrame, links: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
+    """``pairs`` with ``hidden``: true where ``links`` (a, b), either way round, don't have the pair and
+    neither side is in ``skipped`` (id): tests, generated and auxiliary files."""
     known = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("known", F.lit(True))
-    return pairs.join(known, ["a", "b"], "left").withColumn("hidden", F.col("known").isNull()).drop("known")
+    found = pairs.join(known, ["a", "b"], "left").withColumn("hidden", F.col("known").isNull()).drop("known")
+    for side in "ab" if skipped is not None else "":
+        aside = skipped.select(F.col("id").alias(side)).distinct().withColumn("aside", F.lit(True))
+        found = found.join(aside, side, "left").withColumn("hidden", F.col("hidden") & F.col("aside").isNull()).drop("aside")
+    return found
 
 
 def strongest(pairs: DataFrame, n: int = 60) -> DataFrame:

@@ -9,11 +9,19 @@ from ..session import cut
 
 
 def merge_edges(links: DataFrame) -> DataFrame:
-    """One edge for each (source, target, kind): refs, lines, specs and symbols of its links; none to itself."""
+    """One edge for each (source, target, kind): refs, lines, specs and symbols of its links; none to itself.
+
+    ``links`` has source, target, kind, spec, line, name, local, count and side.  A symbol, (name, local),
+    counts once however many links have it; a dynamic import, or one for its side effect, is one use at
+    least, while any other import that uses nothing has none.
+    """
     kept = links.filter("source <> target")
-    refs = F.sum("count")
-    least = F.when(F.col("kind").isin("dynamic", "import"), F.greatest(refs, F.lit(1))).otherwise(refs)
-    return kept.groupBy("source", "target", "kind").agg(least.alias("refs"), F.array_sort(F.collect_set("line")).alias("lines"), F.array_sort(F.collect_set("spec")).alias("specs"), F.array_sort(F.collect_set("name")).alias("symbols"))
+    symbol = F.collect_set(F.when(F.col("name") != "", F.struct("name", "local", "count")))
+    edges = kept.groupBy("source", "target", "kind").agg(symbol.alias("s"), F.array_sort(F.collect_set("line")).alias("lines"), F.array_sort(F.collect_set("spec")).alias("specs"), F.bool_or("side").alias("side"))
+    own = F.filter("s", lambda x: ~F.exists("s", lambda y: (y["name"] == x["name"]) & (y["local"] == x["local"]) & (y["count"] > x["count"])))
+    sums = edges.withColumn("s", own).withColumn("sum", F.aggregate("s", F.lit(0).cast("long"), lambda n, x: n + x["count"]))
+    refs = F.when((F.col("kind") == "dynamic") | F.col("side"), F.greatest("sum", F.lit(1))).otherwise(F.col("sum"))
+    return sums.select("source", "target", "kind", refs.alias("refs"), "lines", "specs", F.array_sort(F.array_distinct("s.name")).alias("symbols"))
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -38,16 +46,22 @@ def role(is_test: Column, fan_in: Column, fan_out: Column, inner_out: Column, ex
     )
 
 
-def reach(edges: DataFrame, seeds: DataFrame, *, most_depth: int = 50) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, *, hops: int | None = None, cap: int | None = None) -> DataFrame:
     """(seed, node, depth): what each of ``seeds`` (seed, node) reaches along the edges, at which least depth.
 
     A round joins the newest nodes with the edges and drops what is known; it ends with the first
-    round that finds nothing.
+    round that finds nothing, or after ``hops`` where just that neighbourhood is asked for.  A seed that
+    has ``cap`` nodes isn't followed further; its last round is whole, so it has ``cap`` or more.
     """
     out = cut(edges.select(F.col("src").alias("node"), F.col("dst").alias("to")).distinct())
     seen = cut(seeds.select("seed", "node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
-    for depth in range(1, most_depth + 1):
+    depth = 0
+    while hops is None or depth < hops:
+        depth += 1
+        if cap is not None:
+            full = seen.groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") > cap).select("seed")
+            frontier = frontier.join(full, "seed", "left_anti")
         step = frontier.join(out, "node").select("seed", F.col("to").alias("node")).distinct()
         frontier = cut(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
@@ -65,27 +79,31 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def impact(edges: DataFrame, nodes: DataFrame, *, cap: int = 2500, ids: int = 300) -> DataFrame:
-    """(node, total, direct, depth, capped, ids): who depends on each node, directly or not.
+    """(node, total, direct, depth, capped, levels, ids): who depends on each node, directly or not.
 
-    ``total`` is capped and told so; ids are the first by depth and name.
+    A node that ``cap`` others depend on isn't followed further, and ``capped`` says so; levels counts
+    the dependents at each depth, and ids are the first by depth and name, as many as asked for.
     """
-    found = reach(backwards(edges), nodes.select(F.col("id").alias("seed"), F.col("id").alias("node"))).filter("depth > 0 and node <> seed")
+    found = reach(backwards(edges), nodes.select(F.col("id").alias("seed"), F.col("id").alias("node")), cap=cap).filter("depth > 0 and node <> seed")
     place = F.row_number().over(Window.partitionBy("seed").orderBy("depth", "node"))
-    listed = found.withColumn("place", place).groupBy("seed").agg(
-        F.least(F.count("*"), F.lit(cap)).alias("total"),
-        F.count_if(F.col("depth") == 1).alias("direct"),
-        F.max("depth").alias("depth"),
-        (F.count("*") > cap).alias("capped"),
-        F.array_sort(F.collect_list(F.when(F.col("place") <= ids, F.struct("place", "node")))).alias("l"),
+    placed = found.withColumn("place", place)
+    kept = placed.filter(F.col("place") < cap)
+    levels = kept.groupBy("seed", "depth").agg(F.count("*").alias("n")).groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("depth", "n"))).alias("l"))
+    listed = placed.groupBy("seed").agg(
+        F.count_if(F.col("place") < cap).alias("total"),
+        F.count_if((F.col("depth") == 1) & (F.col("place") < cap)).alias("direct"),
+        F.max(F.when(F.col("place") < cap, F.col("depth"))).alias("depth"),
+        (F.count("*") >= cap).alias("capped"),
+        F.array_sort(F.collect_list(F.when(F.col("place") <= min(ids, cap - 1), F.struct("place", "node")))).alias("i"),
     )
-    return listed.select(F.col("seed").alias("node"), "total", "direct", "depth", "capped", F.col("l.node").alias("ids"))
+    return listed.join(levels, "seed").select(F.col("seed").alias("node"), "total", "direct", "depth", "capped", F.col("l.n").alias("levels"), F.col("i.node").alias("ids"))
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, *, most_depth: int = 50) -> DataFrame:
+def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
     """(step, node): a shortest path that ignores directions; of several the one whose later nodes are smallest."""
     both = undirected(edges)
     seeds = edges.sparkSession.createDataFrame([(start, start)], "seed string, node string")
-    depth = reach(both, seeds, most_depth=most_depth).select("node", "depth")
+    depth = reach(both, seeds).select("node", "depth")
     depth = cut(depth)
     last = depth.filter(F.col("node") == end).first()
     if last is None:
@@ -99,7 +117,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, *, most_depth: int = 5
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     """(seed, node, depth) within ``hops`` steps either way."""
-    return reach(undirected(edges), seeds, most_depth=hops)
+    return reach(undirected(edges), seeds, hops=hops)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -149,7 +167,7 @@ def cycles(edges: DataFrame) -> DataFrame:
         own = live.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c1")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst")
         inside = cut(own.filter("c1 = c2").select("src", "dst"))
         roots = colour.filter("node = colour").select(F.col("node").alias("seed"), "node")
-        done = cut(reach(backwards(inside), roots, most_depth=1_000_000).select("node", F.col("seed").alias("root")))
+        done = cut(reach(backwards(inside), roots).select("node", F.col("seed").alias("root")))
         found = cut(found.union(done))
         left = live.join(done.select(F.col("node").alias("src")), "src", "left_anti").join(done.select(F.col("node").alias("dst")), "dst", "left_anti")
         live = _trim(cut(left.select("src", "dst")))
@@ -184,23 +202,24 @@ def communities(edges: DataFrame, *, rounds: int = 30) -> DataFrame:
 
 
 def cohesion(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """(community, size, cohesion, lead): edges inside among those touching it, and its node of most edges."""
+    """(community, size, cohesion, lead): the weight of edges (src, dst, weight) inside among those touching it,
+    1 where none does, and its node of most edges."""
     a, b = (labels.select(F.col("node").alias(x), F.col("community").alias(f"{x}_c")) for x in ("src", "dst"))
-    both = edges.select("src", "dst").join(a, "src").join(b, "dst")
-    ends = both.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("src_c").alias("community")), F.struct(F.col("dst").alias("node"), F.col("dst_c").alias("community")))).alias("e"), (F.col("src_c") == F.col("dst_c")).alias("inside"))
-    per = ends.groupBy("e.community", "e.node").agg(F.count("*").alias("degree"), F.count_if("inside").alias("inside"))
-    rolled = per.groupBy("community").agg(F.sum("inside").alias("inside"), F.sum("degree").alias("all"), F.max_by("node", F.struct("degree", "node")).alias("lead"))
+    both = edges.select("src", "dst", "weight").join(a, "src").join(b, "dst")
+    ends = both.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("src_c").alias("community")), F.struct(F.col("dst").alias("node"), F.col("dst_c").alias("community")))).alias("e"), "weight", (F.col("src_c") == F.col("dst_c")).alias("inside"))
+    per = ends.groupBy("e.community", "e.node").agg(F.count("*").alias("degree"), F.sum("weight").alias("all"), F.sum(F.when(F.col("inside"), F.col("weight")).otherwise(0.0)).alias("inside"))
+    rolled = per.groupBy("community").agg(F.sum("inside").alias("inside"), F.sum("all").alias("all"), F.max_by("node", F.struct("degree", "node")).alias("lead"))
     sizes = labels.groupBy("community").agg(F.count("*").alias("size"))
     inside = F.col("inside") / 2
-    return sizes.join(rolled, "community", "left").select("community", "size", F.coalesce(F.floor(inside / (F.col("all") - inside) * 100 + 0.5) / 100, F.lit(0.0)).alias("cohesion"), "lead")
+    return sizes.join(rolled, "community", "left").select("community", "size", F.coalesce(F.floor(inside / (F.col("all") - inside) * 100 + 0.5) / 100, F.lit(1.0)).alias("cohesion"), "lead")
 
 
-def trace(reexports: DataFrame, uses: DataFrame, symbols: DataFrame, *, most_depth: int = 20) -> DataFrame:
+def trace(reexports: DataFrame, uses: DataFrame, symbols: DataFrame) -> DataFrame:
     """(file, name, user, count, via): who uses each symbol (file, name), directly or through files that
     export it again (source, target, name: ``*`` for all).  A path never passes a file twice."""
     at = cut(symbols.select("file", "name", F.col("file").alias("here"), F.array().cast("array<string>").alias("via")))
     found = at
-    for _ in range(most_depth):
+    while True:
         again = reexports.select(F.col("source").alias("next"), F.col("target").alias("here"), F.col("name").alias("exported"))
         at = cut(at.join(again, "here").filter((F.col("exported") == "*") | (F.col("exported") == F.col("name"))).filter(~F.array_contains("via", F.col("next")) & (F.col("next") != F.col("file"))).select("file", "name", F.col("next").alias("here"), F.concat("via", F.array("next")).alias("via")).distinct())
         if at.isEmpty():

@@ -48,9 +48,9 @@ def monthly(rows: DataFrame, item: str, ts: str, now: Column, bins: int = 6) ->
     counts = rows.withColumn("bin", bin_).filter(F.col("bin").between(0, bins - 1)).groupBy(item).agg(*[F.count_if(F.col("bin") == bins - 1 - i).alias(f"m{i}") for i in range(bins)])
     mid = (bins - 1) / 2
     spread = sum((i - mid) ** 2 for i in range(bins))
-    slope = half_up(sum((F.col(f"m{i}") * (i - mid) for i in range(bins)), F.lit(0.0)) / spread)
-    trend = F.when(F.col("slope") > 0.25, "sube").when(F.col("slope") < -0.25, "baja").otherwise("estable")
-    return counts.withColumn("slope", slope).withColumn("trend", trend)
+    slope = sum((F.col(f"m{i}") * (i - mid) for i in range(bins)), F.lit(0.0)) / spread
+    trend = F.when(slope > 0.25, "subiendo").when(slope < -0.25, "bajando").otherwise("estable")
+    return counts.withColumn("slope", half_up(slope)).withColumn("trend", trend)
 
 
 def fix_rate(rows: DataFrame, item: str, fix: Column) -> DataFrame:

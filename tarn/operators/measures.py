@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import half_up
+from ..session import cut
 
 
 def robust_z(rows: DataFrame, value: str, most: float = 3.5) -> DataFrame:
@@ -15,7 +16,7 @@ def robust_z(rows: DataFrame, value: str, most: float = 3.5) -> DataFrame:
     mad = away.agg(F.median(F.abs(F.col(value) - F.col("__median"))).alias("__mad"))
     off = F.col(value) - F.col("__median")
     z = F.when(F.col("__mad") > 0, 0.6745 * off / F.col("__mad")).when(off > 0, 3.6).otherwise(0.0)
-    return away.crossJoin(F.broadcast(mad)).withColumn("z", half_up(z)).withColumn("outlier", F.col("z") > most).drop("__median", "__mad")
+    return away.crossJoin(F.broadcast(mad)).withColumn("__z", z).withColumn("z", half_up(F.col("__z"))).withColumn("outlier", F.col("__z") > most).drop("__median", "__mad", "__z")
 
 
 def gini(rows: DataFrame, group: str, value: str) -> DataFrame:
@@ -35,6 +36,35 @@ def interval_union(rows: DataFrame, group: str, start: str, end: str) -> DataFra
     return islands.groupBy(group).agg(F.count("*").alias("islands"), F.sum(F.col("e") - F.col("s")).alias("covered"))
 
 
+def greedy(rows: DataFrame, id_col: str, size: str, *, most: int, budget: int) -> DataFrame:
+    """(id_col, size): rows of ``most`` or less in order of id_col, each taken if it still fits into ``budget``.
+
+    Each round takes, by running totals over ranges of rows, all up to the first that doesn't fit, and
+    goes on behind it with what is small enough for the rest of the budget.
+    """
+    left = cut(rows.select(id_col, size).filter(F.col(size) <= most))
+    taken = left.limit(0)
+    while budget > 0:
+        spread = cut(left.repartitionByRange(id_col).withColumn("__p", F.spark_partition_id()))
+        before = F.coalesce(F.sum("s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = spread.groupBy("__p").agg(F.sum(size).alias("s")).withColumn("before", before).filter(F.col("before") <= budget).select("__p", "before")
+        upto = F.sum(size).over(Window.partitionBy("__p").orderBy(id_col).rowsBetween(Window.unboundedPreceding, 0))
+        running = cut(spread.join(F.broadcast(starts), "__p").withColumn("upto", F.col("before") + upto).select(id_col, size, "upto"))
+        fits = running.filter(F.col("upto") <= budget).select(id_col, size, "upto")
+        end = fits.agg(F.max("upto").alias("used"), F.max(id_col).alias("last")).first()
+        if end["used"] is None and running.isEmpty():
+            break
+        taken = cut(taken.union(fits.select(id_col, size)))
+        budget -= end["used"] or 0
+        stop = running.filter(F.col("upto") > (end["used"] or 0)).agg(F.min(id_col).alias("i")).first()["i"]
+        if stop is None:
+            break
+        left = cut(left.filter((F.col(id_col) > stop) & (F.col(size) <= budget)))
+        if left.isEmpty():
+            break
+    return taken
+
+
 def longest_prefix(rows: DataFrame, path: str, prefixes: DataFrame, prefix: str, sep: str = "/") -> DataFrame:
     """``rows`` with ``prefix``, the longest of ``prefixes`` that is the path or a folder above it."""
     parts = F.split(path, sep)

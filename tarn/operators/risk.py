@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..functions.stats import level
 #: The weight of each part of risk.
 WEIGHTS = {"fan_in": 0.28, "churn": 0.26, "cycle": 0.16, "untested": 0.14, "owner": 0.10, "size": 0.06, "dup": 0.08}
 #: What a finding takes off health, and the most that its kind can.
-PENALTIES = {"cycle": (12, 30), "hotspot": (4, 12), "untested": (2, 8), "hidden": (3, 12), "owner": (3, 9), "orphan": (2, 6), "dup": (5, 15), "constant": (2, 6)}
+PENALTIES = {"cycle": (12, 30), "hidden": (4, 12), "untested": (2, 8), "high_risk": (3, 12), "owner": (3, 9), "orphan": (2, 6), "dup": (5, 15), "constant": (2, 6)}
 
 
 def risk(files: DataFrame, *, has_git: bool = True, has_dupes: bool = True) -> DataFrame:
@@ -30,7 +32,7 @@ def risk(files: DataFrame, *, has_git: bool = True, has_dupes: bool = True) -> D
         "untested": F.when((F.col("coverage") == "ninguna") & (F.col("fan_in") >= 1), 0.5 + 0.5 * share).when(F.col("coverage") == "indirecta", 0.25 * share).otherwise(0.0),
         "owner": F.when(F.col("sole_owner"), 1.0).otherwise(0.0),
         "size": F.col("loc") / 300,
-        "dup": F.greatest(F.col("dup_pct") * 1.6, F.when(F.col("dup_sev") == "costosa", 0.6).otherwise(0.0)),
+        "dup": F.col("dup_pct") * F.when(F.col("dup_sev") == "costosa", 1.6).otherwise(0.6),
     }
     clamped = {k: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(parts[k], F.lit(0.0)))) for k in weights}
     total = sum(weights.values())
@@ -39,11 +41,34 @@ def risk(files: DataFrame, *, has_git: bool = True, has_dupes: bool = True) -> D
     return scored.withColumn("level", level(F.col("score"))).drop("__in", "__c90")
 
 
+def health_counts(files: DataFrame, *, cycles: DataFrame | None = None, pairs: DataFrame | None = None, groups: DataFrame | None = None, literals: DataFrame | None = None, hot: int = 3) -> DataFrame:
+    """(kind, count) for ``health``: from scored files (skipped ones aside), cycles (component), pairs (hidden), groups (sev) and literals (sev)."""
+    used, hotspot = F.col("fan_in") >= 2, (F.col("c90") >= hot) & (F.col("fan_in") >= 2)
+    kinds = {
+        "untested": used & (F.col("coverage") == "ninguna"),
+        "high_risk": F.col("level") == "alto",
+        "owner": hotspot & F.col("sole_owner"),
+        "orphan": F.col("role") == "orphan",
+    }
+    counts = files.filter(~F.col("skipped")).agg(*[F.count_if(c).alias(k) for k, c in kinds.items()])
+    told = [counts.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, kinds)), F.array(*map(F.col, kinds)))).alias("kind", "count"))]
+    one = lambda df, kind, n: told.append(df.agg(n.alias("count")).select(F.lit(kind).alias("kind"), "count"))
+    if cycles is not None:
+        one(cycles, "cycle", F.count_distinct("component"))
+    if pairs is not None:
+        one(pairs, "hidden", F.count_if("hidden"))
+    if groups is not None:
+        one(groups, "dup", F.count_if(F.col("sev") == "costosa"))
+    if literals is not None:
+        one(literals, "constant", F.count_if(F.col("sev") == "media"))
+    return reduce(DataFrame.unionByName, told)
+
+
 def health(counts: DataFrame) -> DataFrame:
     """(score, grade) from (kind, count): 100 less each kind's penalty, which is capped."""
     penalty = F.coalesce(*[F.when(F.col("kind") == k, F.least(F.lit(cap), F.col("count") * each)) for k, (each, cap) in PENALTIES.items()], F.lit(0))
     total = counts.agg((100 - F.coalesce(F.sum(penalty), F.lit(0))).alias("score"))
-    return total.select("score", grade(F.col("score")).alias("grade"))
+    return total.select(F.greatest(F.lit(0).cast("long"), "score").alias("score")).select("score", grade(F.col("score")).alias("grade"))
 
 
 def grade(score: Column) -> Column:

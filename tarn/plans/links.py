@@ -26,7 +26,7 @@ def _statement(kind: str):
 
 
 def imports(files: DataFrame) -> DataFrame:
-    """(id, lang, kind, spec, names, line): each import statement; names is the clause as written."""
+    """(id, lang, kind, spec, names, line, side): each import statement; names is the clause as written, ``* as local`` for a whole module."""
     found = []
     for lang, patterns in IMPORTS.items():
         for kind, pattern, spec, names in patterns:
@@ -38,11 +38,15 @@ def imports(files: DataFrame) -> DataFrame:
     line = F.size(F.split(F.expr("substring(code, 1, locate(whole, code) - 1 + length(regexp_extract(whole, '^[\\\\s;}]*', 0)))"), "\n"))
     lazy = (F.col("lang") == "python") & F.regexp_replace("whole", r"^\n+", "").rlike(r"^[ \t]")
     # Python names several modules in one statement
-    each = F.when(F.col("lang") == "python", F.transform(F.split("spec", ","), lambda x: F.regexp_replace(F.trim(x), r"[ \t]+as[ \t]+\w+$", ""))).otherwise(F.array("spec"))
-    return rows.select("id", "lang", F.when(lazy, "dynamic").otherwise(F.col("kind")).alias("kind"), F.explode(each).alias("spec"), F.trim("names").alias("names"), line.alias("line"))
+    alias = lambda x: F.when(x.rlike(r"[ \t]as[ \t]"), F.regexp_extract(x, r"(\w+)$", 1)).otherwise(F.regexp_extract(x, r"^(\w+)", 1))
+    whole = F.transform(F.split("spec", ","), lambda x: F.struct(F.regexp_replace(F.trim(x), r"[ \t]+as[ \t]+\w+$", "").alias("spec"), F.concat(F.lit("* as "), alias(F.trim(x))).alias("names")))
+    plain = F.array(F.struct("spec", F.trim("names").alias("names")))
+    each = F.when((F.col("lang") == "python") & (F.col("names") == ""), whole).otherwise(plain)
+    side = (F.col("lang") == "javascript") & (F.col("kind") == "import") & (F.trim("names") == "")
+    return rows.select("id", "lang", F.when(lazy, "dynamic").otherwise(F.col("kind")).alias("kind"), F.explode(each).alias("e"), line.alias("line"), side.alias("side")).select("id", "lang", "kind", "e.spec", "e.names", "line", "side")
 
 
-def definitions(files: DataFrame, most: int = 200) -> DataFrame:
+def definitions(files: DataFrame) -> DataFrame:
     """(file, name, kind, line, exported): what each line defines, by the first pattern that fits it."""
     lines = files.select("id", "lang", F.posexplode(F.split("code", "\n")).alias("p", "x"))
     hit = None
@@ -135,21 +139,35 @@ def resolved(statements: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def references(links: DataFrame, files: DataFrame) -> DataFrame:
-    """Links (source, target, kind, spec, line, name, count): a row for each name, and how often it is used."""
+    """Links (source, target, kind, spec, line, name, local, count, side): a row for each name, and how often it is used.
+
+    A file's names are gathered before its body is joined, which so is read once and not once a name.
+    """
     clause = F.regexp_replace("names", r"[{}()\n]", " ")
     named = F.filter(F.split(clause, ","), lambda x: F.trim(x) != "")
     pairs = F.when(F.size(named) > 0, F.transform(named, lambda x: F.trim(x))).otherwise(F.array(F.lit("")))
-    rows = links.select(F.col("id").alias("source"), "target", "kind", "spec", "line", F.explode(pairs).alias("part"))
+    rows = links.select(F.col("id").alias("source"), "target", "kind", "spec", "line", "side", F.explode(pairs).alias("part"))
     local = F.regexp_extract("part", r"([\w$]+)\s*$", 1)
     rows = rows.withColumn("name", F.regexp_extract("part", r"^(\*|[\w$]+)", 1)).withColumn("local", local)
     # JavaScript drops import statements of one line only; Python all of them, and strings
     script = F.regexp_replace("code", r"(?m)^\s*(import|export)\b[^\n;]*?from\s*['\"][^'\"]+['\"];?", "")
     plain = F.regexp_replace(F.regexp_replace("code", COMMENTS["python"], " "), r"(?m)^[ \t]*(?:from[ \t]+\.*[\w.]*[ \t]+import[ \t]*(?:\([^)]*\)?|[^\n(]+)|import[ \t]+[^\n]+)", "")
     body = F.when(F.col("lang") == "python", plain).otherwise(script)
-    used = rows.join(files.select(F.col("id").alias("source"), body.alias("body")), "source")
-    pattern = F.concat(F.lit(r"(?<![\w$.])"), F.regexp_replace("local", r"\$", r"\\\\\$"), F.lit(r"(?![\w$])"))
-    count = F.when((F.col("local") == "") | (F.col("kind") == "reexport"), 0).otherwise(F.regexp_count("body", pattern))
-    return used.select("source", "target", "kind", "spec", "line", "name", count.cast("long").alias("count"))
+    wanted = rows.filter("local <> '' and kind <> 'reexport'").groupBy("source").agg(F.collect_set("local").alias("locals"))
+    used = wanted.join(files.select(F.col("id").alias("source"), body.alias("body")), "source")
+    pattern = lambda x: F.concat(F.lit(r"(?<![\w$.])"), F.regexp_replace(x, r"\$", r"\\\\\$"), F.lit(r"(?![\w$])"))
+    counted = used.select("source", F.explode(F.transform("locals", lambda x: F.struct(x.alias("local"), F.regexp_count("body", pattern(x)).cast("long").alias("count")))).alias("c")).select("source", "c.*")
+    found = rows.join(counted, ["source", "local"], "left")
+    count = F.when(F.col("kind") == "reexport", 0).otherwise(F.coalesce("count", F.lit(0))).cast("long")
+    return found.select("source", "target", "kind", "spec", "line", "name", "local", count.alias("count"), "side")
+
+
+def members(links: DataFrame, files: DataFrame) -> DataFrame:
+    """(source, target, name, count): what is used of modules that are imported whole, as ``local.member``."""
+    whole = links.filter("name = '*' and local <> '' and kind <> 'reexport'").select("source", "target", "local").distinct()
+    dotted = files.select(F.col("id").alias("source"), F.explode(F.regexp_extract_all("code", F.lit(r"(?<![\w$.])([\w$]+\.[\w$]+)"), 1)).alias("m")).groupBy("source", "m").agg(F.count("*").alias("count"))
+    split = dotted.select("source", F.split_part("m", F.lit("."), F.lit(1)).alias("local"), F.split_part("m", F.lit("."), F.lit(2)).alias("name"), "count")
+    return whole.join(split, ["source", "local"]).select("source", "target", "name", "count")
 
 
 def by_type(files: DataFrame, statements: DataFrame) -> DataFrame:
@@ -167,30 +185,49 @@ def by_type(files: DataFrame, statements: DataFrame) -> DataFrame:
     visible = seen.union(spaced.select("id", "lang", "ns")).distinct()
     tokens = spaced.select(F.col("id").alias("source"), F.explode(F.regexp_extract_all("code", F.lit(r"\b([A-Z]\w*)\b"), 1)).alias("token")).groupBy("source", "token").agg(F.count("*").alias("count"))
     met = tokens.join(types, "token").join(visible, ["source", "lang", "ns"]).filter("source <> target")
-    return met.select("source", "target", F.lit("import").alias("kind"), F.col("ns").alias("spec"), F.lit(1).alias("line"), F.col("token").alias("name"), "count").distinct()
+    return met.select("source", "target", F.lit("import").alias("kind"), F.col("ns").alias("spec"), F.lit(1).alias("line"), F.col("token").alias("name"), F.col("token").alias("local"), "count", F.lit(False).alias("side")).distinct()
 
 
 def by_package(files: DataFrame, statements: DataFrame, modules: DataFrame) -> DataFrame:
     """Go links: imports below a module (dir, module) to the files that define what is used of them."""
     gone = files.filter("lang = 'go'")
-    named = statements.filter("lang = 'go'").join(F.broadcast(modules), F.col("spec").startswith(F.col("module")))
+    # a module is one of the paths above what is imported: joined by equality
+    steps = F.split("spec", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
+    named = statements.filter("lang = 'go'").withColumn("module", F.explode(above)).join(modules, "module")
     folder = F.regexp_replace(F.concat_ws("/", "dir", F.expr("substring(spec, length(module) + 2, 4096)")), "^/|/$", "")
     wanted = named.select(F.col("id").alias("source"), folder.alias("folder"), F.regexp_extract("spec", "([^/]+)$", 1).alias("alias"), "spec", "line")
     members = gone.select(F.col("id").alias("source"), F.explode(F.regexp_extract_all("code", F.lit(r"\b(\w+\.[A-Z]\w*)"), 1)).alias("m")).groupBy("source", "m").agg(F.count("*").alias("count"))
     members = members.select("source", F.split_part("m", F.lit("."), F.lit(1)).alias("alias"), F.split_part("m", F.lit("."), F.lit(2)).alias("name"), "count")
     owned = definitions(gone).filter(~F.col("file").endswith("_test.go")).select(F.col("file").alias("target"), "name", F.regexp_replace("file", "/[^/]*$", "").alias("folder"))
-    return wanted.join(members, ["source", "alias"]).join(owned, ["folder", "name"]).select("source", "target", F.lit("import").alias("kind"), "spec", "line", "name", "count")
+    return wanted.join(members, ["source", "alias"]).join(owned, ["folder", "name"]).select("source", "target", F.lit("import").alias("kind"), "spec", "line", "name", F.concat_ws(".", "alias", "name").alias("local"), "count", F.lit(False).alias("side"))
 
 
-def graph(files: DataFrame, modules: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(files with code, edges between files, edges to packages) of ``files`` (id, ext, lang, content)."""
+def siblings(files: DataFrame) -> DataFrame:
+    """Go links within a folder: names of four characters or more that a file uses and another of its folder defines, and it itself doesn't."""
+    gone = files.filter("lang = 'go'").withColumn("folder", text.folder(F.col("id")))
+    defined = definitions(gone).select("file", F.col("name").alias("token")).distinct()
+    own = defined.filter((F.length("token") >= 4) & ~F.col("file").endswith("_test.go")).join(gone.select(F.col("id").alias("file"), "folder"), "file").withColumnRenamed("file", "target")
+    words = gone.select(F.col("id").alias("source"), "folder", F.explode(F.regexp_extract_all("code", F.lit(r"[A-Za-z_$][\w$]*"), 0)).alias("token")).groupBy("source", "folder", "token").agg(F.count("*").alias("count"))
+    met = words.join(own, ["folder", "token"]).filter("source <> target").join(defined.withColumnRenamed("file", "source"), ["source", "token"], "left_anti")
+    return met.select("source", "target", F.lit("import").alias("kind"), F.lit("paquete").alias("spec"), F.lit(1).alias("line"), F.col("token").alias("name"), F.col("token").alias("local"), "count", F.lit(False).alias("side"))
+
+
+def linked(files: DataFrame, modules: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files with code, links of names, edges to packages) of ``files`` (id, ext, lang, content)."""
     coded = cut(stripped(files))
     statements = cut(resolved(imports(coded), coded))
-    links = references(statements.filter("target is not null"), coded).union(by_type(coded, statements))
+    links = references(statements.filter("target is not null"), coded).unionByName(by_type(coded, statements)).unionByName(siblings(coded))
     if modules is not None:
-        links = links.union(by_package(coded, statements, modules))
-    edges = cut(merge_edges(links))
+        links = links.unionByName(by_package(coded, statements, modules))
+    links = cut(links)
     local = statements.filter("target is null and not spec rlike '^[./]' and kind <> 'mod' and not (lang = 'rust')")
-    known = edges.select(F.col("source").alias("id"), F.explode("specs").alias("spec"))
+    known = links.select(F.col("source").alias("id"), "spec").distinct()
     outside = local.join(known, ["id", "spec"], "left_anti").select(F.col("id").alias("source"), F.concat(F.lit("pkg:"), text.package(F.col("spec"), F.col("lang"))).alias("target"), "kind").distinct()
-    return coded, edges, outside
+    return coded, links, outside
+
+
+def graph(files: DataFrame, modules: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files with code, edges between files, edges to packages) of ``files`` (id, ext, lang, content)."""
+    coded, links, outside = linked(files, modules)
+    return coded, cut(merge_edges(links)), outside

@@ -45,7 +45,7 @@ m AS (SELECT seed, node, min(depth) AS depth FROM r GROUP BY ALL)
 SELECT seed AS node, count(*) AS total, count(*) FILTER (depth = 1) AS direct, max(depth) AS depth, false AS capped FROM m WHERE node <> seed GROUP BY seed""")
 def impact_bfs(spark: SparkSession, d: str) -> DataFrame:
     edges = brand_graph(spark, d).select("src", "dst")
-    return graph.impact(edges, _nodes(edges)).drop("ids")
+    return graph.impact(edges, _nodes(edges)).drop("ids", "levels")
 
 
 @register(f"""WITH RECURSIVE {G}, c(a, b) AS (SELECT src, dst FROM g UNION SELECT c.a, g.dst FROM c JOIN g ON c.b = g.src)
@@ -97,10 +97,10 @@ def communities(spark: SparkSession, d: str) -> DataFrame:
     return graph.cohesion(edges, graph.communities(edges))
 
 
-@register(f"""WITH {G} SELECT src AS source, dst AS target, 'import' AS kind, greatest(1, CAST(sum(n) AS BIGINT)) AS refs, [1] AS lines, [src || dst] AS specs, [dst] AS symbols FROM g GROUP BY ALL""")
+@register(f"""WITH {G} SELECT src AS source, dst AS target, 'import' AS kind, CAST(any_value(n) AS BIGINT) AS refs, [1] AS lines, [src || dst] AS specs, [dst] AS symbols FROM g GROUP BY ALL""")
 def edge_dedupe(spark: SparkSession, d: str) -> DataFrame:
     edges = brand_graph(spark, d)
-    links = edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), F.lit("import").alias("kind"), F.col("n").alias("count"), F.lit(1).alias("line"), F.concat("src", "dst").alias("spec"), F.col("dst").alias("name"))
+    links = edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), F.lit("import").alias("kind"), F.col("n").alias("count"), F.lit(1).alias("line"), F.concat("src", "dst").alias("spec"), F.col("dst").alias("name"), F.col("dst").alias("local"), F.lit(False).alias("side"))
     again = links.withColumn("count", F.lit(0).cast("long"))
     own = links.withColumn("target", F.col("source"))
     return graph.merge_edges(links.union(again).union(own))

@@ -16,9 +16,9 @@ s AS (SELECT *, count(*) OVER (PARTITION BY tx) AS n FROM t),
 p AS (SELECT x.item AS a, y.item AS b, count(*) AS count FROM s x JOIN s y ON x.tx = y.tx AND x.item < y.item WHERE x.n BETWEEN 2 AND 25 GROUP BY ALL HAVING count(*) >= 2),
 e AS (SELECT item, count(*) AS n FROM t GROUP BY item),
 tot AS (SELECT count(DISTINCT tx) AS total FROM t),
-c AS (SELECT a, b, count, floor(count / least(x.n, y.n) * 100 + 0.5) / 100 AS strength, floor(count / total * 10000 + 0.5) / 10000 AS support,
+c AS (SELECT a, b, count, floor(count / least(x.n, y.n) * 100 + 0.5) / 100 AS strength, floor(count / total * 100 + 0.5) / 100 AS support,
   floor(count / x.n * 100 + 0.5) / 100 AS conf_ab, floor(count / y.n * 100 + 0.5) / 100 AS conf_ba, floor((count / total) / ((x.n / total) * (y.n / total)) * 100 + 0.5) / 100 AS lift
-  FROM p JOIN e x ON x.item = a JOIN e y ON y.item = b, tot WHERE count / least(x.n, y.n) >= 0.05)"""
+  FROM p JOIN e x ON x.item = a JOIN e y ON y.item = b, tot WHERE floor(count / least(x.n, y.n) * 100 + 0.5) / 100 >= 0.05)"""
 
 
 def _associated(spark: SparkSession, d: str) -> DataFrame:
@@ -101,8 +101,8 @@ def churn_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @register("""WITH b AS (SELECT o_orderpriority AS item, floor((epoch_ms(max(o_orderdate) OVER ()) - epoch_ms(o_orderdate)) / 86400000 / 30) AS bin FROM orders),
 m AS (SELECT item, count(*) FILTER (bin = 5) AS m0, count(*) FILTER (bin = 4) AS m1, count(*) FILTER (bin = 3) AS m2, count(*) FILTER (bin = 2) AS m3, count(*) FILTER (bin = 1) AS m4, count(*) FILTER (bin = 0) AS m5 FROM b WHERE bin BETWEEN 0 AND 5 GROUP BY item),
-s AS (SELECT *, floor((m0 * -2.5 + m1 * -1.5 + m2 * -0.5 + m3 * 0.5 + m4 * 1.5 + m5 * 2.5)::DOUBLE / 17.5 * 100 + 0.5) / 100 AS slope FROM m)
-SELECT *, CASE WHEN slope > 0.25 THEN 'sube' WHEN slope < -0.25 THEN 'baja' ELSE 'estable' END AS trend FROM s""")
+s AS (SELECT *, (m0 * -2.5 + m1 * -1.5 + m2 * -0.5 + m3 * 0.5 + m4 * 1.5 + m5 * 2.5)::DOUBLE / 17.5 AS raw FROM m)
+SELECT * EXCLUDE raw, floor(raw * 100 + 0.5) / 100 AS slope, CASE WHEN raw > 0.25 THEN 'subiendo' WHEN raw < -0.25 THEN 'bajando' ELSE 'estable' END AS trend FROM s""")
 def monthly_trend(spark: SparkSession, d: str) -> DataFrame:
     return history.monthly(_now(read(spark, d, "orders"), "o_orderdate"), "o_orderpriority", "o_orderdate", F.col("now")).withColumnRenamed("o_orderpriority", "item")
 
@@ -142,7 +142,7 @@ def pct_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(f"""WITH {PARTS}, m AS (SELECT *, median(n) OVER () AS med FROM u), a AS (SELECT *, median(abs(n - med)) OVER () AS mad FROM m),
-z AS (SELECT item, n, floor(CASE WHEN mad > 0 THEN 0.6745::DOUBLE * (n - med) / mad WHEN n > med THEN 3.6 ELSE 0 END * 100 + 0.5) / 100 AS z FROM a) SELECT *, z > 3.5 AS outlier FROM z""")
+z AS (SELECT item, n, CASE WHEN mad > 0 THEN 0.6745::DOUBLE * (n - med) / mad WHEN n > med THEN 3.6 ELSE 0 END AS raw FROM a) SELECT item, n, floor(raw * 100 + 0.5) / 100 AS z, raw > 3.5 AS outlier FROM z""")
 def robust_z(spark: SparkSession, d: str) -> DataFrame:
     return measures.robust_z(_uses(spark, d).select("item", "n"), "n")
 

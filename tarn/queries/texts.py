@@ -12,15 +12,16 @@ from .common import Registry, read
 register = Registry()
 
 
-@register("""SELECT sha256(coalesce(text, '')) AS digest, count(*) AS copies, min(doc_id) AS first, list_sort(list(doc_id)) AS members FROM documents GROUP BY 1 HAVING count(*) > 1""")
+@register("""WITH g AS (SELECT sha256(coalesce(text, '')) AS digest, count(*) AS copies, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1) SELECT doc_id AS unit, digest, copies, first FROM documents JOIN g ON sha256(coalesce(text, '')) = digest""")
 def exact_clones(spark: SparkSession, d: str) -> DataFrame:
     return clones.exact_groups(read(spark, d, "documents"), "doc_id", "text")
 
 
-NEAR = r"""t AS (SELECT doc_id AS unit, list_filter(regexp_split_to_array(lower(text), '[ \t\n]+'), lambda x: x <> '') AS t FROM documents),
+NEAR = r"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n]+'), lambda x: x <> '') AS t FROM documents),
+t AS (SELECT min(doc_id) AS unit, t FROM w WHERE t IS NOT NULL GROUP BY t),
 g AS (SELECT DISTINCT unit, array_to_string(t[i:i + 4], ' ') AS shingle FROM (SELECT unit, t, unnest(range(1, len(t) - 3)) AS i FROM t WHERE len(t) >= 5)),
 n AS (SELECT count(DISTINCT unit) AS units FROM g),
-f AS (SELECT shingle FROM g, n GROUP BY shingle HAVING count(*) >= 2 AND count(*) <= greatest(8, ceil(any_value(units) * 0.2))),
+f AS (SELECT shingle FROM g, n GROUP BY shingle HAVING count(*) <= greatest(8, ceil(any_value(units) * 0.2))),
 r AS (SELECT g.* FROM g JOIN f USING (shingle)), k AS (SELECT unit, count(*) AS n FROM r GROUP BY unit HAVING count(*) >= 10),
 b AS (SELECT x.unit AS a, y.unit AS b, count(*) AS met FROM r x JOIN r y ON x.shingle = y.shingle AND x.unit < y.unit WHERE x.unit IN (SELECT unit FROM k) AND y.unit IN (SELECT unit FROM k) GROUP BY ALL),
 q AS MATERIALIZED (SELECT a, b, round(met / (ka.n + kb.n - met), 4) AS sim FROM b JOIN k ka ON ka.unit = a JOIN k kb ON kb.unit = b WHERE met >= 0.5 * least(ka.n, kb.n) AND met / (ka.n + kb.n - met) >= 0.8)"""
@@ -28,7 +29,9 @@ q AS MATERIALIZED (SELECT a, b, round(met / (ka.n + kb.n - met), 4) AS sim FROM
 
 def _near(spark: SparkSession, d: str) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), r"[ \t\n]+"), lambda w: w != "")
-    return clones.near_pairs(clones.shingles(read(spark, d, "documents"), "doc_id", words))
+    docs = read(spark, d, "documents").filter("text is not null")
+    reps = clones.classes(docs, "doc_id", F.array_join(words, " ")).filter("unit = rep")
+    return clones.near_pairs(clones.shingles(docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "doc_id", words))
 
 
 @register(f"WITH {NEAR} SELECT * FROM q")
@@ -54,13 +57,13 @@ def line_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS value FROM documents), p AS (SELECT value, doc_id, count(*) AS n FROM l WHERE length(value) >= 4 GROUP BY ALL)
-SELECT value, CAST(sum(n) AS BIGINT) AS count, count(*) AS files, list_sort(list(doc_id))[1:12] AS sample, CASE WHEN count(*) >= 3 AND sum(n) >= 4 THEN 'costosa' ELSE 'inofensiva' END AS sev FROM p GROUP BY value HAVING sum(n) >= 3 AND count(*) >= 2""")
+SELECT value, CAST(sum(n) AS BIGINT) AS count, count(*) AS files, list_sort(list(doc_id))[1:12] AS sample, CASE WHEN count(*) >= 3 AND sum(n) >= 4 THEN 'media' ELSE 'info' END AS sev FROM p GROUP BY value HAVING sum(n) >= 3 AND count(*) >= 2""")
 def magic_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("value")).filter(F.length("value") >= 4)
     return clones.repeated_literals(lines, "value", "doc_id")
 
 
-@register("""SELECT name, count(DISTINCT page_id) AS files, list_sort(list(DISTINCT page_id)) AS owners FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS name FROM pages) WHERE length(name) >= 5 GROUP BY name HAVING count(DISTINCT page_id) >= 2""")
+@register("""WITH n AS (SELECT DISTINCT page_id AS owner, regexp_extract(html, '<title>([^<]*)</title>', 1) AS name FROM pages), g AS (SELECT name, count(*) AS files FROM n WHERE length(name) >= 5 GROUP BY name HAVING count(*) >= 2) SELECT name, owner, files FROM n JOIN g USING (name)""")
 def homonyms(spark: SparkSession, d: str) -> DataFrame:
     names = read(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("name"))
     return clones.homonyms(names, "name", "page_id")
@@ -76,7 +79,7 @@ def dup_cost(spark: SparkSession, d: str) -> DataFrame:
     return both.select("a", "b", clones.cost(F.col("lines"), F.lit(2), F.lit(0.0), sources, F.lit(False), sources).alias("score"))
 
 
-@register(r"""SELECT doc_id, CASE WHEN regexp_matches(array_to_string(string_split(text, chr(10))[1:25], chr(10)), '(?i)@generated|DO NOT EDIT|<auto-generated|auto-?generated|code generated by|generated by (?:the )?\w+|archivo generado') THEN 'marca'
+@register(r"""SELECT doc_id, CASE WHEN regexp_matches(array_to_string(string_split(text, chr(10))[1:25], chr(10)), '(?i)@generated|DO NOT EDIT|<auto-generated|auto-?generated|code generated by|generated by (?:the )?\w+|this file (?:is|was) (?:auto)?-?generated|archivo generado') THEN 'marca'
 WHEN len(string_split(text, chr(10))) <= 3 AND length(text) > 3000 THEN 'minificado' END AS reason FROM documents""")
 def generated_marker(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", text.generated(F.lit("-"), F.col("text")).alias("reason"))

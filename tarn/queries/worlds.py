@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import compare, risk, sets
+from ..operators import compare, measures, risk, sets
+from ..plans.insights import file_findings
 from .common import Registry, read
 
 register = Registry()
@@ -95,11 +96,11 @@ f AS (SELECT p_partkey AS id, coalesce(fan_in, 0) AS fan_in, coalesce(c90, 0) AS
 x AS (SELECT greatest(4, max(fan_in)) AS mi, greatest(4, max(c90)) AS mc FROM f WHERE NOT skipped),
 q AS (SELECT f.*, least(1, fan_in / mi) * 0.28::DOUBLE / 1.08 + least(1, c90 / mc) * 0.26::DOUBLE / 1.08 + CASE WHEN in_cycle THEN 1 ELSE 0 END * 0.16::DOUBLE / 1.08
   + least(1, CASE WHEN coverage = 'ninguna' AND fan_in >= 1 THEN 0.5 + 0.5 * (fan_in / mi) WHEN coverage = 'indirecta' THEN 0.25 * (fan_in / mi) ELSE 0 END) * 0.14::DOUBLE / 1.08
-  + CASE WHEN sole_owner THEN 1 ELSE 0 END * 0.10::DOUBLE / 1.08 + least(1, loc::DOUBLE / 300) * 0.06::DOUBLE / 1.08 + least(1, greatest(dup_pct * 1.6::DOUBLE, CASE WHEN dup_sev = 'costosa' THEN 0.6 ELSE 0 END)) * 0.08::DOUBLE / 1.08 AS raw FROM f, x),
+  + CASE WHEN sole_owner THEN 1 ELSE 0 END * 0.10::DOUBLE / 1.08 + least(1, loc::DOUBLE / 300) * 0.06::DOUBLE / 1.08 + least(1, dup_pct * CASE WHEN dup_sev = 'costosa' THEN 1.6::DOUBLE ELSE 0.6::DOUBLE END) * 0.08::DOUBLE / 1.08 AS raw FROM f, x),
 r AS (SELECT *, CAST(CASE WHEN skipped THEN 0 ELSE floor(round(raw * 100, 6) + 0.5) END AS INTEGER) AS score FROM q)"""
 
 
-def _files(spark: SparkSession, d: str) -> DataFrame:
+def files_of(spark: SparkSession, d: str) -> DataFrame:
     lines = read(spark, d, "lineitem")
     rows = lines.crossJoin(F.broadcast(lines.agg(F.max("l_shipdate").alias("now"))))
     recent = F.col("l_shipdate") >= F.col("now") - F.expr("interval 90 days")
@@ -111,41 +112,49 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
         (F.col("owners") == 1).alias("sole_owner"), (size * 7).alias("loc"), (size % 5 / 10).alias("dup_pct"),
         F.when(size % 10 == 0, "costosa").otherwise("inofensiva").alias("dup_sev"), (size % 11 == 0).alias("skipped"),
     )
-    return risk.risk(files)
+    scored = risk.risk(files)
+    return scored.withColumns({"role": F.when(F.col("fan_in") == 0, "orphan").otherwise("module"), "commits": F.col("fan_in")})
 
 
 @register(f"WITH {FILES} SELECT id, score, CASE WHEN score >= 55 THEN 'alto' WHEN score >= 30 THEN 'medio' ELSE 'bajo' END AS level FROM r")
 def risk_score(spark: SparkSession, d: str) -> DataFrame:
-    return _files(spark, d).select("id", "score", "level")
+    return files_of(spark, d).select("id", "score", "level")
 
 
-COUNTS = "k AS (SELECT count(*) FILTER (in_cycle) AS cycle, count(*) FILTER (score >= 55) AS hotspot, count(*) FILTER (coverage = 'ninguna') AS untested, count(*) FILTER (sole_owner) AS owner FROM r WHERE NOT skipped)"
-
-
-@register(f"WITH {FILES}, {COUNTS}, h AS (SELECT CAST(100 - least(30, cycle * 12) - least(12, hotspot * 4) - least(8, untested * 2) - least(9, owner * 3) AS BIGINT) AS score FROM k) SELECT score, CASE WHEN score >= 75 THEN 'sana' WHEN score >= 50 THEN 'atención' ELSE 'frágil' END AS grade FROM h")
+@register(f"""WITH {FILES}, t AS (SELECT * FROM r WHERE NOT skipped), p AS (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY s_nationkey), l AS (SELECT p_type, count(*) AS n, count(DISTINCT p_brand) AS b FROM part GROUP BY p_type),
+k AS (SELECT least(30, 12 * (SELECT count(DISTINCT p_brand) FROM part WHERE p_brand = 'Brand#11')) + least(12, 4 * (SELECT count(*) FROM p WHERE n >= 6)) + least(15, 5 * (SELECT count(*) FROM p WHERE n < 2)) + least(6, 2 * (SELECT count(*) FROM l WHERE b >= 3 AND n >= 4))
+  + least(8, 2 * count(*) FILTER (fan_in >= 2 AND coverage = 'ninguna')) + least(12, 3 * count(*) FILTER (score >= 55)) + least(9, 3 * count(*) FILTER (c90 >= 3 AND fan_in >= 2 AND sole_owner)) + least(6, 2 * count(*) FILTER (fan_in = 0)) AS off FROM t)
+SELECT CAST(greatest(0, 100 - off) AS BIGINT) AS score, CASE WHEN 100 - off >= 75 THEN 'sana' WHEN 100 - off >= 50 THEN 'atención' ELSE 'frágil' END AS grade FROM k""")
 def health(spark: SparkSession, d: str) -> DataFrame:
-    kept = _files(spark, d).filter("not skipped")
-    kinds = F.array_compact(F.array(F.when(F.col("in_cycle"), "cycle"), F.when(F.col("score") >= 55, "hotspot"), F.when(F.col("coverage") == "ninguna", "untested"), F.when(F.col("sole_owner"), "owner")))
-    return risk.health(kept.select(F.explode(kinds).alias("kind")).groupBy("kind").agg(F.count("*").alias("count")))
-
-
-@register(f"""WITH {FILES}, i AS (SELECT 'hotspot' AS kind, 'alta' AS sev, id, row_number() OVER (ORDER BY score DESC, id) AS place, 4 AS most FROM r WHERE NOT skipped AND c90 >= 1 AND fan_in >= 2
-UNION ALL SELECT 'pruebas', 'media', id, row_number() OVER (ORDER BY score DESC, id), 5 FROM r WHERE NOT skipped AND coverage = 'ninguna' AND fan_in >= 2
-UNION ALL SELECT 'dueño', 'media', id, row_number() OVER (ORDER BY score DESC, id), 5 FROM r WHERE NOT skipped AND sole_owner
-UNION ALL SELECT 'huérfano', 'info', id, row_number() OVER (ORDER BY score DESC, id), 6 FROM r WHERE NOT skipped AND fan_in = 0)
-SELECT kind, sev, id, CAST(place AS INTEGER) AS place FROM i WHERE place <= most""")
+    """All eight kinds: files from parts, a cycle from a brand, pairs and groups from nations' suppliers, literals from types."""
+    files = files_of(spark, d)
+    nations = read(spark, d, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"))
+    types = read(spark, d, "part").groupBy("p_type").agg(F.count("*").alias("n"), F.count_distinct("p_brand").alias("b"))
+    counts = risk.health_counts(
+        files,
+        cycles=read(spark, d, "part").filter("p_brand = 'Brand#11'").select(F.col("p_brand").alias("component")),
+        pairs=nations.select((F.col("n") >= 6).alias("hidden")),
+        groups=nations.select(F.when(F.col("n") < 2, "costosa").otherwise("latente").alias("sev")),
+        literals=types.select(F.when((F.col("b") >= 3) & (F.col("n") >= 4), "media").otherwise("info").alias("sev")),
+    )
+    return risk.health(counts)
+
+
+@register(f"""WITH {FILES}, t AS (SELECT *, c90 >= 1 AND fan_in >= 2 AS hotspot FROM r WHERE NOT skipped)
+SELECT 'hotspot' AS kind, CASE WHEN score >= 55 THEN 'alta' ELSE 'media' END AS sev, id, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS place FROM t WHERE hotspot QUALIFY place <= 4
+UNION ALL SELECT 'pruebas', 'media', id, 1 FROM t WHERE NOT hotspot AND fan_in >= 2 AND coverage = 'ninguna'
+UNION ALL SELECT 'dueño', 'media', id, 1 FROM t WHERE NOT hotspot AND sole_owner AND fan_in >= 4 AND loc >= 40 UNION ALL SELECT 'huérfano', 'info', id, 1 FROM t WHERE fan_in = 0""")
 def insights(spark: SparkSession, d: str) -> DataFrame:
-    from ..plans.insights import file_findings
-
-    return file_findings(_files(spark, d), hot=1)
+    files = files_of(spark, d)
+    return file_findings(files, hot=1)
 
 
 QUESTIONS = ("¿Qué es lo más riesgoso de tocar?", "qué se rompe si cambio esto", "archivos que cambian juntos", "¿dónde está la duplicación?", "sin pruebas", "¿quién conoce esto?", "qué puedo borrar", "ciclos", "código generado", "reflexión", "funciones recursivas", "novedades desde ayer", "¿cómo está la salud?", "xyzzy")
 
 
-@register("WITH q(q) AS (VALUES " + ", ".join(f"('{q}')" for q in QUESTIONS) + "), f AS (SELECT q, translate(lower(q), 'áàâäãåéèêëíìîïóòôöõúùûüñçý', 'aaaaaaeeeeiiiiooooouuuuncy') AS t FROM q UNION ALL SELECT text, lower(text) FROM conversations WHERE conv_id % 10 = 0)\nSELECT q, CASE " + " ".join(f"WHEN regexp_matches(t, '{rx}') THEN '{name}'" for name, rx in text.INTENTS) + " ELSE 'none' END AS intent FROM f")
+@register("WITH q(q) AS (VALUES " + ", ".join(f"('{q}')" for q in QUESTIONS) + "), f AS (SELECT q, translate(lower(q), 'áàâäãåéèêëíìîïóòôöõúùûüñçý', 'aaaaaaeeeeiiiiooooouuuuncy') AS t FROM q UNION ALL SELECT text, lower(text) FROM conversations)\nSELECT q, CASE " + " ".join(f"WHEN regexp_matches(t, '{rx}') THEN '{name}'" for name, rx in text.INTENTS) + " ELSE 'none' END AS intent FROM f")
 def intents(spark: SparkSession, d: str) -> DataFrame:
-    asked = spark.createDataFrame([(q,) for q in QUESTIONS], "q string").union(read(spark, d, "conversations").filter("conv_id % 10 = 0").select(F.col("text").alias("q")))
+    asked = spark.createDataFrame([(q,) for q in QUESTIONS], "q string").union(read(spark, d, "conversations").select(F.col("text").alias("q")))
     return asked.select("q", text.intent(F.col("q")).alias("intent"))
 
 
@@ -157,11 +166,10 @@ def stream_rebuild(spark: SparkSession, d: str) -> DataFrame:
     return rebuild(spark, f"{d}/events.parquet")
 
 
-@register("""WITH s AS (SELECT event_id AS id, length(props) AS n, sum(length(props)) OVER (ORDER BY event_id) AS upto FROM events) SELECT id, n FROM s WHERE n <= 60000 AND upto <= 30000""")
+@register("""WITH RECURSIVE s AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id AS id, length(text) AS n FROM documents WHERE length(text) <= 60000),
+g(i, id, n, used) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT s.i, CASE WHEN g.used + s.n <= 3000000 THEN s.id END, s.n, CASE WHEN g.used + s.n <= 3000000 THEN g.used + s.n ELSE g.used END FROM g JOIN s ON s.i = g.i + 1)
+SELECT id, n FROM g WHERE id IS NOT NULL""")
 def embedded_contents(spark: SparkSession, d: str) -> DataFrame:
-    """Contents in order until a budget is used: partitions' sums first, so that only those are in one window."""
-    rows = read(spark, d, "events").select(F.col("event_id").alias("id"), F.length("props").alias("n")).filter("n <= 60000")
-    bucket = F.floor(F.col("id") / 1000)
-    before = rows.groupBy(bucket.alias("b")).agg(F.sum("n").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter("before <= 30000").select("b", "before")
-    upto = F.sum("n").over(Window.partitionBy("b").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("b", bucket).join(before, "b").withColumn("upto", F.col("before") + upto).filter("upto <= 30000").select("id", "n")
+    """Contents of 60,000 characters or fewer, in order, until 3,000,000 are used; one that doesn't fit any more is passed over."""
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("n"))
+    return measures.greedy(rows, "id", "n", most=60_000, budget=3_000_000)

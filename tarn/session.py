@@ -16,18 +16,25 @@ def session(app: str = "tarn", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, which a cluster's machines share.  Where it is unset and all
+    tasks run on this machine, as in tests, a temporary one is taken; on a cluster that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-tarn-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read from there from then on.
 
-    The folder is the session's spark.checkpoint.dir, which a cluster's machines share; only where it
-    is unset, as in tests, a temporary one is taken.  A written table and not checkpoint(), because a
-    checkpoint keeps its plan's partitioning: through rounds of joins that description doubles each time.
+    A written table and not checkpoint(), because a checkpoint keeps its plan's partitioning: through
+    rounds of joins that description doubles each time.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-tarn-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

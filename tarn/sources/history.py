@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import json
 import os
+import shutil
 import subprocess
+import tarfile
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -98,6 +103,37 @@ def blame(root: str, names: DataFrame) -> DataFrame:
     return found.withColumn("t", F.timestamp_seconds("t")).withColumnRenamed("t", "ts")
 
 
+def changed_since(spark: SparkSession, root: str, ref: str = "HEAD") -> DataFrame:
+    """(path, status): A, M or D for each file that differs from ``ref``; a rename is D and A, an untracked file A."""
+    lines = [x.split("\t") for x in _git(root, "diff", "--name-status", "-M", ref).splitlines() if x]
+    rows = [(x[1], x[0][0]) for x in lines if x[0][0] in "AMD"]
+    rows += [y for x in lines if x[0][0] == "R" for y in ((x[1], "D"), (x[2], "A"))]
+    rows += [(x, "A") for x in _git(root, "ls-files", "--others", "--exclude-standard").splitlines() if x]
+    return spark.createDataFrame(rows, "path string, status string")
+
+
+@contextlib.contextmanager
+def base_tree(root: str, ref: str) -> Iterator[str]:
+    """A folder with the tree as it was at ``ref``, for as long as it is used.
+
+    It lies where ``root`` does, which all executors can read, below a hidden name that no scan enters.
+    """
+    top = tempfile.mkdtemp(prefix=".base-", dir=os.path.dirname(os.path.abspath(root)))
+    try:
+        packed = subprocess.run(["git", "-C", root, "archive", ref], capture_output=True, check=True).stdout
+        with tarfile.open(fileobj=io.BytesIO(packed)) as t:
+            t.extractall(top, filter="data")
+        yield top
+    finally:
+        shutil.rmtree(top, ignore_errors=True)
+
+
+def info(root: str) -> dict[str, str] | None:
+    """branch and head of a repository; None where there is none."""
+    key = head(root)
+    return None if key is None else {"head": key, "branch": _git(root, "rev-parse", "--abbrev-ref", "HEAD").strip()}
+
+
 def settings(path: str) -> dict:
     """languages, dupes, aux and auxOff of a JSON file; empty where it is absent or isn't JSON."""
     empty = {"languages": {}, "dupes": {}, "aux": [], "auxOff": []}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def follow(spark: SparkSession, stream: DataFrame, build: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> None:
     """Adds what has arrived to ``target``/rows and rebuilds ``target``/world from all rows, until the
@@ -26,8 +27,7 @@ def follow(spark: SparkSession, stream: DataFrame, build: Callable[[DataFrame],
 
 def rebuild(spark: SparkSession, path: str) -> DataFrame:
     """(user_id, n, last, revision) from the files at ``path``, read as a stream."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tarn-")
-    base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     parent, name = path.rsplit("/", 1)
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", name).parquet(parent)
     build = lambda rows: rows.groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
