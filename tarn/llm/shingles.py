@@ -29,6 +29,8 @@ OVER, UNDER = 4, 5
 AGREE = 65
 #: Bits in which fingerprints of candidates differ at most.
 DISTANCE = 3
+#: Longs of parity bits of a set.
+PARITY = 8
 _MIX = np.random.default_rng(42).integers(0, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -75,8 +77,24 @@ def marks(hashes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, sketch
 
 
+def parities(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """PARITY longs for each set: of each of 64 * PARITY buckets of hashes, whether it holds an odd number.
+
+    A bucket whose parity differs between two sets holds a hash that one of them lacks, so they differ
+    in no fewer hashes than their parities do in bits.
+    """
+    bits = 64 * PARITY
+    text = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    odd = np.bincount(text * bits + (hashes >> np.uint64(32)).astype(np.int64) % bits, minlength=(len(cuts) - 1) * bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, PARITY)
+
+
+_SKETCH = [f"s{k}" for k in range(3)]
+_PARITY = [f"p{k}" for k in range(PARITY)]
+
+
 def _marked(docs: DataFrame, words: int) -> DataFrame:
-    """(id, mark, n, whole, fp, keys, s0, s1, s2) of ``docs`` (id, text, mark): size and hash of the set of shingles, its fingerprint, keys and sketch."""
+    """(id, mark, n, whole, fp, keys, sketch, parities) of ``docs`` (id, text, mark): size and hash of the set of shingles, its fingerprint, keys, and longs s0.. and p0.. ."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,11 +106,12 @@ def _marked(docs: DataFrame, words: int) -> DataFrame:
                 flat = pa.array(keys.view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(whole) + 1) * BANDS, pa.int32()), flat)
                 own = [b.column(k).slice(lo, len(whole)) for k in (0, 2)]
-                columns = [*own, pa.array(np.diff(cuts), pa.int64()), pa.array(whole, pa.string()), pa.array(majority(hashes, cuts).view(np.int64)), lists, *(pa.array(sketch[:, k].view(np.int64)) for k in range(3))]
-                yield pa.record_batch(columns, names=["id", "mark", "n", "whole", "fp", "keys", "s0", "s1", "s2"])
+                columns = [*own, pa.array(np.diff(cuts), pa.int64()), pa.array(whole, pa.string()), pa.array(majority(hashes, cuts).view(np.int64)), lists, *(pa.array(sketch[:, k].view(np.int64)) for k in range(3)), *(pa.array(x) for x in parities(hashes, cuts).T)]
+                yield pa.record_batch(columns, names=["id", "mark", "n", "whole", "fp", "keys", *_SKETCH, *_PARITY])
                 lo += len(whole)
 
-    return docs.mapInArrow(run, f"id {kind}, mark string, n long, whole string, fp long, keys array<long>, s0 long, s1 long, s2 long")
+    longs = ", ".join(f"{x} long" for x in [*_SKETCH, *_PARITY])
+    return docs.mapInArrow(run, f"id {kind}, mark string, n long, whole string, fp long, keys array<long>, {longs}")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -139,8 +158,13 @@ def _rare_in_common(sets: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _could(x: str, y: str) -> Column:
-    """Whether the sizes and sketches of the classes in columns ``x`` and ``y`` allow the similarity."""
+    """Whether the sizes, parities and sketches of the classes in columns ``x`` and ``y`` allow the similarity.
+
+    Sets are 0.8 alike exactly if they differ in a ninth of both sizes' sum or fewer, so parities lose no link.
+    """
     fits = (F.col(f"{x}.n") * UNDER >= F.col(f"{y}.n") * OVER) & (F.col(f"{y}.n") * UNDER >= F.col(f"{x}.n") * OVER)
+    odds = sum(F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in _PARITY)
+    fits &= odds * (OVER + UNDER) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (UNDER - OVER)
     odd = F.lit(0x5555555555555555)
     differ = [F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}")) for k in range(3)]
     apart = sum(F.bit_count((d.bitwiseOR(F.shiftrightunsigned(d, 1))).bitwiseAND(odd)) for d in differ)
@@ -157,10 +181,10 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), digest(F.col(text_col)).alias("mark"))
     marked = table(_marked(texts, words), "marked")
-    grouped = marked.groupBy("whole", "n").agg(F.min("id").alias("least"), *(F.first(x).alias(x) for x in ("mark", "fp", "keys", "s0", "s1", "s2")))
+    grouped = marked.groupBy("whole", "n").agg(F.min("id").alias("least"), *(F.first(x).alias(x) for x in ("mark", "fp", "keys", *_SKETCH, *_PARITY)))
     classes = table(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
     full = classes.filter("n > 0")
-    known = full.select("cid", F.struct("cid", "n", "s0", "s1", "s2").alias("c"))
+    known = full.select("cid", F.struct("cid", "n", *_SKETCH, *_PARITY).alias("c"))
     def with_classes(pairs: DataFrame) -> DataFrame:
         return pairs.join(known.withColumnRenamed("c", "x").withColumnRenamed("cid", "a"), "a").join(known.withColumnRenamed("c", "y").withColumnRenamed("cid", "b"), "b")
 
@@ -202,7 +226,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """id_col and component_id, the smallest id reachable over links of a similarity of 0.8 or more.
 
     Equal sets are one class from the start.  Classes meet that have a min-wise key or a fingerprint in
-    common, or fingerprints DISTANCE bits apart, and whose sizes and sketches allow the similarity.
+    common, or fingerprints DISTANCE bits apart, and whose sizes, parities and sketches allow the similarity.
     First each meets one class chosen for the key, so that a large group of near copies makes as many
     pairs as it has members; then, of the keys whose classes aren't in one component by then, those
     in different ones meet by their rarest shingles.  Every link is decided on the whole sets.  Texts without words, null

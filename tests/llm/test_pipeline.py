@@ -3,7 +3,7 @@
 import corpus_pipeline
 import numpy as np
 
-from tarn.llm import language, sentencepieces, simhash
+from tarn.llm import language, sentencepieces, shingles, simhash
 from tarn.llm.shared import read
 
 SF = "/root/testdata/sf0.001"
@@ -67,3 +67,16 @@ def test_near_copies_of_five_word_similarity_go(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.near(spark, docs, SF).select("doc_id").collect()}
     assert kept == {top(i) for i in range(len(texts))}
     assert 0.6 * 150 < sum(2 * k + 1 not in kept for k in range(150)) < 150
+
+
+def test_parities_never_differ_in_more_bits_than_sets_in_hashes():
+    rng = np.random.default_rng(3)
+    sizes = [0, 1, 7, 100, 900, 5000]
+    sets = [np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in sizes]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], rng.integers(0, 1 << 64, len(s) // 10, dtype=np.uint64)])) for s in sets]
+    cuts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    bits = np.unpackbits(shingles.parities(np.concatenate(sets), cuts).view(np.uint8), axis=1)
+    for x, p in zip(sets, bits, strict=True):
+        for y, q in zip(sets, bits, strict=True):
+            assert (p != q).sum() <= len(np.setxor1d(x, y))
+    assert shingles.parities(np.zeros(0, np.uint64), np.array([0])).shape == (0, shingles.PARITY)
