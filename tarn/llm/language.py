@@ -32,7 +32,7 @@ def _letters() -> np.ndarray:
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The 1- to 3-grams of a text's lower-cased words and their counts, most frequent first, ties by
-    gram.  A gram is a number of three code points; the ends of words count as characters (0)."""
+    gram.  A gram is a number of three code points; the ends of words count as a character, 1."""
     codes = _letters()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")]
     inside = codes != 0
     if not inside.any():
@@ -41,9 +41,11 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(padded), dtype=bool)
     keep[1:] = (padded[1:] != 0) | (padded[:-1] != 0)
     c = padded[keep]
+    # 1, as a gram that begins with 0 would be the number of the shorter one
+    c = np.where(c == 0, 1, c)
     two = c[:-1] << 21 | c[1:]
-    three = (two[:-1] << 21 | c[2:])[c[1:-1] != 0]
-    found, counts = np.unique(np.concatenate([c[c != 0], two, three]), return_counts=True)
+    three = (two[:-1] << 21 | c[2:])[c[1:-1] != 1]
+    found, counts = np.unique(np.concatenate([c[c != 1], two, three]), return_counts=True)
     order = np.argsort(-counts, kind="stable")
     return found[order], counts[order]
 
