@@ -15,8 +15,6 @@ from .shared import small_batches
 SPACE = "▁"
 #: Stands for a literal U+2581 of the text while spaces take its place; no valid text holds it.
 _LITERAL = "\udc81"
-#: Uncommitted characters after which paths are traced back to where they meet.
-TRACE = 1024
 #: Words whose ids a task remembers, and the longest of them.
 REMEMBERED, LONGEST = 300_000, 48
 
@@ -65,14 +63,16 @@ class Pieces:
     def stream(self, text: str) -> Iterator[list[int]]:
         """Ids of the best path, a stretch at a time.
 
-        ``best``, ``back`` and ``piece`` hold the uncommitted part only.  What can still change lies no
-        further ahead than the longest piece reaches.  When no piece reaches beyond the present place,
-        every surviving path goes through it; else, each TRACE characters, the surviving paths are
-        traced back to the last boundary that all of them share.  Ids up to there are final.  Equal
-        scores keep the path whose last piece begins first.
+        ``best``, ``back`` and ``piece`` hold the uncommitted part only.  Surviving paths end at boundaries
+        no further ahead than the longest piece, so there are no more of them than it has characters.
+        When no piece reaches beyond the present place, every surviving path goes through it; else,
+        whenever as much as the longest piece has been read since the last time, they are traced back
+        to the last boundary that all of them share.  Ids up to there are final.  While they share none,
+        the next trace is twice as far off, so that tracing stays in proportion to the text.  Equal scores
+        keep the path whose last piece begins first.
         """
         none, fallback, root = -math.inf, self.fallback, self.root
-        base, reach, due = 0, 0, TRACE
+        base, reach, due = 0, 0, self.longest
         best, back, piece = [0.0], [0], [-1]
         for i in range(len(text)):
             at = i - base
@@ -104,10 +104,10 @@ class Pieces:
                 while len(alive) > 1:
                     alive.add(back[last := max(alive)])
                     alive.discard(last)
-                met, due = alive.pop(), due + TRACE
+                met, due = alive.pop(), 2 * due
             if met:
                 yield self._path(text, base, met, back, piece)
-                base, due = base + met, TRACE
+                base, due = base + met, at - met + self.longest
                 shift = best[met]
                 best, piece = [b - shift for b in best[met:]], piece[met:]
                 back = [max(0, b - met) for b in back[met:]]
