@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from .shared import table
 
-DAMPING, ROUNDS, SETTLED = 0.85, 20, 1e-9
+DAMPING = 0.85
+#: Share of its own rank by which no host's still moves at the end.
+SETTLED = 1e-4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,23 +48,24 @@ def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def host_links(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
-    """(src, dst): distinct links between two hosts, from each page's ``href``; ``pages`` has ``host``.
+    """(src, dst): distinct links between two hosts, from each page's ``href``, quoted or not; ``pages`` has ``host``.
 
     A link with a scheme or ``//`` goes to the host it names, any other stays on its own and is none.
     """
-    target = F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(r"(?i)href\s*=\s*[\"']((?:[a-z][a-z0-9+.-]*:)?//[^\"'/?#]*)"), 1)))
+    target = F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(r"(?i)href\s*=\s*[\"']?((?:[a-z][a-z0-9+.-]*:)?//[^\"'/?#\s>]*)"), 1)))
     named = pages.select(F.col("host").alias("src"), target.alias("target"))
     dst = F.translate(F.substr("target", F.instr("target", "//") + 2), _UPPER, _LOWER)
     return named.select("src", dst.alias("dst")).filter("src <> dst and src <> '' and dst <> ''").distinct()
 
 
-def propagate(links: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, settled: float = SETTLED) -> DataFrame:
     """(kind, host, rank): personalised PageRank of each kind from its ``seeds`` (kind, host, weight).
 
     Kind ``trust`` goes along the links (src, dst), each host's share dealt evenly over its targets;
     kind ``distrust`` goes against them, so who links to a blocked host shares its blame.  rank =
     (1 - damping) * weight + damping * what neighbours pass on; what a host without targets has stays
-    there.  Ends after ``rounds`` or when no rank moves by SETTLED.
+    there.  Ends when no rank moves by ``settled`` of itself, so a host that is reached last counts like
+    any other and the number of hosts doesn't matter; what a round adds shrinks with ``damping``.
     """
     ahead = links.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"))
     back = links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"))
@@ -71,17 +74,16 @@ def propagate(links: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, r
     edges = table(both.join(degree, ["kind", "host"]), "edges")
     base = seeds.select("kind", "host", (F.col("weight") * (1 - damping)).alias("rank"))
     ranks = base = table(base, "seeds")
-    for _ in range(rounds):
+    while True:
         passed = ranks.join(edges, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
         now = table(base.union(passed).groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "ranks")
-        moved = now.join(ranks.withColumnRenamed("rank", "old"), ["kind", "host"], "left").agg(F.max(F.abs(F.col("rank") - F.coalesce("old", F.lit(0.0))))).first()[0]
+        moved = now.join(ranks.withColumnRenamed("rank", "old"), ["kind", "host"], "left").agg(F.max(F.abs(F.col("rank") - F.coalesce("old", F.lit(0.0))) / F.col("rank"))).first()[0]
         ranks = now
-        if not moved or moved < SETTLED:
-            break
-    return ranks
+        if not moved or moved < settled:
+            return ranks
 
 
-def judge(pages: DataFrame, rules: list[Rule] | DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_distrust: float = 0.5, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule] | DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_distrust: float = 0.5) -> DataFrame:
     """A verdict for each row of ``pages``: id_col, host, path, rule, verdict, trust, distrust.
 
     The longest rule that fits decides.  Where none does, the host does: its trust and distrust are
@@ -103,7 +105,7 @@ def judge(pages: DataFrame, rules: list[Rule] | DataFrame, *, id_col: str = "pag
     counted = ruled.filter("verdict is not null").groupBy(F.when(F.col("verdict") == "allow", "trust").otherwise("distrust").alias("kind"), "host").agg(F.count("*").alias("n"))
     totals = counted.groupBy("kind").agg(F.sum("n").alias("total"))
     seeds = counted.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("weight"))
-    ranks = propagate(host_links(split), seeds, rounds=rounds)
+    ranks = propagate(host_links(split), seeds)
     by_host = ranks.groupBy("host").agg(*(F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")))
     told = ruled.join(table(by_host, "by_host"), "host", "left").na.fill(0.0, ["trust", "distrust"])
     blocked = F.col("distrust") > most_distrust * (F.col("trust") + F.col("distrust"))
