@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .bytewords import blocks, string_buffer
 from .shared import small_batches
 
-#: Documents that the scorer is trained on, chosen by a hash of their text.
+#: Documents that the scorer is trained on, chosen by a hash of their text: the least hashes.
 SAMPLE = 20_000
 #: Weights of the scorer; words' outlines are hashed to them.
 FEATURES = 1 << 12
@@ -215,7 +215,7 @@ def fit(rows: list[tuple[list[int], list[int], float]], features: int = FEATURES
 
 
 def train(docs: DataFrame, *, text_col: str = "text", sample: int = SAMPLE, features: int = FEATURES) -> Scorer | None:
-    """The scorer, trained on about ``sample`` documents chosen by a hash of their text.
+    """The scorer, trained on about ``sample`` documents chosen by a hash of their text, the same in every run.
 
     The labellers vote on all documents; the patterns of their votes are three to the number of
     labellers at most, and those are what is fitted and broadcast.  None if there are no documents.
@@ -226,16 +226,18 @@ def train(docs: DataFrame, *, text_col: str = "text", sample: int = SAMPLE, feat
         return None
     good, _ = posteriors([(r["votes"], r["count"]) for r in patterns])
     p_good = {tuple(r["votes"]): p for r, p in zip(patterns, good, strict=True)}
-    chosen = docs.filter(F.pmod(F.xxhash64(text_col), F.lit(1_000_003)) < min(1.0, sample / n) * 1_000_003).select(text_col)
+    place = F.pmod(F.xxhash64(text_col), F.lit(1_000_003))
+    chosen = docs.select(F.col(text_col), place.alias("place")).filter(F.col("place") < min(1.0, sample / n) * 1_000_003)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, seen in _each(*string_buffer(b.column(0)), features):
                 cuts = pa.array(np.searchsorted(seen.text, np.arange(hi - lo + 1)), pa.int32())
                 lists = [pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (seen.feature, seen.count)]
-                yield pa.record_batch([*lists, pa.array([p_good.get(tuple(v), 0.5) for v in seen.votes.tolist()], pa.float64())], names=["feature", "count", "p_good"])
+                yield pa.record_batch([*lists, pa.array([p_good.get(tuple(v), 0.5) for v in seen.votes.tolist()], pa.float64()), b.column(1).slice(lo, hi - lo)], names=["feature", "count", "p_good", "place"])
 
-    rows = chosen.mapInArrow(run, "feature array<int>, count array<int>, p_good double").limit(2 * sample).collect()
+    found = chosen.mapInArrow(run, "feature array<int>, count array<int>, p_good double, place long")
+    rows = found.orderBy("place", "feature", "count").limit(2 * sample).collect()
     return fit([(r["feature"], r["count"], r["p_good"]) for r in rows if r["feature"]], features)
 
 

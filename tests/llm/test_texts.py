@@ -2,6 +2,7 @@
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -26,6 +27,34 @@ def test_language_of_held_out_documents(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in found]) > 0.97
 
 
+def test_language_against_a_plain_version(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").filter("text is not null").select("text", "lang").limit(300).collect()
+
+    def plain_grams(text):
+        seen = Counter()
+        for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+            ends = "\x01" + word + "\x01"
+            seen.update(word)
+            for n in (2, 3):
+                seen.update(ends[i : i + n] for i in range(len(ends) - n + 1))
+        number = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+        return sorted(((number(g), n) for g, n in seen.items()), key=lambda x: (-x[1], x[0]))
+
+    table = {}
+    for r in rows[:200]:
+        if r["lang"]:
+            table.setdefault(r["lang"], Counter()).update(dict(plain_grams(r["text"])))
+    ranked = {lang: {g: i for i, (g, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: language.RANKS])} for lang, seen in table.items()}
+    profiles = language.Profiles.of([(lang, g, i) for lang, ranks in ranked.items() for g, i in ranks.items()])
+    for text in [r["text"] for r in rows] + ["a", "ÄÖ ß", "x1y 2 z", "İstanbul ﬁn"]:
+        assert list(zip(*(x.tolist() for x in language.grams(text)), strict=True)) == plain_grams(text)
+        own = [g for g, _ in plain_grams(text)[: language.RANKS]]
+        away = {lang: sum(abs(i - ranks[g]) if g in ranks else language.RANKS for i, g in enumerate(own)) for lang, ranks in ranked.items()}
+        if own:
+            nearest = min(away, key=lambda x: (away[x], x))
+            assert profiles.predict(text) == (nearest, pytest.approx(1 - away[nearest] / (language.RANKS * len(own))))
+
+
 def test_language_edges(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     profiles = language.fit(table)
@@ -59,9 +88,10 @@ def test_pieces_come_back_and_are_best(spark):
     back = {r["doc_id"]: r["text"] for r in sentencepieces.decode(sentencepieces.encode(table, pieces), pieces).collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)}
     scores = {number: s for node in [pieces.root] for number, s in _leaves(node)}
-    for t in filter(None, texts[:5]):
+    spaced = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) between 300 and 3000").limit(20).select("text").collect()]
+    for t, whole in [(t, whole) for t in [*filter(None, texts[:5]), *spaced] for whole in (True, False)]:
         marked = "▁" + t.replace("▁", "\udc81").replace(" ", "▁")
-        total, at, raw = 0.0, 0, [i for part in pieces.stream(marked) for i in part]
+        total, at, raw = 0.0, 0, [i for part in pieces.stream(marked) for i in part] if whole else pieces.encode(t)
         byte_ids = {i: b for b, i in enumerate(pieces.byte_ids)}
         while at < len(raw):
             if raw[at] in scores:
@@ -172,6 +202,21 @@ def test_labellers_that_err_weigh_less():
     assert by[(1, 1, -1)] > 0.9 and by[(-1, -1, 1)] < 0.1
 
 
+def test_the_sample_is_the_same_in_every_run(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("text")
+    one, two = (quality.train(table.repartition(n), sample=50) for n in (3, 7))
+    assert np.array_equal(one.weights, two.weights) and one.bias == two.bias
+
+
+def test_trust_goes_as_far_as_links_do(spark):
+    chain = [(i, f"http://h{i}.net/", f"<a href=http://h{i + 1}.net/>") for i in range(40)] + [(99, "http://b.com/de/1", "")]
+    pages = spark.createDataFrame([(100, "http://foe.net/", '<a href="http://b.com/">'), (101, "http://a.org/", "<a href='//h0.net/'>"), *chain], "page_id long, url string, html string")
+    found = {r["page_id"]: r for r in url_filter.judge(pages, RULES).collect()}
+    assert all(found[i]["trust"] > 0 and found[i]["verdict"] == "allow" for i in range(40))
+    assert found[39]["trust"] == pytest.approx(0.15 * 0.85**40)
+    assert found[100]["verdict"] == "block"
+
+
 def test_quality_edges(spark):
     rows = [(1, None), (2, ""), (3, "  \n"), (4, "A plain sentence of words, and one more."), (4, "A plain sentence of words, and one more."), (None, "@@ ## $$ %% &&"), (5, "long words here. " * 8000)]
     found = quality.classify(docs(spark, rows)).collect()
