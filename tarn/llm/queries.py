@@ -7,11 +7,12 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language, line_dedup, quality, repeats, sentencepieces, sharding, simhash, url_filter
+from . import decontaminate, exact_dedup, language, line_dedup, packing, periods, quality, repeats, sentencepieces, sharding, simhash, url_filter, whitening
 from .shared import read
 
 from .url_filter import Rule
 
+BYTES = os.environ.get("BYTE_BPE", "/opt/tokenizers/byte_bpe_50k.json")
 PIECES = os.environ.get("PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
@@ -80,6 +81,45 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), 24, seed=10)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` with op12's periods: where crc32(doc_id) ends in 0, the words from a on repeat the first p of them."""
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    words = F.filter(F.split(F.translate("text", "\t\n\x0b\f\r", "     "), " "), lambda w: w != "")
+    n, g = F.size(words), F.floor(h / 10)
+    a = F.pmod(g, n)
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    part = F.slice(words, (a + 1).cast("int"), p)
+    again = F.flatten(F.array_repeat(part, F.ceil((n - a) / p).cast("int")))
+    planted = F.slice(F.concat(F.slice(words, F.lit(1), a.cast("int")), again), F.lit(1), n)
+    return docs.withColumn("text", F.when((h % 10 == 0) & (n > 0), F.array_join(planted, " ")).otherwise(F.col("text")))
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.find_runs(with_periods(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    first = lambda x, y: F.when(x["length"] != y["length"], F.when(x["length"] > y["length"], -1).otherwise(1)).when((x["start"] < y["start"]) | (x["start"] == y["start"]) & (x["period"] < y["period"]), -1).otherwise(1)
+    longest = F.get(F.array_sort("runs", first), F.lit(0))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        longest["start"].alias("start"),
+        longest["length"].alias("length"),
+        longest["period"].alias("period"),
+        F.floor(1000 * longest["length"] / longest["period"]).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack(read(spark, sf_dir, "documents"), BYTES)
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_suffix_array": op1_suffix_array,
     "op2_language_id": op2_language_id,
@@ -91,6 +131,9 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
+    "op11_whitening": op11_whitening,
+    "op12_periods": op12_periods,
+    "op13_packing": op13_packing,
 }
 
 _ROUNDS = ",\n".join(
@@ -140,6 +183,24 @@ FROM p LEFT JOIN fit USING (page_id) LEFT JOIN h ON h.host = p.host
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
 SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, t.text_sha256 FROM t JOIN g USING (text_sha256)
+""",
+    "op12_periods": r"""
+WITH t AS (SELECT doc_id, encode(CAST(doc_id AS VARCHAR)) AS b, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+c AS (SELECT doc_id, w, len(w) AS n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(b)), lambda k: ascii(CAST(doc_id AS VARCHAR)[k + 1])::BIGINT)),
+  lambda x, y: list_reduce(list_prepend(xor(x, y), range(8)::BIGINT[]), lambda z, k: xor(z >> 1, 3988292384::BIGINT * (z & 1)))), 4294967295::BIGINT) AS h FROM t),
+g AS (SELECT *, h // 10 AS g, CASE WHEN n > 0 THEN (h // 10) % n ELSE 0 END AS a FROM c),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+d AS MATERIALIZED (SELECT doc_id, n, CASE WHEN h % 10 = 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM p),
+six AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 6], ' ') AS s FROM (SELECT doc_id, w, unnest(range(0, n - 5)) AS i FROM d)),
+pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM six x JOIN six y ON x.doc_id = y.doc_id AND x.s = y.s AND x.i < y.i),
+islands AS (SELECT doc_id, q, min(i) AS a, max(i) + 6 + q AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pairs) GROUP BY doc_id, q, k),
+runs AS MATERIALIZED (SELECT doc_id, a AS start, e - a AS length, min(q) AS period FROM islands WHERE e - a >= greatest(12, 2 * q) GROUP BY doc_id, a, e),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d),
+left_ AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS s FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+best AS (SELECT doc_id, count(*) AS n_runs, arg_max((start, length, period), (length, -start, -period)) AS r, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, r[1] AS start, r[2] AS length, r[3] AS period, 1000 * r[2] // r[3] AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(left_.s, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (doc_id) LEFT JOIN left_ USING (doc_id)
 """,
     "op8_decontaminate": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
