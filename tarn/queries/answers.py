@@ -312,7 +312,9 @@ def guard_signatures(spark: SparkSession, d: str) -> DataFrame:
     before, after = rich(9000), rich(8900)
     signed = [guard.signatures(groups=group(c), like=c) for c in (before, after)]
     told = guard.compare(prints(before), prints(after), *signed)
-    return told.filter("rule in ('duplicación nueva', 'resuelto')").groupBy("rule").agg(F.count("*").alias("n"))
+    rules = ("duplicación nueva", "resuelto")
+    counts = told.agg(*[F.count_if(F.col("rule") == r).alias(r) for r in rules])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"`{r}`").alias("n")) for r in rules])).alias("x")).select("x.*")
 
 
 @register("""WITH a AS (SELECT l_partkey AS s, l_suppkey AS t FROM lineitem), k AS (SELECT DISTINCT ps AS lo, pt AS hi FROM (SELECT least(o_orderkey % 50 + 1, o_custkey) AS ps, greatest(o_orderkey % 50 + 1, o_custkey) AS pt FROM orders)),

@@ -16,43 +16,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MOST_COMMITS = 5000
+from . import gitlog
 
 
 def _git(root: str, *args: str) -> str:
-    return subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, check=True, errors="replace").stdout
+    return subprocess.run(gitlog.git(root, *args), capture_output=True, text=True, check=True, errors="replace").stdout
 
 
-def log_text(root: str, most: int = MOST_COMMITS) -> tuple[str, str]:
-    """(statuses, numbers): two passes over the log, oldest first; one with renames and one with line counts."""
-    form = "--pretty=format:@@%h\x1f%an\x1f%aI\x1f%s"
-    common = ("log", "--reverse", "--relative", f"--max-count={most}", form)
-    return _git(root, *common, "--name-status", "-M"), _git(root, *common, "--numstat", "--no-renames")
-
-
-def _records(spark: SparkSession, text: str) -> DataFrame:
-    """(i, hash, author, ts, msg, line): one row for each line below a commit's head."""
-    parts = spark.createDataFrame(list(enumerate(text.split("@@")[1:])), "i long, record string")
-    lines = F.split("record", "\n")
-    head = F.split(F.element_at(lines, 1), "\x1f")
-    fields = [F.get(head, F.lit(n)) for n in range(4)]
-    return parts.select("i", fields[0].alias("hash"), fields[1].alias("author"), F.to_timestamp(fields[2]).alias("ts"), fields[3].alias("msg"), F.explode_outer(F.filter(F.slice(lines, 2, F.size(lines)), lambda x: F.trim(x) != "")).alias("line"))
-
-
-def parse(spark: SparkSession, statuses: str, numbers: str) -> tuple[DataFrame, DataFrame]:
-    """commits (i, hash, author, ts, msg) and touches (i, status, path, from_path, add, del)."""
-    named = _records(spark, statuses)
-    commits = named.select("i", "hash", "author", "ts", "msg").distinct()
-    tab = F.split("line", "\t")
-    code = F.substring(F.get(tab, F.lit(0)), 1, 1)
-    moved = code.isin("R", "C")
-    touched = named.filter("line is not null").select("i", "hash", code.alias("status"), F.when(moved, F.get(tab, F.lit(2))).otherwise(F.get(tab, F.lit(1))).alias("path"), F.when(moved, F.get(tab, F.lit(1))).alias("from_path"))
-    counted = _records(spark, numbers).filter("line is not null").select("hash", F.get(tab, F.lit(2)).alias("path"), *[F.coalesce(F.get(tab, F.lit(n)).try_cast("long"), F.lit(0).cast("long")).alias(name) for n, name in ((0, "add"), (1, "del"))])
-    return commits, touched.join(counted, ["hash", "path"], "left").na.fill(0, ["add", "del"]).drop("hash")
-
-
-def history(spark: SparkSession, root: str, most: int = MOST_COMMITS) -> tuple[DataFrame, DataFrame]:
-    return parse(spark, *log_text(root, most))
+def history(spark: SparkSession, root: str, most: int = gitlog.MOST, per_task: int = gitlog.PER_TASK) -> tuple[DataFrame, DataFrame]:
+    """commits (i, hash, author, ts, msg) and touches (i, status, path, from_path, add, del), read in ranges of commits."""
+    return gitlog.read(spark, root, "commits", most, per_task), gitlog.read(spark, root, "touches", most, per_task)
 
 
 def status(spark: SparkSession, root: str) -> DataFrame:

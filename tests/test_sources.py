@@ -6,7 +6,7 @@ import pytest
 
 from tarn.plans import links, world
 from tarn.sources import files as tree
-from tarn.sources import history
+from tarn.sources import gitlog, history
 
 TREE = {
     "src/a.js": "import { b, c } from './lib/b.js';\nimport fs from 'fs';\n// import { z } from './zz.js';\nexport function a() { return b() + c(); }\n",
@@ -93,6 +93,44 @@ def test_history(spark, tmp_path):
     assert "+three" in history.diff(root, "b.txt")
 
 
+def test_history_in_ranges_of_commits(spark, tmp_path):
+    top = tmp_path / "repo"
+    top.mkdir()
+    git = lambda *a: subprocess.run(["git", "-C", str(top), "-c", "user.name=Ann Ü", "-c", "user.email=a@x", *a], check=True, capture_output=True, text=True).stdout
+    assert [t.count() for t in history.history(spark, str(top))] == [0, 0]
+    git("init", "-q")
+    assert [t.count() for t in history.history(spark, str(top))] == [0, 0]
+    for n in range(23):
+        (top / f"f{n % 7}.txt").write_text("line\n" * (n + 1))
+        (top / "ñ é\t\"x\".txt").write_text(f"{n}\n")
+        if n == 11:
+            git("mv", "f1.txt", "sub dir.txt")
+        if n == 15:
+            (top / "f2.txt").unlink()
+        git("add", "-A")
+        git("commit", "-qm", f"@@ {n} fix\tit")
+    for table in ("commits", "touches"):
+        whole, parted = (gitlog.read(spark, str(top), table, per_task=p) for p in (500, 4))
+        assert (whole.rdd.getNumPartitions(), parted.rdd.getNumPartitions()) == (1, 6)
+        assert sorted(whole.collect()) == sorted(parted.collect())
+    commits, touches = history.history(spark, str(top), per_task=4)
+    rows = commits.orderBy("i").collect()
+    assert [(r.i, r.author, r.msg) for r in rows] == [(n, "Ann Ü", f"@@ {n} fix\tit") for n in range(23)]
+    assert [r.hash for r in rows] == git("log", "--reverse", "--format=%h").split()
+    assert [int(r.ts.timestamp()) for r in rows] == [int(x) for x in git("log", "--reverse", "--format=%at").split()]
+    plain = [(n, *line.split("\t")) for n, c in enumerate(git("-c", "core.quotepath=off", "log", "--reverse", "--name-status", "-M", "--format=tformat:@@").split("@@\n")[1:]) for line in c.split("\n") if line]
+    name = lambda x: 'ñ é\t"x".txt' if x.startswith('"') else x
+    assert sorted((r.i, r.status, r.from_path, r.path) for r in touches.collect() if r.status == "R") == [(p[0], "R", p[2], p[3]) for p in plain if p[1][0] == "R"] != []
+    assert sorted((r.i, r.status, r.path) for r in touches.collect()) == sorted((p[0], p[1][0], name(p[-1])) for p in plain)
+    assert touches.filter("path = 'f3.txt'").selectExpr("sum(add) - sum(del)").head()[0] == 18
+    assert [r.i for r in gitlog.read(spark, str(top), "commits", most=3, per_task=2).orderBy("i").collect()] == [0, 1, 2]
+    (top / "sub").mkdir()
+    (top / "sub/in.txt").write_text("x\n")
+    git("add", "-A")
+    git("commit", "-qm", "below")
+    assert [(r.i, r.status, r.path) for r in gitlog.read(spark, str(top / "sub"), "touches").collect()] == [(0, "A", "in.txt")]
+
+
 def test_settings(tmp_path):
     assert history.settings(str(tmp_path / "none.json"))["aux"] == []
     (tmp_path / "x.json").write_text('{"aux": ["demo"], "other": 1}')
