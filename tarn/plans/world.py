@@ -40,6 +40,7 @@ class World:
     warnings: DataFrame
     pairs: DataFrame | None = None
     timeline: DataFrame | None = None
+    shares: DataFrame | None = None
 
     def health_score(self) -> int:
         return self.health.first()["score"]
@@ -146,7 +147,7 @@ def build(
     for more in (exports, again, covered, in_cycle, links.dynamic_uses(coded), signals.summary(noted), marked, recursion.select("id", F.lit(True).alias("recursive")).distinct()):
         joined = joined.join(more, "id", "left")
     has_git = touches is not None and commits is not None
-    pairs = timeline = None
+    pairs = timeline = shared = None
     if has_git:
         dated = cut(history.replay(touches).join(commits, "i"))
         last = F.lit(now).cast("timestamp") if now else F.lit(dated.agg(F.max("ts")).first()[0])
@@ -156,6 +157,7 @@ def build(
         linked_ = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
         skipped = base.filter(F.col("is_test") | F.col("gen").isNotNull() | F.col("aux")).select("id")
         pairs = cut(cochange.strongest(cochange.hidden(cochange.associated(alive, "i", "id"), linked_, skipped)))
+        shared = cut(history.shares(dated.join(current, "file_key"), "id", "author"))
         change = dated.groupBy("i").agg(F.count_if(F.col("status").isin("A", "C")).alias("new"), F.count_if(F.col("status") == "D").alias("gone"), F.sum("add").alias("plus"), F.sum("del").alias("minus"))
         timeline = history.timeline(change.withColumns({"step": F.col("new") - F.col("gone"), "size": (F.col("plus") - F.col("minus")).cast("double")}), "i", F.col("step"), F.col("size"))
     else:
@@ -192,7 +194,7 @@ def build(
     folders, coupling = folder_rollup(scored, flat.select(F.col("src").alias("source"), F.col("dst").alias("target")))
     findings = insights.findings(scored, cycles=cycles, edges=flat, pairs=pairs, symbols=symbols, recursion=recursion)
     counts = risk.health_counts(scored, cycles=cycles, pairs=pairs)
-    return World(scored, edges, packages, cycles, labels, impacts, tested, symbols, recursion, met, cut(folders), cut(coupling), cut(findings), cut(risk.health(counts)), warnings, pairs, timeline)
+    return World(scored, edges, packages, cycles, labels, impacts, tested, symbols, recursion, met, cut(folders), cut(coupling), cut(findings), cut(risk.health(counts)), warnings, pairs, timeline, shared)
 
 
 def from_tree(spark: SparkSession, root: str, **more) -> World:
@@ -210,7 +212,8 @@ def sets(world: World, saved: DataFrame | None = None) -> DataFrame:
     out = keyed(code.select("id", F.explode(upper).alias("d")).filter("d not in ('(raíz)', '(externo)')"), "dir", "d")
     for kind, col in (("lang", "lang"), ("state", "state"), ("risk", "level"), ("cov", "coverage"), ("role", "role")):
         out = out.union(keyed(code, kind, col))
-    out = out.union(keyed(code.filter("owner_share >= 0.2"), "author", "owner"))
+    if world.shares is not None:
+        out = out.union(keyed(world.shares.filter("share >= 0.2").join(code.select("id"), "id", "left_semi"), "author", "author"))
     out = out.union(keyed(code.select("id", F.explode("flags").alias("f")), "flag", "f")).union(keyed(files.select("id", F.explode("tags").alias("t")), "tag", "t"))
     out = out.union(keyed(world.communities.select(F.col("node").alias("id"), "community"), "mod", "community"))
     out = out.union(world.packages.select(F.col("target").alias("set_key"), F.col("source").alias("id")))

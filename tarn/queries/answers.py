@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import clones, cochange, compare, graph, measures
+from ..functions import text
+from ..operators import clones, cochange, compare, graph, history, measures
 from ..operators.risk import WEIGHTS
-from ..plans import answers, bridges as http, guard, insights as found, relations, signals, store
+from ..plans import answers, ask, bridges as http, guard, insights as found, relations, signals, store
+from ..session import cut
 from .common import G, Registry, brand_graph, read
 from .history import PAIRS
 from .worlds import FILES, SNAPS, _snaps, files_of
@@ -143,6 +145,88 @@ def dominant_part(spark: SparkSession, d: str) -> DataFrame:
     return answers.dominant(files_of(spark, d), WEIGHTS)
 
 
+CHAIN = """ch AS (SELECT p_partkey AS id, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_retailprice, p_partkey) - 1 AS total FROM part)"""
+
+
+def price_chain(spark: SparkSession, d: str) -> DataFrame:
+    """(src, dst): each part and the next dearer one of its brand and size."""
+    ranked = Window.partitionBy("p_brand", "p_size").orderBy("p_retailprice", "p_partkey")
+    name = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    return read(spark, d, "part").select(name(F.col("p_partkey")).alias("src"), name(F.lead("p_partkey").over(ranked)).alias("dst")).filter("dst is not null")
+
+
+def facts_of(spark: SparkSession, d: str) -> ask.Facts:
+    """Parts as files: suppliers are authors, orders commits, a dearer part of the same brand and size is what a part needs."""
+    name = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
+    lines = read(spark, d, "lineitem").select(name("l_partkey").alias("id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("author"))
+    shares = cut(history.shares(lines, "id", "author"))
+    known = history.bus_factor(shares, "id", "author").drop("authors")
+    files = cut(files_of(spark, d).withColumn("id", name("id")).join(known, "id", "left")).withColumns({"lines": F.col("loc"), "last": F.lit(None).cast("timestamp"), "gen": F.lit(None).cast("string"), "is_test": F.lit(False), "dyn": F.array().cast("array<struct<line:int,what:string>>")})
+    brand = read(spark, d, "part").select("p_partkey", "p_brand")
+    a, b = (brand.select(F.col("p_partkey").alias(x), F.col("p_brand").alias(f"brand_{x}")) for x in "ab")
+    pairs = cochange.associated(read(spark, d, "lineitem"), "l_orderkey", "l_partkey", strength=0.05).join(a, "a").join(b, "b").withColumn("hidden", F.col("brand_a") != F.col("brand_b"))
+    pairs = cut(pairs.withColumns({"a": name("a"), "b": name("b")}))
+    return ask.Facts(files, graph.impact(price_chain(spark, d), files.select("id")), pairs, shares=shares, commits=read(spark, d, "orders").count())
+
+
+@register(f"""WITH {FILES}, {PAIRS}, {CHAIN}, no AS (SELECT count(*) AS commits FROM orders), parts AS (SELECT 'p' || id AS id, * EXCLUDE (id) FROM r),
+sh AS (SELECT 'p' || l_partkey AS id, 's' || l_suppkey AS author, count(*) AS commits FROM lineitem GROUP BY ALL),
+sp AS (SELECT *, floor(commits / sum(commits) OVER (PARTITION BY id) * 100 + 0.5) / 100 AS share, row_number() OVER (PARTITION BY id ORDER BY commits DESC, author) AS place FROM sh),
+sb AS (SELECT *, coalesce(sum(share) OVER (PARTITION BY id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sp),
+ow AS (SELECT id, max(author) FILTER (place = 1) AS owner, max(share) FILTER (place = 1) AS owner_share, count(*) FILTER (floor(before * 100 + 0.5) / 100 < 0.7) AS bus, count(*) AS authors, sum(commits) AS commits,
+  max(author || ' · ' || commits || ' commits · ' || CAST(floor(share * 100 + 0.5) AS INTEGER) || '%') FILTER (place = 1) AS said FROM sb GROUP BY id),
+rk AS (SELECT *, least(1, fan_in / mi) * 0.28::DOUBLE AS a, least(1, c90 / mc) * 0.26::DOUBLE AS b, CASE WHEN in_cycle THEN 0.16::DOUBLE ELSE 0 END AS c,
+  least(1, CASE WHEN coverage = 'ninguna' AND fan_in >= 1 THEN 0.5 + 0.5 * (fan_in / mi) WHEN coverage = 'indirecta' THEN 0.25 * (fan_in / mi) ELSE 0 END) * 0.14::DOUBLE AS d,
+  CASE WHEN sole_owner THEN 0.10::DOUBLE ELSE 0 END AS e, least(1, loc::DOUBLE / 300) * 0.06::DOUBLE AS f, least(1, dup_pct * CASE WHEN dup_sev = 'costosa' THEN 1.6::DOUBLE ELSE 0.6::DOUBLE END) * 0.08::DOUBLE AS g,
+  greatest(a, b, c, d, e, f, g) AS most, a + b + c + d + e + f + g AS whole, row_number() OVER (ORDER BY score DESC, id) AS nth FROM parts, x WHERE NOT skipped),
+r1 AS (SELECT *, CASE most WHEN a THEN 'muchos dependen de él' WHEN b THEN 'cambia seguido' WHEN c THEN 'está en un ciclo' WHEN d THEN 'poca cobertura' WHEN e THEN 'lo conoce una sola persona' WHEN f THEN 'tamaño' ELSE 'código duplicado' END AS label FROM rk WHERE nth = 1),
+un AS (SELECT id, score, fan_in, c90, row_number() OVER (ORDER BY score DESC, id) AS nth FROM parts WHERE NOT skipped AND coverage = 'ninguna' AND fan_in > 0),
+hp AS (SELECT c.*, count(*) OVER () AS n_all, row_number() OVER (ORDER BY -count * strength, 'p' || a, 'p' || b) AS nth FROM c JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b WHERE x.p_brand <> y.p_brand),
+so AS (SELECT parts.id, score, owner, owner_share, ow.commits, row_number() OVER (ORDER BY score DESC, parts.id) AS nth FROM parts JOIN ow USING (id) WHERE NOT skipped AND sole_owner),
+im AS (SELECT 'p' || ch.id AS id, total, coverage, skipped, row_number() OVER (ORDER BY skipped, -total, 'p' || ch.id) AS nth FROM ch JOIN parts ON parts.id = 'p' || ch.id),
+nr AS (SELECT count(*) AS n FROM parts WHERE NOT skipped AND fan_in = 0),
+ans AS (
+  SELECT 'risk' AS intent, '¿Qué es lo más riesgoso de tocar?' AS title, id || ' (riesgo ' || score || '/100). Principal motivo: ' || label || ' (' || CAST(floor(CASE WHEN whole > 0 THEN most / whole ELSE 0 END * 100 + 0.5) AS INTEGER) || '% del puntaje).' AS headline,
+    CASE WHEN label IN ('cambia seguido', 'lo conoce una sola persona') THEN CASE WHEN least(fan_in, commits) >= 12 THEN 'alta' WHEN least(fan_in, commits) >= 5 THEN 'media' ELSE 'baja' END ELSE 'alta' END AS level,
+    (SELECT least(5, count(*)) FROM rk) AS n_rows, 'riesgo ' || score || ' · ' || fan_in || ' dependientes · ' || c90 || ' cambios/90 d' || CASE coverage WHEN 'directa' THEN '' ELSE ' · sin pruebas' END AS first_row, 'impact,tests,owner' AS follow FROM r1, no
+  UNION ALL SELECT 'impact', '¿Qué se rompe si cambio…?', 'El mayor radio de impacto es ' || id || ': ' || total || ' archivos dependen de él directa o indirectamente.', 'alta', (SELECT least(5, count(*)) FROM im WHERE NOT skipped), total || ' afectados (' || least(total, 1) || ' directos)', 'tests,hidden' FROM im WHERE nth = 1
+  UNION ALL SELECT 'hidden', '¿Qué archivos cambian juntos sin importarse?', least(n_all, 6) || CASE WHEN n_all = 1 THEN ' par' ELSE ' pares' END || ' cambian juntos sin importarse. El más fuerte: p' || a || ' ↔ p' || b || ' (' || count || ' commits, ' || CAST(floor(strength * 100 + 0.5) AS INTEGER) || '%).', CASE WHEN least(count, commits) >= 12 THEN 'alta' WHEN least(count, commits) >= 5 THEN 'media' ELSE 'baja' END,
+    least(n_all, 6), '↔ p' || b || ' · ' || count || ' commits juntos · confianza ' || CAST(floor(conf_ab * 100 + 0.5) AS INTEGER) || '%/' || CAST(floor(conf_ba * 100 + 0.5) AS INTEGER) || '% · lift ' || CASE WHEN lift = floor(lift) THEN CAST(CAST(lift AS BIGINT) AS VARCHAR) ELSE CAST(lift AS VARCHAR) END, 'dup,impact' FROM hp, no WHERE nth = 1
+  UNION ALL SELECT 'none!', '¿Dónde la duplicación cuesta más?', 'La detección de duplicados no se ejecutó.', 'baja', 0, NULL, 'risk,hidden,dead'
+  UNION ALL SELECT 'tests', '¿Qué importante no tiene pruebas?', (SELECT least(6, count(*)) FROM un) || ' archivos relevantes sin pruebas. El más delicado: ' || id || ' (riesgo ' || score || ', ' || fan_in || ' dependientes).', 'alta', (SELECT least(6, count(*)) FROM un), 'riesgo ' || score || ' · ' || fan_in || ' dependientes · ' || c90 || ' cambios/90 d', 'risk,impact' FROM un WHERE nth = 1
+  UNION ALL SELECT 'owner', '¿Quién conoce este código? (factor autobús)', CASE WHEN id IS NULL THEN 'No hay archivos con propietario único y suficiente historial.' ELSE (SELECT least(6, count(*)) FROM so) || '+ archivos dependen de una sola persona. El de más riesgo: ' || id || ' (' || owner || ').' END, CASE WHEN coalesce(so.commits, 0) >= 12 THEN 'alta' WHEN coalesce(so.commits, 0) >= 5 THEN 'media' ELSE 'baja' END,
+    (SELECT least(6, count(*)) FROM so), owner || ' · ' || CAST(floor(owner_share * 100 + 0.5) AS INTEGER) || '% de ' || so.commits || ' commits', 'risk,impact' FROM no LEFT JOIN so ON nth = 1
+  UNION ALL SELECT 'dead', '¿Qué puedo borrar con seguridad?', CASE WHEN n = 0 THEN 'No hay archivos huérfanos ni símbolos exportados sin uso.' ELSE least(n, 6) || CASE WHEN n = 1 THEN ' archivo huérfano' ELSE ' archivos huérfanos' END || ' y 0 símbolos exportados sin uso.' END, 'alta', least(n, 6),
+    (SELECT 'nadie lo importa · ' || arg_min(loc, id) || ' líneas · último cambio ?' FROM parts WHERE NOT skipped AND fan_in = 0), CASE WHEN n = 0 THEN 'risk' ELSE 'hidden' END FROM nr
+  UNION ALL SELECT 'cycles', '¿Hay dependencias circulares?', 'No hay ciclos entre archivos de producción.', 'alta', 0, NULL, 'risk'
+  UNION ALL SELECT 'generated', '¿Qué código es generado?', 'No se detectó código generado (marcas @generated, nombres .g.cs / .pb.go / .min.js…).', 'media', 0, NULL, 'risk,dead'
+  UNION ALL SELECT 'dynamic', '¿Dónde falla el grafo por reflexión?', 'No se detectó reflexión ni carga dinámica de código.', 'alta', 0, NULL, 'impact,dead'
+  UNION ALL SELECT 'recursion', '¿Qué funciones son recursivas?', 'No se detectó recursión dentro de un mismo archivo.', 'media', 0, NULL, 'cycles'
+  UNION ALL SELECT 'since', '¿Qué cambió desde la última vez?', 'Aún no hay una vista anterior con la que comparar: esta visita queda guardada como referencia.', 'baja', 0, NULL, 'health'
+  UNION ALL SELECT 'none?', '¿Cómo está el proyecto en general?', 'No hay índice de salud.', 'baja', 0, NULL, 'risk,hidden,dead'
+  UNION ALL SELECT 'none', NULL, 'No entendí la pregunta. Prueba con una de estas:', 'baja', 0, NULL, 'risk,impact,hidden,dup,tests,owner,dead,cycles,generated,dynamic,recursion,since,health'),
+qs AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text || ' p' || (conv_id + 1) ELSE text END AS question FROM conversations),
+qf AS (SELECT *, translate(lower(coalesce(question, '')), 'áàâäãåéèêëíìîïóòôöõúùûüñçý', 'aaaaaaeeeeiiiiooooouuuuncy') AS t FROM qs),
+nm AS (SELECT conv_id, turn, arg_min(w, (-length(w), w)) AS file FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(t, '[^a-z0-9]+')) AS w FROM qf) WHERE length(w) >= 3 AND w IN (SELECT id FROM parts) GROUP BY ALL),
+it AS (SELECT qf.*, file, CASE {" ".join(f"WHEN regexp_matches(t, '{rx}') THEN '{name}'" for name, rx in text.INTENTS)} WHEN file IS NOT NULL THEN 'impact' ELSE 'none' END AS asked FROM qf LEFT JOIN nm USING (conv_id, turn))
+SELECT it.conv_id, it.turn, it.file, CASE WHEN ans.intent LIKE 'none%' THEN 'none' ELSE ans.intent END AS intent,
+  CASE WHEN asked = 'none' THEN coalesce(question, '') WHEN asked = 'impact' AND it.file IS NOT NULL THEN '¿Qué se rompe si cambio ' || it.file || '?' WHEN asked = 'owner' AND ow.id IS NOT NULL THEN '¿Quién conoce ' || it.file || '?' ELSE title END AS title,
+  CASE WHEN asked = 'impact' AND it.file IS NOT NULL THEN it.file || ' afecta a ' || im.total || CASE WHEN im.total = 1 THEN ' archivo (' ELSE ' archivos (' END || least(im.total, 1) || ' directos, hasta ' || im.total || CASE WHEN im.total = 1 THEN ' nivel); ' ELSE ' niveles); ' END || im.total || ' de producción.'
+    WHEN asked = 'owner' AND ow.id IS NOT NULL THEN ow.owner || ' concentra ' || CAST(floor(ow.owner_share * 100 + 0.5) AS INTEGER) || '% de los ' || ow.commits || ' commits; factor autobús ' || ow.bus || '.' ELSE headline END AS headline,
+  CASE WHEN asked = 'owner' AND ow.id IS NOT NULL THEN CASE WHEN ow.commits >= 12 THEN 'alta' WHEN ow.commits >= 5 THEN 'media' ELSE 'baja' END ELSE level END AS level,
+  CAST(CASE WHEN asked = 'impact' AND it.file IS NOT NULL THEN least(im.total, 12) WHEN asked = 'owner' AND ow.id IS NOT NULL THEN ow.authors ELSE n_rows END AS INTEGER) AS n_rows,
+  CASE WHEN asked = 'impact' AND it.file IS NOT NULL THEN CASE WHEN im.total > 0 THEN 'depende directamente' END WHEN asked = 'owner' AND ow.id IS NOT NULL THEN ow.said ELSE first_row END AS first_row,
+  CASE WHEN asked = 'owner' AND ow.id IS NOT NULL THEN 'risk' ELSE follow END AS follow
+FROM it JOIN ans ON ans.intent = CASE asked WHEN 'dup' THEN 'none!' WHEN 'health' THEN 'none?' ELSE asked END LEFT JOIN im ON im.id = it.file LEFT JOIN ow ON ow.id = it.file AND asked = 'owner'
+""")
+def ask_conversations(spark: SparkSession, d: str) -> DataFrame:
+    """What every turn of every conversation asks, answered; even turns name the part with their conversation's number."""
+    talk = read(spark, d, "conversations")
+    question = F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit(" p"), (F.col("conv_id") + 1).cast("string"))).otherwise(F.col("text"))
+    answered = ask.ask(talk.select("conv_id", "turn", question.alias("question")), facts_of(spark, d))
+    return answered.select("conv_id", "turn", "file", "intent", "title", "headline", "level", F.size("rows").alias("n_rows"), F.get("rows", F.lit(0))["text"].alias("first_row"), F.array_join("follow", ",").alias("follow"))
+
+
 @register("""WITH f AS (SELECT DISTINCT lower(p_brand) AS id, lower(p_brand) AS k FROM part), q AS (SELECT conv_id, turn, text, lower(text) AS t FROM conversations), n AS (SELECT lower(split_part(p_name, ' ', 1)) AS k, min(p_name) AS id FROM part GROUP BY 1)
 SELECT conv_id, turn, (SELECT min(id) FROM n WHERE length(k) >= 3 AND regexp_matches(t, '(^|[^a-z0-9])' || k || '($|[^a-z0-9])') AND length(k) = (SELECT max(length(k)) FROM n m WHERE regexp_matches(t, '(^|[^a-z0-9])' || m.k || '($|[^a-z0-9])'))) AS file FROM q""")
 def named_file(spark: SparkSession, d: str) -> DataFrame:
