@@ -17,24 +17,99 @@ WINDOW = 2048
 END = 1
 #: Windows that a task holds open at most; with the window they bound its memory.
 OPEN = 4096
-#: Characters tokenised at once.
-CHUNK = 1 << 20
+#: Bytes of texts taken at once, stretches given to the tokenizer at once, and stretches whose ids a task remembers.
+CHUNK, AT_ONCE, REMEMBERED = 1 << 20, 20_000, 600_000
 
 Piece = tuple[int, int, np.ndarray]
-#: A byte-level vocabulary's pattern never joins a letter after a space to what stands before that space.
-_CUT = re.compile(r"(?<=\S)(?= [^\W\d_])")
+#: White space and the word after it.  No token of a byte-level vocabulary reaches from a word to white space after it.
+_STRETCH = re.compile(r"\s*\S+|\s+")
+#: White space to Python and not to the tokenizer.
+_ODD = re.compile("[\x1c-\x1f]")
 
 
-def parts(text: str, size: int = CHUNK) -> Iterator[str]:
-    """A text in parts of ``size`` characters or a little more, cut where no token reaches across."""
-    at = 0
-    while len(text) - at > size:
-        cut = _CUT.search(text, at + size)
-        if cut is None:
-            break
-        yield text[at : cut.start()]
-        at = cut.start()
-    yield text[at:]
+class Tokens:
+    """Ids by a byte-level tokenizer, which sees each stretch of white space and a word once.
+
+    Stretches that aren't known yet are encoded together: one that begins with white space and ends with a word can
+    follow another, as the ids between two such ends are its own, and those ends are found by the bytes
+    that ids stand for.  A text's first word gets a line's end before it, whose id is dropped.
+    """
+
+    def __init__(self, description: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_str(description)
+        vocabulary = self.model.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)  # a character of a token stands for a byte
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.start, self.count = np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Adds the ids of stretches, numbered as they come."""
+        for lo in range(0, len(new), AT_ONCE):
+            some = new[lo : lo + AT_ONCE]
+            first = np.array([not w[0].isspace() for w in some])
+            blank = [i for i, w in enumerate(some) if w.isspace()]
+            joined = [w for w in some if not w.isspace()]
+            ids = self._plain(["".join(["\n" + w if not w[0].isspace() else w for w in joined])])[0]
+            ends = np.cumsum([len(w.encode()) + (not w[0].isspace()) for w in joined], dtype=np.int64)
+            stop = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
+            begin = np.concatenate([[0], stop[:-1]]).astype(np.int64)
+            start, count = np.zeros(len(some), dtype=np.int64), np.zeros(len(some), dtype=np.int64)
+            word = np.ones(len(some), dtype=bool)
+            word[blank] = False
+            start[word], count[word] = begin + first[word], stop - begin - first[word]
+            own = self._plain([some[i] for i in blank])
+            count[blank] = [len(x) for x in own]
+            start[blank] = len(ids) + np.cumsum([0, *(len(x) for x in own)], dtype=np.int64)[:-1]
+            self.start = np.concatenate([self.start, start + len(self.ids)])
+            self.count = np.concatenate([self.count, count])
+            self.ids = np.concatenate([self.ids, ids, *own])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        known, new, rows, odd = self.known, [], [], {}
+        for n, text in enumerate(texts):
+            if _ODD.search(text):
+                odd[n] = self._plain([text])[0]
+                text = ""
+            words = _STRETCH.findall(text)
+            row = list(map(known.get, words))
+            if None in row:
+                for i, w in enumerate(words):
+                    if row[i] is None:
+                        row[i] = known.setdefault(w, len(known))
+                        if row[i] == len(self.start) + len(new):
+                            new.append(w)
+            rows.append(np.array(row, dtype=np.int64))
+        self._learn(new)
+        out = []
+        for n, row in enumerate(rows):
+            counts = self.count[row]
+            at = np.repeat(self.start[row] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            out.append(odd[n] if n in odd else self.ids[at])
+        return out
+
+
+#: A worker's tokens, by the tokenizer's description: tasks that follow each other in it share what is known.
+_TOKENS: dict[str, Tokens] = {}
+
+
+def tokens_of(description: str) -> Tokens:
+    if description not in _TOKENS:
+        _TOKENS.clear()
+        _TOKENS[description] = Tokens(description)
+    return _TOKENS[description]
 
 
 class Packer:
@@ -135,20 +210,12 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_str(shipped.value)
+        model = tokens_of(shipped.value)
         packer, tail = Packer(window, most_open), np.array([end], dtype="<u4")
         #: of documents whose pieces haven't all left: id, tokens, tokens left
         held: dict[int, list] = {}
         n_docs, n_sequences = 0, TaskContext.get().partitionId() << 33
 
-        def tokens(texts: list[str]) -> list[np.ndarray]:
-            split = [list(parts(t)) for t in texts]
-            encoded = iter(model.encode_batch_fast([p for s in split for p in s], add_special_tokens=False))
-            return [np.concatenate([*(np.array(next(encoded).ids, dtype="<u4") for _ in s), tail]) for s in split]
-
         def left() -> pa.RecordBatch:
             nonlocal n_sequences
             columns: list[list] = [[] for _ in names]
@@ -174,7 +241,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
                 hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + CHUNK, side="right")))
                 texts = [(x or b"").decode("utf-8", "replace") for x in b.column(1).slice(lo, hi - lo).to_pylist()]
                 once = list(dict.fromkeys(texts))
-                found = dict(zip(once, tokens(once), strict=True))
+                found = {t: np.concatenate([ids, tail]) for t, ids in zip(once, model.encode(once), strict=True)}
                 for name, text in zip(b.column(0).slice(lo, hi - lo).to_pylist(), texts, strict=True):
                     ids = found[text]
                     held[n_docs] = [name, len(ids), len(ids)]

@@ -180,14 +180,20 @@ def test_pack_edges(spark):
     assert repeated.agg(F.sum("length")).head()[0] == 2 * len(documents[5])
 
 
-def test_parts_have_the_ids_of_the_whole():
+def test_stretches_have_the_ids_of_the_whole(monkeypatch):
     model = Tokenizer.from_file(BYTES)
+    with open(BYTES, encoding="utf-8") as f:
+        tokens = packing.Tokens(f.read())
     rng = random.Random(4)
-    text = "".join(rng.choice(["a", "é", " ", "  ", "\n", "1", "'s", ".", "\x1c", "\xa0", "²", "漢", "<|endoftext|>"]) for _ in range(4000))
-    for size in (1, 7, 100):
-        cut = list(packing.parts(text, size))
-        assert "".join(cut) == text and len(cut) > 3
-        assert [i for p in cut for i in model.encode(p, add_special_tokens=False).ids] == model.encode(text, add_special_tokens=False).ids
+    letters = ["a", "b", "é", "The", " ", "  ", "\n", "\t", "\r\n", "1", "'s", "'", ".", "\x1c", "\xa0", "\u2003", "²", "漢", "😀", "\x00", "<|endoftext|>", "<|"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(2000)] + ["", " ", "\n\n", "x", " x", "x "]
+    expected = [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(packing, "AT_ONCE", 50)
+    for at in (0, 0):
+        for lo in range(at, len(texts), 100):
+            assert [i.tolist() for i in tokens.encode(texts[lo : lo + 100])] == expected[lo : lo + 100]
+    monkeypatch.setattr(packing, "REMEMBERED", 10)
+    assert [i.tolist() for i in tokens.encode(texts)] == expected and [i.tolist() for i in tokens.encode(texts[::-1])] == expected[::-1]
 
 
 def test_placement_takes_the_least_sum_of_squares():
