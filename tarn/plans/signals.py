@@ -6,37 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import cycles
-from ..sources.languages import COMMENTS
 
 #: Lines of a function's body that are looked at, at most, where braces end it; and findings of a file.
 BODY, MOST = 400, 8
 
 
-def _line(text: str, upto: Column) -> Column:
-    """The line that character ``upto`` (from 1) of column ``text`` is in."""
-    return F.size(F.split(F.substring(F.col(text), F.lit(1), upto - 1), "\n"))
-
-
-def comments(files: DataFrame) -> DataFrame:
-    """(id, line, comment) of ``files`` (id, lang, content): each comment without its signs, and its first line.
-
-    Strings and comments are found one after another by one pattern, so that a comment's sign within a
-    string isn't one; the pieces' lengths, summed, tell where each begins.
-    """
-    pieces = lambda p: F.regexp_extract_all("content", F.lit(f"(?s){p}|[^\"'`#/]+|."), 0)
-    found = F.when(F.col("lang") == "python", pieces(COMMENTS["python"])).otherwise(pieces(COMMENTS[""]))
-    start = F.struct(F.lit(1).alias("line"), F.array().cast("array<struct<line:int,comment:string>>").alias("got"))
-    sign = F.when(F.col("lang") == "python", "^#").otherwise("^(//|/\\*)")
-
-    def step(acc: Column, x: Column) -> Column:
-        plain = F.regexp_replace(F.regexp_replace(x, r"^(?://|#|/\*)", ""), r"\*/$", "")
-        own = F.array(F.struct(acc["line"].alias("line"), plain.alias("comment")))
-        lines = F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-        return F.struct((acc["line"] + lines).cast("int").alias("line"), F.when(F.regexp_like(x, sign), F.concat(acc["got"], own)).otherwise(acc["got"]).alias("got"))
-
-    return files.select("id", F.explode(F.aggregate(found, start, step)["got"]).alias("c")).select("id", "c.line", "c.comment")
-
-
 def summary(noted: DataFrame) -> DataFrame:
     """(id, summary): the first comment within three lines that isn't an annotation, 140 characters of it."""
     first = noted.filter((F.col("line") <= 3) & ~F.col("comment").rlike("@rel|@set")).groupBy("id").agg(F.min_by("comment", "line").alias("c"))

@@ -12,7 +12,8 @@ from ..functions.stats import percentile_rank
 from ..operators import cochange, graph, history, risk
 from ..session import cut
 from ..sources import files as tree
-from . import bridges, insights, links, relations, signals
+from ..sources.languages import BUILTIN, Grammar
+from . import bridges, insights, links, parse, relations, signals
 
 #: Languages whose files in one folder see each other, so that a cycle there tells nothing.
 NAMESPACED = ("csharp", "java", "kotlin", "scala", "php", "go")
@@ -105,15 +106,18 @@ def folder_rollup(files: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
 def build(
     spark: SparkSession, sources: DataFrame, *, modules: DataFrame | None = None, commits: DataFrame | None = None, touches: DataFrame | None = None,
     status: DataFrame | None = None, overrides: DataFrame | None = None, aux: tuple[str, ...] = (), aux_off: bool = False, now: str | None = None,
+    grammar: Grammar = BUILTIN, parsed: tuple[links.Parsed, DataFrame, DataFrame] | None = None,
 ) -> World:
     """The world of ``sources`` (id, ext, lang, content), with a history if there is one.
 
     ``overrides`` (source, target, kind, origin) adds edges, ``aux`` patterns of auxiliary folders;
-    ``now`` is the history's last moment unless given.
+    ``now`` is the history's last moment unless given.  ``grammar`` has the languages; ``parsed`` is what
+    ``links.linked`` gave for the same sources, if that is known already.
     """
-    coded, linked, packages = links.linked(sources, modules)
-    noted = cut(signals.comments(sources))
-    base = coded.select("id", "lang", "loc", F.size(F.split("content", "\n")).alias("lines"), text.folder(F.col("id")).alias("dir"), text.is_test(F.col("id")).alias("is_test"), text.generated(F.col("id"), F.col("content")).alias("gen"))
+    said, linked, packages = parsed or links.linked(sources, modules, grammar)
+    coded = said.coded
+    noted = cut(parse.comments(coded))
+    base = coded.select("id", "lang", "loc", F.size(F.split("content", "\n")).alias("lines"), text.folder(F.col("id")).alias("dir"), grammar.is_test(F.col("lang"), F.col("id")).alias("is_test"), text.generated(F.col("id"), F.col("content")).alias("gen"))
     beside = F.lit(False) if aux_off else F.col("id").rlike("|".join([text.AUXILIARY, *aux]))
     base = base.withColumn("aux", ~F.col("is_test") & beside)
     enough = base.agg((F.count_if(~F.col("aux") & ~F.col("is_test")) >= 3).alias("enough"))
@@ -136,15 +140,15 @@ def build(
     flat = cut(edges.filter("kind <> 'relation'").join(tests.withColumnRenamed("id", "source"), "source", "left_anti").select(F.col("source").alias("src"), F.col("target").alias("dst"), "kind", "refs"))
     cycles = cut(told_cycles(graph.cycles(flat.filter("kind <> 'dynamic'").select("src", "dst")), base))
     tested = cut(relations.tested_by(edges, tests))
-    defined = cut(links.definitions(coded))
+    defined = said.defined
     recursion = cut(signals.recursion(coded, defined.join(tests.withColumnRenamed("id", "file"), "file", "left_anti")))
-    exports = defined.filter("exported").groupBy(F.col("file").alias("id")).agg(F.count_distinct("name").alias("exports"))
+    exports = said.offered.groupBy(F.col("file").alias("id")).agg(F.count_distinct("name").alias("exports"))
     again = flat.filter("kind = 'reexport'").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("reexports"))
     covered = coverage(edges.filter("kind <> 'relation'").select(F.col("source").alias("src"), F.col("target").alias("dst")), base, tested)
     marked = signals.tags(noted).groupBy("id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
     joined = base.join(graph.degrees(base, flat), "id")
     in_cycle = cycles.select(F.col("node").alias("id"), F.lit(True).alias("in_cycle")).distinct()
-    for more in (exports, again, covered, in_cycle, links.dynamic_uses(coded), signals.summary(noted), marked, recursion.select("id", F.lit(True).alias("recursive")).distinct()):
+    for more in (exports, again, covered, in_cycle, parse.dynamic_uses(coded, grammar), signals.summary(noted), marked, recursion.select("id", F.lit(True).alias("recursive")).distinct()):
         joined = joined.join(more, "id", "left")
     has_git = touches is not None and commits is not None
     pairs = timeline = shared = None
@@ -197,10 +201,10 @@ def build(
     return World(scored, edges, packages, cycles, labels, impacts, tested, symbols, recursion, met, cut(folders), cut(coupling), cut(findings), cut(risk.health(counts)), warnings, pairs, timeline, shared)
 
 
-def from_tree(spark: SparkSession, root: str, **more) -> World:
-    found = tree.modules(root)
+def from_tree(spark: SparkSession, root: str, grammar: Grammar = BUILTIN, **more) -> World:
+    found = tree.modules(root, grammar)
     modules = spark.createDataFrame(found, "dir string, module string") if found else None
-    return build(spark, tree.source_tree(spark, root), modules=modules, **more)
+    return build(spark, tree.source_tree(spark, root, grammar), modules=modules, grammar=grammar, **more)
 
 
 def sets(world: World, saved: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn.operators import cochange, graph, measures
-from tarn.plans import answers, bridges, guard, links, relations, signals, store, world
+from tarn.plans import answers, bridges, guard, links, parse, relations, signals, store, world
 from tarn.sources import files as tree
 from tarn.sources import generate, history
 
@@ -70,7 +70,7 @@ def test_signals(spark, root, built):
     assert "reflexión" in files["tools/helpers.py"].flags and "recursión" in files["web/app.js"].flags
     assert files["tests/test_helpers.py"].coverage == "prueba" and files["tools/helpers.py"].coverage == "directa"
     assert {(r.id, r.kind, tuple(r.names)) for r in built.recursion.collect()} == {("web/app.js", "directa", ("fact",)), ("tools/helpers.py", "mutua", ("is_even", "is_odd"))}
-    noted = {(r.id, r.line, r.comment.strip()[:12]) for r in signals.comments(tree.source_tree(spark, root)).collect()}
+    noted = {(r.id, r.line, r.comment.strip()[:12]) for r in parse.comments(parse.lexed(tree.source_tree(spark, root))).collect()}
     assert ("web/util.js", 1, "@set money\n ") in noted and not any("no comment" in x[2] for x in noted)
     used = {(r["file"], r["name"]): r.total for r in built.symbols.collect()}
     assert used[("web/util.js", "fmt")] == 1 and used[("web/util.js", "unused")] == 0 and used[("tools/helpers.py", "is_even")] == 1
