@@ -95,3 +95,28 @@ def package(spec: Column, lang: Column) -> Column:
         .when(lang.isin("java", "kotlin"), F.array_join(F.slice(dotted, 1, 2), "."))
         .otherwise(F.element_at(F.split(first, r"::|\."), 1))
     )
+
+
+def fuzzy(query: Column, name: Column) -> Column:
+    """(score, hit) of how well a name fits what is typed; null unless it has all its letters in order.
+
+    One scan with a state takes each letter at the first place where it can stand: 1 for it, 3 if it follows the
+    letter before, 2 more at the beginning or behind one of ``/._-``; 8 if the last part of the name
+    has the query whole; and 0.02 off for each character.  hit are the places, from 0.
+    """
+    q, s = F.lower(query), F.lower(name)
+    letters = F.filter(F.split(s, ""), lambda c: c != "")
+    start = F.struct(F.lit(0).alias("qi"), F.lit(0).alias("score"), F.lit(-2).alias("last"), F.lit(0).alias("i"), F.lit("").alias("before"), F.array().cast("array<int>").alias("hit"))
+
+    def step(acc: Column, c: Column) -> Column:
+        met = (acc["qi"] < F.length(q)) & (F.substring(q, acc["qi"] + 1, F.lit(1)) == c)
+        worth = F.when(acc["i"] == acc["last"] + 1, 3).otherwise(1) + F.when((acc["i"] == 0) | acc["before"].isin("/", ".", "_", "-"), 2).otherwise(0)
+        return F.struct(
+            F.when(met, acc["qi"] + 1).otherwise(acc["qi"]).alias("qi"), F.when(met, acc["score"] + worth).otherwise(acc["score"]).alias("score"), F.when(met, acc["i"]).otherwise(acc["last"]).alias("last"),
+            (acc["i"] + 1).alias("i"), c.alias("before"), F.when(met, F.concat(acc["hit"], F.array(acc["i"]))).otherwise(acc["hit"]).alias("hit"),
+        )
+
+    done = F.aggregate(letters, start, step)
+    base = F.when(F.contains(F.element_at(F.split(s, "/"), -1), q), 8).otherwise(0)
+    score = done["score"] + base - F.length(s) * F.lit(0.02).cast("double")
+    return F.when(done["qi"] == F.length(q), F.struct(score.alias("score"), done["hit"].alias("hit")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import half_up
 from ..session import cut
 from .graph import components
 
@@ -175,3 +176,47 @@ def overlap_in_file(units: DataFrame) -> DataFrame:
     """Units (file, start, end) that lie within no other of the same file."""
     inner = Window.partitionBy("file").orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
     return units.withColumn("__end", F.max("end").over(inner)).filter("__end is null or __end < end").drop("__end")
+
+
+#: Members of a group above which nested ones aren't looked for.
+MANY = 60
+
+
+def apart(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) without those whose units (unit, file, start, end) overlap in one file; ends are inclusive."""
+    side = lambda x: units.select(F.col("unit").alias(x), *[F.col(c).alias(f"__{c}_{x}") for c in ("file", "start", "end")])
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    over = (F.col("__file_a") == F.col("__file_b")) & (F.col("__start_a") <= F.col("__end_b")) & (F.col("__start_b") <= F.col("__end_a"))
+    return met.filter(~F.coalesce(over, F.lit(False))).select(*pairs.columns)
+
+
+def outermost(members: DataFrame) -> DataFrame:
+    """``members`` (group, unit, file, start, end, ...) without units that lie in a longer one of their group and file.
+
+    Groups of more than MANY keep all, and a group of which one unit is left goes.  Whether a longer one holds a unit is
+    told by the furthest end of those that begin before it, and of those that begin with it.
+    """
+    place = Window.partitionBy("group", "file").orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
+    same = Window.partitionBy("group", "file", "start")
+    size = members.groupBy("group").agg(F.count("*").alias("__n"))
+    held = (F.coalesce(F.max("end").over(place), F.lit(-1)) >= F.col("end")) | (F.max("end").over(same) > F.col("end"))
+    kept = members.withColumn("__held", held).join(size, "group").filter((F.col("__n") > MANY) | ~F.col("__held")).drop("__held", "__n")
+    left = kept.groupBy("group").agg(F.count("*").alias("__n")).filter("__n > 1").select("group")
+    return kept.join(left, "group", "left_semi")
+
+
+def duplicated(members: DataFrame, groups: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, lines, pct, groups, sev, cost) of files with copies.
+
+    ``members`` (group, file, start, end) with inclusive ends, ``groups`` (group, sev, score), ``files`` (file, loc).  Lines
+    that several ranges cover count once; pct is their share of loc, 1 at most, to two digits; a file
+    has the severity ``costosa`` if one of its groups has it.
+    """
+    before = Window.partitionBy("file").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.max("end").over(before)
+    # of each range the lines that no earlier one has: summed they are the union
+    new = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), F.coalesce(reached + 1, F.col("start"))) + 1)
+    lines = members.withColumn("__new", new).groupBy("file").agg(F.sum("__new").cast("long").alias("lines"))
+    about = members.select("file", "group").distinct().join(groups.select("group", "sev", "score"), "group").groupBy("file").agg(F.count("*").alias("groups"), F.when(F.bool_or(F.col("sev") == "costosa"), "costosa").otherwise("latente").alias("sev"), F.max("score").alias("cost"))
+    whole = F.greatest(F.lit(1), F.when(F.coalesce("loc", F.lit(0)) == 0, F.col("lines")).otherwise(F.col("loc")))
+    return lines.join(about, "file").join(files.select("file", "loc"), "file", "left").select("file", "lines", half_up(F.least(F.lit(1.0), F.col("lines") / whole)).alias("pct"), "groups", "sev", "cost")

@@ -175,30 +175,52 @@ def cycles(edges: DataFrame) -> DataFrame:
     return sized.filter("n > 1").select("node", "component")
 
 
-def communities(edges: DataFrame, *, rounds: int = 30) -> DataFrame:
+def communities(edges: DataFrame, nodes: DataFrame | None = None, *, rounds: int = 30) -> DataFrame:
     """(node, community) by label propagation over weighted edges (src, dst, weight), directions ignored.
 
-    Each node takes the label of most weight around it, its own if that has as much, else the smallest.
-    A round moves one half of the nodes, by a hash of their name, then the other, so that two can't
-    swap labels for ever; ends when neither half moves.  A lone label joins its best neighbour's.
+    Labels are those of a sequential run: nodes move by falling number of neighbours, then by name; each
+    takes the label of most weight around it, its own if none has more, else the smallest of those, up to ``rounds`` times.
+    That order is kept without a sequence: a node moves for the t-th time as soon as its neighbours before it in the
+    order have moved t times and those behind it t - 1 times, so every step moves all nodes
+    that wait for nobody, whichever round they are in.  Nobody's label changing through a whole round ends it.
+    A label that one node alone has becomes that of its best neighbour.  ``nodes`` (id) without edges keep their own.
     """
-    both = cut(edges.select("src", "dst", "weight").union(edges.select(F.col("dst"), F.col("src"), "weight")).filter("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
-    labels = cut(both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")))
-    still = 0
-    for turn in range(2 * rounds):
-        around = both.join(labels.select(F.col("node").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("node"), F.col("community").alias("seen")).agg(F.sum("weight").alias("weight"))
-        joined = around.join(labels, "node").withColumn("weight", F.col("weight") + F.when(F.col("seen") == F.col("community"), 1e-9).otherwise(0.0))
-        best = F.row_number().over(Window.partitionBy("node").orderBy(F.col("weight").desc(), "seen"))
-        chosen = joined.withColumn("place", best).filter("place = 1").select("node", "community", F.when(F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2, F.col("seen")).otherwise(F.col("community")).alias("now"))
-        moved = cut(chosen)
-        labels = moved.select("node", F.col("now").alias("community"))
-        still = still + 1 if moved.filter("community <> now").isEmpty() else 0
-        if still == 2:
+    both = edges.select("src", "dst", "weight").union(edges.select(F.col("dst"), F.col("src"), "weight")).filter("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    both = cut(both)
+    degree = both.groupBy("src").agg(F.count("*").alias("n"))
+    order = lambda x: degree.select(F.col("src").alias(x), F.struct((-F.col("n")).alias("n"), F.col("src")).alias(f"o_{x}"))
+    # first: the neighbour dst moves before src
+    around = cut(both.join(order("src"), "src").join(order("dst"), "dst").select("src", "dst", "weight", (F.col("o_dst") < F.col("o_src")).alias("first")))
+    state = cut(degree.select(F.col("src").alias("node"), F.col("src").alias("community"), F.lit(0).alias("done"), F.lit(0).alias("moved")))
+    while True:
+        ends = state.agg(F.min("done").alias("done"), F.max("moved").alias("moved")).first()
+        if ends["done"] is None or ends["done"] >= rounds or ends["done"] > ends["moved"]:
             break
-    sized = labels.withColumn("n", F.count("*").over(Window.partitionBy("community")))
-    lone = sized.filter("n = 1").select(F.col("node").alias("src")).join(both, "src").groupBy("src").agg(F.max_by("dst", F.struct("weight", "dst")).alias("dst"))
-    joins = lone.join(labels.select(F.col("node").alias("dst"), F.col("community").alias("better")), "dst").select(F.col("src").alias("node"), "better")
-    return labels.join(joins, "node", "left").select("node", F.coalesce("better", "community").alias("community"))
+        at = lambda x, *more: state.select(F.col("node").alias(x), *more)
+        seen = around.join(at("src", F.col("done").alias("mine")), "src").join(at("dst", F.col("done").alias("theirs"), F.col("community").alias("label")), "dst")
+        # a node too far ahead of one that waits for it can't be: it waits for that one in turn
+        ready = F.bool_and(F.when(F.col("first"), F.col("theirs") > F.col("mine")).otherwise(F.col("theirs") >= F.col("mine"))).over(Window.partitionBy("src"))
+        weights = seen.withColumn("ready", ready).filter(F.col("ready") & (F.col("mine") < rounds)).groupBy("src", "label").agg(F.sum("weight").alias("weight"))
+        own = weights.join(at("src", "community"), "src")
+        top = own.withColumn("top", F.max("weight").over(Window.partitionBy("src"))).filter("weight >= top - 1e-9")
+        pick = top.groupBy("src").agg(F.min(F.when(F.col("label") == F.col("community"), F.col("label"))).alias("stay"), F.min("label").alias("least"))
+        chosen = pick.select(F.col("src").alias("node"), F.coalesce("stay", "least").alias("now"))
+        done = F.when(F.col("now").isNotNull(), F.col("done") + 1).otherwise(F.col("done"))
+        change = F.col("now").isNotNull() & (F.col("now") != F.col("community"))
+        state = cut(state.join(chosen, "node", "left").select("node", F.coalesce("now", "community").alias("community"), done.alias("done"), F.when(change, F.col("done") + 1).otherwise(F.col("moved")).alias("moved")))
+    labels = state.select("node", "community")
+    sized = cut(labels.withColumn("n", F.count("*").over(Window.partitionBy("community"))))
+    lone = sized.filter("n = 1").select(F.col("node").alias("src")).join(both, "src").groupBy("src").agg(F.min_by("dst", F.struct(-F.col("weight"), F.col("dst"))).alias("best"))
+    # one joins what its best neighbour has by then: a lone one with a smaller name has joined another already
+    joins = cut(lone.join(sized.select(F.col("node").alias("best"), F.col("community").alias("label"), (F.col("n") == 1).alias("lone")), "best").select("src", "label", F.when(F.col("lone") & (F.col("best") < F.col("src")), F.col("best")).alias("next")))
+    while not joins.filter("next is not null").isEmpty():
+        further = joins.select(F.col("src").alias("next"), F.col("label").alias("l"), F.col("next").alias("n"))
+        joins = cut(joins.join(further, "next", "left").select("src", F.coalesce("l", "label").alias("label"), F.col("n").alias("next")))
+    found = labels.join(joins.select(F.col("src").alias("node"), "label"), "node", "left").select("node", F.coalesce("label", "community").alias("community"))
+    if nodes is None:
+        return found
+    bare = nodes.select(F.col("id").alias("node")).join(found, "node", "left_anti")
+    return found.unionByName(bare.select("node", F.col("node").alias("community")))
 
 
 def cohesion(edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -87,6 +87,46 @@ def size_at(net: DataFrame, item: str, order: str, size: str, upto: Column) -> D
     return net.filter(F.col(order) <= upto).groupBy(item).agg(F.max_by(size, order).alias(size))
 
 
+def as_of(values: DataFrame, asks: DataFrame, item: str, order: str, value: str, *, slices: int = 64) -> DataFrame:
+    """``asks`` (item, order, ...) with value: what ``values`` (item, order, value) last said of the item up to then; null before.
+
+    Both are put in one line and each ask takes the last value before or at it, all asks at once.  An item that
+    has most of the rows isn't one task: its line is cut into ``slices`` by the order, each is looked through by
+    itself, and what a slice begins with comes from the last value of the slices before, a row each.
+    Of several values at one place the greatest counts.  The order is a number or a time.
+    """
+    number = lambda c: c.cast("double") if dict(values.dtypes)[order] not in ("timestamp", "timestamp_ntz", "date") else F.unix_micros(c.cast("timestamp")).cast("double")
+    told = values.filter(F.col(value).isNotNull()).groupBy(item, order).agg(F.max(value).alias("__v"))
+    ends = told.select(number(F.col(order)).alias("o")).union(asks.select(number(F.col(order)).alias("o"))).agg(F.min("o").alias("__lo"), F.max("o").alias("__hi"))
+    asked = asks.withColumn("__ask", F.struct(*[F.col(c) for c in asks.columns]))
+    lines = told.select(item, order, F.col("__v"), F.lit(None).cast(asked.schema["__ask"].dataType).alias("__ask"), F.lit(0).alias("__kind"))
+    lines = lines.unionByName(asked.select(item, order, F.lit(None).cast(told.schema["__v"].dataType).alias("__v"), "__ask", F.lit(1).alias("__kind")))
+    place = F.least(F.lit(slices - 1), F.floor((number(F.col(order)) - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-9)) * slices)).cast("int")
+    sliced = cut(lines.crossJoin(F.broadcast(ends)).withColumn("__slice", place).drop("__lo", "__hi"))
+    within = Window.partitionBy(item, "__slice").orderBy(order, "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    near = sliced.withColumn("__near", F.last("__v", ignorenulls=True).over(within)).filter("__kind = 1")
+    lasts = sliced.filter("__kind = 0").groupBy(item, "__slice").agg(F.max_by("__v", order).alias("__last"))
+    every = lasts.unionByName(near.select(item, "__slice").distinct().withColumn("__last", F.lit(None).cast(told.schema["__v"].dataType))).groupBy(item, "__slice").agg(F.max("__last").alias("__last"))
+    before = Window.partitionBy(item).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.withColumn("__carried", F.last("__last", ignorenulls=True).over(before)).select(F.col(item).alias("__item"), F.col("__slice").alias("__s"), "__carried")
+    met = near.join(carried, near[item].eqNullSafe(F.col("__item")) & (near["__slice"] == F.col("__s")), "left")
+    return met.select("__ask.*", F.coalesce("__near", "__carried").alias(value))
+
+
+def sizes_at(net: DataFrame, asks: DataFrame, loc: DataFrame, item: str, order: str, size: str) -> DataFrame:
+    """``asks`` with shown: an item's lines (item, loc) as they were then, scaled by its running size (item, order, size).
+
+    The share is the size then of the last one, 1 at most; a last size of 0 counts as 1.  Before its first touch an
+    item shows 0; one without any touch shows all its lines.
+    """
+    final = net.groupBy(item).agg(F.max_by(size, order).alias("__final")).withColumn("__known", F.lit(True))
+    then = as_of(net, asks, item, order, size).join(final, item, "left").join(loc.select(item, "loc"), item, "left")
+    last = F.when(F.col("__final") == 0, 1).otherwise(F.col("__final"))
+    share = F.when(F.col(size).isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.col(size) / last))
+    lines = F.coalesce("loc", F.lit(0))
+    return then.withColumn("shown", F.when(F.col("__known"), lines * share).otherwise(lines.cast("double"))).drop("__final", "__known", size, "loc")
+
+
 def state(status: Column, first_days: Column, last_days: Column, c30: Column, c90: Column, orphan: Column) -> Column:
     """A file's state, the first that holds."""
     return (

@@ -159,14 +159,24 @@ def text_search(spark: SparkSession, d: str) -> DataFrame:
     return lines.filter(at > 0).orderBy("doc_id", "p").limit(120).select("doc_id", (F.col("p") + 1).alias("line"), (at - 1).alias("col"), F.substring(F.trim("x"), 1, 160).alias("text"))
 
 
-@register()
+@register("""WITH RECURSIVE q AS (SELECT DISTINCT lower(substr(p_type, 1, 1) || substr(p_name, 1, 1) || right(p_name, 1)) AS q FROM part), n AS (SELECT DISTINCT p_brand || '/' || p_name AS s FROM part),
+w AS (SELECT q, s, lower(s) AS t FROM q, n),
+r(q, s, t, i, qi, score, last, hit) AS (SELECT q, s, t, 0, 0, 0, -2, '' FROM w UNION ALL
+  SELECT q, s, t, i + 1, CASE WHEN m THEN qi + 1 ELSE qi END, CASE WHEN m THEN score + CASE WHEN i = last + 1 THEN 3 ELSE 1 END + CASE WHEN i = 0 OR t[i] IN ('/', '.', '_', '-') THEN 2 ELSE 0 END ELSE score END, CASE WHEN m THEN i ELSE last END, CASE WHEN m THEN hit || i || ',' ELSE hit END
+  FROM (SELECT *, qi < length(q) AND t[i + 1] = q[qi + 1] AS m FROM r WHERE i < length(t)) x),
+f AS (SELECT q, s, hit, score + CASE WHEN contains(string_split(t, '/')[-1], q) THEN 8 ELSE 0 END - length(t) * 0.02::DOUBLE AS score FROM r WHERE i = length(t) AND qi = length(q))
+SELECT q, s AS name, round(score, 6) AS score, hit, CAST(row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, s) AS INTEGER) AS place FROM f QUALIFY place <= 7""")
 def fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    """Names that hold the query's letters in order, tightest first; tests hold it against a plain scan."""
-    query = "rdg"
-    name = F.lower("p_name")
-    spans = F.regexp_extract(name, ".*?".join(query), 0)
-    found = read(spark, d, "part").select("p_partkey", "p_name", F.length(spans).alias("span")).filter("span > 0")
-    return found.orderBy("span", F.length("p_name"), "p_partkey").limit(7)
+    """The seven names that fit each typed query best; queries are letters of a part's type and name."""
+    part = read(spark, d, "part")
+    # types and names are few words: there are no more queries than those have letters
+    letter = lambda c, at: F.substring(c, at, 1)
+    typed = part.select(F.lower(F.concat(letter("p_type", 1), letter("p_name", 1), letter("p_name", -1))).alias("q")).distinct()
+    names = part.select(F.concat_ws("/", "p_brand", "p_name").alias("name")).distinct()
+    met = names.crossJoin(F.broadcast(typed)).withColumn("f", text.fuzzy(F.col("q"), F.col("name"))).filter("f is not null")
+    scored = met.select("q", "name", F.round("f.score", 6).alias("score"), F.array_join(F.transform("f.hit", lambda i: F.concat(i.cast("string"), F.lit(","))), "").alias("hit"))
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "name"))
+    return scored.withColumn("place", place).filter("place <= 7")
 
 
 @register("""WITH p AS (SELECT page_id, string_split(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/') AS s FROM pages), x AS (SELECT DISTINCT array_to_string(s[1:2], '/') AS prefix FROM p WHERE page_id % 2 = 0 UNION SELECT s[1] FROM p WHERE page_id % 3 = 0)
