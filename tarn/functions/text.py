@@ -71,6 +71,19 @@ def generated(path: Column, content: Column) -> Column:
     return F.when(path.rlike(GENERATED_NAME), "nombre").when(head.rlike(GENERATED_MARK), "marca").when((lines <= 3) & (F.length(content) > 3000), "minificado")
 
 
+def match_lines(content: Column, pattern: Column, whole: Column) -> Column:
+    """The lines in which the matches ``whole`` of a pattern begin: what stands between them is counted, so equal matches have lines of their own."""
+    breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    pieces = F.arrays_zip(F.slice(F.split(content, pattern, -1), F.lit(1), F.size(whole)).alias("before"), whole.alias("whole"))
+    start = F.struct(F.lit(1).alias("line"), F.array().cast("array<int>").alias("lines"))
+
+    def step(acc: Column, x: Column) -> Column:
+        here = acc["line"] + breaks(x["before"])
+        return F.struct((here + breaks(x["whole"])).cast("int").alias("line"), F.concat(acc["lines"], F.array(here.cast("int"))).alias("lines"))
+
+    return F.aggregate(pieces, start, step)["lines"]
+
+
 def is_test(path: Column) -> Column:
     return path.rlike(r"(?i)(^|/)(tests?|__tests__|spec)/") | path.rlike(r"(?i)\.(test|spec)\.[^.]+$|_test\.(go|py|c|cc|cpp|rs)$|(^|/)test_[^/]+\.py$|(^|/)conftest\.py$|Tests?\.(cs|java|kt|php)$")
 

@@ -19,12 +19,13 @@ def pair_counts(touches: DataFrame, tx: str, item: str, *, least: int = 2, most:
     return left.join(right, "tx").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("count"))
 
 
-def associated(touches: DataFrame, tx: str, item: str, *, count: int = 2, strength: float = 0.5, least: int = 2, most: int = 25) -> DataFrame:
+def associated(touches: DataFrame, tx: str, item: str, *, count: int = 2, strength: float = 0.5, least: int = 2, most: int = 25, transactions: DataFrame | None = None) -> DataFrame:
     """Pairs with at least ``count`` common transactions and ``strength``, and their association:
-    a, b, count, strength, support, conf_ab, conf_ba, lift."""
+    a, b, count, strength, support, conf_ab, conf_ba, lift.  Support and lift are of all ``transactions``
+    (tx), those that touch nothing among them; of those in ``touches`` where they aren't given."""
     rows = touches.select(F.col(tx).alias("tx"), F.col(item).alias("item")).dropna().distinct()
     each = rows.groupBy("item").agg(F.count("*").alias("n"))
-    total = rows.agg(F.count_distinct("tx").alias("total"))
+    total = rows.agg(F.count_distinct("tx").alias("total")) if transactions is None else transactions.agg(F.count_distinct(tx).alias("total"))
     pairs = pair_counts(touches, tx, item, least=least, most=most).filter(F.col("count") >= count)
     # as it is shown, rounded, the strength is compared
     both = pairs.join(each.select(F.col("item").alias("a"), F.col("n").alias("ca")), "a").join(each.select(F.col("item").alias("b"), F.col("n").alias("cb")), "b")

@@ -26,15 +26,16 @@ def snapshot_diff(before: DataFrame, after: DataFrame, *, risk: int = 8) -> Data
 
 
 def check(before: DataFrame, after: DataFrame, *, risk: int = 8, high: int = 55, fan_in: int = 3, loc: int = 8) -> DataFrame:
-    """(id, rule, sev): what a change did to files (id, risk, fan_in, loc, covered, dynamic, skipped).
+    """(id, rule, sev): what a change did to files (id, risk, fan_in, loc, covered, dynamic, skipped, test).
 
-    Skipped files are tests, generated and auxiliary ones.
+    Skipped files are tests, generated and auxiliary ones; they are passed over, but one that went and was used is told unless it was a test.
     """
-    names = ("risk", "fan_in", "loc", "covered", "dynamic", "skipped")
+    names = ("risk", "fan_in", "loc", "covered", "dynamic", "skipped", "test")
     a = before.select("id", *[F.col(n).alias(f"{n}0") for n in names], F.lit(True).alias("was"))
     b = after.select("id", *[F.col(n).alias(f"{n}1") for n in names], F.lit(True).alias("is"))
-    both = a.join(b, "id", "full_outer").filter(~F.coalesce("skipped1", "skipped0", F.lit(False)))
-    stays, new = F.col("was") & F.col("is"), F.col("was").isNull()
+    both = a.join(b, "id", "full_outer")
+    own = ~F.coalesce("skipped1", F.lit(False))
+    stays, new = F.col("was") & F.col("is") & own, F.col("was").isNull() & own
     rule = lambda name, sev: F.struct(F.lit(name).alias("rule"), sev.alias("sev"))
     review, note = F.lit("revisar"), F.lit("nota")
     crossed = (F.col("risk1") >= high) & (F.col("risk0") < high)
@@ -44,7 +45,7 @@ def check(before: DataFrame, after: DataFrame, *, risk: int = 8, high: int = 55,
             F.when(stays & (F.col("fan_in1") - F.col("fan_in0") >= fan_in), rule("dependientes", note)),
             F.when(stays & F.col("dynamic1") & ~F.col("dynamic0"), rule("reflexión", note)),
             F.when(new & ~F.col("covered1") & (F.col("loc1") >= loc), rule("sin pruebas", review)).when(new, rule("nuevo", note)),
-            F.when(F.col("is").isNull() & (F.col("fan_in0") > 0), rule("eliminado en uso", review)),
+            F.when(F.col("is").isNull() & (F.col("fan_in0") > 0) & ~F.col("test0"), rule("eliminado en uso", review)),
         )
     )
     return both.select("id", F.explode(found).alias("f")).select("id", "f.rule", "f.sev")

@@ -18,11 +18,11 @@ PENALTIES = {"cycle": (12, 30), "hidden": (4, 12), "untested": (2, 8), "high_ris
 def risk(files: DataFrame, *, has_git: bool = True, has_dupes: bool = True) -> DataFrame:
     """``files`` with parts (0 to 1 each), score (0 to 100) and level.
 
-    Reads id, fan_in, c90, in_cycle, coverage, sole_owner, loc, dup_pct, dup_sev and skipped; skipped
-    files (tests, generated and auxiliary ones) score 0.
+    Reads id, fan_in, c90, in_cycle, coverage, sole_owner, loc, dup_pct, dup_sev, skipped and is_test; skipped
+    files (tests, generated and auxiliary ones) score 0.  fan_in and c90 are shares of the greatest of all files but tests.
     """
     weights = {k: w for k, w in WEIGHTS.items() if (has_git or k not in ("churn", "owner")) and (has_dupes or k != "dup")}
-    most = files.filter(~F.col("skipped")).agg(F.greatest(F.lit(4), F.max("fan_in")).alias("__in"), F.greatest(F.lit(4), F.max("c90")).alias("__c90"))
+    most = files.filter(~F.col("is_test")).agg(F.greatest(F.lit(4), F.max("fan_in")).alias("__in"), F.greatest(F.lit(4), F.max("c90")).alias("__c90"))
     joined = files.crossJoin(F.broadcast(most))
     share = F.col("fan_in") / F.col("__in")
     parts = {

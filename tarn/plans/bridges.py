@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normal_url, same_route
+from ..functions.text import match_lines, normal_url, same_route
 
-#: HTTP methods, and the patterns of routes and calls: pattern, group of the method or the method, group of the path.
+#: HTTP methods, and the patterns of routes and calls: pattern, groups of the method (the first that says one) or the method, group of the path.
 METHODS = "get|post|put|delete|patch"
 ROUTES = (
     (rf"(?i)\b(?:app|router|server|api)\.({METHODS})\(\s*['\"`]([^'\"`]+)", 1, 2),
-    (rf"(?i)@\w+\.({METHODS})\(\s*['\"]([^'\"]+)['\"]", 1, 2),
-    (r"(?i)@\w+\.route\(\s*['\"]([^'\"]+)['\"](?:[^)]*methods=\[['\"](\w+))?", 2, 1),
+    (rf"(?i)@\w+\.(route|{METHODS})\(\s*['\"]([^'\"]+)['\"](?:[^)]*methods=\[['\"](\w+))?", (3, 1), 2),
     (r"\bMap(Get|Post|Put|Delete|Patch)\(\s*\"([^\"]+)\"", 1, 2),
     (r"@(Get|Post|Put|Delete|Patch)Mapping\(\s*(?:value\s*=\s*)?\"([^\"]+)\"", 1, 2),
     (r"\b(?:HandleFunc|Handle)\(\s*\"(?:[A-Z]+\s+)?([^\"]+)\"", "ANY", 1),
@@ -31,21 +30,19 @@ CLASS_ROUTE = r"@RequestMapping\(\s*(?:value\s*=\s*)?\"([^\"]+)\""
 
 
 def _hits(files: DataFrame, patterns: tuple) -> DataFrame:
-    """(id, lang, content, whole, method, path) of each place where a pattern holds; GET where none is named."""
-    empty = F.array().cast("array<struct<whole:string,method:string,path:string>>")
+    """(id, lang, content, line, method, path) of each place where a pattern holds; GET where none is named."""
+    empty = F.array().cast("array<struct<line:int,method:string,path:string>>")
     found = []
     for pattern, method, path in patterns:
         pick = lambda g, p=pattern: F.regexp_extract_all("content", F.lit(p), g)
-        named = F.array_repeat(F.lit(method), F.size(pick(0))) if isinstance(method, str) else pick(method)
-        rows = F.arrays_zip(pick(0).alias("w"), named.alias("m"), pick(path).alias("p"))
-        found.append(F.transform(rows, lambda x: F.struct(x["w"].alias("whole"), F.upper(F.when(F.coalesce(x["m"], F.lit("")) == "", "GET").otherwise(x["m"])).alias("method"), x["p"].alias("path"))))
+        groups = () if isinstance(method, str) else method if isinstance(method, tuple) else (method,)
+        fixed = method if isinstance(method, str) else "GET"
+        rows = F.arrays_zip(match_lines(F.col("content"), F.lit(pattern), pick(0)).alias("l"), pick(path).alias("p"), *[pick(g).alias(f"m{i}") for i, g in enumerate(groups)])
+        said = lambda x, n=len(groups): [F.when(~F.lower(F.coalesce(x[f"m{i}"], F.lit(""))).isin("", "route"), x[f"m{i}"]) for i in range(n)]
+        found.append(F.transform(rows, lambda x, f=fixed, said=said: F.struct(x["l"].alias("line"), F.upper(F.coalesce(*said(x), F.lit(f))).alias("method"), x["p"].alias("path"))))
     return files.select("id", "lang", "content", F.explode(F.concat(empty, *found)).alias("h")).select("id", "lang", "content", "h.*")
 
 
-def _line() -> Column:
-    return F.size(F.split(F.expr("substring(content, 1, locate(whole, content) - 1)"), "\n")).alias("line")
-
-
 def routes(files: DataFrame) -> DataFrame:
     """(id, method, path, line) of the routes in ``files`` (id, lang, content); paths are normal, parameters ``:p``."""
     plain = _hits(files, ROUTES)
@@ -53,17 +50,17 @@ def routes(files: DataFrame) -> DataFrame:
     prefix = normal_url(base)
     path = normal_url(F.col("path"))
     below = F.when((F.col("lang") == "java") & (base != "") & ~path.startswith(prefix), normal_url(F.concat(prefix, F.lit("/"), path))).otherwise(path)
-    named = plain.select("id", "method", below.alias("path"), _line())
+    named = plain.select("id", "method", below.alias("path"), "line")
     cls, route = F.regexp_extract("content", CONTROLLER, 1), F.regexp_extract("content", CONTROLLER_ROUTE, 1)
     root = F.regexp_replace(F.when(route != "", route).otherwise(cls), r"(?i)\[controller\]", cls)
     own = _hits(files.filter("lang = 'csharp'").filter(cls != ""), ((CONTROLLER_METHOD, 1, 2),))
     full = normal_url(F.concat(root, F.when(F.coalesce("path", F.lit("")) != "", F.concat(F.lit("/"), "path")).otherwise("")))
-    return named.union(own.select("id", "method", full.alias("path"), _line())).filter("path <> ''").distinct()
+    return named.union(own.select("id", "method", full.alias("path"), "line")).filter("path <> ''").distinct()
 
 
 def calls(files: DataFrame) -> DataFrame:
     """(id, method, path, line) of the calls in ``files`` whose URL has a slash."""
-    return _hits(files, CALLS).filter(F.col("path").contains("/")).select("id", "method", normal_url(F.col("path")).alias("path"), _line()).distinct()
+    return _hits(files, CALLS).filter(F.col("path").contains("/")).select("id", "method", normal_url(F.col("path")).alias("path"), "line").distinct()
 
 
 def bridges(offered: DataFrame, made: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ def signatures(*, cycles: DataFrame | None = None, groups: DataFrame | None = No
         whole = cycles.groupBy("component").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("node")), "|"), 256).alias("signature"))
         out.append(cycles.join(whole, "component").select(F.lit("cycle").alias("kind"), "signature", F.col("node").alias("id")))
     if groups is not None:
+        if "test" in groups.columns:  # copies among tests alone are no worry
+            groups = groups.filter("not test")
         each = groups.select("group", "name", "file").distinct()
         whole = each.groupBy("group", "name").agg(F.concat_ws("|", F.first("name"), F.array_join(F.array_sort(F.collect_set("file")), ",")).alias("signature")).select("group", "signature")
         out.append(each.join(whole, "group").select(F.lit("dup").alias("kind"), "signature", F.col("file").alias("id")))

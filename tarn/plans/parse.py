@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import match_lines
 from ..sources.languages import BUILTIN, TYPES, Grammar
 
 NAMES = "array<struct<name:string,local:string>>"
@@ -73,11 +74,8 @@ def imports(coded: DataFrame, grammar: Grammar = BUILTIN) -> DataFrame:
     met = coded.select("id", "lang", "code").join(F.broadcast(grammar.imports(coded.sparkSession)), "lang").filter(F.regexp_like("code", c("pattern")))
     pick = lambda n: F.expr(f"regexp_extract_all(code, pattern, {n})")
     none = F.array().cast("array<string>")
-    met = met.withColumns({"whole": pick("0"), "specs": pick("spec_at"), "clauses": F.when(c("names_at") > 0, pick("names_at")).otherwise(none), "first": F.when(F.startswith("pattern", F.lit("(^")), pick("1")).otherwise(none), "between": F.split("code", c("pattern"), -1)})
-    zipped = F.arrays_zip("whole", "specs", "clauses", "first", F.slice("between", F.lit(1), F.size("whole")).alias("before"))
-    start = F.struct(F.lit(1).alias("line"), F.array().cast("array<int>").alias("lines"))
-    lines = F.aggregate(zipped, start, lambda acc, x: F.struct((acc["line"] + _newlines(x["before"]) + _newlines(x["whole"])).cast("int").alias("line"), F.concat(acc["lines"], F.array((acc["line"] + _newlines(x["before"])).cast("int"))).alias("lines")))["lines"]
-    rows = met.withColumn("lines", lines).select("id", "lang", "place", "kind", "style", "multi", "each", "each_spec", "each_alias", "how", "lazy", F.posexplode(F.arrays_zip("whole", "specs", "clauses", "first", "lines")).alias("nth", "m"))
+    met = met.withColumns({"whole": pick("0"), "specs": pick("spec_at"), "clauses": F.when(c("names_at") > 0, pick("names_at")).otherwise(none), "first": F.when(F.startswith("pattern", F.lit("(^")), pick("1")).otherwise(none)})
+    rows = met.withColumn("lines", match_lines(c("code"), c("pattern"), c("whole"))).select("id", "lang", "place", "kind", "style", "multi", "each", "each_spec", "each_alias", "how", "lazy", F.posexplode(F.arrays_zip("whole", "specs", "clauses", "first", "lines")).alias("nth", "m"))
     # in JavaScript the sign before a statement may be a line's end: the statement's own line counts
     line = c("m.lines") + F.when(c("m.first").isNotNull(), _newlines(F.regexp_extract("m.whole", r"^[;\s}]*", 0))).otherwise(0)
     kind = F.when(c("lazy") & c("m.whole").rlike(r"^[ \t]"), "dynamic").otherwise(c("kind"))

@@ -160,7 +160,7 @@ def build(
         alive = dated.join(current, "file_key").join(base.select("id"), "id", "left_semi").select("i", "id")
         linked_ = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
         skipped = base.filter(F.col("is_test") | F.col("gen").isNotNull() | F.col("aux")).select("id")
-        pairs = cut(cochange.strongest(cochange.hidden(cochange.associated(alive, "i", "id"), linked_, skipped)))
+        pairs = cut(cochange.strongest(cochange.hidden(cochange.associated(alive, "i", "id", transactions=commits), linked_, skipped)))
         shared = cut(history.shares(dated.join(current, "file_key"), "id", "author"))
         change = dated.groupBy("i").agg(F.count_if(F.col("status").isin("A", "C")).alias("new"), F.count_if(F.col("status") == "D").alias("gone"), F.sum("add").alias("plus"), F.sum("del").alias("minus"))
         timeline = history.timeline(change.withColumns({"step": F.col("new") - F.col("gone"), "size": (F.col("plus") - F.col("minus")).cast("double")}), "i", F.col("step"), F.col("size"))

@@ -161,7 +161,7 @@ def facts_of(spark: SparkSession, d: str) -> ask.Facts:
     lines = read(spark, d, "lineitem").select(name("l_partkey").alias("id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("author"))
     shares = cut(history.shares(lines, "id", "author"))
     known = history.bus_factor(shares, "id", "author").drop("authors")
-    files = cut(files_of(spark, d).withColumn("id", name("id")).join(known, "id", "left")).withColumns({"lines": F.col("loc"), "last": F.lit(None).cast("timestamp"), "gen": F.lit(None).cast("string"), "is_test": F.lit(False), "dyn": F.array().cast("array<struct<line:int,what:string>>")})
+    files = cut(files_of(spark, d).withColumn("id", name("id")).join(known, "id", "left")).withColumns({"lines": F.col("loc"), "last": F.lit(None).cast("timestamp"), "gen": F.lit(None).cast("string"), "dyn": F.array().cast("array<struct<line:int,what:string>>")})
     brand = read(spark, d, "part").select("p_partkey", "p_brand")
     a, b = (brand.select(F.col("p_partkey").alias(x), F.col("p_brand").alias(f"brand_{x}")) for x in "ab")
     pairs = cochange.associated(read(spark, d, "lineitem"), "l_orderkey", "l_partkey", strength=0.05).join(a, "a").join(b, "b").withColumn("hidden", F.col("brand_a") != F.col("brand_b"))
@@ -392,7 +392,7 @@ def guard_signatures(spark: SparkSession, d: str) -> DataFrame:
     """Groups of rich customers before and after the bar is lowered: which are new, and which are gone."""
     rich = lambda bar: read(spark, d, "customer").filter(F.col("c_acctbal") > bar)
     group = lambda c: c.select(F.concat_ws("-", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("group"), F.col("c_mktsegment").alias("name"), F.col("c_custkey").cast("string").alias("file"))
-    prints = lambda c: c.select(F.col("c_custkey").cast("string").alias("id"), F.lit(0).alias("risk"), F.lit(0).alias("fan_in"), F.lit(True).alias("covered"), F.lit(False).alias("dynamic"), F.lit(1).alias("loc"), F.lit(False).alias("skipped"))
+    prints = lambda c: c.select(F.col("c_custkey").cast("string").alias("id"), F.lit(0).alias("risk"), F.lit(0).alias("fan_in"), F.lit(True).alias("covered"), F.lit(False).alias("dynamic"), F.lit(1).alias("loc"), F.lit(False).alias("skipped"), F.lit(False).alias("test"))
     before, after = rich(9000), rich(8900)
     signed = [guard.signatures(groups=group(c), like=c) for c in (before, after)]
     told = guard.compare(prints(before), prints(after), *signed)

@@ -35,7 +35,7 @@ def sets_membership(spark: SparkSession, d: str) -> DataFrame:
 
 @register(f"WITH {MEMBERS} SELECT split_part(set_key, ':', 1) AS family, set_key, count(DISTINCT id) AS n FROM s GROUP BY ALL")
 def catalog_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return sets.catalog(_members(spark, d))
+    return sets.sizes(_members(spark, d)).withColumnRenamed("kind", "family")
 
 
 @register(f"WITH {MEMBERS} SELECT mask, count(*) AS n FROM k GROUP BY mask")
@@ -48,16 +48,64 @@ def upset(spark: SparkSession, d: str) -> DataFrame:
     return sets.upset(sets.regions(_members(spark, d), KEYS), KEYS)
 
 
-@register(f"WITH {MEMBERS}, x AS (SELECT id, bit_or(CASE set_key WHEN 'rich' THEN 1 WHEN 'recent' THEN 2 ELSE 4 END) AS mask FROM s WHERE set_key IN ('rich', 'recent', 'nation:low') GROUP BY id) SELECT mask, count(*) AS n FROM x GROUP BY mask")
+@register(f"WITH {MEMBERS}, x AS (SELECT id, bit_or(CASE set_key WHEN 'rich' THEN 1 WHEN 'recent' THEN 4 ELSE 2 END) AS mask FROM s WHERE set_key IN ('rich', 'recent', 'nation:low') GROUP BY id) SELECT mask, count(*) AS n FROM x GROUP BY mask")
 def recipe_critical(spark: SparkSession, d: str) -> DataFrame:
-    renamed = _members(spark, d).replace({"rich": "hot", "recent": "many", "nation:low": "cov:ninguna"}, subset=["set_key"])
+    renamed = _members(spark, d).replace({"rich": "risk:alto", "recent": "many", "nation:low": "cov:ninguna"}, subset=["set_key"])
     return sets.recipe(renamed, "critical")[0]
 
 
-@register("SELECT set_key, CASE set_key WHEN 'hot' THEN 'calientes' WHEN 'risk:alto' THEN 'riesgo alto' WHEN 'pkg:react' THEN 'usa react' ELSE set_key END AS label FROM (VALUES ('hot'), ('risk:alto'), ('pkg:react'), ('otro')) v(set_key)")
+LABELS = """k AS (SELECT DISTINCT ['dir', 'mod', 'author', 'lang', 'state', 'risk', 'cov', 'flag', 'role', 'tag', 'saved', 'pkg', 'hot', 'many', 'deps', 'reach', 'otro'][1 + p_partkey % 17] AS kind, CASE WHEN p_partkey % 5 = 0 THEN 'ninguna' ELSE p_brand || '/' || p_name || '.js' END AS arg FROM part),
+s AS (SELECT CASE WHEN kind IN ('hot', 'many') THEN kind ELSE kind || ':' || arg END AS set_key, kind, arg FROM k)"""
+
+
+@register(f"""WITH {LABELS} SELECT DISTINCT set_key, CASE kind WHEN 'hot' THEN 'cambia seguido' WHEN 'many' THEN 'muchos dependientes' WHEN 'cov' THEN CASE arg WHEN 'ninguna' THEN 'sin pruebas' ELSE 'prueba ' || arg END WHEN 'mod' THEN 'módulo ' || arg WHEN 'state' THEN 'estado ' || arg WHEN 'risk' THEN 'riesgo ' || arg
+  WHEN 'tag' THEN '@set ' || arg WHEN 'saved' THEN '★ ' || arg WHEN 'deps' THEN 'de qué depende ' || regexp_replace(string_split(arg, '/')[-1], '\\.[^.]+$', '') WHEN 'reach' THEN 'a quién afecta ' || regexp_replace(string_split(arg, '/')[-1], '\\.[^.]+$', '') WHEN 'otro' THEN set_key ELSE arg END AS label FROM s""")
 def set_labels(spark: SparkSession, d: str) -> DataFrame:
-    keys = spark.createDataFrame([(k,) for k in ("hot", "risk:alto", "pkg:react", "otro")], "set_key string")
-    return keys.select("set_key", sets.label(F.col("set_key")).alias("label"))
+    """What sets named by parts are called, of all kinds."""
+    kinds = F.array(*map(F.lit, ("dir", "mod", "author", "lang", "state", "risk", "cov", "flag", "role", "tag", "saved", "pkg", "hot", "many", "deps", "reach", "otro")))
+    kind = F.get(kinds, F.col("p_partkey") % 17)
+    arg = F.when(F.col("p_partkey") % 5 == 0, "ninguna").otherwise(F.concat("p_brand", F.lit("/"), "p_name", F.lit(".js")))
+    key = F.when(kind.isin("hot", "many"), kind).otherwise(F.concat_ws(":", kind, arg))
+    return read(spark, d, "part").select(key.alias("set_key")).distinct().select("set_key", sets.label(F.col("set_key")).alias("label"))
+
+
+OFFERED = """p AS (SELECT p_partkey AS id, p_brand, p_size, p_type, p_partkey % 40 AS m FROM part), w AS (SELECT DISTINCT l_partkey AS id, l_suppkey AS author FROM lineitem),
+e AS (SELECT 'dir:' || p_brand AS set_key, id FROM p UNION ALL SELECT 'dir:' || p_brand || '/' || p_size, id FROM p UNION ALL SELECT 'mod:' || m, id FROM p UNION ALL SELECT 'lang:' || p_type, id FROM p UNION ALL SELECT 'author:' || author, id FROM w
+  UNION ALL SELECT CASE p_size % 3 WHEN 0 THEN 'risk:alto' WHEN 1 THEN 'risk:medio' ELSE 'risk:bajo' END, id FROM p UNION ALL SELECT 'pkg:' || p_size, id FROM p WHERE p_size > 40 UNION ALL SELECT 'hot', id FROM p WHERE p_size < 5 UNION ALL SELECT 'role:hub', id FROM p)"""
+
+
+def _offered(spark: SparkSession, d: str) -> DataFrame:
+    part = read(spark, d, "part")
+    keyed = lambda df, key: df.select(key.alias("set_key"), F.col("p_partkey").alias("id"))
+    named = lambda kind, *cols: F.concat(F.lit(kind + ":"), F.concat_ws("/", *[F.col(c).cast("string") for c in cols]))
+    size = F.col("p_size")
+    out = keyed(part, named("dir", "p_brand")).union(keyed(part, named("dir", "p_brand", "p_size"))).union(keyed(part, F.concat(F.lit("mod:"), (F.col("p_partkey") % 40).cast("string")))).union(keyed(part, named("lang", "p_type")))
+    out = out.union(read(spark, d, "lineitem").select(F.concat(F.lit("author:"), F.col("l_suppkey").cast("string")), "l_partkey").distinct())
+    out = out.union(keyed(part, F.when(size % 3 == 0, "risk:alto").when(size % 3 == 1, "risk:medio").otherwise("risk:bajo"))).union(keyed(part.filter(size > 40), named("pkg", "p_size")))
+    return out.union(keyed(part.filter(size < 5), F.lit("hot"))).union(keyed(part, F.lit("role:hub")))
+
+
+@register(f"""WITH {OFFERED}, n AS (SELECT set_key, split_part(set_key, ':', 1) AS kind, count(DISTINCT id) AS n FROM e GROUP BY set_key),
+f AS (SELECT CASE WHEN kind = 'dir' AND n >= 2 THEN 'Carpetas' WHEN kind = 'mod' AND n >= 2 THEN 'Módulos detectados' WHEN kind = 'author' THEN 'Autores' WHEN kind = 'lang' THEN 'Lenguajes' WHEN set_key IN ('risk:alto', 'risk:medio', 'hot') THEN 'Riesgo y pruebas' WHEN kind = 'pkg' AND n >= 2 THEN 'Paquetes externos' END AS family, set_key, n FROM n)
+SELECT family, CAST(row_number() OVER (PARTITION BY family ORDER BY n DESC, set_key) AS INTEGER) AS place, set_key, n FROM f WHERE family IS NOT NULL""")
+def set_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """Sets of parts in their families, the largest first."""
+    return sets.catalog(_offered(spark, d))
+
+
+def _recipe_sql(picks: str) -> str:
+    return f"WITH {OFFERED}, n AS (SELECT set_key, count(DISTINCT id) AS n FROM e GROUP BY set_key), k AS ({picks}), x AS (SELECT id, sum(DISTINCT 1 << (place - 1)) AS mask FROM e JOIN k USING (set_key) GROUP BY id) SELECT CAST(mask AS INTEGER) AS mask, count(*) AS n FROM x GROUP BY mask"
+
+
+@register(_recipe_sql("SELECT set_key, row_number() OVER (ORDER BY n DESC, set_key) AS place FROM n WHERE set_key LIKE 'author:%' QUALIFY place <= 3"))
+def recipe_knowledge(spark: SparkSession, d: str) -> DataFrame:
+    return sets.recipe(_offered(spark, d), "knowledge")[0]
+
+
+@register(_recipe_sql("""SELECT set_key, 1 AS place FROM (SELECT 'dir:' || p_brand || '/' || p_size AS set_key, count(*) AS c FROM p GROUP BY 1 ORDER BY c DESC, set_key LIMIT 1)
+  UNION ALL SELECT set_key, 1 + row_number() OVER (ORDER BY c DESC, set_key) AS place FROM (SELECT e.set_key, count(DISTINCT id) AS c FROM e JOIN n USING (set_key) WHERE e.set_key LIKE 'mod:%' AND n.n >= 2 AND id IN (SELECT id FROM p WHERE 'dir:' || p_brand || '/' || p_size = (SELECT 'dir:' || p_brand || '/' || p_size AS k FROM p GROUP BY 1 ORDER BY count(*) DESC, k LIMIT 1)) GROUP BY 1) QUALIFY place <= 3"""))
+def recipe_folder_module(spark: SparkSession, d: str) -> DataFrame:
+    return sets.recipe(_offered(spark, d), "folder-module")[0]
 
 
 SNAPS = """n AS (SELECT max(o_orderdate) AS now FROM orders), o AS (SELECT o_custkey AS id, o_orderdate, o_totalprice, now FROM orders, n),
@@ -80,20 +128,21 @@ def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     return compare.snapshot_diff(*_snaps(spark, d))
 
 
-@register(f"""WITH {SNAPS}, f AS (SELECT coalesce(b.id, a.id) AS id, b.risk AS r0, a.risk AS r1, b.fan_in AS f0, a.fan_in AS f1, coalesce(a.id, b.id) % 5 = 0 AS dyn, coalesce(a.id, b.id) % 2 = 0 AS cov FROM b FULL JOIN a ON a.id = b.id WHERE coalesce(a.id, b.id) % 7 <> 0)
+@register(f"""WITH {SNAPS}, w AS (SELECT coalesce(b.id, a.id) AS id, b.risk AS r0, a.risk AS r1, b.fan_in AS f0, a.fan_in AS f1, coalesce(a.id, b.id) % 5 = 0 AS dyn, coalesce(a.id, b.id) % 2 = 0 AS cov, coalesce(a.id, b.id) % 7 = 0 AS skip, coalesce(a.id, b.id) % 14 = 0 AS test FROM b FULL JOIN a ON a.id = b.id),
+f AS (SELECT * FROM w WHERE NOT skip)
 SELECT id, 'riesgo' AS rule, CASE WHEN r1 >= 55 THEN 'revisar' ELSE 'nota' END AS sev FROM f WHERE r1 - r0 >= 8 OR (r1 >= 55 AND r0 < 55)
 UNION ALL SELECT id, 'dependientes', 'nota' FROM f WHERE f1 - f0 >= 3 UNION ALL SELECT id, 'reflexión', 'nota' FROM f WHERE r0 IS NOT NULL AND r1 IS NOT NULL AND dyn
-UNION ALL SELECT id, CASE WHEN NOT cov THEN 'sin pruebas' ELSE 'nuevo' END, CASE WHEN NOT cov THEN 'revisar' ELSE 'nota' END FROM f WHERE r0 IS NULL UNION ALL SELECT id, 'eliminado en uso', 'revisar' FROM f WHERE r1 IS NULL AND f0 > 0""")
+UNION ALL SELECT id, CASE WHEN NOT cov THEN 'sin pruebas' ELSE 'nuevo' END, CASE WHEN NOT cov THEN 'revisar' ELSE 'nota' END FROM f WHERE r0 IS NULL UNION ALL SELECT id, 'eliminado en uso', 'revisar' FROM w WHERE r1 IS NULL AND f0 > 0 AND NOT test""")
 def fingerprint_check(spark: SparkSession, d: str) -> DataFrame:
-    more = lambda s, dyn: s.withColumns({"loc": F.lit(20), "covered": F.col("id") % 2 == 0, "dynamic": dyn, "skipped": F.col("id") % 7 == 0})
+    more = lambda s, dyn: s.withColumns({"loc": F.lit(20), "covered": F.col("id") % 2 == 0, "dynamic": dyn, "skipped": F.col("id") % 7 == 0, "test": F.col("id") % 14 == 0})
     before, after = _snaps(spark, d)
     return compare.check(more(before, F.lit(False)), more(after, F.col("id") % 5 == 0))
 
 
 FILES = """n AS (SELECT max(l_shipdate) AS now FROM lineitem),
 u AS (SELECT l_partkey, count(*) AS fan_in, count(*) FILTER (l_shipdate >= now - INTERVAL 90 DAY) AS c90, count(DISTINCT l_suppkey) AS owners FROM lineitem, n GROUP BY l_partkey),
-f AS (SELECT p_partkey AS id, coalesce(fan_in, 0) AS fan_in, coalesce(c90, 0) AS c90, p_brand = 'Brand#11' AS in_cycle, CASE p_size % 3 WHEN 0 THEN 'ninguna' WHEN 1 THEN 'indirecta' ELSE 'directa' END AS coverage, coalesce(owners, 0) = 1 AS sole_owner, p_size * 7 AS loc, (p_size % 5)::DOUBLE / 10 AS dup_pct, CASE WHEN p_size % 10 = 0 THEN 'costosa' ELSE 'inofensiva' END AS dup_sev, p_size % 11 = 0 AS skipped FROM part LEFT JOIN u ON l_partkey = p_partkey),
-x AS (SELECT greatest(4, max(fan_in)) AS mi, greatest(4, max(c90)) AS mc FROM f WHERE NOT skipped),
+f AS (SELECT p_partkey AS id, coalesce(fan_in, 0) AS fan_in, coalesce(c90, 0) AS c90, p_brand = 'Brand#11' AS in_cycle, CASE p_size % 3 WHEN 0 THEN 'ninguna' WHEN 1 THEN 'indirecta' ELSE 'directa' END AS coverage, coalesce(owners, 0) = 1 AS sole_owner, p_size * 7 AS loc, (p_size % 5)::DOUBLE / 10 AS dup_pct, CASE WHEN p_size % 10 = 0 THEN 'costosa' ELSE 'inofensiva' END AS dup_sev, p_size % 11 = 0 AS skipped, p_size % 22 = 0 AS is_test FROM part LEFT JOIN u ON l_partkey = p_partkey),
+x AS (SELECT greatest(4, max(fan_in)) AS mi, greatest(4, max(c90)) AS mc FROM f WHERE NOT is_test),
 q AS (SELECT f.*, least(1, fan_in / mi) * 0.28::DOUBLE / 1.08 + least(1, c90 / mc) * 0.26::DOUBLE / 1.08 + CASE WHEN in_cycle THEN 1 ELSE 0 END * 0.16::DOUBLE / 1.08
   + least(1, CASE WHEN coverage = 'ninguna' AND fan_in >= 1 THEN 0.5 + 0.5 * (fan_in / mi) WHEN coverage = 'indirecta' THEN 0.25 * (fan_in / mi) ELSE 0 END) * 0.14::DOUBLE / 1.08
   + CASE WHEN sole_owner THEN 1 ELSE 0 END * 0.10::DOUBLE / 1.08 + least(1, loc::DOUBLE / 300) * 0.06::DOUBLE / 1.08 + least(1, dup_pct * CASE WHEN dup_sev = 'costosa' THEN 1.6::DOUBLE ELSE 0.6::DOUBLE END) * 0.08::DOUBLE / 1.08 AS raw FROM f, x),
@@ -110,7 +159,7 @@ def files_of(spark: SparkSession, d: str) -> DataFrame:
         F.col("p_partkey").alias("id"), "fan_in", "c90", (F.col("p_brand") == "Brand#11").alias("in_cycle"),
         F.when(size % 3 == 0, "ninguna").when(size % 3 == 1, "indirecta").otherwise("directa").alias("coverage"),
         (F.col("owners") == 1).alias("sole_owner"), (size * 7).alias("loc"), (size % 5 / 10).alias("dup_pct"),
-        F.when(size % 10 == 0, "costosa").otherwise("inofensiva").alias("dup_sev"), (size % 11 == 0).alias("skipped"),
+        F.when(size % 10 == 0, "costosa").otherwise("inofensiva").alias("dup_sev"), (size % 11 == 0).alias("skipped"), (size % 22 == 0).alias("is_test"),
     )
     scored = risk.risk(files)
     return scored.withColumns({"role": F.when(F.col("fan_in") == 0, "orphan").otherwise("module"), "commits": F.col("fan_in")})
