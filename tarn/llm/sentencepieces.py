@@ -6,6 +6,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from .shared import small_batches
 
 SPACE = "▁"
+#: Of log-probabilities.
+UNITS = 1_000_000
 #: Stands for a literal U+2581 of the text while spaces take its place; no valid text holds it.
 _LITERAL = "\udc81"
 #: Words whose ids a task remembers, and the longest of them.
@@ -23,29 +26,30 @@ class Pieces:
     """A vocabulary: pieces, log-probabilities and ids of single bytes.
 
     A model with log-probabilities (unigram) is taken as it is.  In a model of merges a score is only
-    a rank; a piece's log-probability is then Zipf's, minus the logarithm of its rank and 2.
+    a rank; a piece's probability is then Zipf's, in proportion to one over its rank and 2.  Log-probabilities are
+    whole numbers of millionths, so that sums are exact and equal paths are equal.
     """
 
     def __init__(self, pieces: list[tuple[int, str, float]], byte_ids: list[int], unknown: int):
         self.byte_ids, self.unknown = byte_ids, unknown
         ranks = all(float(s).is_integer() for _, _, s in pieces)
         order = sorted(pieces, key=lambda x: (-x[2], x[0]))
-        score = {i: -math.log(r + 2) if ranks else s for r, (i, _, s) in enumerate(order)}
+        whole = math.log(sum(1 / (r + 2) for r in range(len(order))) or 1)
+        score = {i: -math.log(r + 2) - whole if ranks else s for r, (i, _, s) in enumerate(order)}
         self.longest = max((len(p) for _, p, _ in pieces), default=1)
+        #: of each piece its length, id and score
+        self.pieces = {p: (len(p), i, round(score[i] * UNITS)) for i, p, _ in pieces if p}
+        #: characters that are pieces
+        self.single = frozenset(p for p in self.pieces if len(p) == 1)
         #: of a character that no piece covers
-        self.fallback = min(score.values(), default=0.0) - 10
-        self.root: dict = {}
-        for i, piece, _ in pieces:
-            node = self.root
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = (i, score[i])
+        self.fallback = round((min(score.values(), default=0.0) - 10) * UNITS)
         #: no piece goes on to another word, or across a line's end: all paths meet there
         self.words = not any(SPACE in p.lstrip(SPACE) for _, p, _ in pieces)
         lines = not any("\n" in p for _, p, _ in pieces)
         self.cut = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if lines else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.bytes_of = {i: p.replace(SPACE, " ").encode() for i, p, _ in pieces} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
         self.known: dict[str, list[int]] = {}
+        self._found = None
 
     @staticmethod
     def load(path: str) -> Pieces:
@@ -56,6 +60,18 @@ class Pieces:
         by = [p.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         return Pieces([(i, p.id_to_piece(i), p.get_score(i)) for i in kept], by if all(p.is_byte(i) for i in by) else [], p.unk_id())
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_found": None, "known": {}}
+
+    def _matches(self, text: str) -> Iterator[tuple[int, tuple[int, int, int]]]:
+        """(last character, (length, id, score)) of every piece in a text, by where it ends, the longest first."""
+        if self._found is None:
+            self._found = ahocorasick.Automaton()
+            for piece, value in self.pieces.items():
+                self._found.add_word(piece, value)
+            self._found.make_automaton()
+        return self._found.iter(text) if self.pieces else iter(())
+
     def _spell(self, char: str) -> list[int]:
         raw = (SPACE if char == _LITERAL else char).encode("utf-8", "surrogatepass")
         return [self.byte_ids[b] for b in raw] if self.byte_ids else [self.unknown]
@@ -63,60 +79,71 @@ class Pieces:
     def stream(self, text: str) -> Iterator[list[int]]:
         """Ids of the best path, a stretch at a time.
 
-        ``best``, ``back`` and ``piece`` hold the uncommitted part only.  Surviving paths end at boundaries
-        no further ahead than the longest piece, so there are no more of them than it has characters.
-        When no piece reaches beyond the present place, every surviving path goes through it; else,
-        whenever as much as the longest piece has been read since the last time, they are traced back
-        to the last boundary that all of them share.  Ids up to there are final.  While they share none,
-        the next trace is twice as far off, so that tracing stays in proportion to the text.  Equal scores
-        keep the path whose last piece begins first.
+        A boundary's score needs those of the boundaries no further back than the longest piece, the window.  Each
+        boundary also knows through which boundary of an earlier moment its path goes.  When as much as
+        the longest piece has been read since the last look and all boundaries of the window go through the
+        same one, every path that can survive does: ids up to there are final and leave, and
+        the moment is taken anew.  Of equal scores the path whose last piece is shortest is kept: what doesn't fit
+        an even division then stands last on every path, so that paths through repetitive text meet too.
         """
-        none, fallback, root = -math.inf, self.fallback, self.root
-        base, reach, due = 0, 0, self.longest
-        best, back, piece = [0.0], [0], [-1]
+        longest, fallback, none = self.longest, self.fallback, (-1, (0, 0, 0))
+        matches = self._matches(text)
+        end, (length, number, score) = next(matches, none)
+        # best and through are of boundaries from ``first`` on, piece and size of those behind ``base``
+        first = base = looked = 0
+        best, through = [0], [0]
+        piece, size = [-1], [0]
         for i in range(len(text)):
-            at = i - base
-            score = best[at]
-            if score > none:
-                node, j, single = root, i, False
-                while j < len(text):
-                    node = node.get(text[j])
-                    if node is None:
-                        break
-                    j += 1
-                    if "" in node:
-                        single = single or j == i + 1
-                        number, s = node[""]
-                        while len(best) <= j - base:
-                            best.append(none), back.append(0), piece.append(-1)
-                        if score + s > best[j - base]:
-                            best[j - base], back[j - base], piece[j - base] = score + s, at, number
-                        reach = max(reach, j)
-                if not single:
-                    while len(best) <= at + 1:
-                        best.append(none), back.append(0), piece.append(-1)
-                    if score + fallback > best[at + 1]:
-                        best[at + 1], back[at + 1], piece[at + 1] = score + fallback, at, -1
-                    reach = max(reach, i + 1)
-            met = at + 1 if reach <= i + 1 else 0
-            if not met and at >= due:
-                alive = {k for k in range(at + 1, len(best)) if best[k] > none}
-                while len(alive) > 1:
-                    alive.add(back[last := max(alive)])
-                    alive.discard(last)
-                met, due = alive.pop(), 2 * due
-            if met:
-                yield self._path(text, base, met, back, piece)
-                base, due = base + met, at - met + self.longest
-                shift = best[met]
-                best, piece = [b - shift for b in best[met:]], piece[met:]
-                back = [max(0, b - met) for b in back[met:]]
-
-    def _path(self, text: str, base: int, end: int, back: list[int], piece: list[int]) -> list[int]:
+            top, what, long, single = None, -1, 1, False
+            while end == i:
+                if i + 1 - length >= first:
+                    s = best[i + 1 - length - first] + score
+                    if top is None or s >= top:
+                        top, what, long = s, number, length
+                single = single or length == 1
+                end, (length, number, score) = next(matches, none)
+            if not single:
+                s = best[i - first] + fallback
+                if top is None or s >= top:
+                    top, what, long = s, -1, 1
+            best.append(top)
+            through.append(through[i + 1 - long - first])
+            piece.append(what)
+            size.append(long)
+            if i - looked >= longest:
+                looked = i
+                live = max(first, i + 2 - longest)
+                best, through, first = best[live - first :], through[live - first :], live
+                met = through[0]
+                if through.count(met) == len(through):
+                    if met > base:
+                        yield self._path(text, base, met, size, piece)
+                        piece, size, base = piece[met - base :], size[met - base :], met
+                    through = list(range(first, first + len(through)))
+        if len(text) > base:
+            yield self._path(text, base, len(text), size, piece)
+
+    def _word(self, text: str) -> list[int]:
+        """The same of a word whose characters all are pieces and which ends before it could be cut."""
+        best: list = [0] + [None] * len(text)
+        last = best.copy()
+        for end, value in self._matches(text):
+            s = best[end + 1 - value[0]] + value[2]
+            if best[end + 1] is None or s >= best[end + 1]:
+                best[end + 1], last[end + 1] = s, value
+        out, at = [], len(text)
+        while at:
+            out.append(last[at][1])
+            at -= last[at][0]
+        out.reverse()
+        return out
+
+    def _path(self, text: str, base: int, end: int, size: list[int], piece: list[int]) -> list[int]:
         out: list[list[int]] = []
-        while end:
-            out.append([piece[end]] if piece[end] >= 0 else self._spell(text[base + end - 1]))
-            end = back[end]
+        while end > base:
+            number = piece[end - base]
+            out.append([number] if number >= 0 else self._spell(text[end - 1]))
+            end -= size[end - base]
         return [i for part in reversed(out) for i in part]
 
     def encode(self, text: str | None) -> list[int]:
@@ -130,7 +157,7 @@ class Pieces:
         for word in self.cut.findall(marked):
             ids = known.get(word)
             if ids is None:
-                ids = [i for part in self.stream(word) for i in part]
+                ids = self._word(word) if len(word) <= LONGEST and self.single.issuperset(word) else [i for part in self.stream(word) for i in part]
                 if len(word) <= LONGEST:
                     if len(known) >= REMEMBERED:
                         known.clear()
@@ -145,7 +172,11 @@ class Pieces:
 
 
 def encode(docs: DataFrame, pieces: Pieces, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids): ids of every whole text; none for a null or an empty one.  Other columns aren't read."""
+    """(id_col, ids): ids of every whole text; none for a null or an empty one.
+
+    Null and repeated ids are rows like any other, and equal texts have equal ids; an empty table has no rows.  Other columns
+    aren't read.
+    """
     small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(pieces)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -159,7 +190,7 @@ def encode(docs: DataFrame, pieces: Pieces, *, id_col: str = "doc_id", text_col:
 
 
 def decode(encoded: DataFrame, pieces: Pieces, *, ids_col: str = "ids", to: str = "text") -> DataFrame:
-    """``encoded`` with the text of each row's ids added; null ids give an empty text."""
+    """``encoded`` with the text of each row's ids as column ``to``, which takes the place of one of that name; null ids give an empty text."""
     small_batches(encoded.sparkSession)
     shipped = encoded.sparkSession.sparkContext.broadcast(pieces)
 

@@ -5,7 +5,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from tarn.llm import decontaminate, language, quality, sentencepieces, sharding, url_filter
@@ -55,6 +57,20 @@ def test_language_against_a_plain_version(spark):
             assert profiles.predict(text) == (nearest, pytest.approx(1 - away[nearest] / (language.RANKS * len(own))))
 
 
+def test_any_number_of_languages(spark, monkeypatch):
+    """600 languages of one word each, in parts of 250: the same as at once; equal distances go by name."""
+    rows = [(i, "".join("abcdefghij"[int(d)] for d in f"{i % 600:03d}7{i % 600:03d}") + " wort", f"l{i % 600:03d}") for i in range(1200)] + [(5000, "gleich", "zz"), (5001, "gleich", "aa")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = language.fit(table)
+    assert len(whole.names) == 602 and whole.rest == ()
+    monkeypatch.setattr(language, "AT_ONCE", 250)
+    parts = language.fit(table)
+    assert [len(p.names) for p in parts.parts] == [250, 250, 102]
+    found, same = ({r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(table.select("doc_id", "text"), p).collect()} for p in (whole, parts))
+    assert found == same and all(same[i][0] == lang for i, _, lang in rows[:600]) and same[5000] == same[5001] == ("aa", 1.0)
+    assert all(parts.predict(t)[0] == same[i][0] and parts.predict(t)[1] == pytest.approx(same[i][1]) for i, t, _ in rows[:50])
+
+
 def test_language_edges(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     profiles = language.fit(table)
@@ -69,14 +85,10 @@ def plain_best(pieces, text):
     """The best score over all segmentations, by a full table."""
     best = [0.0] + [-np.inf] * len(text)
     for i in range(len(text)):
-        node, j, single = pieces.root, i, False
-        while j < len(text) and text[j] in node:
-            node = node[text[j]]
-            j += 1
-            if "" in node:
-                single |= j == i + 1
-                best[j] = max(best[j], best[i] + node[""][1])
-        if not single:
+        for j in range(i + 1, min(len(text), i + pieces.longest) + 1):
+            if text[i:j] in pieces.pieces:
+                best[j] = max(best[j], best[i] + pieces.pieces[text[i:j]][2])
+        if text[i] not in pieces.pieces:
             best[i + 1] = max(best[i + 1], best[i] + pieces.fallback)
     return best[-1]
 
@@ -87,7 +99,7 @@ def test_pieces_come_back_and_are_best(spark):
     table = docs(spark, list(enumerate(texts)))
     back = {r["doc_id"]: r["text"] for r in sentencepieces.decode(sentencepieces.encode(table, pieces), pieces).collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)}
-    scores = {number: s for node in [pieces.root] for number, s in _leaves(node)}
+    scores = {number: s for _, number, s in pieces.pieces.values()}
     spaced = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) between 300 and 3000").limit(20).select("text").collect()]
     for t, whole in [(t, whole) for t in [*filter(None, texts[:5]), *spaced] for whole in (True, False)]:
         marked = "▁" + t.replace("▁", "\udc81").replace(" ", "▁")
@@ -99,10 +111,42 @@ def test_pieces_come_back_and_are_best(spark):
             else:
                 n = next(k for k in range(1, 5) if _char([byte_ids[x] for x in raw[at : at + k]]))
                 total, at = total + pieces.fallback, at + n
-        assert total == pytest.approx(plain_best(pieces, marked))
+        assert total == plain_best(pieces, marked)
     assert sentencepieces.encode(docs(spark, []), pieces).collect() == []
 
 
+def test_paths_meet_and_ids_leave():
+    pieces = sentencepieces.Pieces.load(PIECES)
+    for text in ("a" * 20_000, "ab" * 10_000, "x1y " * 5_000):
+        parts = list(pieces.stream(text))
+        assert len(parts) > 1000 and max(map(len, parts)) <= 2 * pieces.longest
+    rng = np.random.default_rng(5)
+    small = sentencepieces.Pieces([(i, p, s) for i, (p, s) in enumerate([("a", -2.5), ("b", -3.0), ("ab", -3.1), ("ba", -3.3), ("aba", -4.2), ("bb", -5.9), ("abab", -6.25)])], [], 99)
+    for _ in range(300):
+        text = "".join(rng.choice(list("aabbc"), size=rng.integers(0, 60)))
+        ids = [i for part in small.stream(text) for i in part]
+        of = {i: (p, s) for p, (_, i, s) in small.pieces.items()}
+        assert sum(of[i][1] if i != 99 else small.fallback for i in ids) == plain_best(small, text)
+        assert re.fullmatch("".join(of[i][0] if i != 99 else "c" for i in ids), text)
+
+
+def test_ids_against_the_models_own():
+    """The model's merges aren't a search for the best path; most ids are the same."""
+    own, pieces = sentencepiece.SentencePieceProcessor(model_file=PIECES), sentencepieces.Pieces.load(PIECES)
+    texts = [t for t in pq.read_table(f"{SF}/documents.parquet", columns=["text"])["text"].to_pylist() if t][:150]
+    a, b = ([Counter(ids) for ids in found] for found in (own.encode(texts), map(pieces.encode, texts)))
+    assert sum((x & y).total() for x, y in zip(a, b, strict=True)) > 0.8 * sum(x.total() for x in a)
+    assert abs(sum(x.total() for x in b) / sum(x.total() for x in a) - 1) < 0.03
+
+
+def test_pieces_of_null_ids_repeats_and_names(spark):
+    pieces = sentencepieces.Pieces.load(PIECES)
+    table = spark.createDataFrame([(None, "one two", 1), (7, "one two", 2), (7, "one two", 2), (8, None, 3)], "doc_id long, text string, ids int")
+    found = sentencepieces.decode(sentencepieces.encode(table, pieces), pieces).collect()
+    assert sorted((str(r["doc_id"]), len(r["ids"]) > 0, r["text"]) for r in found) == [("7", True, "one two"), ("7", True, "one two"), ("8", False, ""), ("None", True, "one two")]
+    assert sentencepieces.decode(sentencepieces.encode(table.limit(0), pieces), pieces).collect() == []
+
+
 def _char(raw):
     try:
         return len(bytes(raw).decode()) == 1
@@ -110,14 +154,6 @@ def _char(raw):
         return False
 
 
-def _leaves(node):
-    for k, v in node.items():
-        if k == "":
-            yield v
-        else:
-            yield from _leaves(v)
-
-
 def test_contamination_in_one_part_and_in_several(spark):
     words = [f"w{i}" for i in range(40)]
     items = [(1, " ".join(words[:15])), (2, "Short ITEM here"), (3, None), (4, ""), (5, " ".join(words[20:30])), (10, "short item here")]
