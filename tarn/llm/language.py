@@ -6,21 +6,21 @@ import functools
 import sys
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import small_batches, table
 
 #: Most frequent n-grams that a profile holds; also the distance of a gram that a profile lacks.
 RANKS = 300
 #: Labelled documents a language is learned from, chosen by a hash of their ids.
 SAMPLE = 3000
-#: Languages that can be told apart; bounds the profiles that are broadcast.
-MOST_LANGUAGES = 500
+#: Languages whose profiles are broadcast at once, some 4 MB; and those whose shares are.
+AT_ONCE, SHARES = 2000, 500_000
 UNKNOWN = "und"
 
 
@@ -52,47 +52,66 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Profiles:
-    """names: languages in order; known: all profiles' grams, sorted; ranks: of each gram in each
-    language's profile (RANKS: not in it)."""
+    """names: languages in order; known: all profiles' grams, sorted; start: where each gram's entries begin in langs (by
+    number) and ranks, and their end.  ``rest`` are the profiles of further languages, in parts of AT_ONCE."""
 
     names: list[str]
     known: np.ndarray
+    start: np.ndarray
+    langs: np.ndarray
     ranks: np.ndarray
+    rest: tuple[Profiles, ...] = ()
 
     @staticmethod
-    def of(rows: list[tuple[str, int, int]]) -> Profiles:
+    def of(rows: list[tuple[str, int, int]], rest: tuple[Profiles, ...] = ()) -> Profiles:
         names = sorted({r[0] for r in rows})
-        known = np.unique(np.array([r[1] for r in rows], dtype=np.int64))
-        ranks = np.full((len(known), len(names)), RANKS, dtype=np.int64)
         at = {n: i for i, n in enumerate(names)}
-        for name, gram, rank in rows:
-            ranks[np.searchsorted(known, gram), at[name]] = rank
-        return Profiles(names, known, ranks)
+        grams_ = np.array([r[1] for r in rows], dtype=np.int64)
+        order = np.argsort(grams_, kind="stable")
+        known, first = np.unique(grams_[order], return_index=True)
+        langs = np.array([at[r[0]] for r in rows], dtype=np.int32)[order]
+        return Profiles(names, known, np.append(first, len(rows)), langs, np.array([r[2] for r in rows], dtype=np.int32)[order], rest)
+
+    @property
+    def parts(self) -> tuple[Profiles, ...]:
+        return (self, *self.rest)
+
+    def nearest(self, found: np.ndarray) -> tuple[int, str] | None:
+        """The least distance from a text's grams, most frequent first, and its language, by name among equals; of this part alone."""
+        if not len(found) or not self.names:
+            return None
+        at = np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)
+        own = np.flatnonzero(self.known[at] == found)
+        begin = self.start[at[own]]
+        counts = self.start[at[own] + 1] - begin
+        rows = np.repeat(begin - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        # a gram that a profile lacks is RANKS away: what each has takes off that
+        less = np.bincount(self.langs[rows], RANKS - np.abs(self.ranks[rows] - np.repeat(own, counts)), len(self.names))
+        best = int(np.argmax(less))
+        return RANKS * len(found) - int(less[best]), self.names[best]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The nearest language, by name among equals, and 1 less the share of the largest distance."""
+        """The nearest language of all parts and 1 less the share of the largest distance."""
         found = grams(text or "")[0][:RANKS]
-        if not len(found) or not self.names:
-            return UNKNOWN, 0.0
-        at = np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)
-        ranks = np.where((self.known[at] == found)[:, None], self.ranks[at], RANKS)
-        away = np.where(ranks == RANKS, RANKS, np.abs(ranks - np.arange(len(found))[:, None])).sum(axis=0)
-        best = int(np.argmin(away))
-        return self.names[best], float(1 - away[best] / (RANKS * len(found)))
+        best = min((x for p in self.parts if (x := p.nearest(found)) is not None), default=None)
+        return (UNKNOWN, 0.0) if best is None else (best[1], float(1 - best[0] / (RANKS * len(found))))
 
 
 def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Profiles:
     """Profiles of the languages in ``labelled``, each from about ``sample`` documents (their whole
-    texts), chosen by a hash of the id; rows without a language or a text aren't used."""
+    texts), chosen by a hash of the id; rows without a language or a text aren't used.
+
+    Any number of languages is learned.  Beyond AT_ONCE their profiles are gathered and used a part after the
+    other, so that no broadcast grows with them; the driver holds them all, 300 entries a language.
+    """
     spark = labelled.sparkSession
     small_batches(spark)
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"))
-    share = rows.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share")).limit(MOST_LANGUAGES + 1).collect()
-    if len(share) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    share = sorted((r["lang"], r["share"]) for r in rows.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share")).collect())
     if not share:
         return Profiles.of([])
-    of = F.broadcast(spark.createDataFrame([(r["lang"], r["share"]) for r in share], "lang string, share double"))
+    shares = spark.createDataFrame(share, "lang string, share double")
+    of = F.broadcast(shares) if len(share) <= SHARES else shares
     chosen = rows.join(of, "lang").filter(F.pmod("h", F.lit(1_000_003)) < F.col("share") * 1_000_003).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +126,14 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     counted = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     top = counted.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < RANKS)
-    return Profiles.of([(r["lang"], r["gram"], r["rank"]) for r in top.select("lang", "gram", "rank").collect()])
+    found = top.select("lang", "gram", "rank")
+    gathered = lambda df: [(r["lang"], r["gram"], r["rank"]) for r in df.collect()]
+    if len(share) <= AT_ONCE:
+        return Profiles.of(gathered(found))
+    held = table(found, "profiles")
+    ends = [(share[lo][0], share[min(lo + AT_ONCE, len(share)) - 1][0]) for lo in range(0, len(share), AT_ONCE)]
+    first, *rest = [Profiles.of(gathered(held.filter(F.col("lang").between(a, b)))) for a, b in ends]
+    return replace(first, rest=tuple(rest))
 
 
 def identify(docs: DataFrame, profiles: Profiles, *, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
@@ -120,15 +146,35 @@ def identify(docs: DataFrame, profiles: Profiles, *, text_col: str = "text", pre
     if taken := {pred_col, score_col} & set(docs.columns):
         raise ValueError(f"columns {sorted(taken)} are there already: name others")
     small_batches(docs.sparkSession)
-    shipped = docs.sparkSession.sparkContext.broadcast(profiles)
+    out = docs.withColumn("__found", F.lit(None).cast(NEAREST))
+    for part in profiles.parts:
+        out = _nearer(out, replace(part, rest=()), text_col)
+    found = F.col("__found")
+    return out.select("*", F.coalesce(found["lang"], F.lit(UNKNOWN)).alias(pred_col), F.coalesce(1 - found["away"] / (RANKS * found["grams"]), F.lit(0.0)).alias(score_col)).drop("__found")
+
+
+NEAREST = "struct<away:long,lang:string,grams:long>"
 
-    @F.pandas_udf("lang string, score double")
-    def predict(texts):
-        import pandas as pd
 
-        return pd.DataFrame([shipped.value.predict(t) for t in texts], columns=["lang", "score"])
+def _nearer(docs: DataFrame, part: Profiles, text_col: str) -> DataFrame:
+    """``docs`` with __found: the nearest language of this part or what stood there, if that is nearer."""
+    shipped = docs.sparkSession.sparkContext.broadcast(part)
+
+    @F.pandas_udf("away long, lang string, grams long")
+    def nearest(texts):
+        import pandas as pd
 
-    return docs.withColumn("__found", predict(text_col)).select("*", F.col("__found.lang").alias(pred_col), F.col("__found.score").alias(score_col)).drop("__found")
+        rows = []
+        for t in texts:
+            found = grams(t or "")[0][:RANKS]
+            best = shipped.value.nearest(found)
+            rows.append((None, None, len(found)) if best is None else (*best, len(found)))
+        return pd.DataFrame(rows, columns=["away", "lang", "grams"]).astype({"away": "Int64", "lang": object})
+
+    with_new = docs.withColumn("__new", nearest(text_col))
+    new, old = F.col("__new"), F.col("__found")
+    better = new["lang"].isNotNull() & (old.isNull() | (new["away"] < old["away"]) | ((new["away"] == old["away"]) & (new["lang"] < old["lang"])))
+    return with_new.withColumn("__found", F.when(better, new).otherwise(old)).drop("__new")
 
 
 def held_out(id_col: str = "doc_id"):
