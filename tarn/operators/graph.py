@@ -192,22 +192,29 @@ def communities(edges: DataFrame, nodes: DataFrame | None = None, *, rounds: int
     # first: the neighbour dst moves before src
     around = cut(both.join(order("src"), "src").join(order("dst"), "dst").select("src", "dst", "weight", (F.col("o_dst") < F.col("o_src")).alias("first")))
     state = cut(degree.select(F.col("src").alias("node"), F.col("src").alias("community"), F.lit(0).alias("done"), F.lit(0).alias("moved")))
-    while True:
-        ends = state.agg(F.min("done").alias("done"), F.max("moved").alias("moved")).first()
-        if ends["done"] is None or ends["done"] >= rounds or ends["done"] > ends["moved"]:
-            break
+    def wave(state: DataFrame) -> DataFrame:
         at = lambda x, *more: state.select(F.col("node").alias(x), *more)
-        seen = around.join(at("src", F.col("done").alias("mine")), "src").join(at("dst", F.col("done").alias("theirs"), F.col("community").alias("label")), "dst")
+        seen = around.join(at("src", F.col("done").alias("mine"), F.col("community").alias("own")), "src").join(at("dst", F.col("done").alias("theirs"), F.col("community").alias("label")), "dst")
         # a node too far ahead of one that waits for it can't be: it waits for that one in turn
-        ready = F.bool_and(F.when(F.col("first"), F.col("theirs") > F.col("mine")).otherwise(F.col("theirs") >= F.col("mine"))).over(Window.partitionBy("src"))
-        weights = seen.withColumn("ready", ready).filter(F.col("ready") & (F.col("mine") < rounds)).groupBy("src", "label").agg(F.sum("weight").alias("weight"))
-        own = weights.join(at("src", "community"), "src")
-        top = own.withColumn("top", F.max("weight").over(Window.partitionBy("src"))).filter("weight >= top - 1e-9")
-        pick = top.groupBy("src").agg(F.min(F.when(F.col("label") == F.col("community"), F.col("label"))).alias("stay"), F.min("label").alias("least"))
+        ready = F.bool_and(F.when(F.col("first"), F.col("theirs") > F.col("mine")).otherwise(F.col("theirs") >= F.col("mine"))).alias("ready")
+        weights = seen.groupBy("src", "label").agg(F.sum("weight").alias("weight"), F.first("own").alias("own"), F.first("mine").alias("mine"), ready)
+        here = Window.partitionBy("src")
+        top = weights.withColumns({"top": F.max("weight").over(here), "all": F.bool_and("ready").over(here)}).filter((F.col("all")) & (F.col("mine") < rounds) & (F.col("weight") >= F.col("top") - 1e-9))
+        pick = top.groupBy("src").agg(F.min(F.when(F.col("label") == F.col("own"), F.col("label"))).alias("stay"), F.min("label").alias("least"))
         chosen = pick.select(F.col("src").alias("node"), F.coalesce("stay", "least").alias("now"))
         done = F.when(F.col("now").isNotNull(), F.col("done") + 1).otherwise(F.col("done"))
         change = F.col("now").isNotNull() & (F.col("now") != F.col("community"))
-        state = cut(state.join(chosen, "node", "left").select("node", F.coalesce("now", "community").alias("community"), done.alias("done"), F.when(change, F.col("done") + 1).otherwise(F.col("moved")).alias("moved")))
+        return state.join(chosen, "node", "left").select("node", F.coalesce("now", "community").alias("community"), done.alias("done"), F.when(change, F.col("done") + 1).otherwise(F.col("moved")).alias("moved"))
+
+    turn = 0
+    while True:
+        # waves past the end change nothing, so two go into one table and not every one is followed by a look
+        if turn % 4 == 0:
+            ends = state.agg(F.min("done").alias("done"), F.max("moved").alias("moved")).first()
+            if ends["done"] is None or ends["done"] >= rounds or ends["done"] > ends["moved"]:
+                break
+        state = cut(wave(wave(state)))
+        turn += 1
     labels = state.select("node", "community")
     sized = cut(labels.withColumn("n", F.count("*").over(Window.partitionBy("community"))))
     lone = sized.filter("n = 1").select(F.col("node").alias("src")).join(both, "src").groupBy("src").agg(F.min_by("dst", F.struct(-F.col("weight"), F.col("dst"))).alias("best"))

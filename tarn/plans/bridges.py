@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import match_lines, normal_url, same_route
@@ -29,6 +29,16 @@ CONTROLLER_METHOD = r"\[Http(Get|Post|Put|Delete|Patch)(?:\(\s*\"([^\"]*)\"\s*\)
 CLASS_ROUTE = r"@RequestMapping\(\s*(?:value\s*=\s*)?\"([^\"]+)\""
 
 
+def _hit(groups: int, fixed: str):
+    """Of a place its line, the method that the first group says (``route`` says none), and the path."""
+
+    def one(x: Column) -> Column:
+        said = [F.when(~F.lower(F.coalesce(x[f"m{i}"], F.lit(""))).isin("", "route"), x[f"m{i}"]) for i in range(groups)]
+        return F.struct(x["l"].alias("line"), F.upper(F.coalesce(*said, F.lit(fixed))).alias("method"), x["p"].alias("path"))
+
+    return one
+
+
 def _hits(files: DataFrame, patterns: tuple) -> DataFrame:
     """(id, lang, content, line, method, path) of each place where a pattern holds; GET where none is named."""
     empty = F.array().cast("array<struct<line:int,method:string,path:string>>")
@@ -38,8 +48,7 @@ def _hits(files: DataFrame, patterns: tuple) -> DataFrame:
         groups = () if isinstance(method, str) else method if isinstance(method, tuple) else (method,)
         fixed = method if isinstance(method, str) else "GET"
         rows = F.arrays_zip(match_lines(F.col("content"), F.lit(pattern), pick(0)).alias("l"), pick(path).alias("p"), *[pick(g).alias(f"m{i}") for i, g in enumerate(groups)])
-        said = lambda x, n=len(groups): [F.when(~F.lower(F.coalesce(x[f"m{i}"], F.lit(""))).isin("", "route"), x[f"m{i}"]) for i in range(n)]
-        found.append(F.transform(rows, lambda x, f=fixed, said=said: F.struct(x["l"].alias("line"), F.upper(F.coalesce(*said(x), F.lit(f))).alias("method"), x["p"].alias("path"))))
+        found.append(F.transform(rows, _hit(len(groups), fixed)))
     return files.select("id", "lang", "content", F.explode(F.concat(empty, *found)).alias("h")).select("id", "lang", "content", "h.*")
 
 

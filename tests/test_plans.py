@@ -1,11 +1,12 @@
 """Signals, bridges, relations, guards and answers of a small repository of several languages."""
 
+import dataclasses
 import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.operators import cochange, graph, measures
+from tarn.operators import cochange, compare, graph, measures
 from tarn.plans import answers, bridges, guard, links, parse, relations, signals, store, world
 from tarn.sources import files as tree
 from tarn.sources import generate, history
@@ -89,6 +90,32 @@ def test_routes_and_calls(spark):
     assert met == {("s.py", "POST", "/a/:p", 1), ("S.java", "GET", "/base/list/:p", 2), ("s.go", "GET", "/v1/things", 3), ("s.py", "GET", "/b", 4)}
 
 
+def test_lines_and_methods_of_routes(spark):
+    text = "app.get('/abc', f)\napp.get('/a', f)\n\n@api.get('/b', methods=['POST'])\n@x.route('/c')\n@x.route('/d', methods=['PUT'])\n"
+    found = {(r.method, r.path, r.line) for r in bridges.routes(spark.createDataFrame([("s.py", "python", text)], "id string, lang string, content string")).collect()}
+    assert found == {("GET", "abc", 1), ("GET", "a", 2), ("GET", "b", 4), ("POST", "b", 4), ("GET", "c", 5), ("PUT", "d", 6)}
+
+
+def test_a_removed_file_that_was_used_is_told_unless_it_was_a_test(spark):
+    form = "id string, risk int, fan_in int, loc int, covered boolean, dynamic boolean, skipped boolean, test boolean"
+    before = spark.createDataFrame([("gen.js", 0, 4, 9, True, False, True, False), ("t.js", 0, 2, 9, True, False, True, True), ("a.js", 0, 1, 9, True, False, False, False)], form)
+    assert {(r.id, r.rule) for r in compare.check(before, before.limit(0)).collect()} == {("gen.js", "eliminado en uso"), ("a.js", "eliminado en uso")}
+    groups = spark.createDataFrame([(1, "f", "t.js", True), (2, "g", "a.js", False)], "`group` int, name string, file string, test boolean")
+    assert {r.id for r in guard.signatures(groups=groups, like=groups).collect()} == {"a.js"}
+
+
+def test_support_is_of_all_commits(spark):
+    touches = spark.createDataFrame([(i, x) for i in range(4) for x in "ab"], "i int, item string")
+    found = [cochange.associated(touches, "i", "item", transactions=t).first() for t in (None, spark.range(8).withColumnRenamed("id", "i"))]
+    assert [(r["support"], r["lift"]) for r in found] == [(1.0, 1.0), (0.5, 2.0)]
+
+
+def test_second_authors_are_authors(spark, built):
+    shares = spark.createDataFrame([("web/app.js", "Ana", 8, 0.8, 1), ("web/app.js", "Luz", 2, 0.2, 2), ("web/util.js", "Luz", 1, 0.19, 2)], "id string, author string, commits long, share double, place int")
+    found = world.sets(dataclasses.replace(built, shares=shares)).filter("set_key like 'author:%'").collect()
+    assert {(r.set_key, r["id"]) for r in found} == {("author:Ana", "web/app.js"), ("author:Luz", "web/app.js")}
+
+
 def test_review_of_a_change(spark, tmp_path):
     top = tmp_path / "repo"
     put(top, {"src/a.js": "import { b } from './b.js';\nexport const a = () => b();\n", "src/b.js": "export const b = 1;\n", "test/a.test.js": "import { a } from '../src/a.js';\na();\n"})
