@@ -69,6 +69,23 @@ def _by_commit(lines: Iterator[str]) -> Iterator[tuple[str, list[str]]]:
         yield head, below
 
 
+def commits_of(log: Iterator[str], first: int = 0) -> Iterator[tuple]:
+    """(i, hash, author, ts, msg) of the commits in a log's lines, numbered from ``first``."""
+    for i, (head, _) in enumerate(_by_commit(log), first):
+        name, author, moment, msg = head.split("\x1f", 3)
+        yield i, name, author, datetime.fromisoformat(moment).astimezone(timezone.utc), msg
+
+
+def touches_of(named: Iterator[str], counted: Iterator[str], first: int = 0) -> Iterator[tuple]:
+    """(i, status, path, from_path, add, del) from a log with statuses and renames and one of the same commits with line counts."""
+    for i, ((_, names), (_, numbers)) in enumerate(zip(_by_commit(named), _by_commit(counted), strict=True), first):
+        size = {_path(m[3]): (int(m[1]) if m[1] != "-" else 0, int(m[2]) if m[2] != "-" else 0) for m in map(_NUMBERS.match, numbers) if m}
+        for line in names:
+            code, *paths = line.split("\t")
+            paths = [_path(p) for p in paths]
+            yield i, code[0], paths[-1], paths[0] if code[0] in "RC" else None, *size.get(paths[-1], (0, 0))
+
+
 @dataclass
 class CommitRange(InputPartition):
     """``count`` commits after the newest ``skip`` of ``head``; ``first`` is the number of the oldest of them."""
@@ -92,23 +109,8 @@ class _Reader(DataSourceReader):
         n = int(next(_lines(self.root, "rev-list", "--count", f"--max-count={self.most}", head, "--", ".")))
         return [CommitRange(head, at, min(self.per_task, n - at), max(0, n - at - self.per_task)) for at in range(0, n, self.per_task)] or [CommitRange(head, 0, 0, 0)]
 
-    def _log(self, part: CommitRange, *more: str) -> Iterator[tuple[int, tuple[str, list[str]]]]:
-        log = _lines(self.root, "log", "--reverse", "--relative", f"--skip={part.skip}", f"--max-count={part.count}", *more, part.head, "--", ".")
-        return enumerate(_by_commit(log), part.first)
-
-    def _commits(self, part: CommitRange) -> Iterator[tuple]:
-        for i, (head, _) in self._log(part, _FORM):
-            name, author, moment, msg = head.split("\x1f", 3)
-            yield i, name, author, datetime.fromisoformat(moment).astimezone(timezone.utc), msg
-
-    def _touches(self, part: CommitRange) -> Iterator[tuple]:
-        named, counted = self._log(part, _FORM, "--name-status", "-M"), self._log(part, _FORM, "--numstat", "--no-renames")
-        for (i, (_, names)), (_, (_, numbers)) in zip(named, counted, strict=True):
-            size = {_path(m[3]): (int(m[1]) if m[1] != "-" else 0, int(m[2]) if m[2] != "-" else 0) for m in map(_NUMBERS.match, numbers) if m}
-            for line in names:
-                code, *paths = line.split("\t")
-                paths = [_path(p) for p in paths]
-                yield i, code[0], paths[-1], paths[0] if code[0] in "RC" else None, *size.get(paths[-1], (0, 0))
+    def _log(self, part: CommitRange, *more: str) -> Iterator[str]:
+        return _lines(self.root, "log", "--reverse", "--relative", f"--skip={part.skip}", f"--max-count={part.count}", *more, part.head, "--", ".")
 
     def read(self, partition: CommitRange) -> Iterator[pa.RecordBatch]:
         if not partition.count:
@@ -121,7 +123,11 @@ class _Reader(DataSourceReader):
         def batch() -> pa.RecordBatch:
             return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
 
-        for row in self._commits(partition) if self.table == "commits" else self._touches(partition):
+        if self.table == "commits":
+            rows = commits_of(self._log(partition, _FORM), partition.first)
+        else:
+            rows = touches_of(self._log(partition, _FORM, "--name-status", "-M"), self._log(partition, _FORM, "--numstat", "--no-renames"), partition.first)
+        for row in rows:
             held.append(row)
             if len(held) == ROWS:
                 yield batch()

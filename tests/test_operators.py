@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tarn.functions import text
 from tarn.functions.stats import half_up, wilson
 from tarn.operators import clones, cochange, compare, graph, history, measures, sets
-from tarn.sources.history import parse
+from tarn.sources.gitlog import commits_of, touches_of
 
 
 def edges(spark, pairs):
@@ -60,12 +60,12 @@ def test_renames_keep_a_file(spark):
     assert keys == {0: "old@0", 1: "old@0", 2: "old@0", 3: "old@3", 4: "old@0", 5: "old@3", 6: "old@0"}
 
 
-def test_a_log_is_parsed(spark):
+def test_a_log_is_parsed():
     sep = "\x1f"
     heads = [f"@@h1{sep}Ana{sep}2024-01-02T03:04:05+00:00{sep}start\n\n", f"@@h2{sep}Luz{sep}2024-01-03T03:04:05+00:00{sep}fix it\n\n"]
-    commits, touches = parse(spark, heads[0] + "A\ta.py\n" + heads[1] + "R090\ta.py\tb.py\n", heads[0] + "3\t0\ta.py\n" + heads[1] + "1\t2\tb.py\n-\t-\timg\n")
-    assert [(r["i"], r["author"], r["msg"]) for r in commits.orderBy("i").collect()] == [(0, "Ana", "start"), (1, "Luz", "fix it")]
-    assert [(r["status"], r["path"], r["from_path"], r["add"], r["del"]) for r in touches.orderBy("i").collect()] == [("A", "a.py", None, 3, 0), ("R", "b.py", "a.py", 1, 2)]
+    named, counted = heads[0] + "A\ta.py\n" + heads[1] + "R090\ta.py\tb.py\n", heads[0] + "3\t0\ta.py\n" + heads[1] + "1\t2\tb.py\n-\t-\timg\n"
+    assert [(i, author, msg) for i, _, author, _, msg in commits_of(iter(named.split("\n")))] == [(0, "Ana", "start"), (1, "Luz", "fix it")]
+    assert [t[1:] for t in touches_of(iter(named.split("\n")), iter(counted.split("\n")))] == [("A", "a.py", None, 3, 0), ("R", "b.py", "a.py", 1, 2)]
 
 
 def test_sizes_never_fall_below_zero(spark):
@@ -117,26 +117,16 @@ def test_near_clones_need_rare_shingles(spark):
 
 def test_fuzzy_matches_a_plain_scan(spark):
     from tarn.queries.texts import fuzzy
+    from tests.test_sequences import plain_fuzzy
 
     sf = "/root/testdata/sf0.001"
-
-    def span(name):
-        best = None
-        for s in range(len(name)):
-            at = s
-            if name[s] != "r":
-                continue
-            for c in "dg":
-                at = name.find(c, at + 1)
-                if at < 0:
-                    break
-            else:
-                best = best or at - s + 1
-        return best
-
-    parts = [(r["p_partkey"], r["p_name"]) for r in spark.read.parquet(f"{sf}/part.parquet").collect()]
-    expected = sorted((span(n.lower()), len(n), k) for k, n in parts if span(n.lower()))[:7]
-    assert [r["p_partkey"] for r in fuzzy(spark, sf).collect()] == [k for _, _, k in expected]
+    parts = spark.read.parquet(f"{sf}/part.parquet").select("p_brand", "p_name", "p_type").collect()
+    names = {f"{r['p_brand']}/{r['p_name']}" for r in parts}
+    expected = {}
+    for q in {(r["p_type"][0] + r["p_name"][0] + r["p_name"][-1]).lower() for r in parts}:
+        scored = sorted((-round(found[0], 6), name) for name in names if (found := plain_fuzzy(q, name)))
+        expected |= {(q, place): (name, -score) for place, (score, name) in enumerate(scored[:7], 1)}
+    assert {(r["q"], r["place"]): (r["name"], r["score"]) for r in fuzzy(spark, sf).collect()} == expected
 
 
 def test_questions(spark):
