@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import half_up
 from ..session import cut
 from .graph import components
+from .measures import numbered
 
 
 #: Names too common to tell anything.
@@ -106,8 +107,8 @@ def severity(test: Column, co_rate_: Column, co_count: Column) -> Column:
 
 def ranked(groups_: DataFrame, score: str = "score") -> DataFrame:
     """``groups_`` with id: d0 for the dearest, and so on."""
-    place = F.row_number().over(Window.orderBy(F.col(score).desc(), "group"))
-    return groups_.withColumn("id", F.concat(F.lit("d"), (place - 1).cast("string")))
+    placed = numbered(groups_, "__place", F.col(score).desc(), F.col("group"))
+    return placed.withColumn("id", F.concat(F.lit("d"), F.col("__place").cast("string"))).drop("__place")
 
 
 def suggestion(groups_: DataFrame, members: DataFrame, coupling: DataFrame, folders: DataFrame) -> DataFrame:

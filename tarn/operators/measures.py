@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import half_up
@@ -36,6 +36,28 @@ def interval_union(rows: DataFrame, group: str, start: str, end: str) -> DataFra
     return islands.groupBy(group).agg(F.count("*").alias("islands"), F.sum(F.col("e") - F.col("s")).alias("covered"))
 
 
+def numbered(rows: DataFrame, place: str, *order: Column) -> DataFrame:
+    """``rows`` with ``place``, 0 and up by ``order``, with no task for all rows: ranges of the order are numbered each by
+    itself, and each begins where those before it end.  Rows of equal order keep together, one before the other as it falls."""
+    spread = cut(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = spread.groupBy("__p").agg(F.count("*").alias("n")).select("__p", before.alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
+    return spread.withColumn("__inside", inside).join(F.broadcast(starts), "__p").withColumn(place, F.col("__before") + F.col("__inside")).drop("__p", "__inside", "__before")
+
+
+def ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: 100 * (how many are less, and half of those equal) / all, rounded half up; rows without a value have none.
+
+    Equal values are counted first, so that only distinct ones are put in order.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    whole = F.sum("__n").over(Window.partitionBy())
+    placed = counts.withColumn(name, F.floor(100 * (upto - F.col("__n") / 2) / whole + 0.5).cast("long")).drop("__n")
+    return rows.join(placed, value, "left")
+
+
 def greedy(rows: DataFrame, id_col: str, size: str, *, most: int, budget: int) -> DataFrame:
     """(id_col, size): rows of ``most`` or less in order of id_col, each taken if it still fits into ``budget``.
 

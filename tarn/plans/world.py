@@ -8,18 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.stats import percentile_rank
-from ..operators import cochange, graph, history, risk
+from ..operators import cochange, graph, history, measures, risk
 from ..session import cut
 from ..sources import files as tree
 from ..sources.languages import BUILTIN, Grammar
-from . import bridges, insights, links, parse, relations, signals
+from . import bridges, duplicates, insights, links, parse, relations, signals, wording
 
 #: Languages whose files in one folder see each other, so that a cycle there tells nothing.
 NAMESPACED = ("csharp", "java", "kotlin", "scala", "php", "go")
 #: Dependents that are followed, and listed, of a file; fewer in a large repository.
 CAP, CAP_LARGE, LARGE, IDS, IDS_MANY, MANY = 2500, 800, 3000, 300, 30, 400
-TOUCHED = "id string, commits long, c30 long, c90 long, c365 long, first timestamp, last timestamp, owner string, owner_share double, bus_factor long, fixes long, trend string"
+TOUCHED = "id string, commits long, c30 long, c90 long, c365 long, first timestamp, last timestamp, owner string, owner_share double, bus_factor long, fixes long, fix_rate double, fix_low double, fix_high double, add long, del long, months array<long>, trend string"
+#: What a file can have far more of than others, and how that is called.
+OUTLIERS = (("c90", "churn"), ("loc", "loc"), ("fan_in", "fanIn"))
 
 
 @dataclass
@@ -42,6 +43,12 @@ class World:
     pairs: DataFrame | None = None
     timeline: DataFrame | None = None
     shares: DataFrame | None = None
+    told: DataFrame | None = None
+    about: DataFrame | None = None
+    groups: DataFrame | None = None
+    members: DataFrame | None = None
+    constants: DataFrame | None = None
+    homonyms: DataFrame | None = None
 
     def health_score(self) -> int:
         return self.health.first()["score"]
@@ -70,14 +77,17 @@ def told_cycles(found: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def touched(dated: DataFrame, now: Column) -> DataFrame:
-    """TOUCHED from touches (file_key, path, status, i, ts, author, msg) whose file still is there, by its newest path."""
+    """TOUCHED from touches (file_key, path, status, i, ts, author, msg, add, del) whose file still is there, by its newest path."""
     current = dated.groupBy("file_key").agg(F.max_by("path", "i").alias("id"), F.max_by("status", "i").alias("end")).filter("end <> 'D'").select("file_key", "id")
     active = history.activity(dated, "file_key", "ts", now)
     known = history.bus_factor(history.shares(dated, "file_key", "author"), "file_key", "author").drop("authors")
-    fixes = history.fix_rate(dated, "file_key", F.col("msg").rlike(text.FIX)).select("file_key", "fixes")
-    trend = history.monthly(dated, "file_key", "ts", now).select("file_key", "trend")
+    fixes = history.fix_rate(dated, "file_key", F.col("msg").rlike(text.FIX)).select("file_key", "fixes", F.col("rate").alias("fix_rate"), F.col("low").alias("fix_low"), F.col("high").alias("fix_high"))
+    lines = dated.groupBy("file_key").agg(F.coalesce(F.sum("add"), F.lit(0)).cast("long").alias("add"), F.coalesce(F.sum("del"), F.lit(0)).cast("long").alias("del"))
+    fixes = fixes.join(lines, "file_key")
+    months = F.array(*[F.col(f"m{i}") for i in range(6)])
+    trend = history.monthly(dated, "file_key", "ts", now).select("file_key", "trend", months.alias("months"))
     joined = current.join(active, "file_key").join(known, "file_key").join(fixes, "file_key").join(trend, "file_key", "left").na.fill("estable", ["trend"])
-    return joined.select("id", "commits", "c30", "c90", "c365", "first", "last", "owner", "owner_share", "bus_factor", "fixes", "trend")
+    return joined.select("id", "commits", "c30", "c90", "c365", "first", "last", "owner", "owner_share", "bus_factor", "fixes", "fix_rate", "fix_low", "fix_high", "add", "del", F.coalesce("months", F.array_repeat(F.lit(0).cast("long"), 6)).alias("months"), "trend")
 
 
 def flags() -> Column:
@@ -93,6 +103,16 @@ def flags() -> Column:
     return F.array_compact(F.array(*[F.when(h, F.lit(name)) for name, h in holds]))
 
 
+def placed(code: DataFrame) -> DataFrame:
+    """(id, pct_c90, pct_loc, pct_fan_in, pct_commits, outlier): each file's place among all, and of what it has far more than others."""
+    out = code.select("id", "c90", "loc", "fan_in", "commits")
+    for value in ("c90", "loc", "fan_in", "commits"):
+        out = measures.ranks(out, value, f"pct_{value}")
+    for value, name in OUTLIERS:
+        out = measures.robust_z(out, value).withColumn(f"far_{value}", F.when(F.col("outlier"), F.lit(name))).drop("z", "outlier")
+    return out.select("id", *[f"pct_{v}" for v in ("c90", "loc", "fan_in", "commits")], F.array_compact(F.array(*[f"far_{v}" for v, _ in OUTLIERS])).alias("outlier"))
+
+
 def folder_rollup(files: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(dir, files, lines, risk, hot, c90, owner) and (from, to, count) of files outside tests."""
     code = files.filter("not is_test")
@@ -107,12 +127,14 @@ def build(
     spark: SparkSession, sources: DataFrame, *, modules: DataFrame | None = None, commits: DataFrame | None = None, touches: DataFrame | None = None,
     status: DataFrame | None = None, overrides: DataFrame | None = None, aux: tuple[str, ...] = (), aux_off: bool = False, now: str | None = None,
     grammar: Grammar = BUILTIN, parsed: tuple[links.Parsed, DataFrame, DataFrame] | None = None,
+    units: DataFrame | None = None, literals: DataFrame | None = None, named: DataFrame | None = None,
 ) -> World:
     """The world of ``sources`` (id, ext, lang, content), with a history if there is one.
 
     ``overrides`` (source, target, kind, origin) adds edges, ``aux`` patterns of auxiliary folders;
     ``now`` is the history's last moment unless given.  ``grammar`` has the languages; ``parsed`` is what
-    ``links.linked`` gave for the same sources, if that is known already.
+    ``links.linked`` gave for the same sources, if that is known already.  ``units``, ``literals`` and ``named`` constants
+    (``duplicates.find``) give groups of copies, which then count for risk, flags, findings and health.
     """
     said, linked, packages = parsed or links.linked(sources, modules, grammar)
     coded = said.coded
@@ -151,7 +173,7 @@ def build(
     for more in (exports, again, covered, in_cycle, parse.dynamic_uses(coded, grammar), signals.summary(noted), marked, recursion.select("id", F.lit(True).alias("recursive")).distinct()):
         joined = joined.join(more, "id", "left")
     has_git = touches is not None and commits is not None
-    pairs = timeline = shared = None
+    pairs = timeline = shared = together = None
     if has_git:
         dated = cut(history.replay(touches).join(commits, "i"))
         last = F.lit(now).cast("timestamp") if now else F.lit(dated.agg(F.max("ts")).first()[0])
@@ -159,6 +181,7 @@ def build(
         current = dated.groupBy("file_key").agg(F.max_by("path", "i").alias("id"), F.max_by("status", "i").alias("end")).filter("end <> 'D'").select("file_key", "id")
         alive = dated.join(current, "file_key").join(base.select("id"), "id", "left_semi").select("i", "id")
         linked_ = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
+        together = cut(cochange.pair_counts(alive, "i", "id")) if units is not None else None
         skipped = base.filter(F.col("is_test") | F.col("gen").isNotNull() | F.col("aux")).select("id")
         pairs = cut(cochange.strongest(cochange.hidden(cochange.associated(alive, "i", "id", transactions=commits), linked_, skipped)))
         shared = cut(history.shares(dated.join(current, "file_key"), "id", "author"))
@@ -170,17 +193,23 @@ def build(
     joined = joined.join(seen, "id", "left").join(known, "id", "left")
     full = joined.na.fill(0, ["exports", "reexports", "commits", "c30", "c90", "c365", "fixes"]).na.fill(False, ["in_cycle", "recursive"]).na.fill("", ["summary"])
     sole = (F.coalesce("bus_factor", F.lit(0)) == 1) & (F.col("commits") >= 3)
+    copied = None
+    if units is not None:
+        copied = duplicates.find(units, cut(full.select("id", "is_test", "gen", "aux", "loc", "commits", "owner")), literals=literals, named=named, together=together)
+        per = copied.files.select(F.col("file").alias("id"), F.col("lines").alias("dup_lines"), F.col("pct").alias("dup_pct"), F.col("sev").alias("dup_sev"), F.col("groups").alias("dup_groups"), F.col("cost").alias("dup_cost"))
+        full = full.join(per, "id", "left").na.fill(0, ["dup_lines", "dup_pct", "dup_groups", "dup_cost"]).na.fill("latente", ["dup_sev"])
+    else:
+        full = full.withColumns({"dup_pct": F.lit(0.0), "dup_sev": F.lit("latente")})
     full = full.withColumns({
         "dynamic": ~F.col("is_test") & F.col("dyn").isNotNull(), "sole_owner": sole, "skipped": F.col("is_test") | F.col("gen").isNotNull() | F.col("aux"),
-        "dup_pct": F.lit(0.0), "dup_sev": F.lit("latente"), "role": graph.role(F.col("is_test"), F.col("fan_in"), F.col("fan_out"), F.col("fan_out"), F.col("exports"), F.col("reexports")),
+        "role": graph.role(F.col("is_test"), F.col("fan_in"), F.col("fan_out"), F.col("fan_out"), F.col("exports"), F.col("reexports")),
     })
     tracked = F.coalesce("status", F.when(F.col("commits") == 0, "untracked").otherwise("clean")) if has_git else F.lit("clean")
     lived = history.state(tracked, history.days_ago(F.col("first"), last), history.days_ago(F.col("last"), last), F.col("c30"), F.col("c90"), F.col("role") == "orphan")
     bare = F.when(~F.col("is_test") & (F.col("role") == "orphan"), "huérfano").otherwise("estable")
     full = full.withColumn("status", tracked if has_git else F.lit(None).cast("string")).withColumn("state", lived if has_git else bare)
-    scored = cut(risk.risk(full.withColumn("flags", flags()), has_git=has_git, has_dupes=False))
-    ranks = scored.filter("not is_test").select("id", *[percentile_rank(v).alias(f"pct_{v}") for v in ("c90", "loc", "fan_in", "commits")])
-    scored = cut(scored.join(ranks, "id", "left"))
+    scored = cut(risk.risk(full.withColumn("flags", flags()), has_git=has_git, has_dupes=copied is not None))
+    scored = cut(scored.join(placed(scored.filter("not is_test")), "id", "left"))
     hub = scored.select("id", "fan_in")
     ends = flat.join(hub.select(F.col("id").alias("src"), F.col("fan_in").alias("h1")), "src").join(hub.select(F.col("id").alias("dst"), F.col("fan_in").alias("h2")), "dst")
     weight = (1 + 0.15 * F.least("refs", F.lit(5))) / F.log2(2 + F.greatest("h1", "h2"))
@@ -196,9 +225,18 @@ def build(
     used = graph.trace(told, uses, public.select("file", "name")).join(tests.withColumnRenamed("id", "user"), "user", "left_anti").groupBy("file", "name").agg(F.sum("count").alias("total"), F.count("*").alias("users"))
     symbols = cut(public.join(used, ["file", "name"], "left").na.fill(0, ["total", "users"]))
     folders, coupling = folder_rollup(scored, flat.select(F.col("src").alias("source"), F.col("dst").alias("target")))
-    findings = insights.findings(scored, cycles=cycles, edges=flat, pairs=pairs, symbols=symbols, recursion=recursion)
-    counts = risk.health_counts(scored, cycles=cycles, pairs=pairs)
-    return World(scored, edges, packages, cycles, labels, impacts, tested, symbols, recursion, met, cut(folders), cut(coupling), cut(findings), cut(risk.health(counts)), warnings, pairs, timeline, shared)
+    folders, coupling = cut(folders), cut(coupling)
+    groups = members = constants = homonyms = None
+    if copied is not None:
+        members, constants, homonyms = copied.members, copied.constants, copied.homonyms
+        groups = cut(duplicates.extracted(copied.groups, members, coupling, base.select("dir").distinct()))
+    findings = insights.findings(scored, cycles=cycles, edges=flat, pairs=pairs, symbols=symbols, recursion=recursion, groups=None if groups is None else (groups, members), literals=None if constants is None else constants.withColumn("value", F.col("key")))
+    said_, about = wording.told(
+        scored, cycles=cycles, edges=edges.join(tests.withColumnRenamed("id", "source"), "source", "left_anti"), pairs=pairs, symbols=symbols, recursion=recursion,
+        groups=groups, members=members, constants=constants, homonyms=homonyms, now=last if has_git else None,
+    )
+    counts = risk.health_counts(scored, cycles=cycles, pairs=pairs, groups=groups, literals=constants)
+    return World(scored, edges, packages, cycles, labels, impacts, tested, symbols, recursion, met, folders, coupling, cut(findings), cut(risk.health(counts)), warnings, pairs, timeline, shared, cut(said_), cut(about), groups, members, constants, homonyms)
 
 
 def from_tree(spark: SparkSession, root: str, grammar: Grammar = BUILTIN, **more) -> World:
