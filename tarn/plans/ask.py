@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -370,7 +370,7 @@ def _health(facts: Facts, trust: _Trust) -> DataFrame:
     if facts.health is None or facts.findings is None:
         return _nothing(facts).select(_no_data("health", "No hay índice de salud.").alias("a"))
     c = F.col
-    grave = _top(facts.findings.filter("sev = 'alta'"), [c("title"), c("place")], 6, "id", c("title"), "alta")
+    grave = _top(facts.findings.filter("sev = 'alta'"), [c("place"), c("title")], 6, "id", c("title"), "alta")
     counts = facts.findings.agg(F.count_if(c("sev") == "alta").alias("grave"), F.count("*").alias("all"))
     headline = _say("Salud ", c("score"), "/100 (", c("grade"), ") con ", c("grave"), " ", _plural(c("grave"), "hallazgo", "hallazgos"), " de atención alta y ", c("all"), " en total.")
     found = _answer("health", headline=headline, trust=trust.history(F.lit(facts.commits), "La salud combina estructura e historial"), challenge=_texts("La nota agrega señales con pesos fijados por la herramienta: úsala para comparar contra sí mismo en el tiempo, no contra otros proyectos.", "Un proyecto joven o pequeño tiene poca evidencia: la nota se mueve mucho con pocos cambios."), follow=("risk", "hidden", "dead"), rows=c("rows"))
@@ -438,11 +438,23 @@ def of_world(w, *, changes: DataFrame | None = None, when: str = "", groups: Dat
     counted = w.files.agg(F.count_if(~F.col("is_test") & F.col("dyn").isNotNull()).alias("dyn"), F.count_if(F.col("lang").isin(*REFLECTIVE)).alias("reflective")).first()
     dynamic = w.edges.filter("kind = 'dynamic'").count()
     commits = 0 if w.timeline is None else w.timeline.count()
-    titled = w.findings.withColumn("title", F.concat_ws(" ", "kind", F.col("place").cast("string")))
+    # a finding is one row here, by the first of its files
+    titled = w.told.join(w.about.groupBy("id").agg(F.min("file").alias("file")), "id", "left").select("sev", F.col("file").alias("id"), "title", "place")
     tested = w.tested.select(F.col("id").alias("file"), "test")
+    if groups is None and w.groups is not None:
+        groups = group_facts(w.groups, w.members)
     return Facts(w.files, w.impact, w.pairs, groups, w.shares, w.symbols, w.cycles, w.recursion, changes, titled, w.health, tested, commits, dynamic, counted["dyn"], counted["reflective"] > 0, when)
 
 
+def group_facts(groups: DataFrame, members: DataFrame, most: int = 100) -> DataFrame:
+    """What ``Facts`` has of groups of copies, from a world's; an answer names ``most`` files of a group."""
+    each = members.select("group", F.col("file").alias("f")).distinct()
+    place = F.row_number().over(Window.partitionBy("group").orderBy("f"))
+    named = each.withColumn("p", place).filter(F.col("p") <= most).groupBy("group").agg(F.array_sort(F.collect_list("f")).alias("files"), F.min("f").alias("file"))
+    told = groups.select("group", F.coalesce("name", F.lit("(anónima)")).alias("name"), "copies", "lines", "sev", "score", "co_count", "test", (F.size(F.coalesce("warn", F.array().cast("array<string>"))) > 0).alias("warned"))
+    return told.join(named, "group")
+
+
 def suggest(facts: Facts, selected: DataFrame) -> DataFrame:
     """(id, place, intent, text): the first nine questions for each selected file (id; null: none selected).
 

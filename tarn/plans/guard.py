@@ -1,4 +1,4 @@
-"""Before and after a change: what to know first, a print of the structure, what got worse, and the review of a reference."""
+"""Before and after a change: what to know first, a print of the structure, and what got worse."""
 
 from __future__ import annotations
 
@@ -27,7 +27,7 @@ def signatures(*, cycles: DataFrame | None = None, groups: DataFrame | None = No
         if "test" in groups.columns:  # copies among tests alone are no worry
             groups = groups.filter("not test")
         each = groups.select("group", "name", "file").distinct()
-        whole = each.groupBy("group", "name").agg(F.concat_ws("|", F.first("name"), F.array_join(F.array_sort(F.collect_set("file")), ",")).alias("signature")).select("group", "signature")
+        whole = each.groupBy("group", "name").agg(F.concat_ws("|", F.coalesce(F.first("name"), F.lit("(anónima)")), F.array_join(F.array_sort(F.collect_set("file")), ",")).alias("signature")).select("group", "signature")
         out.append(each.join(whole, "group").select(F.lit("dup").alias("kind"), "signature", F.col("file").alias("id")))
     if bridges is not None:
         out.append(bridges.select(F.lit("bridge").alias("kind"), F.concat("source", F.lit("→"), "target").alias("signature"), F.col("source").alias("id")).distinct())
@@ -40,12 +40,12 @@ def fingerprint(files: DataFrame) -> DataFrame:
 
 
 def compare(before: DataFrame, after: DataFrame, signed_before: DataFrame, signed_after: DataFrame, health: tuple[int | None, int | None] = (None, None)) -> DataFrame:
-    """(rule, sev, id): all that a change made worse, from two prints, their signatures and both healths.
+    """(rule, sev, id, signature): all that a change made worse, from two prints, their signatures and both healths.
 
     A new duplicate counts only where one of its files is new or changed its size.  ``resuelto`` rows
     are cycles and duplicates that are gone.
     """
-    found = check(before, after).select("rule", "sev", "id")
+    found = check(before, after).select("rule", "sev", "id", F.lit(None).cast("string").alias("signature"))
     old, new = (s.select("kind", "signature").distinct() for s in (signed_before, signed_after))
     sizes = after.select("id", F.col("loc").alias("now")).join(before.select("id", F.col("loc").alias("was")), "id", "left")
     touched = sizes.filter("was is null or was <> now").select("id")
@@ -56,9 +56,9 @@ def compare(before: DataFrame, after: DataFrame, signed_before: DataFrame, signe
     rule = F.coalesce(*[F.when(F.col("kind") == k, F.lit(r)) for k, r, _ in SIGNED])
     sev = F.coalesce(*[F.when(F.col("kind") == k, F.lit(s)) for k, _, s in SIGNED])
     gone = signed_before.filter("kind <> 'bridge'").join(new, ["kind", "signature"], "left_anti").groupBy("kind", "signature").agg(F.min("id").alias("id"))
-    out = found.union(named.select(rule, sev, "id")).union(gone.select(F.lit("resuelto"), F.lit("info"), "id"))
+    out = found.union(named.select(rule, sev, "id", "signature")).union(gone.select(F.lit("resuelto"), F.lit("info"), "id", "signature"))
     if None not in health and health[1] - health[0] <= -3:
-        out = out.union(after.sparkSession.createDataFrame([("salud", "revisar", None)], "rule string, sev string, id string"))
+        out = out.union(after.sparkSession.createDataFrame([("salud", "revisar", None, None)], "rule string, sev string, id string, signature string"))
     return out
 
 
@@ -121,15 +121,12 @@ def plan(files: DataFrame, impacts: DataFrame, tested: DataFrame, changed: DataF
     return {"facts": told, "ripple": ripple, "tests": relations.impact_tests(impacts, tested, changed), "warnings": warnings(told, **more)}
 
 
-def review(spark: SparkSession, root: str, ref: str = "HEAD") -> tuple[str, DataFrame, DataFrame]:
-    """(level, findings, changed) of the tree at ``root`` against ``ref``.
-
-    Both trees are measured without history, as the base has none.
-    """
+def measured(spark: SparkSession, root: str, ref: str = "HEAD") -> tuple[world.World, world.World, DataFrame, DataFrame]:
+    """(before, after, findings, changed) of the tree at ``root`` against ``ref``.  Both trees are measured without history, as the base has none."""
     changed = history.changed_since(spark, root, ref)
     with history.base_tree(root, ref) as base:
         old, new = world.from_tree(spark, base), world.from_tree(spark, root)
         signed = [signatures(cycles=w.cycles, bridges=w.bridges, like=w.files) for w in (old, new)]
         found = compare(fingerprint(old.files), fingerprint(new.files), *signed, (old.health_score(), new.health_score()))
         found = cut(found)
-    return level(found), found, changed
+    return old, new, found, changed

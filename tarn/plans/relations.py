@@ -47,16 +47,16 @@ def module_of_tests(edges: DataFrame, tests: DataFrame, communities: DataFrame)
 
 
 def impact_tests(impacts: DataFrame, tested: DataFrame, changed: DataFrame) -> DataFrame:
-    """(test, why, of): tests to run for the ``changed`` files (id): their own, then those of who depends on them.
+    """(test, why, of, via): tests to run for the ``changed`` files (id): their own, then those of who depends on them.
 
-    ``impacts`` has node, ids and direct; ``tested`` id and test.  A test has one reason, the nearest.
+    ``impacts`` has node, ids and direct; ``tested`` id and test.  A test has one reason, the nearest: ``of`` is the changed file, ``via`` the one that it tests.
     """
     own = changed.select(F.col("id").alias("of"), "id", F.lit(0).alias("rank"))
     far = impacts.join(changed.select(F.col("id").alias("node")), "node", "left_semi").select(F.col("node").alias("of"), "direct", F.posexplode("ids").alias("p", "id"))
     reached = own.union(far.select("of", "id", F.when(F.col("p") < F.col("direct"), 1).otherwise(2).alias("rank")))
     met = reached.join(tested, "id").groupBy("test").agg(F.min(F.struct("rank", "of", "id")).alias("r"))
     why = F.when(F.col("r.rank") == 0, "prueba directa").when(F.col("r.rank") == 1, "prueba de quien depende").otherwise("afectada indirectamente")
-    return met.select("test", why.alias("why"), F.col("r.of").alias("of"))
+    return met.select("test", why.alias("why"), F.col("r.of").alias("of"), F.col("r.id").alias("via"))
 
 
 def months(rows: DataFrame, item: str, ts: str, now: Column, *, last: int = 40, bins: int = 12) -> DataFrame:

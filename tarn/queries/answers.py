@@ -270,7 +270,7 @@ def tests_to_run(spark: SparkSession, d: str) -> DataFrame:
     inner = edges.join(tests.withColumnRenamed("id", "src"), "src", "left_anti")
     most = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")).join(tests, "id", "left_anti")
     changed = most.agg(F.min_by("id", F.struct(-F.col("n"), F.col("id"))).alias("id"))
-    return relations.impact_tests(graph.impact(inner, nodes), tested, changed)
+    return relations.impact_tests(graph.impact(inner, nodes), tested, changed).drop("via")
 
 
 @register(f"WITH {G}, x AS (SELECT p_brand AS id, count(DISTINCT p_type) AS n FROM part GROUP BY 1) SELECT src AS source, dst AS target, n AS refs, CAST(1 AS BIGINT) AS used, exports, floor(1 / exports * 100 + 0.5) / 100 AS ratio FROM g JOIN (SELECT id, n AS exports FROM x) ON id = dst")

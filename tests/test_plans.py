@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn.operators import cochange, compare, graph, measures
-from tarn.plans import answers, bridges, guard, links, parse, relations, signals, store, world
+from tarn.plans import answers, bridges, guard, links, parse, relations, review, signals, store, world
 from tarn.sources import files as tree
 from tarn.sources import generate, history
 
@@ -124,10 +124,15 @@ def test_review_of_a_change(spark, tmp_path):
     git("add", ".")
     git("commit", "-qm", "first")
     put(top, {"src/b.js": "import { a } from './a.js';\nexport const b = () => a();\n", "src/new.js": "export const n = 1;\n" * 9})
-    level, found, changed = guard.review(spark, str(top))
-    told = {(r.rule, r.id) for r in found.collect()}
-    assert level == "alto" and {x for x, _ in told} >= {"ciclo nuevo", "sin pruebas"} and ("sin pruebas", "src/new.js") in told
-    assert {(r.path, r.status) for r in changed.collect()} == {("src/b.js", "M"), ("src/new.js", "A")}
+    found = review.review(spark, str(top))
+    told = {(r.rule, r.id): r.text for r in found.issues.collect()}
+    assert found.level == "alto" and told[("ciclo nuevo", "src/a.js")] == "Ciclo nuevo entre src/a.js, src/b.js." and told[("sin pruebas", "src/new.js")] == "src/new.js es nuevo (9 líneas) y no tiene pruebas."
+    assert {(r.path, r.status) for r in found.changed.collect()} == {("src/b.js", "M"), ("src/new.js", "A")}
+    assert {(r.test, r.why) for r in found.tests.collect()} == {("test/a.test.js", "prueba de a, que depende de b")}
+    assert {r.text for r in found.advice.collect()} == {"src/b.js está en un ciclo con src/a.js: un cambio de interfaz puede propagarse en círculo."}
+    lines = found.markdown().split("\n")
+    assert lines[0] == "## Riesgo del cambio: **alto**" and lines[2] == "Frente a `HEAD`: 1 nuevo(s), 1 modificado(s), 0 borrado(s)."
+    assert "- `test/a.test.js` — prueba de a, que depende de b" in lines and "- Ciclo nuevo entre src/a.js, src/b.js." in lines and any(x.startswith("- `src/new.js` — riesgo") and x.endswith("· nuevo") for x in lines)
     assert not [p for p in tmp_path.iterdir() if p.name.startswith(".base-")]
     assert history.info(str(top))["branch"] and history.info(str(tmp_path)) is None
 
