@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import cochange
-from .queries import answers, graphs, history, repositories, texts, worlds
+from .queries import answers, findings, graphs, history, repositories, texts, worlds
 
-_PARTS = (history, graphs, texts, worlds, answers, repositories)
+_PARTS = (history, graphs, texts, worlds, answers, repositories, findings)
 QUERIES = {name: query for part in _PARTS for name, query in part.register.queries.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.register.oracles.items()}
 

@@ -19,6 +19,17 @@ def robust_z(rows: DataFrame, value: str, most: float = 3.5) -> DataFrame:
     return away.crossJoin(F.broadcast(mad)).withColumn("__z", z).withColumn("z", half_up(F.col("__z"))).withColumn("outlier", F.col("__z") > most).drop("__median", "__mad", "__z")
 
 
+def outliers(rows: DataFrame, named: dict[str, str], column: str = "outlier", most: float = 3.5) -> DataFrame:
+    """``rows`` with ``column``: the names of the values (value to name) whose robust z is over ``most``, all told by two looks at the rows."""
+    middle = rows.agg(*[F.median(v).alias(f"__m_{v}") for v in named])
+    away = rows.crossJoin(F.broadcast(middle))
+    mad = away.agg(*[F.median(F.abs(F.col(v) - F.col(f"__m_{v}"))).alias(f"__d_{v}") for v in named])
+    off = {v: F.col(v) - F.col(f"__m_{v}") for v in named}
+    z = {v: F.when(F.col(f"__d_{v}") > 0, 0.6745 * off[v] / F.col(f"__d_{v}")).when(off[v] > 0, 3.6).otherwise(0.0) for v in named}
+    told = F.array_compact(F.array(*[F.when(z[v] > most, name) for v, name in named.items()]))
+    return away.crossJoin(F.broadcast(mad)).withColumn(column, told).drop(*[f"__{x}_{v}" for x in "md" for v in named])
+
+
 def gini(rows: DataFrame, group: str, value: str) -> DataFrame:
     """(group, n, gini): inequality of ``value`` in each group, to two digits; 0 where it sums to 0."""
     place = F.row_number().over(Window.partitionBy(group).orderBy(value))

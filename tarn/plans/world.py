@@ -105,12 +105,11 @@ def flags() -> Column:
 
 def placed(code: DataFrame) -> DataFrame:
     """(id, pct_c90, pct_loc, pct_fan_in, pct_commits, outlier): each file's place among all, and of what it has far more than others."""
-    out = code.select("id", "c90", "loc", "fan_in", "commits")
-    for value in ("c90", "loc", "fan_in", "commits"):
+    ranked = ("c90", "loc", "fan_in", "commits")
+    out = measures.outliers(cut(code.select("id", *ranked)), dict(OUTLIERS))
+    for value in ranked:
         out = measures.ranks(out, value, f"pct_{value}")
-    for value, name in OUTLIERS:
-        out = measures.robust_z(out, value).withColumn(f"far_{value}", F.when(F.col("outlier"), F.lit(name))).drop("z", "outlier")
-    return out.select("id", *[f"pct_{v}" for v in ("c90", "loc", "fan_in", "commits")], F.array_compact(F.array(*[f"far_{v}" for v, _ in OUTLIERS])).alias("outlier"))
+    return out.select("id", *[f"pct_{v}" for v in ranked], "outlier")
 
 
 def folder_rollup(files: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
