@@ -43,3 +43,18 @@ def brand_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 G = """lp AS (SELECT l_orderkey AS o, l_linenumber AS n, p_brand AS b FROM lineitem JOIN part ON l_partkey = p_partkey),
 w AS (SELECT x.b AS src, y.b AS dst, count(DISTINCT x.o) AS n FROM lp x JOIN lp y ON x.o = y.o AND x.n < y.n AND x.b <> y.b GROUP BY ALL),
 g AS MATERIALIZED (SELECT src, dst, n FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS r FROM w) WHERE r <= 2)"""
+
+
+def part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, n): each part and the two parts that follow it in most orders; as many nodes as there are parts."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("p"), "l_linenumber")
+    x, y = (lines.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias(f"n{s}"), F.col("p").alias(s)) for s in ("src", "dst"))
+    met = x.join(y, "o").filter("nsrc < ndst and src <> dst").groupBy("src", "dst").agg(F.count_distinct("o").alias("n"))
+    place = F.row_number().over(Window.partitionBy("src").orderBy(F.col("n").desc(), "dst"))
+    return met.withColumn("place", place).filter("place <= 2").drop("place")
+
+
+#: The part graph in SQL, as common table expressions that end with g(src, dst, n).
+P = """lp AS (SELECT l_orderkey AS o, l_linenumber AS n, 'p' || l_partkey AS b FROM lineitem),
+w AS (SELECT x.b AS src, y.b AS dst, count(DISTINCT x.o) AS n FROM lp x JOIN lp y ON x.o = y.o AND x.n < y.n AND x.b <> y.b GROUP BY ALL),
+g AS MATERIALIZED (SELECT src, dst, n FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS r FROM w) WHERE r <= 2)"""

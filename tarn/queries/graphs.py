@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph
-from .common import G, Registry, brand_graph, read
+from ..session import cut
+from .common import G, P, Registry, brand_graph, part_graph, read
 
 register = Registry()
 
@@ -106,6 +107,29 @@ def communities(spark: SparkSession, d: str) -> DataFrame:
     return graph.cohesion(edges, graph.communities(edges, nodes))
 
 
+@register(f"""WITH {DEGREES.replace(G, P)} SELECT *, CASE WHEN fan_in + fan_out > 0 THEN floor(fan_out / (fan_in + fan_out) * 100 + 0.5) / 100 ELSE 0 END AS instability,
+CASE WHEN fan_in = 0 AND fan_out = 0 THEN 'orphan' WHEN fan_in = 0 THEN 'entry' WHEN fan_in >= 3 THEN 'hub' WHEN fan_out = 0 THEN 'leaf' ELSE 'module' END AS role FROM k""")
+def part_roles(spark: SparkSession, d: str) -> DataFrame:
+    edges = cut(part_graph(spark, d))
+    return graph.degrees(_nodes(edges), edges).withColumn("role", graph.role(F.lit(False), F.col("fan_in"), F.col("fan_out"), F.col("fan_out"), F.lit(0), F.lit(0)))
+
+
+@register(f"""WITH RECURSIVE {P}, c(a, b) AS (SELECT src, dst FROM g UNION SELECT c.a, g.dst FROM c JOIN g ON c.b = g.src)
+SELECT x.a AS node, min(x.b) AS component FROM c x JOIN c y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(*) > 1""")
+def part_cycles(spark: SparkSession, d: str) -> DataFrame:
+    return graph.cycles(cut(part_graph(spark, d)).select("src", "dst"))
+
+
+@register(f"""WITH RECURSIVE {P}, e AS (SELECT src, dst FROM g WHERE n > 1), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e),
+r(seed, node, depth) AS (SELECT id, id, 0 FROM v UNION SELECT r.seed, e.src, r.depth + 1 FROM r JOIN e ON e.dst = r.node WHERE r.depth < 60),
+m AS (SELECT seed, node, min(depth) AS depth FROM r GROUP BY ALL)
+SELECT seed AS node, count(*) AS total, count(*) FILTER (depth = 1) AS direct, max(depth) AS depth, false AS capped FROM m WHERE node <> seed GROUP BY seed""")
+def part_impact(spark: SparkSession, d: str) -> DataFrame:
+    """What depends on each part, directly or not, by the edges of more than one order."""
+    edges = cut(part_graph(spark, d).filter("n > 1")).select("src", "dst")
+    return graph.impact(edges, _nodes(edges)).drop("ids", "levels")
+
+
 @register(f"""WITH {G} SELECT src AS source, dst AS target, 'import' AS kind, CAST(any_value(n) AS BIGINT) AS refs, [1] AS lines, [src || dst] AS specs, [dst] AS symbols FROM g GROUP BY ALL""")
 def edge_dedupe(spark: SparkSession, d: str) -> DataFrame:
     edges = brand_graph(spark, d)
