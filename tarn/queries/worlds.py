@@ -201,7 +201,7 @@ def insights(spark: SparkSession, d: str) -> DataFrame:
 QUESTIONS = ("¿Qué es lo más riesgoso de tocar?", "qué se rompe si cambio esto", "archivos que cambian juntos", "¿dónde está la duplicación?", "sin pruebas", "¿quién conoce esto?", "qué puedo borrar", "ciclos", "código generado", "reflexión", "funciones recursivas", "novedades desde ayer", "¿cómo está la salud?", "xyzzy")
 
 
-@register("WITH q(q) AS (VALUES " + ", ".join(f"('{q}')" for q in QUESTIONS) + "), f AS (SELECT q, translate(lower(q), 'áàâäãåéèêëíìîïóòôöõúùûüñçý', 'aaaaaaeeeeiiiiooooouuuuncy') AS t FROM q UNION ALL SELECT text, lower(text) FROM conversations)\nSELECT q, CASE " + " ".join(f"WHEN regexp_matches(t, '{rx}') THEN '{name}'" for name, rx in text.INTENTS) + " ELSE 'none' END AS intent FROM f")
+@register("WITH q(q) AS (VALUES " + ", ".join(f"('{q}')" for q in QUESTIONS) + "), a AS (SELECT q FROM q UNION ALL SELECT text FROM conversations), f AS (SELECT q, translate(lower(q), 'áàâäãåéèêëíìîïóòôöõúùûüñçý', 'aaaaaaeeeeiiiiooooouuuuncy') AS t FROM a)\nSELECT q, CASE " + " ".join(f"WHEN regexp_matches(t, '{rx}') THEN '{name}'" for name, rx in text.INTENTS) + " ELSE 'none' END AS intent FROM f")
 def intents(spark: SparkSession, d: str) -> DataFrame:
     asked = spark.createDataFrame([(q,) for q in QUESTIONS], "q string").union(read(spark, d, "conversations").select(F.col("text").alias("q")))
     return asked.select("q", text.intent(F.col("q")).alias("intent"))
