@@ -6,6 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import association
+from ..session import bucket, shares
+
+
+def _dealt(touches: DataFrame, tx: str, item: str) -> tuple[DataFrame, int]:
+    """(bucket, tx, item), each once, dealt by buckets of transactions, and the number of parts.
+
+    What is grouped by bucket and transaction from here on stays in its task, whose share doesn't grow with the table.
+    """
+    parts = shares(touches.count(), touches.sparkSession)
+    rows = touches.select(F.col(tx).alias("tx"), F.col(item).alias("item")).dropna()
+    return rows.withColumn("bucket", bucket(F.col("tx"), parts)).repartition(parts, "bucket").distinct(), parts
+
+
+def _pairs(rows: DataFrame, parts: int, least: int, most: int) -> DataFrame:
+    listed = rows.groupBy("bucket", "tx").agg(F.array_sort(F.collect_list("item")).alias("items")).filter(F.size("items").between(least, most))
+    # a join by transaction would be dealt anew; each item meets those behind it in its own row
+    first = listed.select("bucket", "items", F.posexplode("items").alias("at", "a"))
+    met = first.select("bucket", "a", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("b"))
+    # counted in each bucket first, so that a frequent pair comes to its task once a bucket
+    counted = met.groupBy("bucket", "a", "b").agg(F.count("*").alias("n"))
+    return counted.select("a", "b", "n").repartition(parts, "a", "b").groupBy("a", "b").agg(F.sum("n").alias("count"))
 
 
 def pair_counts(touches: DataFrame, tx: str, item: str, *, least: int = 2, most: int = 25) -> DataFrame:
@@ -13,20 +34,22 @@ def pair_counts(touches: DataFrame, tx: str, item: str, *, least: int = 2, most:
 
     The bound on a transaction's items bounds the pairs it makes; larger ones are no sign of coupling.
     """
-    rows = touches.select(F.col(tx).alias("tx"), F.col(item).alias("item")).dropna().distinct()
-    sized = rows.withColumn("size", F.count("*").over(Window.partitionBy("tx"))).filter(F.col("size").between(least, most))
-    left, right = sized.select("tx", F.col("item").alias("a")), sized.select("tx", F.col("item").alias("b"))
-    return left.join(right, "tx").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("count"))
+    return _pairs(*_dealt(touches, tx, item), least, most)
+
+
+def item_counts(touches: DataFrame, tx: str, item: str) -> DataFrame:
+    """(item, n): in how many transactions each item is."""
+    return _dealt(touches, tx, item)[0].groupBy("item").agg(F.count("*").alias("n"))
 
 
 def associated(touches: DataFrame, tx: str, item: str, *, count: int = 2, strength: float = 0.5, least: int = 2, most: int = 25, transactions: DataFrame | None = None) -> DataFrame:
     """Pairs with at least ``count`` common transactions and ``strength``, and their association:
     a, b, count, strength, support, conf_ab, conf_ba, lift.  Support and lift are of all ``transactions``
     (tx), those that touch nothing among them; of those in ``touches`` where they aren't given."""
-    rows = touches.select(F.col(tx).alias("tx"), F.col(item).alias("item")).dropna().distinct()
+    rows, parts = _dealt(touches, tx, item)
     each = rows.groupBy("item").agg(F.count("*").alias("n"))
-    total = rows.agg(F.count_distinct("tx").alias("total")) if transactions is None else transactions.agg(F.count_distinct(tx).alias("total"))
-    pairs = pair_counts(touches, tx, item, least=least, most=most).filter(F.col("count") >= count)
+    total = rows.select("bucket", "tx").distinct().agg(F.count("*").alias("total")) if transactions is None else transactions.agg(F.count_distinct(tx).alias("total"))
+    pairs = _pairs(rows, parts, least, most).filter(F.col("count") >= count)
     # as it is shown, rounded, the strength is compared
     both = pairs.join(each.select(F.col("item").alias("a"), F.col("n").alias("ca")), "a").join(each.select(F.col("item").alias("b"), F.col("n").alias("cb")), "b")
     named = association(F.col("count"), F.col("ca"), F.col("cb"), F.col("total"))

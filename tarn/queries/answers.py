@@ -349,10 +349,10 @@ m AS (SELECT x.p_name AS grp, p.n, floor(p.n / least(ca.n, cb.n) * 100 + 0.5) /
 SELECT grp AS "group", max((r, n))[1] AS co_rate, max((r, n))[2] AS co_count FROM m GROUP BY grp""")
 def clone_co_rate(spark: SparkSession, d: str) -> DataFrame:
     """Parts of one name are copies of each other; how often two of them are ordered together."""
-    touches = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("tx"), F.col("l_partkey").alias("file")).distinct()
+    lines = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("tx"), F.col("l_partkey").alias("file"))
     members = read(spark, d, "part").select(F.col("p_name").alias("group"), F.col("p_partkey").alias("file"))
-    together = cochange.pair_counts(touches, "tx", "file", most=1_000_000)
-    return clones.co_rate(members, together, touches.groupBy("file").agg(F.count("*").alias("commits")))
+    together = cochange.pair_counts(lines, "tx", "file", most=1_000_000)
+    return clones.co_rate(members, together, cochange.item_counts(lines, "tx", "file").withColumnRenamed("item", "file").withColumnRenamed("n", "commits"))
 
 
 @register("""WITH m AS (SELECT s_nationkey AS grp, 'src/r' || n_regionkey || '/n' || n_nationkey || '/s' || s_suppkey || '.mjs' AS file, 'r' || n_regionkey AS r FROM supplier JOIN nation ON n_nationkey = s_nationkey), g AS (SELECT grp, min(file) AS first FROM m GROUP BY grp)

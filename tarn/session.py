@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "tarn", **conf: str) -> SparkSession:
@@ -38,3 +40,17 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows that one task is given where its memory goes by them.
+ROWS = 150_000
+
+
+def shares(rows: int, spark: SparkSession) -> int:
+    """Into how many parts ``rows`` rows are dealt, so that a task's share stays the same however large the table is."""
+    return max(spark.sparkContext.defaultParallelism, math.ceil(rows / ROWS))
+
+
+def bucket(key: Column, parts: int) -> Column:
+    """Which of some small buckets, 16 to a part, ``key`` is in; a part has several, so that parts are about equal."""
+    return F.pmod(F.xxhash64(key), F.lit(16 * parts))

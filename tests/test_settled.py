@@ -1,8 +1,13 @@
 """Cases that queries once got wrong or that grew too fast, each on small tables of its own."""
 
+import re
+from collections import Counter
+
 import duckdb
 
-from tarn import driver
+from tarn import driver, session
+from tarn.operators import cochange
+from tarn.queries import common
 
 
 def test_intents_folds_what_conversations_say(spark, tmp_path):
@@ -15,3 +20,30 @@ def test_intents_folds_what_conversations_say(spark, tmp_path):
     found = {(r["q"], r["intent"]) for r in driver.QUERIES["intents"](spark, str(tmp_path)).collect()}
     assert {("¿Es FRÁGIL?", "risk"), ("Última vez", "since"), ("huérfano", "dead"), (None, "none"), ("éval", "dynamic")} <= found
     assert found == set(con.sql(driver.ORACLES["intents"]).fetchall())
+
+
+def _exchanges(df):
+    """Into how many parts the shuffles of a plan deal rows by keys."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [int(n) for n in re.findall(r"hashpartitioning\([^()]*, (\d+)\)", plan)]
+
+
+def test_pairs_and_graphs_are_dealt_by_their_rows(spark, monkeypatch, tmp_path):
+    """A task's share of orders stayed a fixed fraction of the table, and so its memory grew with it."""
+    monkeypatch.setattr(session, "ROWS", 50)
+    lines = [(o, (o * 7 + k * k) % 40, k) for o in range(300) for k in range(1 + o % 7)]
+    table = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int")
+    table.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p, f"Brand#{p % 6}") for p in range(40)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    parts = -(-len(lines) // 50)
+    pairs = cochange.pair_counts(table, "l_orderkey", "l_partkey")
+    graphs = [common.brand_graph(spark, str(tmp_path)), common.part_graph(spark, str(tmp_path))]
+    assert all(n == parts for df in (pairs, *graphs) for n in _exchanges(df))
+    in_order = {o: {p for x, p, _ in lines if x == o} for o in range(300)}
+    expected = Counter((a, b) for items in in_order.values() if len(items) > 1 for a in items for b in items if a < b)
+    assert {(r["a"], r["b"]): r["count"] for r in pairs.collect()} == expected
+    con = duckdb.connect()
+    for name in ("lineitem", "part"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for df, sql in zip(graphs, (common.G, common.P), strict=True):
+        assert sorted(map(tuple, df.collect())) == sorted(con.sql(f"WITH {sql} SELECT src, dst, n FROM g").fetchall())
