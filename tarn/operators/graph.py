@@ -78,13 +78,41 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(backwards(edges)).distinct()
 
 
+def straight(edges: DataFrame, *, ids: int = 300) -> DataFrame:
+    """(node, hops, ids): nodes from which one path alone leads on, up to one without edges: its length and its first ``ids`` nodes.
+
+    Paths double each round, so a path of a thousand nodes takes ten.  Nodes before a fork or a cycle aren't among them.
+    """
+    out = cut(edges.filter("src <> dst or dst is null").groupBy(F.col("src").alias("node")).agg(F.count_distinct("dst").alias("n"), F.min("dst").alias("at"), F.bool_or(F.col("dst").isNull()).alias("lost")))
+    one = (F.col("n") == 1) & ~F.col("lost")
+    state = cut(out.filter(one).select("node", "at", F.lit(1).cast("long").alias("hops"), F.array("at").alias("ids"), F.lit(True).alias("live")))
+    whole = state.count()
+    # what is still on its way after more hops than there are such nodes goes round in a cycle
+    while not state.filter(F.col("live") & (F.col("hops") <= whole)).isEmpty():
+        on = state.select(F.col("node").alias("at"), F.col("at").alias("__at"), F.col("hops").alias("__hops"), F.col("ids").alias("__ids"))
+        met = state.filter("live").join(on, "at", "left")
+        both = F.slice(F.concat("ids", F.coalesce("__ids", F.slice("ids", 1, 0))), 1, ids)
+        moved = met.select("node", F.coalesce("__at", "at").alias("at"), (F.col("hops") + F.coalesce("__hops", F.lit(0))).alias("hops"), both.alias("ids"), F.col("__at").isNotNull().alias("live"))
+        state = cut(moved.union(state.filter("not live")))
+    return state.filter("not live").join(out.filter(~one).select(F.col("node").alias("at")), "at", "left_anti").select("node", "hops", "ids")
+
+
 def impact(edges: DataFrame, nodes: DataFrame, *, cap: int = 2500, ids: int = 300) -> DataFrame:
     """(node, total, direct, depth, capped, levels, ids): who depends on each node, directly or not.
 
     A node that ``cap`` others depend on isn't followed further, and ``capped`` says so; levels counts
     the dependents at each depth, and ids are the first by depth and name, as many as asked for.
+    Where one chain is all that depends on a node, its length tells that; the others are followed step by step.
     """
-    found = reach(backwards(edges), nodes.select(F.col("id").alias("seed"), F.col("id").alias("node")), cap=cap).filter("depth > 0 and node <> seed")
+    back = cut(backwards(edges).distinct())
+    chains = cut(straight(back, ids=min(ids, cap - 1)).join(nodes.select(F.col("id").alias("node")).distinct(), "node", "left_semi"))
+    total = F.least(F.col("hops"), F.lit(cap - 1).cast("long"))
+    told = chains.select("node", total.alias("total"), F.lit(min(1, cap - 1)).cast("long").alias("direct"), total.cast("int").alias("depth"), (F.col("hops") >= cap).alias("capped"), F.array_repeat(F.lit(1).cast("long"), total.cast("int")).alias("levels"), "ids")
+    rest = nodes.select(F.col("id").alias("node")).distinct().join(back.select(F.col("src").alias("node")), "node", "left_semi").join(chains.select("node"), "node", "left_anti")
+    rest = cut(rest.select(F.col("node").alias("seed"), "node"))
+    if rest.isEmpty():
+        return told
+    found = reach(back, rest, cap=cap).filter("depth > 0 and node <> seed")
     place = F.row_number().over(Window.partitionBy("seed").orderBy("depth", "node"))
     placed = found.withColumn("place", place)
     kept = placed.filter(F.col("place") < cap)
@@ -96,7 +124,8 @@ def impact(edges: DataFrame, nodes: DataFrame, *, cap: int = 2500, ids: int = 30
         (F.count("*") >= cap).alias("capped"),
         F.array_sort(F.collect_list(F.when(F.col("place") <= min(ids, cap - 1), F.struct("place", "node")))).alias("i"),
     )
-    return listed.join(levels, "seed").select(F.col("seed").alias("node"), "total", "direct", "depth", "capped", F.col("l.n").alias("levels"), F.col("i.node").alias("ids"))
+    followed = listed.join(levels, "seed").select(F.col("seed").alias("node"), "total", "direct", "depth", "capped", F.col("l.n").alias("levels"), F.col("i.node").alias("ids"))
+    return told.union(followed)
 
 
 def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:

@@ -166,7 +166,7 @@ def facts_of(spark: SparkSession, d: str) -> ask.Facts:
     a, b = (brand.select(F.col("p_partkey").alias(x), F.col("p_brand").alias(f"brand_{x}")) for x in "ab")
     pairs = cochange.associated(read(spark, d, "lineitem"), "l_orderkey", "l_partkey", strength=0.05).join(a, "a").join(b, "b").withColumn("hidden", F.col("brand_a") != F.col("brand_b"))
     pairs = cut(pairs.withColumns({"a": name("a"), "b": name("b")}))
-    return ask.Facts(files, graph.impact(price_chain(spark, d), files.select("id")), pairs, shares=shares, commits=read(spark, d, "orders").count())
+    return ask.Facts(files, graph.impact(price_chain(spark, d), files.select("id"), ids=12), pairs, shares=shares, commits=read(spark, d, "orders").count())
 
 
 @register(f"""WITH {FILES}, {PAIRS}, {CHAIN}, no AS (SELECT count(*) AS commits FROM orders), parts AS (SELECT 'p' || id AS id, * EXCLUDE (id) FROM r),

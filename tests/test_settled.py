@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 
 from tarn import driver, session
-from tarn.operators import cochange
+from tarn.operators import cochange, graph
 from tarn.queries import common
 
 
@@ -47,3 +47,37 @@ def test_pairs_and_graphs_are_dealt_by_their_rows(spark, monkeypatch, tmp_path):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     for df, sql in zip(graphs, (common.G, common.P), strict=True):
         assert sorted(map(tuple, df.collect())) == sorted(con.sql(f"WITH {sql} SELECT src, dst, n FROM g").fetchall())
+
+
+def _impacted(links, nodes, cap, ids):
+    """Who depends on each node, by a plain search."""
+    found = {}
+    for seed in nodes:
+        depth, new, d = {seed: 0}, {seed}, 0
+        while new and len(depth) <= cap:
+            d += 1
+            new = {s for s, t in links if t in new} - set(depth)
+            depth |= dict.fromkeys(new, d)
+        order = sorted((d, n) for n, d in depth.items() if n != seed)
+        kept = order[: cap - 1]
+        if kept:
+            at = [d for d, _ in kept]
+            found[seed] = (len(kept), at.count(1), at[-1], len(order) >= cap, [at.count(d) for d in range(1, at[-1] + 1)], [n for _, n in kept[:ids]])
+    return found
+
+
+def test_impact_of_long_chains_takes_few_rounds(spark, monkeypatch):
+    """A round for each step of a chain, each of which wrote all that was found again."""
+    chain = [(f"a{i:03}", f"a{i + 1:03}") for i in range(200)]
+    # a tree that joins a chain, a fork before a chain, a cycle and what it leads to, a link to itself
+    more = [(f"h{i}", f"h{i + 1}") for i in range(6)] + [("b0", "h6"), ("b1", "b0"), ("c0", "d0"), ("c1", "d0"), ("d0", "d1"), ("d1", "d2"), ("e0", "e1"), ("e1", "e2"), ("e2", "e0"), ("e2", "e3"), ("f0", "f0"), ("f0", "f1"), ("g0", "g1"), ("g1", "g2"), ("g2", "g0")]
+    tables, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: tables.append(df) or cut(df))
+    for links, cap, ids in ((chain, 2500, 12), (chain, 20, 300), (more, 2500, 300), (more, 3, 2)):
+        tables.clear()
+        nodes = sorted({n for link in links for n in link} - {"a007"})
+        df = spark.createDataFrame(links + links[:2], "src string, dst string")
+        found = graph.impact(df, spark.createDataFrame([(n,) for n in nodes] * 2, "id string"), cap=cap, ids=ids)
+        assert {r["node"]: tuple(r)[1:] for r in found.collect()} == _impacted(set(links), nodes, cap, ids)
+        if links is chain:
+            assert len(tables) < 20
