@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.stats import half_up
-from ..session import cut
+from ..session import cut, shares
 from .graph import components
 from .measures import numbered
 
@@ -15,6 +22,10 @@ from .measures import numbered
 COMMON = ["constructor", "default", "handler", "render", "init", "main", "run", "test", "setup", "teardown", "toString", "toJSON", "create", "update", "delete", "remove", "index", "handle", "start", "stop", "build", "get", "set", "then", "catch", "callback", "validate", "format"]
 
 
+#: Rows whose words are hashed at once.
+ROWS = 100
+
+
 def exact_groups(units: DataFrame, unit: str, content: str) -> DataFrame:
     """(unit, digest, copies, first): a row for each unit whose content another has too; a group is never one row."""
     keyed = units.select(F.col(unit).alias("unit"), F.sha2(F.coalesce(F.col(content), F.lit("")), 256).alias("digest"))
@@ -36,29 +47,106 @@ def classes(units: DataFrame, unit: str, content: Column) -> DataFrame:
     return keyed.join(least, "digest").select("unit", "rep")
 
 
+def _bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of ``strings`` in one piece, and where each begins, with the end."""
+    strings = strings.cast(pa.large_string())
+    ends = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    return np.frombuffer(strings.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def _hashed(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each of the words of ``sizes`` bytes that ``data`` is made of: a sum of random numbers by byte and place, mixed."""
+    most = int(sizes.max(initial=0))
+    drawn = np.random.default_rng(5).integers(1, 2**63, 256 + most, np.uint64) * np.uint64(2) + np.uint64(1)
+    begin = np.cumsum(sizes) - sizes
+    place = np.arange(len(data)) - np.repeat(begin, sizes)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(drawn[data] * drawn[256 + place], dtype=np.uint64)])
+    words = sums[begin + sizes] - sums[begin]
+    return (words ^ (words >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of texts or of lists of words, and the number of the first of each row, with the end."""
+    if pa.types.is_list(column.type):
+        first = column.offsets.to_numpy()
+        data, ends = _bytes(column.values.slice(first[0], first[-1] - first[0]))
+        return _hashed(data, np.diff(ends)), first - first[0]
+    data, ends = _bytes(column)
+    inside = (data != 32) & (data != 9) & (data != 10)
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    at = ends[:-1][ends[:-1] < len(data)]
+    begins[at] = inside[at]
+    begins = np.flatnonzero(begins)
+    place = np.cumsum(inside)[begins] - 1
+    return _hashed(data[inside], np.diff(place, append=np.count_nonzero(inside))), np.searchsorted(begins, ends)
+
+
+def _runs(words: np.ndarray, k: int) -> np.ndarray:
+    """The distinct runs of ``k`` of hashed words, as sorted hashes."""
+    found = np.zeros(len(words) - k + 1, np.uint64)
+    for i in range(k):
+        found = (found ^ (found >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + words[i : len(words) - k + 1 + i]
+    return np.unique(found).view(np.int64)
+
+
+def shingle_sets(units: DataFrame, unit: str, tokens: Column, k: int = 5) -> DataFrame:
+    """(unit, n, digest, s): of each unit with ``k`` tokens or more its n distinct runs of ``k`` as sorted hashes.
+
+    ``tokens`` are a list, or a text whose words are parted by spaces, tabs and line ends.  Units of the same digest have the
+    same tokens, as far as 64-bit hashes of them tell; units without a name are left out.
+    """
+    listed = units.select(F.col(unit).alias("unit"), tokens.alias("t")).filter(F.col("unit").isNotNull() & F.col("t").isNotNull())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # some rows at a time: a byte takes some forty in between
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
+            words, ends = _words(batch.column("t"))
+            at = np.flatnonzero(np.diff(ends) >= k)
+            each = [words[ends[i] : ends[i + 1]] for i in at]
+            runs = [_runs(x, k) for x in each]
+            sizes = np.array([len(x) for x in runs], np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(runs) if runs else [], pa.int64()))
+            digests = pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in each], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("unit").take(pa.array(at)), pa.array(sizes), digests, lists], names=["unit", "n", "digest", "s"])
+
+    fields = [listed.schema["unit"], StructField("n", IntegerType()), StructField("digest", StringType()), StructField("s", ArrayType(LongType()))]
+    return listed.mapInArrow(sets, StructType(fields))
+
+
 def near_pairs(shingled: DataFrame, *, similarity: float = 0.8, least: int = 10, share: float = 0.2, floor: int = 8) -> DataFrame:
-    """(a, b, sim): pairs of units of ``similarity`` or more over their rare shingles (unit, shingle).
+    """``near_sets`` of the units' shingles (unit, shingle), each once."""
+    sets = shingled.groupBy("unit").agg(F.collect_list("shingle").alias("s"))
+    return near_sets(cut(sets.select("unit", F.size("s").alias("n"), "s")), similarity=similarity, least=least, share=share, floor=floor)
+
+
+def near_sets(sets: DataFrame, *, similarity: float = 0.8, least: int = 10, share: float = 0.2, floor: int = 8) -> DataFrame:
+    """(a, b, sim): pairs of units of ``similarity`` or more over their rare shingles; ``sets`` has unit and its n shingles s.
 
     A shingle is rare in max(``floor``, ``share`` of all units) units or fewer; both units need ``least``
     rare ones.  Pairs meet by their rarest: with each unit's shingles in order of how many units have
     them, two of the similarity have one in common among the first (1 - similarity) of each, and there
-    the frequent ones, which would make most pairs, don't come up.
+    the frequent ones, which would make most pairs, don't come up.  Shingles that one unit alone has, by far the most, count
+    in its size and are the first of its order; no more of them is dealt on.
     """
-    units = shingled.agg(F.count_distinct("unit").alias("units"))
-    most = F.greatest(F.lit(floor), F.ceil(F.col("units") * share))
-    frequency = shingled.groupBy("shingle").agg(F.count("*").alias("df")).crossJoin(F.broadcast(units)).filter(F.col("df") <= most).select("shingle", "df")
-    rare = shingled.join(frequency, "shingle")
-    sets = cut(rare.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s")).filter(F.size("s") >= least))
-    n = F.size("s")
-    first = F.slice("s", F.lit(1), (n - F.ceil(n * similarity - 1e-9) + 1).cast("int"))
-    prefix = sets.select("unit", n.alias("n"), F.explode(F.filter(first, lambda x: x["df"] > 1)).alias("x")).select("unit", "n", "x.shingle")
+    counted = sets.agg(F.count("*"), F.sum("n")).first()
+    most, parts = max(floor, math.ceil(counted[0] * share)), shares((counted[1] or 0) / 8, sets.sparkSession)
+    dealt = sets.select("unit", "n", F.explode("s").alias("shingle")).repartition(parts, "shingle")
+    shared = dealt.withColumn("df", F.count("*").over(Window.partitionBy("shingle"))).filter("df > 1")
+    rare = F.col("df") <= most
+    gathered = shared.groupBy("unit").agg(F.array_sort(F.collect_list(F.when(rare, F.struct("df", "shingle")))).alias("s"), (F.max("n") - F.count_if(~rare)).cast("int").alias("n"))
+    own = cut(gathered.filter(F.col("n") >= least))
+    n = F.col("n")
+    # of the first ones those that no other unit has leave these
+    first = F.greatest(F.lit(0), n - F.ceil(n * similarity - 1e-9) + 1 - (n - F.size("s"))).cast("int")
+    prefix = cut(own.select("unit", "n", F.explode(F.slice("s", F.lit(1), first)).alias("x")).select("unit", "n", "x.shingle"))
     a, b = (prefix.select("shingle", F.col("unit").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
     fit = (F.col("na") >= F.col("nb") * (similarity - 1e-9)) & (F.col("nb") >= F.col("na") * (similarity - 1e-9))
-    met = a.join(b, "shingle").filter((F.col("a") < F.col("b")) & fit).select("a", "b").distinct()
-    whole = sets.select("unit", F.col("s.shingle").alias("s"))
-    both = met.join(whole.select(F.col("unit").alias("a"), F.col("s").alias("x")), "a").join(whole.select(F.col("unit").alias("b"), F.col("s").alias("y")), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), F.size("x").alias("na"), F.size("y").alias("nb"))
-    return shared.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("sim")).filter(F.col("sim") >= similarity)
+    met = cut(a.join(b, "shingle").filter((F.col("a") < F.col("b")) & fit).select("a", "b").distinct())
+    whole = own.select("unit", "n", F.col("s.shingle").alias("s"))
+    both = met.join(whole.select(F.col("unit").alias("a"), F.col("n").alias("na"), F.col("s").alias("x")), "a").join(whole.select(F.col("unit").alias("b"), F.col("n").alias("nb"), F.col("s").alias("y")), "b")
+    told = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), "na", "nb")
+    return told.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("sim")).filter(F.col("sim") >= similarity)
 
 
 def groups(pairs: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def grouped(units: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataF
     """(members, groups) from ``sized`` units.  One unit of each class of equal ones is compared with others, so copies make no
     pairs; units that overlap in a file are no copies of each other, and of nested ones the longest stays."""
     reps = units.filter("unit = rep")
-    pairs = cut(clones.apart(clones.near_pairs(clones.shingles(reps, "unit", F.col("tokens")), similarity=similarity), reps))
+    pairs = cut(clones.apart(clones.near_sets(cut(clones.shingle_sets(reps, "unit", F.col("tokens"))), similarity=similarity), reps))
     linked = cut(clones.groups(pairs))
     named = units.join(linked.withColumnRenamed("unit", "rep"), "rep", "left").withColumn("group", F.coalesce("group", "rep"))
     members = cut(clones.outermost(named.drop("tokens", "rep")))

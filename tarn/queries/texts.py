@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import clones, graph, measures
+from ..session import cut
 from .common import Registry, read
 
 register = Registry()
@@ -28,10 +29,11 @@ q AS MATERIALIZED (SELECT a, b, round(met / (ka.n + kb.n - met), 4) AS sim FROM
 
 
 def _near(spark: SparkSession, d: str) -> DataFrame:
-    words = F.filter(F.split(F.lower("text"), r"[ \t\n]+"), lambda w: w != "")
-    docs = read(spark, d, "documents").filter("text is not null")
-    reps = clones.classes(docs, "doc_id", F.array_join(words, " ")).filter("unit = rep")
-    return clones.near_pairs(clones.shingles(docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "doc_id", words))
+    """Texts of the same words are one, the smallest; each text is read and split once."""
+    sets = cut(clones.shingle_sets(read(spark, d, "documents"), "doc_id", F.lower("text")))
+    first = sets.groupBy("digest").agg(F.min("unit").alias("rep"), F.count("*").alias("k")).filter("k > 1")
+    copies = cut(sets.select("unit", "digest").join(first, "digest").filter("unit <> rep").select("unit"))
+    return clones.near_sets(sets.drop("digest").join(copies, "unit", "left_anti"))
 
 
 @register(f"WITH {NEAR} SELECT * FROM q")

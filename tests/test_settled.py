@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 
 from tarn import driver, session
-from tarn.operators import cochange, graph
+from tarn.operators import clones, cochange, graph
 from tarn.queries import common
 
 
@@ -81,3 +81,21 @@ def test_impact_of_long_chains_takes_few_rounds(spark, monkeypatch):
         assert {r["node"]: tuple(r)[1:] for r in found.collect()} == _impacted(set(links), nodes, cap, ids)
         if links is chain:
             assert len(tables) < 20
+
+
+def test_texts_are_read_once_for_near_copies(spark, monkeypatch, tmp_path):
+    """Texts were split and their shingles made four times, and all shingles were dealt three times."""
+    spoken = [" ".join(f"w{(i * i * 7 + i * k) % 97}" for i in range(60)) for k in range(12)]
+    texts = [t for s in spoken for t in (s, s.upper() + "\n", "intro " + s, s + " end of it")]
+    texts += [None, "", "few words", " ".join("same words again and again".split() * 30), " ".join("same words again and again".split() * 31), "a\u00a0b c d e f g h i j k l m n o p", "a\u00a0b c d e f g h i j k l m n o q"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    made, sets = [], clones.shingle_sets
+    monkeypatch.setattr(clones, "shingle_sets", lambda *a, **k: made.append(1) or sets(*a, **k))
+    found = driver.QUERIES["near_clones"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert made == [1] and "documents.parquet" not in plan and "MapInArrow" not in plan
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) > 12 and sorted(rows) == sorted(con.sql(driver.ORACLES["near_clones"]).fetchall())
