@@ -181,9 +181,12 @@ def co_rate(members: DataFrame, together: DataFrame, commits: DataFrame) -> Data
 
     ``together`` (a, b, count) with a < b counts common commits, ``commits`` (file, commits) each
     file's; the pairs come from ``together``, so a group's files are never paired with each other.
+    Where it has each pair's group as well, that is taken.
     """
-    files = members.select("group", "file").distinct()
-    met = together.join(files.withColumnRenamed("file", "a"), "a").join(files.select(F.col("file").alias("b"), F.col("group").alias("g")), "b").filter("group = g")
+    met = together
+    if "group" not in together.columns:
+        files = members.select("group", "file").distinct()
+        met = together.join(files.withColumnRenamed("file", "a"), "a").join(files.select(F.col("file").alias("b"), F.col("group").alias("g")), "b").filter("group = g")
     each = met.join(commits.select(F.col("file").alias("a"), F.col("commits").alias("ca")), "a").join(commits.select(F.col("file").alias("b"), F.col("commits").alias("cb")), "b")
     rate = F.floor(F.col("count") / F.least("ca", "cb") * 100 + 0.5) / 100
     return each.groupBy("group").agg(F.max(F.struct(rate.alias("r"), F.col("count").alias("n"))).alias("m")).select("group", F.col("m.r").alias("co_rate"), F.col("m.n").alias("co_count"))

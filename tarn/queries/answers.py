@@ -351,7 +351,7 @@ def clone_co_rate(spark: SparkSession, d: str) -> DataFrame:
     """Parts of one name are copies of each other; how often two of them are ordered together."""
     lines = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("tx"), F.col("l_partkey").alias("file"))
     members = read(spark, d, "part").select(F.col("p_name").alias("group"), F.col("p_partkey").alias("file"))
-    together = cochange.pair_counts(lines, "tx", "file", most=1_000_000)
+    together = cochange.pair_counts(lines, "tx", "file", most=1_000_000, groups=members.withColumnRenamed("file", "item"))
     return clones.co_rate(members, together, cochange.item_counts(lines, "tx", "file").withColumnRenamed("item", "file").withColumnRenamed("n", "commits"))
 
 

@@ -49,6 +49,35 @@ def test_pairs_and_graphs_are_dealt_by_their_rows(spark, monkeypatch, tmp_path):
         assert sorted(map(tuple, df.collect())) == sorted(con.sql(f"WITH {sql} SELECT src, dst, n FROM g").fetchall())
 
 
+def test_common_orders_of_copies_are_told_within_their_groups(spark, monkeypatch, tmp_path):
+    """All pairs of an order were joined with names and counts, in as many parts as the session shuffles to, whatever the table's size."""
+    monkeypatch.setattr(session, "ROWS", 50)
+    lines = [(o, (o * 7 + k * k) % 40, k) for o in range(300) for k in range(1 + o % 7)] + [(None, 3, 0), (7, None, 0)]
+    # a part twice, one of two names that others have as well, one without a name, one that nobody orders
+    names = [(p, f"n{p % 5}") for p in range(39)] + [(3, "n3"), (8, "n4"), (9, "n3"), (39, None), (99, "n1")]
+    spark.createDataFrame([x for x in lines if None not in x], "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(names, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    table = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int")
+    parts = -(-len(lines) // 50)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = driver.QUERIES["clone_co_rate"](spark, str(tmp_path))
+        # the rates of the groups alone are dealt as the session says
+        assert sorted({n for n in _exchanges(found)}) == [4, parts] and _exchanges(found).count(4) == 1
+        assert {*_exchanges(cochange.associated(table, "l_orderkey", "l_partkey")), *_exchanges(cochange.item_counts(table, "l_orderkey", "l_partkey"))} == {parts}
+        rows = sorted(map(tuple, found.collect()))
+        of = spark.createDataFrame(names, "item long, group string")
+        met = {tuple(r) for r in cochange.pair_counts(table, "l_orderkey", "l_partkey", groups=of).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    con = duckdb.connect()
+    for name in ("lineitem", "part"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert len(rows) == 5 and rows == sorted(con.sql(driver.ORACLES["clone_co_rate"]).fetchall())
+    in_order = {o: {p for x, p, _ in lines if x == o and p is not None} for o in range(300)}
+    assert met == {(g, a, b, n) for g, a, b in {(g, a, b) for a, g in names for b, h in names if g and g == h and a < b} if (n := sum({a, b} <= items for items in in_order.values()))}
+
+
 def _impacted(links, nodes, cap, ids):
     """Who depends on each node, by a plain search."""
     found = {}
