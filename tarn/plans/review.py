@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..session import cut
+from ..session import cut, shares
 from . import guard
 from .wording import listed, say
 from .world import World
@@ -19,9 +19,14 @@ TOGETHER, NAMED = 5, 100
 
 
 def together(changed: DataFrame, pairs: DataFrame, most: int = TOGETHER) -> DataFrame:
-    """(id, other, count, strength, linked): the strongest partners of each of the ``changed`` files (id) that aren't changed themselves."""
+    """(id, other, count, strength, linked): the strongest partners of each of the ``changed`` files (id) that aren't changed themselves.
+
+    ``pairs`` is a written table: it is counted first, so that a task's share of it doesn't grow.
+    """
+    # the side that stays whole is dealt: a semi or anti join is pushed below what deals the other
+    dealt = changed.repartition(shares(2 * pairs.count(), pairs.sparkSession), "id")
     side = lambda x, y: pairs.select(F.col(x).alias("id"), F.col(y).alias("other"), "count", "strength", (~F.col("hidden")).alias("linked"))
-    met = side("a", "b").union(side("b", "a")).join(changed, "id", "left_semi").join(changed.withColumnRenamed("id", "other"), "other", "left_anti")
+    met = side("a", "b").union(side("b", "a")).join(dealt.withColumnRenamed("id", "other"), "other", "left_anti").join(dealt, "id", "left_semi")
     place = F.row_number().over(Window.partitionBy("id").orderBy((F.col("count") * F.col("strength")).desc(), "other"))
     return met.withColumn("p", place).filter(F.col("p") <= most).select("id", "other", "count", "strength", "linked")
 

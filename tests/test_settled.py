@@ -7,6 +7,7 @@ import duckdb
 
 from tarn import driver, session
 from tarn.operators import clones, cochange, graph
+from tarn.plans import review
 from tarn.queries import common
 
 
@@ -78,6 +79,23 @@ def test_common_orders_of_copies_are_told_within_their_groups(spark, monkeypatch
     assert met == {(g, a, b, n) for g, a, b in {(g, a, b) for a, g in names for b, h in names if g and g == h and a < b} if (n := sum({a, b} <= items for items in in_order.values()))}
 
 
+def test_partners_are_told_in_parts_that_follow_the_pairs(spark, monkeypatch):
+    """All pairs, both ways round, came to one task as long as they were few bytes."""
+    monkeypatch.setattr(session, "ROWS", 50)
+    pairs = [(a, b, 1 + (a * b) % 7, 0.1 * (1 + (a + b) % 5), a % 2 == b % 2) for a in range(30) for b in range(a + 1, 30) if (a * 3 + b) % 4]
+    changed = set(range(0, 30, 3))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = review.together(spark.createDataFrame([(i,) for i in changed], "id long"), spark.createDataFrame(pairs, "a long, b long, count long, strength double, hidden boolean"))
+        assert set(_exchanges(found)) == {-(-2 * len(pairs) // 50)}
+        rows = sorted(map(tuple, found.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sides = [(x, y, n, s, not h) for a, b, n, s, h in pairs for x, y in ((a, b), (b, a)) if x in changed and y not in changed]
+    best = {i: sorted((r for r in sides if r[0] == i), key=lambda r: (-(r[2] * r[3]), r[1]))[:5] for i in changed}
+    assert rows == sorted(r for each in best.values() for r in each)
+
+
 def _impacted(links, nodes, cap, ids):
     """Who depends on each node, by a plain search."""
     found = {}
