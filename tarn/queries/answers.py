@@ -51,7 +51,7 @@ r(seed, node, depth) AS (SELECT id, id, 0 FROM v UNION SELECT r.seed, g.src, r.d
 m AS (SELECT seed, node, min(depth) AS depth FROM r GROUP BY ALL), t AS (SELECT seed AS id, count(*) AS total, count(*) FILTER (depth = 1) AS direct FROM m WHERE node <> seed GROUP BY seed)
 """ + top("-total", 5, "total || ' afectados (' || direct || ' directos)'", "''", "t"))
 def ask_impact(spark: SparkSession, d: str) -> DataFrame:
-    edges = brand_graph(spark, d).select("src", "dst")
+    edges = cut(brand_graph(spark, d)).select("src", "dst")
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     return answers.impact(nodes.withColumn("skipped", F.lit(False)), graph.impact(edges, nodes))
 
@@ -263,7 +263,7 @@ def tested_by(spark: SparkSession, d: str) -> DataFrame:
 e AS (SELECT * FROM g WHERE src NOT IN (SELECT id FROM t)), r(node, depth) AS (SELECT of, 0 FROM x UNION SELECT e.src, r.depth + 1 FROM r JOIN e ON e.dst = r.node WHERE r.depth < 26), m AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)
 SELECT g.src AS test, CASE least(2, min(depth)) WHEN 0 THEN 'prueba directa' WHEN 1 THEN 'prueba de quien depende' ELSE 'afectada indirectamente' END AS why, of FROM m JOIN g ON g.dst = m.node, x WHERE g.src IN (SELECT id FROM t) GROUP BY g.src, of""")
 def tests_to_run(spark: SparkSession, d: str) -> DataFrame:
-    edges = brand_graph(spark, d).select("src", "dst")
+    edges = cut(brand_graph(spark, d)).select("src", "dst")
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     tests = nodes.filter(F.col("id").endswith("1"))
     tested = relations.tested_by(edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), F.lit("import").alias("kind")), tests)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import bucket, shares
+from ..session import dealt, shares
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,8 +36,7 @@ def _followed(lines: DataFrame, parts: int, name: Callable[[str], Column]) -> Da
 
     All of an order is in one bucket, so what is counted by order stays in its task; sums of buckets are what is dealt.
     """
-    dealt = lines.withColumn("bucket", bucket(F.col("o"), parts)).repartition(parts, "bucket")
-    listed = dealt.groupBy("bucket", "o").agg(F.array_sort(F.collect_list(F.struct("place", "x"))).alias("all"))
+    listed = dealt(lines, "o", parts).groupBy("bucket", "o").agg(F.array_sort(F.collect_list(F.struct("place", "x"))).alias("all"))
     # a join by order would be dealt anew; each line meets those behind it in its own row
     first = listed.select("bucket", "o", "all", F.posexplode("all").alias("at", "p"))
     both = first.select("bucket", "o", "p", F.explode(F.slice("all", F.col("at") + 2, F.size("all"))).alias("q"))

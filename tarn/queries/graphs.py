@@ -45,7 +45,7 @@ r(seed, node, depth) AS (SELECT id, id, 0 FROM v UNION SELECT r.seed, g.src, r.d
 m AS (SELECT seed, node, min(depth) AS depth FROM r GROUP BY ALL)
 SELECT seed AS node, count(*) AS total, count(*) FILTER (depth = 1) AS direct, max(depth) AS depth, false AS capped FROM m WHERE node <> seed GROUP BY seed""")
 def impact_bfs(spark: SparkSession, d: str) -> DataFrame:
-    edges = brand_graph(spark, d).select("src", "dst")
+    edges = cut(brand_graph(spark, d)).select("src", "dst")
     return graph.impact(edges, _nodes(edges)).drop("ids", "levels")
 
 

@@ -54,3 +54,12 @@ def shares(rows: int, spark: SparkSession) -> int:
 def bucket(key: Column, parts: int) -> Column:
     """Which of some small buckets, 16 to a part, ``key`` is in; a part has several, so that parts are about equal."""
     return F.pmod(F.xxhash64(key), F.lit(16 * parts))
+
+
+def dealt(rows: DataFrame, key: str, parts: int) -> DataFrame:
+    """``rows`` with the ``bucket`` of their ``key``, a task for each of ``parts`` buckets.
+
+    What is grouped by bucket from here on stays in its task.  Hashing the buckets once more would
+    give some tasks several of them, and the fullest ever more as parts are added.
+    """
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).repartitionById(parts, "bucket")

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import duckdb
+from pyspark.sql import functions as F
 
 from tarn import driver, session
 from tarn.operators import clones, cochange, graph
@@ -50,6 +51,30 @@ def test_pairs_and_graphs_are_dealt_by_their_rows(spark, monkeypatch, tmp_path):
         assert sorted(map(tuple, df.collect())) == sorted(con.sql(f"WITH {sql} SELECT src, dst, n FROM g").fetchall())
 
 
+def test_brand_graph_is_made_once_in_even_parts(spark, monkeypatch, tmp_path):
+    """All lines were read and paired three times for one answer, and the fullest task had more of them the more parts there were."""
+    monkeypatch.setattr(session, "ROWS", 800)
+    lines = [(o, (o * o * 7 + k * k * 5 + o * k) % 60, k) for o in range(6000) for k in range(1 + o % 7)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p, f"Brand#{p % 13}") for p in range(60)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    made, tables, dealt, cut = [], [], session.dealt, graph.cut
+    monkeypatch.setattr(common, "dealt", lambda *a: made.append(dealt(*a)) or made[-1])
+    monkeypatch.setattr(graph, "cut", lambda df: tables.append(df) or cut(df))
+    con = duckdb.connect()
+    for name in ("lineitem", "part"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for query in ("impact_bfs", "ask_impact", "tests_to_run"):
+        made.clear(), tables.clear()
+        found = driver.QUERIES[query](spark, str(tmp_path))
+        assert len(made) == 1 and tables
+        assert not any("lineitem.parquet" in df._jdf.queryExecution().optimizedPlan().toString() for df in (*tables, found))
+        rows = sorted(map(tuple, found.collect()))
+        assert rows and rows == sorted(con.sql(driver.ORACLES[query]).fetchall())
+    parts = -(-len(lines) // 800)
+    counts = [r["count"] for r in made[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert len(counts) == parts and max(counts) < 1.25 * len(lines) / parts
+
+
 def test_common_orders_of_copies_are_told_within_their_groups(spark, monkeypatch, tmp_path):
     """All pairs of an order were joined with names and counts, in as many parts as the session shuffles to, whatever the table's size."""
     monkeypatch.setattr(session, "ROWS", 50)
