@@ -86,7 +86,8 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
     from which every chain of 1..4 consecutive segments differs in no more than its proportional share
     of the distance (0, 1, 2 and 3 of 3).  The shares of the first two segments make a join key: one
     side has its own two segments, the other all it could meet there.  The third share and the whole
-    distance are conditions of the join.  A key that more than CROWDED fingerprints share is replaced
+    distance are conditions of the join.  Spark takes the exploded probes for as few bytes as the
+    fingerprints they come from, so the join is told not to broadcast them.  A key that more than CROWDED fingerprints share is replaced
     by one of three segments, which no more than 65,536 distinct ones can share; only fingerprints that
     reach such a key are probed for it.
     """
@@ -110,7 +111,7 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
 
     def meet(index: DataFrame, probe: DataFrame, segments: int) -> DataFrame:
         left = index.select("ring", key(segments).alias("key"), F.col("turned").alias("x"), F.col("fp").alias("b"))
-        right = probes(probe, segments)
+        right = probes(probe, segments).hint("merge")
         differ = F.col("x").bitwiseXOR(F.col("y"))
         near = (F.bit_count(F.shiftrightunsigned(differ, WIDTH)) <= _budget(3, distance)) & (F.bit_count(differ) <= distance)
         return left.join(right, ["ring", "key"]).filter((F.col("a") < F.col("b")) & near).select("a", "b")
