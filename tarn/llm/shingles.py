@@ -145,7 +145,8 @@ def _rare_in_common(sets: DataFrame, known: DataFrame) -> DataFrame:
     each = sets.join(known.select("cid"), "cid", "left_semi").select("cid", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("cid").orderBy("df", "shingle"))
-    ranked = each.join(often, "shingle").withColumn("place", place).filter(F.col("df") > 1)
+    # a row a shingle is sized as a row a set, so neither side may be broadcast
+    ranked = each.hint("merge").join(often, "shingle").withColumn("place", place).filter(F.col("df") > 1)
     # sets of n and m <= n shingles have at least 4 / 9 * (n + m) in common, which is 8 / 9 * m or more and 4 / 5 * n
     larger = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * OVER / UNDER) + 1)
     smaller = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (2 * OVER) / (OVER + UNDER)) + 1)

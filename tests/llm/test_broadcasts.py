@@ -5,7 +5,8 @@ import re
 import numpy as np
 import pytest
 
-from tarn.llm import simhash
+from tarn.llm import shingles, simhash
+from tarn.llm.shared import table
 
 
 def exploded_broadcasts(df):
@@ -31,3 +32,19 @@ def test_probes_of_fingerprints_are_not_broadcast(spark, monkeypatch, crowded):
     mask = (1 << 64) - 1
     assert {tuple(r) for r in found.collect()} == {(a, b) for a in prints for b in prints if a < b and ((a ^ b) & mask).bit_count() <= 3}
     assert not exploded_broadcasts(found)
+
+
+def test_shingles_of_near_copies_are_not_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(90)]
+    texts = []
+    for _ in range(12):
+        base = list(rng.choice(words, 100))
+        texts += [" ".join(base[:k] + [f"e{k}"] + base[k:]) for k in (3, 30, 50, 80)] + [" ".join(base[:70])]
+    written = {}
+    monkeypatch.setattr(shingles, "table", lambda df, name: written.setdefault(name, []).append(df) or table(df, name))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in shingles.near_duplicates(docs).collect()}
+    assert found == {i: i - i % 5 if i % 5 < 4 else i for i in range(len(texts))}
+    assert len(written["pairs"]) == 2
+    assert [n for n, dfs in written.items() for df in dfs if exploded_broadcasts(df)] == []
