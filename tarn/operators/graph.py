@@ -63,7 +63,7 @@ def reach(edges: DataFrame, seeds: DataFrame, *, hops: int | None = None, cap: i
             full = seen.groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") > cap).select("seed")
             frontier = frontier.join(full, "seed", "left_anti")
         step = frontier.join(out, "node").select("seed", F.col("to").alias("node")).distinct()
-        frontier = cut(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = cut(step.join(seen.select("seed", "node").hint("merge"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = cut(seen.union(frontier))
@@ -97,34 +97,37 @@ def straight(edges: DataFrame, *, ids: int = 300) -> DataFrame:
     return state.filter("not live").join(out.filter(~one).select(F.col("node").alias("at")), "at", "left_anti").select("node", "hops", "ids")
 
 
-def impact(edges: DataFrame, nodes: DataFrame, *, cap: int = 2500, ids: int = 300) -> DataFrame:
+def impact(edges: DataFrame, nodes: DataFrame, *, cap: int | None = None, ids: int = 300) -> DataFrame:
     """(node, total, direct, depth, capped, levels, ids): who depends on each node, directly or not.
 
-    A node that ``cap`` others depend on isn't followed further, and ``capped`` says so; levels counts
-    the dependents at each depth, and ids are the first by depth and name, as many as asked for.
+    With a ``cap``, a node that so many others depend on isn't followed further, and ``capped`` says so; else
+    all are followed to their ends.  levels counts the dependents at each depth, and ids are the first by
+    depth and name, as many as asked for.
     Where one chain is all that depends on a node, its length tells that; the others are followed step by step.
     """
+    least = (lambda n: n) if cap is None else (lambda n: min(n, cap - 1))
     back = cut(backwards(edges).distinct())
-    chains = cut(straight(back, ids=min(ids, cap - 1)).join(nodes.select(F.col("id").alias("node")).distinct(), "node", "left_semi"))
-    total = F.least(F.col("hops"), F.lit(cap - 1).cast("long"))
-    told = chains.select("node", total.alias("total"), F.lit(min(1, cap - 1)).cast("long").alias("direct"), total.cast("int").alias("depth"), (F.col("hops") >= cap).alias("capped"), F.array_repeat(F.lit(1).cast("long"), total.cast("int")).alias("levels"), "ids")
+    chains = cut(straight(back, ids=least(ids)).join(nodes.select(F.col("id").alias("node")).distinct(), "node", "left_semi"))
+    total = F.col("hops") if cap is None else F.least(F.col("hops"), F.lit(cap - 1).cast("long"))
+    beyond = F.lit(False) if cap is None else F.col("hops") >= cap
+    told = chains.select("node", total.alias("total"), F.lit(least(1)).cast("long").alias("direct"), total.cast("int").alias("depth"), beyond.alias("capped"), F.array_repeat(F.lit(1).cast("long"), total.cast("int")).alias("levels"), "ids")
     rest = nodes.select(F.col("id").alias("node")).distinct().join(back.select(F.col("src").alias("node")), "node", "left_semi").join(chains.select("node"), "node", "left_anti")
     rest = cut(rest.select(F.col("node").alias("seed"), "node"))
     if rest.isEmpty():
         return told
     found = reach(back, rest, cap=cap).filter("depth > 0 and node <> seed")
-    place = F.row_number().over(Window.partitionBy("seed").orderBy("depth", "node"))
-    placed = found.withColumn("place", place)
-    kept = placed.filter(F.col("place") < cap)
-    levels = kept.groupBy("seed", "depth").agg(F.count("*").alias("n")).groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("depth", "n"))).alias("l"))
-    listed = placed.groupBy("seed").agg(
-        F.count_if(F.col("place") < cap).alias("total"),
-        F.count_if((F.col("depth") == 1) & (F.col("place") < cap)).alias("direct"),
-        F.max(F.when(F.col("place") < cap, F.col("depth"))).alias("depth"),
-        (F.count("*") >= cap).alias("capped"),
-        F.array_sort(F.collect_list(F.when(F.col("place") <= min(ids, cap - 1), F.struct("place", "node")))).alias("i"),
+    placed = found.withColumn("place", F.row_number().over(Window.partitionBy("seed").orderBy("depth", "node")))
+    # without a cap nothing but the first ids has to be put in order
+    kept = found if cap is None else placed.filter(F.col("place") < cap)
+    each = kept.groupBy("seed", "depth").agg(F.count("*").alias("n")).groupBy("seed").agg(
+        F.sum("n").alias("total"),
+        F.sum(F.when(F.col("depth") == 1, F.col("n")).otherwise(0)).alias("direct"),
+        F.array_sort(F.collect_list(F.struct("depth", "n"))).alias("l"),
+        F.max("depth").alias("depth"),
     )
-    followed = listed.join(levels, "seed").select(F.col("seed").alias("node"), "total", "direct", "depth", "capped", F.col("l.n").alias("levels"), F.col("i.node").alias("ids"))
+    full = each.withColumn("capped", F.lit(False)) if cap is None else each.join(found.groupBy("seed").agg((F.count("*") >= cap).alias("capped")), "seed")
+    first = placed.filter(F.col("place") <= least(ids)).groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("place", "node"))).alias("i"))
+    followed = full.join(first, "seed", "left").select(F.col("seed").alias("node"), "total", "direct", "depth", "capped", F.col("l.n").alias("levels"), F.coalesce(F.col("i.node"), F.slice(F.array("seed"), 1, 0)).alias("ids"))
     return told.union(followed)
 
 

@@ -171,3 +171,17 @@ def test_texts_are_read_once_for_near_copies(spark, monkeypatch, tmp_path):
     assert made == [1] and "documents.parquet" not in plan and "MapInArrow" not in plan
     rows = [tuple(r) for r in found.collect()]
     assert len(rows) > 12 and sorted(rows) == sorted(con.sql(driver.ORACLES["near_clones"]).fetchall())
+
+
+def test_impact_follows_every_dependent(spark, tmp_path):
+    """A part that 2,500 others depend on wasn't followed further, nor a chain of as many counted whole; the SQL counts all."""
+    # 1,300 parts come before part 0 in two orders each, and another 1,300 before those
+    met = [(2 * i + k, n, part) for i in range(1, 2601) for k in range(2) for n, part in ((1, i), (2, max(i - 1300, 0)))]
+    spark.createDataFrame(met, "l_orderkey long, l_linenumber int, l_partkey long").coalesce(2).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    rows = sorted(map(tuple, driver.QUERIES["part_impact"](spark, str(tmp_path)).collect()))
+    assert rows[0] == ("p0", 2600, 1300, 2, False) and rows == sorted(con.sql(driver.ORACLES["part_impact"]).fetchall())
+    chain = spark.range(2600).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    last = graph.impact(chain, spark.createDataFrame([(2600,), (2599,)], "id long"), ids=3).collect()
+    assert sorted((r["node"], r["total"], r["direct"], r["depth"], r["capped"], len(r["levels"]), r["ids"]) for r in last) == [(2599, 2599, 1, 2599, False, 2599, [2598, 2597, 2596]), (2600, 2600, 1, 2600, False, 2600, [2599, 2598, 2597])]
