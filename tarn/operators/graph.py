@@ -87,14 +87,21 @@ def straight(edges: DataFrame, *, ids: int = 300) -> DataFrame:
     one = (F.col("n") == 1) & ~F.col("lost")
     state = cut(out.filter(one).select("node", "at", F.lit(1).cast("long").alias("hops"), F.array("at").alias("ids"), F.lit(True).alias("live")))
     whole = state.count()
+    firsts, long = None, 1
     # what is still on its way after more hops than there are such nodes goes round in a cycle
     while not state.filter(F.col("live") & (F.col("hops") <= whole)).isEmpty():
-        on = state.select(F.col("node").alias("at"), F.col("at").alias("__at"), F.col("hops").alias("__hops"), F.col("ids").alias("__ids"))
+        if firsts is None and long >= ids:
+            # all have their first ids by now, which need no further rounds
+            firsts = state.select("node", F.slice("ids", 1, ids).alias("ids"))
+            state = state.drop("ids")
+        on = state.select(F.col("node").alias("at"), F.col("at").alias("__at"), F.col("hops").alias("__hops"), *([F.col("ids").alias("__ids")] if firsts is None else []))
         met = state.filter("live").join(on, "at", "left")
         both = F.slice(F.concat("ids", F.coalesce("__ids", F.slice("ids", 1, 0))), 1, ids)
-        moved = met.select("node", F.coalesce("__at", "at").alias("at"), (F.col("hops") + F.coalesce("__hops", F.lit(0))).alias("hops"), both.alias("ids"), F.col("__at").isNotNull().alias("live"))
-        state = cut(moved.union(state.filter("not live")))
-    return state.filter("not live").join(out.filter(~one).select(F.col("node").alias("at")), "at", "left_anti").select("node", "hops", "ids")
+        moved = met.select("node", F.coalesce("__at", "at").alias("at"), (F.col("hops") + F.coalesce("__hops", F.lit(0))).alias("hops"), *([both.alias("ids")] if firsts is None else []), F.col("__at").isNotNull().alias("live"))
+        state = cut(moved.union(state.filter("not live").select(moved.columns)))
+        long *= 2
+    ended = state.filter("not live").join(out.filter(~one).select(F.col("node").alias("at")), "at", "left_anti")
+    return (ended if firsts is None else ended.join(firsts, "node")).select("node", "hops", "ids")
 
 
 def impact(edges: DataFrame, nodes: DataFrame, *, cap: int | None = None, ids: int = 300) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.stats import grade
+from ..session import cut
 
 ROWS = "place int, id string, text string, tag string"
 
@@ -132,16 +133,21 @@ def named_file(questions: DataFrame, question: str, files: DataFrame) -> DataFra
     """``questions`` with file: of the ``files`` (id) whose id, name or stem of three characters or more a
     question has as a word the one of the longest; ties go to the smallest id.
 
-    Questions and names are joined by words, not all with all.
+    Questions and names are joined by words, not all with all.  A word carries its question's hash, not its
+    text, and only if a name has it; the text comes back to the names that share a word with it, where each is told exactly.
     """
     label = F.element_at(F.split("id", "/"), -1)
     keys = F.array_distinct(F.array(text.fold(F.col("id")), text.fold(label), text.fold(F.regexp_replace(label, r"\.[^.]+$", ""))))
     named = files.select("id", F.explode(keys).alias("key")).filter(F.length("key") >= 3)
     words = lambda c: F.filter(F.split(c, "[^a-z0-9]+"), lambda w: w != "")
     named = named.withColumn("word", F.element_at(words(F.col("key")), 1))
-    asked = questions.select(F.col(question).alias("q")).distinct().withColumn("folded", text.fold(F.col("q")))
-    met = asked.withColumn("word", F.explode(F.array_distinct(words(F.col("folded"))))).join(named, "word")
+    asked = questions.select(F.col(question).alias("q")).distinct().withColumn("h", F.xxhash64("q"))
+    said = asked.select("h", F.explode(F.array_distinct(words(text.fold(F.col("q"))))).alias("word"))
+    known = cut(named.join(said.select("word").distinct(), "word", "left_semi"))
+    # few words are left; an explode is sized as what it is made from, so they aren't broadcast
+    kept = said.join(known.select("word").distinct(), "word", "left_semi").hint("merge")
+    met = kept.join(known, "word").select("h", "key", "id").join(asked, "h")
     escaped = F.regexp_replace("key", r"([.*+?^${}()|\[\]\\])", r"\\$1")
-    whole = F.regexp_like("folded", F.concat(F.lit("(^|[^a-z0-9])"), escaped, F.lit("($|[^a-z0-9])")))
+    whole = F.regexp_like(text.fold(F.col("q")), F.concat(F.lit("(^|[^a-z0-9])"), escaped, F.lit("($|[^a-z0-9])")))
     best = met.filter(whole).groupBy("q").agg(F.min(F.struct((-F.length("key")).alias("n"), "id")).alias("b"))
     return questions.join(best.select(F.col("q").alias(question), F.col("b.id").alias("file")), question, "left")

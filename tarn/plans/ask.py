@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators.risk import WEIGHTS
+from ..session import cut
 from .answers import confidence, graph_confidence, named_file
 
 ROW = "struct<id:string,text:string,tag:string>"
@@ -406,7 +407,7 @@ def ask(questions: DataFrame, facts: Facts, *, question: str = "question", selec
     intent = text.intent(F.coalesce(F.col(question), F.lit("")), F.col("file").isNotNull())
     told = told.withColumn("__asked", intent)
     chosen = F.coalesce("file", F.col(selected).cast("string")) if selected else F.col("file")
-    told = told.withColumn("file", F.when(F.col("__asked").isin("owner", "impact"), chosen).otherwise(F.col("file")))
+    told = cut(told.withColumn("file", F.when(F.col("__asked").isin("owner", "impact"), chosen).otherwise(F.col("file"))))
     asked = told.filter(F.col("__asked").isin("owner", "impact") & F.col("file").isNotNull()).select("__asked", "file").distinct()
     id_type = facts.files.schema["id"].dataType
     of = lambda k: asked.filter(F.col("__asked") == k).select(F.col("file").cast(id_type).alias("id"))
@@ -416,8 +417,9 @@ def ask(questions: DataFrame, facts: Facts, *, question: str = "question", selec
     if facts.commits and facts.shares is not None:
         own.append(_owner_of(facts, trust, of("owner")).select(F.lit("owner").alias("__asked"), F.col("file").cast("string").alias("file"), F.col("a").alias("own")))
     whole = catalogue(facts).select(F.col("asked").alias("__asked"), "a")
-    met = told.join(F.broadcast(whole), "__asked", "left")
-    met = met.join(reduce(DataFrame.unionByName, own), ["__asked", "file"], "left") if own else met.withColumn("own", F.lit(None).cast(whole.schema["a"].dataType))
+    # a question is dealt by its file before it has an answer about the whole, which is longer than the question
+    met = told.join(reduce(DataFrame.unionByName, own), ["__asked", "file"], "left") if own else told.withColumn("own", F.lit(None).cast(whole.schema["a"].dataType))
+    met = met.join(F.broadcast(whole), "__asked", "left")
     answer = F.coalesce("own", "a")
     kept = [c for c in questions.columns if c not in ("file", "intent", "title", "headline", "level", "why", "challenge", "follow", "rows")]
     fields = ("intent", "headline", "level", "why", "challenge", "follow", "rows")

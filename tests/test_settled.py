@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tarn import driver, session
 from tarn.operators import clones, cochange, graph
-from tarn.plans import review
+from tarn.plans import answers, review
 from tarn.queries import common
 
 
@@ -185,3 +185,42 @@ def test_impact_follows_every_dependent(spark, tmp_path):
     chain = spark.range(2600).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     last = graph.impact(chain, spark.createDataFrame([(2600,), (2599,)], "id long"), ids=3).collect()
     assert sorted((r["node"], r["total"], r["direct"], r["depth"], r["capped"], len(r["levels"]), r["ids"]) for r in last) == [(2599, 2599, 1, 2599, False, 2599, [2598, 2597, 2596]), (2600, 2600, 1, 2600, False, 2600, [2599, 2598, 2597])]
+
+
+def test_words_of_questions_travel_without_their_texts(spark, monkeypatch):
+    """Each word of a question took the whole text along, twice, to where names meet words, once names were too many to broadcast."""
+    files = ["src/pay.js", "src/cart.js", "lib/pay.js", "a.b/deep.name.js", "p12", "p123", "x+y.c", "ab"]
+    asked = ["what breaks if pay changes", "PAY.js or cart?", "p123, p12", "p1234", "src/cart.js", "deep.name", "x+y.c", "x y c", "ab", "nothing", "", None, "páy", "p12 p12"] + ["p12"] * 3
+    tables = []
+    monkeypatch.setattr(answers, "cut", lambda df: tables.append(df) or session.cut(df), raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = answers.named_file(spark.createDataFrame([(q,) for q in asked], "question string"), "question", spark.createDataFrame([(f,) for f in files], "id string"))
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (found, *tables)]
+        rows = sorted(map(tuple, found.collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    carried = [x for plan in plans for x in re.findall(r"Generate explode\(.*, \[([^\]]*)\], false, \[word#", plan)]
+    assert carried and all(re.fullmatch(r"(h#\d+L)?", x) for x in carried)
+
+    def named(q):
+        folded = (q or "").lower().replace("á", "a")
+        keys = {(k.lower(), f) for f in files for k in (f, f.split("/")[-1], re.sub(r"\.[^.]+$", "", f.split("/")[-1])) if len(k) >= 3}
+        met = [(-len(k), f) for k, f in keys if re.search(rf"(^|[^a-z0-9]){re.escape(k)}($|[^a-z0-9])", folded)]
+        return min(met)[1] if met else None
+
+    assert rows == sorted([(q, named(q)) for q in asked], key=str)
+    assert {f for _, f in rows} == {None, "lib/pay.js", "p123", "p12", "src/cart.js", "a.b/deep.name.js", "x+y.c"}
+
+
+def test_chains_carry_their_first_ids_until_they_have_them(spark, monkeypatch):
+    """Every round of a chain wrote and dealt the ids again, though the first four had made the twelve that are asked for."""
+    tables, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: tables.append(df) or cut(df))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "src long, dst long")
+    for ids in (0, 1, 3, 12, 400):
+        tables.clear()
+        rows = {tuple(r[:2]) + (tuple(r[2]),) for r in graph.straight(chain, ids=ids).collect()}
+        assert rows == {(i, 300 - i, tuple(range(i + 1, 301))[:ids]) for i in range(300)}
+        rounds = [df for df in tables if "live" in df.columns]
+        assert sum("ids" in df.columns for df in rounds) == {0: 1, 1: 1, 3: 3, 12: 5, 400: 10}[ids]
