@@ -10,6 +10,7 @@ from ..operators import clones, cochange, compare, graph, history, measures
 from ..operators.risk import WEIGHTS
 from ..plans import answers, ask, bridges as http, guard, insights as found, relations, signals, store
 from ..session import cut
+from ..session import shares as parts_for
 from .common import G, Registry, brand_graph, read
 from .history import PAIRS
 from .worlds import FILES, SNAPS, _snaps, files_of
@@ -158,10 +159,12 @@ def price_chain(spark: SparkSession, d: str) -> DataFrame:
 def facts_of(spark: SparkSession, d: str) -> ask.Facts:
     """Parts as files: suppliers are authors, orders commits, a dearer part of the same brand and size is what a part needs."""
     name = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
-    lines = read(spark, d, "lineitem").select(name("l_partkey").alias("id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("author"))
-    shares = cut(history.shares(lines, "id", "author"))
+    lines = read(spark, d, "lineitem").select("l_partkey", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("author"))
+    # dealt once by part: hardly a supplier sells a part twice, so counts by both are as many rows as lines
+    sold = cut(history.shares(lines.repartition(parts_for(lines.count(), spark), "l_partkey"), "l_partkey", "author"))
+    shares = sold.withColumn("id", name("l_partkey")).drop("l_partkey")
     known = history.bus_factor(shares, "id", "author").drop("authors")
-    files = cut(files_of(spark, d).withColumn("id", name("id")).join(known, "id", "left")).withColumns({"lines": F.col("loc"), "last": F.lit(None).cast("timestamp"), "gen": F.lit(None).cast("string"), "dyn": F.array().cast("array<struct<line:int,what:string>>")})
+    files = cut(files_of(spark, d, sold).withColumn("id", name("id")).join(known, "id", "left")).withColumns({"lines": F.col("loc"), "last": F.lit(None).cast("timestamp"), "gen": F.lit(None).cast("string"), "dyn": F.array().cast("array<struct<line:int,what:string>>")})
     brand = read(spark, d, "part").select("p_partkey", "p_brand")
     a, b = (brand.select(F.col("p_partkey").alias(x), F.col("p_brand").alias(f"brand_{x}")) for x in "ab")
     pairs = cochange.associated(read(spark, d, "lineitem"), "l_orderkey", "l_partkey", strength=0.05).join(a, "a").join(b, "b").withColumn("hidden", F.col("brand_a") != F.col("brand_b"))

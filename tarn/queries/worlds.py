@@ -149,11 +149,17 @@ q AS (SELECT f.*, least(1, fan_in / mi) * 0.28::DOUBLE / 1.08 + least(1, c90 / m
 r AS (SELECT *, CAST(CASE WHEN skipped THEN 0 ELSE floor(round(raw * 100, 6) + 0.5) END AS INTEGER) AS score FROM q)"""
 
 
-def files_of(spark: SparkSession, d: str) -> DataFrame:
+def files_of(spark: SparkSession, d: str, sold: DataFrame | None = None) -> DataFrame:
+    """Parts as files; with ``sold`` (l_partkey, author, commits), what is counted there isn't counted from all lines again."""
     lines = read(spark, d, "lineitem")
     rows = lines.crossJoin(F.broadcast(lines.agg(F.max("l_shipdate").alias("now"))))
     recent = F.col("l_shipdate") >= F.col("now") - F.expr("interval 90 days")
-    uses = rows.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("fan_in"), F.count_if(recent).alias("c90"), F.count_distinct("l_suppkey").alias("owners"))
+    of = F.col("l_partkey").alias("p_partkey")
+    if sold is None:
+        uses = rows.groupBy(of).agg(F.count("*").alias("fan_in"), F.count_if(recent).alias("c90"), F.count_distinct("l_suppkey").alias("owners"))
+    else:
+        counted = sold.groupBy(of).agg(F.sum("commits").alias("fan_in"), F.count("author").alias("owners"))
+        uses = counted.join(rows.filter(recent).groupBy(of).agg(F.count("*").alias("c90")), "p_partkey", "left")
     part, size = read(spark, d, "part").join(uses, "p_partkey", "left").na.fill(0, ["fan_in", "c90", "owners"]), F.col("p_size")
     files = part.select(
         F.col("p_partkey").alias("id"), "fan_in", "c90", (F.col("p_brand") == "Brand#11").alias("in_cycle"),

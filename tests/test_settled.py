@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tarn import driver, session
 from tarn.operators import clones, cochange, graph
 from tarn.plans import answers, review
-from tarn.queries import common
+from tarn.queries import answers as questions
+from tarn.queries import common, worlds
 
 
 def test_intents_folds_what_conversations_say(spark, tmp_path):
@@ -224,3 +225,22 @@ def test_chains_carry_their_first_ids_until_they_have_them(spark, monkeypatch):
         assert rows == {(i, 300 - i, tuple(range(i + 1, 301))[:ids]) for i in range(300)}
         rounds = [df for df in tables if "live" in df.columns]
         assert sum("ids" in df.columns for df in rounds) == {0: 1, 1: 1, 3: 3, 12: 5, 400: 10}[ids]
+
+
+def test_sales_of_questions_are_dealt_once(spark, monkeypatch):
+    """All lines were dealt by part and supplier and again by part, and a third time for what files count of them."""
+    monkeypatch.setattr(session, "ROWS", 400)
+    tables = []
+    monkeypatch.setattr(questions, "cut", lambda df: tables.append(df) or session.cut(df))
+    d = "/root/testdata/sf0.001"
+    facts = questions.facts_of(spark, d)
+    lines = common.read(spark, d, "lineitem")
+    assert _exchanges(tables[0]) == [-(-lines.count() // 400)]
+    assert "count(distinct" not in tables[1]._jdf.queryExecution().optimizedPlan().toString()
+    con = duckdb.connect()
+    for name in ("lineitem", "part"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet'")
+    told = sorted(tuple(r) for r in facts.files.select("id", "fan_in", "c90", "sole_owner").collect())
+    assert told == sorted(con.sql(f"WITH {worlds.FILES} SELECT 'p' || id, fan_in, c90, sole_owner FROM f").fetchall())
+    sold = sorted(tuple(r) for r in facts.shares.select("id", "author", "commits").collect())
+    assert sold == sorted(con.sql("SELECT 'p' || l_partkey, 's' || l_suppkey, count(*) FROM lineitem GROUP BY ALL").fetchall())
